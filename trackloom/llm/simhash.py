@@ -169,14 +169,11 @@ def hex16(fp: Column | str) -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each group of near-duplicates, that of the smallest doc_id; all columns are kept.
 
-    A row with null doc_id stays only if its group has no other; rows that repeat the kept doc_id are reduced to one.
+    Rows that repeat the kept doc_id are reduced to one. A group in which no row has a doc_id keeps one row of each text.
     """
     scratch = Scratch(docs.sparkSession)
-    groups = scratch.cut(near_duplicates(docs))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__tl_n"), F.min("fp").alias("__tl_fp"))
-    # a doc_id on several rows: those rows alone need their texts compared
-    once = kept.where("__tl_n = 1 and doc_id is not null").select(F.col("doc_id").alias("__tl_id"))
-    many = kept.where("__tl_n > 1 or doc_id is null").select(F.col("doc_id").alias("__tl_id"))
-    left = docs.join(once, docs["doc_id"] == once["__tl_id"], "left_semi")
-    again = docs.join(many, docs["doc_id"].eqNullSafe(many["__tl_id"]), "left_semi").dropDuplicates(["doc_id"])
-    return left.unionByName(again)
+    stays = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    stays = scratch.cut(stays.select(F.col("doc_id").alias("__tl_id"), F.expr("n = 1 and doc_id is not null").alias("__tl_once")))
+    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__tl_id"])).drop("__tl_id")
+    again = kept.where(~F.col("__tl_once")).withColumn("__tl_text", F.when(F.col("doc_id").isNull(), F.col("text")))
+    return kept.where("__tl_once").drop("__tl_once").unionByName(again.dropDuplicates(["doc_id", "__tl_text"]).drop("__tl_once", "__tl_text"))
