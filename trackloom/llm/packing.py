@@ -28,7 +28,7 @@ from .common import Scratch
 SIZE = 1024
 EOS = 2
 #: Rows of one length that are ranked together.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 1000
 #: Chunks whose ids a worker remembers.
 REMEMBERED = 300_000
 #: The pre-token pattern of the byte-level vocabulary, and its special token.
