@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, simhash, substring, toxicity
+from . import mixing, packing, pii, sharding, simhash, substring, toxicity
 from .common import table
 
 
@@ -40,12 +40,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ranks_path())
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_dedup, op2_toxicity, op3_substring_dedup, op4_mixing, op7_best_fit_packing, op10_pii]
+    found = [op1_simhash_dedup, op2_toxicity, op3_substring_dedup, op4_mixing, op7_best_fit_packing, op8_sharding, op10_pii]
     return {f.__name__: f for f in found}
 
 

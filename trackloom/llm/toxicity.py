@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class that the fit reads, drawn by a hash of doc_id: the bound of the sample.
-PER_CLASS = 3000
+PER_CLASS = 2500
 #: Features that the fit considers.
 MAX_FEATURES = 8_000
 THRESHOLD = 0.3
@@ -44,8 +45,16 @@ def features(chunk: str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n))
 
 
-def of_text(text: str | None) -> set[str]:
-    return {f for chunk in set((text or "").lower().split()) for f in features(chunk)}
+def of_text(text: str | None, memo: dict[str, tuple[str, ...]] | None = None) -> set[str]:
+    """The features of a text; ``memo`` lets many texts share the strings of their features."""
+    memo = {} if memo is None else memo
+    out: set[str] = set()
+    for chunk in set((text or "").lower().split()):
+        got = memo.get(chunk)
+        if got is None:
+            got = memo[chunk] = tuple(map(sys.intern, features(chunk)))
+        out.update(got)
+    return out
 
 
 @dataclass
@@ -113,7 +122,8 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, l1: flo
     share = min(max(share, 1e-4), 1 - 1e-4)
     if not 0 < pos < n:
         return Model(math.log(share / (1 - share)), {})
-    sets = [of_text(t) for t in texts]
+    memo: dict[str, tuple[str, ...]] = {}
+    sets = [of_text(t, memo) for t in texts]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for s, label in zip(sets, labels, strict=True):
         seen[label].update(s)
