@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, sharding, simhash, substring, toxicity
+from . import ann, mixing, packing, pii, quality, sharding, simhash, substring, toxicity
 from .common import table
 
 
@@ -29,6 +29,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard_1", "shard_2")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = quality.ledger(table(spark, sf_dir, "documents"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return led.select("doc_id", *base, quality.fails("base").alias("base_failed"), (~quality.fails()).alias("kept"), "failed")
+
+
 def ranks_path() -> str:
     """The installed rank file of the vocabulary that byte_bpe_50k.json holds."""
     import public_tokenizers
@@ -49,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_dedup, op2_toxicity, op3_substring_dedup, op4_mixing, op7_best_fit_packing, op8_sharding, op10_pii]
+    found = [op1_simhash_dedup, op2_toxicity, op3_substring_dedup, op4_mixing, op5_ann, op6_quality_rules, op7_best_fit_packing, op8_sharding, op10_pii]
     return {f.__name__: f for f in found}
 
 
