@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, packing, pii, quality, sharding, simhash, substring, toxicity
+from . import ann, chat, mixing, packing, pii, quality, sharding, simhash, substring, toxicity
 from .common import table
 
 
@@ -55,12 +55,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_dedup, op2_toxicity, op3_substring_dedup, op4_mixing, op5_ann, op6_quality_rules, op7_best_fit_packing, op8_sharding, op10_pii]
+    found = [op1_simhash_dedup, op2_toxicity, op3_substring_dedup, op4_mixing, op5_ann, op6_quality_rules, op7_best_fit_packing, op8_sharding, op9_chat_formatting, op10_pii]
     return {f.__name__: f for f in found}
 
 
