@@ -1,15 +1,532 @@
-"""All registered queries and their oracles."""
+"""All registered queries over the stand-in tables, each with its oracle where SQL can express it.
+
+No table holds real tracks: ``events`` stands for the tracking table, ``embeddings`` for identities, texts for OCR tokens.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .functions import vectors as V
+from .operators import embeddings as E
+from .operators import graph, projection, search, stats, tracks, windows
+from .operators.cache import read_through
+from .plans import agent
+from .plans import pipeline as chains
+from .schemas import Intrinsics
+from .sources import generators as gen
+from .streaming import frames as streams
+from .udf import StubDepth, StubTracker, apply_model, apply_per_clip
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Stand-ins, in both languages.
+
+
+def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    z = F.when(F.col("event_id") % 17 == 0, 0.0).otherwise((F.col("event_id") % 50) / 10 + 0.5)
+    return _t(spark, sf_dir, "events").select(
+        F.col("user_id").alias("track_id"), (F.row_number().over(w) - 1).cast("long").alias("frame_idx"), F.get_json_object("props", "$.k").cast("double").alias("x"),
+        F.col("value").alias("y"), z.alias("z"), ((F.col("event_id") % 100) / 100).alias("confidence"), F.col("event_type").alias("class_name"), "event_id",
+    )
+
+
+T = """WITH tracking AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx,
+ CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS x, value AS y, CASE WHEN event_id % 17 = 0 THEN 0e0 ELSE CAST(event_id % 50 AS DOUBLE) / 10e0 + 5e-1 END AS z,
+ CAST(event_id % 100 AS DOUBLE) / 100e0 AS confidence, event_type AS class_name, event_id FROM events)"""
+W, H = 128, 96
+#: A depth map by rule: every pixel of every frame.
+_DEPTH = "CASE WHEN (u + v) % 13 = 0 THEN 0e0 ELSE CAST((u * 7 + v * 3 + frame_idx) % 40 AS DOUBLE) / 4e0 + 5e-1 END"
+
+
+def depth_maps(spark: SparkSession, frames: DataFrame) -> DataFrame:
+    """(frame_idx, v, u, z) of the given frames."""
+    px = frames.select("frame_idx").distinct().withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(H - 1)))).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(W - 1))))
+    z = F.when((F.col("u") + F.col("v")) % 13 == 0, 0.0).otherwise((F.col("u") * 7 + F.col("v") * 3 + F.col("frame_idx")) % 40 / 4 + 0.5)
+    return px.withColumn("z", z.cast("float"))
+
+
+K = Intrinsics.of_size(H, W)
+
+
+@query(f"""{T}, s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM tracking WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx))
+ SELECT track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS num_frames, round(avg(z), 6) AS mean_depth, round(avg(confidence), 6) AS mean_confidence,
+ round(coalesce(sum(step), 0e0), 4) AS path_length FROM s GROUP BY track_id""")
+def track_summary(spark, sf_dir):
+    s = tracks.track_summary(tracking(spark, sf_dir))
+    return s.select("track_id", "first_frame", "last_frame", "num_frames", F.round("mean_depth", 6).alias("mean_depth"), F.round("mean_confidence", 6).alias("mean_confidence"), F.round("path_length", 4).alias("path_length"))
+
+
+@query(f"{T} SELECT track_id, frame_idx, x, y, z, confidence FROM tracking WHERE track_id = 7")
+def track_location(spark, sf_dir):
+    return tracks.track_locations(tracking(spark, sf_dir), 7)
+
+
+@query(f"{T} SELECT track_id, frame_idx, x, y, z, confidence FROM tracking WHERE track_id = 7 AND frame_idx = 5")
+def track_location_frame(spark, sf_dir):
+    return tracks.track_locations(tracking(spark, sf_dir), 7, 5)
+
+
+@query(f"""{T}, wanted AS (SELECT unnest([1, 2, 3, 100000000]) AS track_id) SELECT w.track_id, count(t.track_id) > 0 AS found,
+ CASE WHEN count(t.track_id) > 0 THEN count(*) FILTER (WHERE t.frame_idx = 5) END AS num_frames,
+ coalesce(sum(t.frame_idx) FILTER (WHERE t.frame_idx = 5), 0)::BIGINT AS frame_sum FROM wanted w LEFT JOIN tracking t USING (track_id) GROUP BY w.track_id""")
+def track_answers(spark, sf_dir):
+    wanted = spark.createDataFrame([(i,) for i in (1, 2, 3, 100_000_000)], "track_id long")
+    a = tracks.track_answer(tracking(spark, sf_dir), wanted, 5)
+    return a.select("track_id", "found", "num_frames", F.aggregate("locations", F.lit(0).cast("long"), lambda s, x: s + x["frame_idx"]).alias("frame_sum"))
+
+
+@query(f"{T} SELECT track_id, frame_idx, event_id FROM tracking WHERE class_name = 'click' AND frame_idx = 3")
+def class_filter(spark, sf_dir):
+    return tracks.of_class(tracking(spark, sf_dir), "click", 3).select("track_id", "frame_idx", "event_id")
+
+
+@query("SELECT iy * 64 + ix AS id, CAST(ix * 20 AS FLOAT) AS x, CAST(iy * 20 AS FLOAT) AS y FROM range(36) a(iy), range(64) b(ix)")
+def grid_points(spark, sf_dir):
+    return gen.grid_points(spark, 720, 1280, 20)
+
+
+@query("SELECT 0e0 AS frame, CAST(ix * 20 AS FLOAT) AS x, CAST(iy * 20 AS FLOAT) AS y FROM range(5) a(iy), range(7) b(ix)")
+def grid_queries(spark, sf_dir):
+    return gen.start_queries(gen.grid_points(spark, 100, 140, 20))
+
+
+@query("""SELECT f AS frame_idx, iy * 7 + ix AS track_id, CAST(ix * 20 + f * 2.5e0 AS FLOAT) AS x, CAST(iy * 20 + f * 2.5e0 AS FLOAT) AS y, true AS visible
+ FROM range(5) a(iy), range(7) b(ix), range(30) c(f)""")
+def linear_tracks(spark, sf_dir):
+    return gen.linear_tracks(gen.grid_points(spark, 100, 140, 20), 30)
+
+
+@query("""SELECT t AS track_id, f AS frame_idx, CAST(100 + 300e0 * f / 299e0 + (t - 1) * 100 AS FLOAT) AS x, CAST(150 + 150e0 * f / 299e0 + (t - 1) * 100 AS FLOAT) AS y,
+ CAST(5 AS FLOAT) AS z, '' AS ocr_text, CAST(1 AS FLOAT) AS confidence FROM range(1, 3) a(t), range(300) b(f)""")
+def mock_tracks(spark, sf_dir):
+    return gen.mock_tracks(spark)
+
+
+_PROJECT = f"""{T}, pt AS (SELECT frame_idx, track_id, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y,
+ CAST(greatest(0, least(round_even(CAST(x AS FLOAT), 0), {W - 1})) AS BIGINT) AS u, CAST(greatest(0, least(round_even(CAST(y AS FLOAT), 0), {H - 1})) AS BIGINT) AS v FROM tracking),
+ d AS (SELECT *, CAST({_DEPTH} AS FLOAT) AS z FROM pt)"""
+
+
+@query(f"""{_PROJECT} SELECT frame_idx AS frame_id, track_id AS point_id, round(CAST((x - 64) * z / 128 AS DOUBLE), 3) AS X, round(CAST((y - 48) * z / 128 AS DOUBLE), 3) AS Y,
+ round(CAST(z AS DOUBLE), 3) AS Z, z > 0 AS valid FROM d""")
+def project_points(spark, sf_dir):
+    t = tracking(spark, sf_dir).withColumns({"x": F.col("x").cast("float"), "y": F.col("y").cast("float")})
+    p = projection.project_to_3d(t, depth_maps(spark, t), H, W)
+    return p.select("frame_id", "point_id", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in "XYZ"], "valid")
+
+
+@query(f"{_PROJECT} SELECT frame_idx, count(*) AS points, count(*) FILTER (WHERE z > 0) AS valid_points FROM d GROUP BY frame_idx")
+def valid_mask(spark, sf_dir):
+    t = tracking(spark, sf_dir).withColumns({"x": F.col("x").cast("float"), "y": F.col("y").cast("float")})
+    p = projection.project_to_3d(t, depth_maps(spark, t), H, W)
+    return p.groupBy(F.col("frame_id").alias("frame_idx")).agg(F.count("*").alias("points"), F.count_if("valid").alias("valid_points"))
+
+
+_BOX = "doc_id % 8 AS frame_idx, substr(text, 1, 12) AS text, CAST(n_chars % 90 AS INT) AS bx, CAST(n_chars % 70 AS INT) AS b_y, CAST(n_chars % 21 AS INT) AS bw, CAST(n_chars % 15 AS INT) AS bh, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(n_chars % 101 AS DOUBLE) / 100 END AS confidence"
+
+
+def detections(spark, sf_dir):
+    n = F.col("n_chars")
+    box = F.struct(*[(n % m).cast("int").alias(k) for k, m in (("x", 90), ("y", 70), ("w", 21), ("h", 15))])
+    return _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("frame_idx"), F.substring("text", 1, 12).alias("text"), box.alias("bbox"), F.when(F.col("doc_id") % 9 != 0, n % 101 / 100).alias("confidence"))
+
+
+@query(f"""WITH b AS (SELECT {_BOX} FROM documents), c AS (SELECT *, bx + bw / 2e0 AS cx, b_y + bh / 2e0 AS cy FROM b WHERE confidence IS NULL OR confidence >= 0.3),
+ p AS (SELECT *, CAST(greatest(0, least(round_even(cx, 0), {W - 1})) AS BIGINT) AS u, CAST(greatest(0, least(round_even(cy, 0), {H - 1})) AS BIGINT) AS v FROM c),
+ d AS (SELECT *, CAST(CAST({_DEPTH} AS FLOAT) AS DOUBLE) * 2 AS z FROM p)
+ SELECT frame_idx, text, round((u - 64) * z / 128, 4) AS x, round((v - 48) * z / 128, 4) AS y, round(z, 4) AS z, confidence, u, v FROM d WHERE z > 0""")
+def attach_text_3d(spark, sf_dir):
+    d = detections(spark, sf_dir)
+    a = projection.attach_text(d, depth_maps(spark, spark.range(8).select(F.col("id").alias("frame_idx"))), H, W, K, 0.3, 2.0)
+    return a.select("frame_idx", "text", *[F.round(f"position_3d.{c}", 4).alias(c) for c in "xyz"], "confidence", F.col("pixel_uv.u").cast("long").alias("u"), F.col("pixel_uv.v").cast("long").alias("v"))
+
+
+@query(f"WITH b AS (SELECT doc_id, {_BOX} FROM documents) SELECT doc_id, CAST(trunc(bx / 1.5e0) AS INT) AS x, CAST(trunc(b_y / 1.5e0) AS INT) AS y, CAST(trunc(bw / 1.5e0) AS INT) AS w, CAST(trunc(bh / 1.5e0) AS INT) AS h FROM b")
+def bbox_unscale(spark, sf_dir):
+    return detections(spark, sf_dir).select("doc_id", G.unscale_bbox("bbox", 1.5).alias("b")).select("doc_id", "b.*")
+
+
+@query(f"{T} SELECT event_id, CAST(floor(greatest(0, least(y * 3, 223)) / 16) * 14 + floor(greatest(0, least(x * 3, 223)) / 16) AS INT) AS patch FROM tracking")
+def patch_index(spark, sf_dir):
+    return tracking(spark, sf_dir).select("event_id", G.patch_index(F.col("x") * 3, F.col("y") * 3).alias("patch"))
+
+
+@query(f"{T} SELECT event_id, CAST(least(frame_idx, 15) AS INT) AS slot FROM tracking")
+def temporal_slot(spark, sf_dir):
+    return tracking(spark, sf_dir).select("event_id", G.temporal_slot("frame_idx", 16).alias("slot"))
+
+
+@query(f"""{T}, pt AS (SELECT event_id, least(frame_idx, 1) AS slot, floor(greatest(0, least(y * 3, 223)) / 16) * 14 + floor(greatest(0, least(x * 3, 223)) / 16) AS patch_idx FROM tracking)
+ SELECT pt.event_id, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first, len(e.embedding) AS dim FROM pt JOIN embeddings e ON e.vec_id = pt.slot * 196 + pt.patch_idx""")
+def semantic_lookup(spark, sf_dir):
+    t = tracking(spark, sf_dir).select(F.lit(0).alias("clip_id"), "frame_idx", F.col("event_id").alias("track_id"), (F.col("x") * 3).alias("x"), (F.col("y") * 3).alias("y"))
+    f = _t(spark, sf_dir, "embeddings").where("vec_id < 392").select(F.lit(0).alias("clip_id"), F.expr("cast(vec_id div 196 as int)").alias("slot"), F.expr("cast(vec_id % 196 as int)").alias("patch_idx"), "embedding")
+    return projection.semantic_lookup(t, f, 2).select(F.col("track_id").alias("event_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dim"))
+
+
+@query("""WITH s AS (SELECT vec_id, [CAST(x AS DOUBLE) * 3 FOR x IN embedding] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum([x * x FOR x IN v])) AS n FROM s)
+ SELECT vec_id, round(v[1] / n, 6) AS first, round(v[64] / n, 6) AS last FROM n""")
+def l2_normalize(spark, sf_dir):
+    v = V.l2_normalize(F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
+
+
+@query("""SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(e), 6) AS value FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings)
+ GROUP BY label, pos""")
+def identity_embedding(spark, sf_dir):
+    return E.identity_parts(_t(spark, sf_dir, "embeddings"), "label").withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT label, CAST(pos - 1 AS INT) AS pos, round(CASE WHEN sum(w) = 0 THEN avg(e) ELSE sum(w * e) / sum(w) END, 6) AS value
+ FROM (SELECT label, CASE WHEN label = 3 THEN 0e0 ELSE CAST(vec_id % 7 AS DOUBLE) END AS w, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings) GROUP BY label, pos""")
+def weighted_identity(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").withColumn("weight", F.when(F.col("label") == 3, 0.0).otherwise((F.col("vec_id") % 7).cast("double")))
+    return E.identity_parts(e, "label", "weight").withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT label AS track_id, count(*) AS vectors, round(sum(CASE WHEN vec_id % 5 = 0 THEN 0 ELSE CAST(embedding[1] AS DOUBLE) END), 4) AS first_sum FROM embeddings GROUP BY label""")
+def group_by_track(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").select(F.col("label").alias("track_id"), F.col("vec_id").alias("row_idx"), F.when(F.col("vec_id") % 5 != 0, F.col("embedding")).alias("embedding"))
+    g = tracks.group_by_track(e, 64)
+    return g.select("track_id", F.size("embeddings").cast("long").alias("vectors"), F.round(F.aggregate("embeddings", F.lit(0.0), lambda s, v: s + v[0].cast("double")), 4).alias("first_sum"))
+
+
+@query("""SELECT round(min(e), 6) AS min, round(max(e), 6) AS max, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS std, count(*) * 4 AS bytes, CAST(0 AS BIGINT) AS nan_count, CAST(0 AS BIGINT) AS inf_count
+ FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings)""")
+def embedding_stats(spark, sf_dir):
+    d = E.diagnostics(_t(spark, sf_dir, "embeddings"))
+    return d.select(*[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")], "bytes", "nan_count", "inf_count")
+
+
+@query("SELECT count(*) = 500 AS count_ok, bool_and(len(embedding) = 64) AS dim_ok, true AS no_nan, true AS no_inf, count(*) = 500 AND bool_and(len(embedding) = 64) AS ok FROM embeddings")
+def embedding_validate(spark, sf_dir):
+    return E.validation(_t(spark, sf_dir, "embeddings"), 500, 64)
+
+
+def _index(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), "embedding", F.col("label").cast("string").alias("class_name"))
+
+
+def _query_vector(spark, sf_dir):
+    """The vector of id 0: one row."""
+    return F.array(*map(F.lit, _t(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]))
+
+
+_D = """q AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+ d AS (SELECT a.vec_id AS track_id, CAST(a.label AS VARCHAR) AS class_name, sqrt(sum(pow(a.v - b.v, 2))) AS distance FROM q a JOIN q b ON b.vec_id = 0 AND a.i = b.i GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_D} SELECT track_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM d ORDER BY d.distance, track_id LIMIT 10")
+def knn_topk(spark, sf_dir):
+    hits = search.nearest(_index(spark, sf_dir), _query_vector(spark, sf_dir), 10)
+    return hits.select("track_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {_D} SELECT track_id, class_name, round(distance, 6) AS distance FROM d WHERE class_name = '3' ORDER BY d.distance, track_id LIMIT 5")
+def knn_filtered(spark, sf_dir):
+    hits = search.nearest(_index(spark, sf_dir), _query_vector(spark, sf_dir), 5, {"class_name": "3"})
+    return hits.select("track_id", "class_name", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT vec_id AS track_id, coalesce(CASE WHEN vec_id % 4 <> 0 THEN 'c' || label END, 'object') || ' track_' || vec_id AS page_content FROM embeddings")
+def index_documents(spark, sf_dir):
+    m = F.when(F.col("vec_id") % 4 != 0, F.create_map(F.lit("class_name"), F.concat(F.lit("c"), F.col("label").cast("string")))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    ids = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), "embedding", m.alias("metadata"))
+    return search.index_identities(ids).select("track_id", "page_content")
+
+
+@query(f"""{T}, {_D}, hits AS (SELECT * FROM d ORDER BY distance, track_id LIMIT 20),
+ s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM tracking WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
+ g AS (SELECT track_id, count(*) AS num_frames, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, round(coalesce(sum(step), 0e0), 4) AS path_length FROM s GROUP BY track_id)
+ SELECT h.track_id, round(h.distance, 6) AS distance, g.track_id IS NOT NULL AS found, g.num_frames, g.first_frame, g.last_frame, g.path_length, CAST(g.num_frames AS BIGINT) AS n_locations FROM hits h LEFT JOIN g USING (track_id)""")
+def agent_query(spark, sf_dir):
+    a = agent.answer(_index(spark, sf_dir), tracking(spark, sf_dir), _query_vector(spark, sf_dir), 20)
+    n = F.when(F.size("locations") > 0, F.size("locations")).cast("long")
+    return a.select("track_id", F.round("distance", 6).alias("distance"), "found", "num_frames", "first_frame", "last_frame", F.round("path_length", 4).alias("path_length"), n.alias("n_locations"))
+
+
+def nodes(spark, sf_dir):
+    """Points of a frame as one graph."""
+    t = tracking(spark, sf_dir)
+    return t.select(F.col("frame_idx").alias("graph_id"), F.col("track_id").alias("node_idx"), "track_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+
+
+_EDGES = f"""{T}, e AS (SELECT a.frame_idx AS graph_id, a.track_id AS src, b.track_id AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist
+ FROM tracking a JOIN tracking b ON a.frame_idx = b.frame_idx AND a.track_id <> b.track_id AND abs(a.x - b.x) < 8 AND abs(a.y - b.y) < 8)"""
+
+
+@query(f"{_EDGES} SELECT graph_id, src, dst, round(dist, 4) AS dist FROM e WHERE dist < 8")
+def radius_edges(spark, sf_dir):
+    return graph.radius_edges(nodes(spark, sf_dir), 8.0, None).withColumn("dist", F.round("dist", 4))
+
+
+@query(f"{_EDGES} SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY dist, dst) AS n FROM e WHERE dist < 8) WHERE n <= 3")
+def radius_edges_capped(spark, sf_dir):
+    return graph.radius_edges(nodes(spark, sf_dir), 8.0, 3).select("graph_id", "src", "dst")
+
+
+@query(f"{_EDGES} SELECT graph_id, src, count(*) AS degree FROM e WHERE dist < 8 GROUP BY graph_id, src")
+def node_degree(spark, sf_dir):
+    return graph.node_degree(graph.radius_edges(nodes(spark, sf_dir), 8.0, None))
+
+
+@query("""SELECT vec_id AS node_idx, CASE WHEN vec_id % 3 = 0 THEN 3 + 64 ELSE 3 + len(embedding) END AS width, vec_id % 3 <> 0 AS has_embedding, vec_id % 3 <> 0 AND len([x FOR x IN embedding IF x <> 0]) > 0 AS nonzero FROM embeddings""")
+def ghost_nodes(spark, sf_dir):
+    n = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_idx"), *[F.lit(0.5).alias(c) for c in ("px", "py", "pz")], F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding"))
+    return graph.fusion_nodes(n, 64).select("node_idx", F.size("features").cast("long").alias("width"), "has_embedding", "nonzero")
+
+
+@query(f"""{T} SELECT CAST(0 AS BIGINT) AS graph_id, track_id FROM tracking WHERE frame_idx = 0 UNION ALL SELECT CAST(1 AS BIGINT), track_id FROM tracking WHERE frame_idx = 1""")
+def graph_batch(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    return graph.graph_batch(n.where("graph_id = 0"), n.where("graph_id = 1")).select("graph_id", "track_id")
+
+
+@query(f"{T} SELECT DISTINCT track_id FROM tracking")
+def distinct_tracks(spark, sf_dir):
+    return tracking(spark, sf_dir).select("track_id").distinct()
+
+
+_WINDOWS = f"""{T}, c AS (SELECT track_id AS clip_id, count(*) AS n_frames FROM tracking GROUP BY track_id),
+ w AS (SELECT clip_id, n_frames, unnest(range(CAST(greatest(0, ceil((n_frames - 4) / 12e0)) AS BIGINT))) AS window_id FROM c)"""
+
+
+def clips(spark, sf_dir):
+    return tracking(spark, sf_dir).groupBy(F.col("track_id").alias("clip_id")).agg(F.count("*").alias("n_frames"))
+
+
+@query(f"{_WINDOWS} SELECT clip_id, CAST(window_id AS INT) AS window_id, CAST(window_id * 12 AS INT) AS start, CAST(least(window_id * 12 + 16, n_frames) AS INT) AS \"end\" FROM w")
+def frame_windows(spark, sf_dir):
+    return windows.frame_windows(clips(spark, sf_dir))
+
+
+def chunks(spark, sf_dir):
+    t = tracking(spark, sf_dir)
+    f = t.select(F.col("track_id").alias("clip_id"), "frame_idx", (F.col("event_id") % 5).alias("track_id"), "x").join(clips(spark, sf_dir), "clip_id")
+    return windows.windows_of_frames(f).withColumn("x", F.col("x") + F.col("window_id") * 1000)
+
+
+@query(f"""{_WINDOWS} SELECT t.track_id AS clip_id, t.frame_idx, t.event_id % 5 AS track_id, max(w.window_id) AS window_id, max(t.x + w.window_id * 1000) AS x
+ FROM tracking t JOIN w ON w.clip_id = t.track_id AND t.frame_idx >= w.window_id * 12 AND t.frame_idx < w.window_id * 12 + 16 GROUP BY ALL""")
+def stitched_tracks(spark, sf_dir):
+    return windows.stitch(chunks(spark, sf_dir)).select("clip_id", "frame_idx", "track_id", "window_id", "x")
+
+
+@query(f"{T} SELECT track_id AS id, frame_idx AS f, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM tracking")
+def trajectory_nested(spark, sf_dir):
+    p = tracking(spark, sf_dir).select(F.col("frame_idx").alias("frame_id"), F.col("track_id").alias("point_id"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"))
+    return tracks.trajectories(p).select("id", F.inline("path")).select("id", "f", *[F.round(c, 4).alias(c) for c in "xyz"])
+
+
+@query(f"""{T}, n AS (SELECT track_id, count(*) AS n FROM tracking GROUP BY track_id), a AS (SELECT track_id, s / 2e0 AS seconds, least(CAST(floor(s / 2e0 * 30) AS BIGINT), n - 1) AS frame FROM n, range(6) r(s))
+ SELECT a.track_id AS id, a.seconds, a.frame, round(t.x, 4) AS x, round(t.y, 4) AS y FROM a JOIN tracking t ON t.track_id = a.track_id AND t.frame_idx = a.frame""")
+def playback_position(spark, sf_dir):
+    p = tracking(spark, sf_dir).select(F.col("frame_idx").alias("frame_id"), F.col("track_id").alias("point_id"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"))
+    paths = tracks.trajectories(p)
+    times = paths.select("id", F.explode(F.array(*[F.lit(s / 2) for s in range(6)])).alias("seconds"))
+    return tracks.playback_position(paths, times).select("id", "seconds", "frame", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(f"""{T}, k AS (SELECT frame_idx AS cloud_id, event_id AS idx, CAST(floor((0.25e0 * x + 0.5e0 * y + 2e0 * z - 3e0) * 1000) AS BIGINT) AS depth_key FROM tracking)
+ SELECT cloud_id, idx, depth_key, row_number() OVER (PARTITION BY cloud_id ORDER BY depth_key DESC, idx DESC) AS draw_rank FROM k""")
+def depth_sort(spark, sf_dir):
+    p = tracking(spark, sf_dir).select(F.col("frame_idx").alias("cloud_id"), F.col("event_id").alias("idx"), "x", "y", "z")
+    return projection.depth_sort(p, (0.25, 0.5, 2.0, -3.0)).select("cloud_id", "idx", "depth_key", F.col("draw_rank").cast("long").alias("draw_rank"))
+
+
+def cache_entries(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("cache_id"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("key"), F.col("n_chars").alias("bytes"), (F.col("doc_id") * 7919 % 10007).alias("last_used"))
+
+
+@query("""WITH e AS (SELECT source AS cache_id, md5(CAST(doc_id AS VARCHAR)) AS key, n_chars AS bytes, doc_id * 7919 % 10007 AS last_used FROM documents)
+ SELECT cache_id, key, bytes FROM (SELECT *, bytes > 30000 AS big, sum(bytes) OVER (PARTITION BY cache_id, bytes > 30000 ORDER BY last_used DESC, key DESC ROWS UNBOUNDED PRECEDING) AS running FROM e)
+ WHERE big OR running > 30000""")
+def lru_evict(spark, sf_dir):
+    return stats.lru_evict(cache_entries(spark, sf_dir), 30_000).select("cache_id", "key", "bytes")
+
+
+@query("SELECT count(*) AS entries, round(sum(n_chars) / 1048576e0, 6) AS mb, round(100e0 * sum(n_chars) / 10737418240e0, 6) AS usage_percent FROM documents")
+def cache_stats(spark, sf_dir):
+    return stats.cache_stats(cache_entries(spark, sf_dir)).select("entries", F.round("mb", 6).alias("mb"), F.round("usage_percent", 6).alias("usage_percent"))
+
+
+def runs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    r = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
+    return _t(spark, sf_dir, "events").select(F.col("event_type").alias("series"), r.alias("run_idx"), (F.col("value") + 1).alias("latency_ms"))
+
+
+_RUNS = "WITH r AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS run_idx, value + 1 AS latency_ms FROM events)"
+
+
+@query(f"""{_RUNS} SELECT series, count(*) AS runs, round(avg(latency_ms), 3) AS mean_ms, round(stddev_samp(latency_ms), 3) AS std_ms, round(min(latency_ms), 3) AS min_ms, round(max(latency_ms), 3) AS max_ms,
+ avg(latency_ms) < 150 AS within_threshold FROM r WHERE run_idx >= 2 GROUP BY series""")
+def latency_stats(spark, sf_dir):
+    s = stats.latency_stats(runs(spark, sf_dir), ["series"])
+    return s.select("series", "runs", *[F.round(c, 3).alias(c) for c in ("mean_ms", "std_ms", "min_ms", "max_ms")], "within_threshold")
+
+
+@query(f"{_RUNS} SELECT coalesce(series, 'total') AS stage, round(sum(latency_ms), 2) AS ms FROM r GROUP BY ROLLUP (series)")
+def stage_breakdown(spark, sf_dir):
+    r = runs(spark, sf_dir).select(F.col("series").alias("stage"), F.col("latency_ms").alias("ms"))
+    return stats.stage_breakdown(r).withColumn("ms", F.round("ms", 2))
+
+
+_LOG = "WITH l AS (SELECT user_id AS series, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS clip, value * 4 AS ram_mb FROM events)"
+
+
+def endurance_log(spark, sf_dir):
+    return tracking(spark, sf_dir).select(F.col("track_id").alias("series"), (F.col("frame_idx") + 1).alias("clip"), (F.col("y") * 4).alias("ram_mb"))
+
+
+@query(f"""{_LOG}, d AS (SELECT *, ram_mb - first_value(ram_mb) OVER (PARTITION BY series ORDER BY clip) AS delta FROM l)
+ SELECT series, clip, round(delta, 4) AS delta_mb, CASE WHEN delta > 150 THEN 'FAIL' WHEN delta > 75 THEN 'WARN' ELSE 'OK' END AS status FROM d""")
+def endurance_status(spark, sf_dir):
+    return stats.endurance_rows(endurance_log(spark, sf_dir)).select("series", "clip", F.round("delta_mb", 4).alias("delta_mb"), "status")
+
+
+@query(f"""{_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY clip DESC) AS back, count(*) OVER (PARTITION BY series) AS n FROM l),
+ g AS (SELECT series, max(n) AS clips, max(ram_mb) FILTER (WHERE back = 1) - max(ram_mb) FILTER (WHERE clip = 1) AS growth, avg(ram_mb) FILTER (WHERE back <= 10) - avg(ram_mb) FILTER (WHERE clip <= 10) AS t FROM n GROUP BY series),
+ v AS (SELECT series, clips, growth, CASE WHEN clips >= 20 THEN t ELSE growth END AS trend FROM g)
+ SELECT series, clips, round(growth, 4) AS growth_mb, round(trend, 4) AS trend_mb, growth > 150 AND trend > 30 AS failed FROM v""")
+def endurance_trend(spark, sf_dir):
+    return stats.endurance_verdict(endurance_log(spark, sf_dir)).select("series", "clips", F.round("growth_mb", 4).alias("growth_mb"), F.round("trend_mb", 4).alias("trend_mb"), "failed")
+
+
+@query("""SELECT doc_id, trim(substr(text, 1, 12), ' ') AS text, CAST(n_chars % 101 AS INT) AS conf FROM documents WHERE n_chars % 101 >= 40 AND trim(substr(text, 1, 12), ' ') <> ''""")
+def ocr_filter(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("text"), (F.col("n_chars") % 101).cast("int").alias("conf"))
+    return projection.ocr_filter(d)
+
+
+@query(f"{T} SELECT event_id, frame_idx FROM tracking WHERE frame_idx % 5 = 0")
+def frame_skip(spark, sf_dir):
+    return projection.sample_frames(tracking(spark, sf_dir), 5).select("event_id", "frame_idx")
+
+
+@query("SELECT page_id, concat_ws(' | ', 'pages', url, sha256(html)) AS line, md5(url) AS cache_key FROM pages")
+def hash_manifest(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.concat_ws(" | ", F.lit("pages"), "url", F.sha2("html", 256)).alias("line"), F.md5("url").alias("cache_key"))
+
+
+@query("SELECT k, round(sum(1e0 / (i * i + i)), 6) AS cumulative FROM (SELECT unnest([10, 20, 32, 48, 64]) AS k), range(1, 65) r(i) WHERE i <= k GROUP BY k")
+def cumulative_variance(spark, sf_dir):
+    ratios = spark.range(1, 65).select(F.col("id").cast("int").alias("k"), (1 / (F.col("id") * F.col("id") + F.col("id"))).alias("ratio"))
+    return E.cumulative_variance(ratios, (10, 20, 32, 48, 64)).withColumn("cumulative", F.round("cumulative", 6))
+
+
+@query("SELECT source AS name, round(100 * (1 - sum(length(text)) / CAST(sum(4 * length(text)) AS DOUBLE)), 6) AS reduction_percent FROM documents GROUP BY source")
+def size_reduction(spark, sf_dir):
+    s = _t(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.sum(4 * F.length("text")).alias("bytes_before"), F.sum(F.length("text")).alias("bytes_after"))
+    return stats.size_reduction(s).select("name", F.round("reduction_percent", 6).alias("reduction_percent"))
+
+
+@query("SELECT date_trunc('second', ts)::TIMESTAMP AS second, count(*) AS frames, count(DISTINCT user_id) AS active_tracks FROM events GROUP BY 1")
+def frames_per_second(spark, sf_dir):
+    return stats.frames_per_second(_t(spark, sf_dir, "events").withColumnRenamed("user_id", "track_id")).withColumn("second", F.col("second").cast("timestamp_ntz"))
+
+
+@query(f"""{T} SELECT frame_idx, CASE WHEN frame_idx % 3 = 0 THEN 'cached' ELSE 'computed' END AS origin, count(*) AS tracks FROM tracking GROUP BY frame_idx""")
+def cache_read_through(spark, sf_dir):
+    n = tracking(spark, sf_dir).groupBy("frame_idx").agg(F.count("*").alias("tracks"))
+    mark = lambda d, o: d.withColumn("origin", F.lit(o)).select("frame_idx", "origin", "tracks")
+    return read_through(mark(n.where("frame_idx % 3 = 0"), "cached"), n, lambda d: mark(d, "computed"))
+
+
+@query(f"""{T}, w AS (SELECT track_id AS clip_id, unnest(range(greatest(0, CAST(floor((frame_idx - 16) / 12e0) AS BIGINT) + 1), CAST(floor(frame_idx / 12e0) AS BIGINT) + 1)) AS window_id, y FROM tracking)
+ SELECT clip_id, window_id, count(*) AS frames, round(sum(y), 4) AS total FROM w GROUP BY ALL""")
+def window_counts(spark, sf_dir):
+    f = tracking(spark, sf_dir).select(F.col("track_id").alias("clip_id"), "frame_idx", F.col("y").alias("value"))
+    return streams.window_counts(f).withColumn("total", F.round("total", 4))
+
+
+# Rows only: models, files, streams.
+
+
+@query()
+def pca_reduce(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").select(F.lit(0).alias("clip_id"), F.col("label").alias("track_id"), F.col("vec_id").alias("frame_idx"), "embedding")
+    return chains.prepare_embeddings(e, k=16)[0]
+
+
+@query()
+def model_udf(spark, sf_dir):
+    f = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("frame_idx"), F.col("html").cast("binary").alias("content"))
+    return apply_model(f, StubDepth(), "frame_idx long, depth double")
+
+
+@query()
+def tracker_udf(spark, sf_dir):
+    f = tracking(spark, sf_dir).select(F.col("track_id").alias("clip_id"), "frame_idx")
+    return apply_per_clip(f, StubTracker(grid_size=2), "clip_id long, frame_idx long, track_id long, x double, y double, visible boolean")
+
+
+@query()
+def clip_fusion_graph(spark, sf_dir):
+    t = gen.random_tracks(spark, 4, 100)
+    d = gen.random_depth(spark, 4, 224, 224)
+    f = gen.random_vectors(spark, 2 * 196, 64).select(F.lit(0).alias("clip_id"), F.expr("cast(id div 196 as int)").alias("slot"), F.expr("cast(id % 196 as int)").alias("patch_idx"), "embedding")
+    return chains.fusion_graph_of_clip(t, d, f, 2, 224, 224)[1]
+
+
+@query()
+def random_sources(spark, sf_dir):
+    return gen.random_clip(spark, 2, 3, 16).select("frame_idx", "channel", F.size("pixels").alias("n"))
+
+
+@query()
+def stream_frame_windows(spark, sf_dir):
+    """The windows of a stream of frames, run to its end; equals ``window_counts`` on the same rows."""
+    work = tempfile.mkdtemp(prefix="trackloom-stream-")
+    f = tracking(spark, sf_dir).select(F.col("track_id").alias("clip_id"), "frame_idx", F.col("y").alias("value"))
+    f.write.mode("overwrite").parquet(f"{work}/in")
+    name = f"stream_{abs(hash(work))}"
+    q = streams.window_counts(streams.read_frames(spark, f"{work}/in", f.schema)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query()
+def stream_append_index(spark, sf_dir):
+    """Identities that arrive in a stream, indexed batch by batch."""
+    work = tempfile.mkdtemp(prefix="trackloom-stream-")
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), "embedding", F.create_map(F.lit("class_name"), F.col("label").cast("string")).alias("metadata"))
+    e.write.mode("overwrite").parquet(f"{work}/in")
+    streams.grow_index(streams.read_frames(spark, f"{work}/in", e.schema), search.index_identities, f"{work}/index", f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/index").select("track_id", "page_content", "class_name")
