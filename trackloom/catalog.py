@@ -100,13 +100,13 @@ def track_location_frame(spark, sf_dir):
     return tracks.track_locations(tracking(spark, sf_dir), 7, 5)
 
 
-@query(f"""{T}, wanted AS (SELECT unnest([1, 2, 3, 100000000]) AS track_id) SELECT w.track_id, count(t.track_id) > 0 AS found,
- CASE WHEN count(t.track_id) > 0 THEN count(*) FILTER (WHERE t.frame_idx = 5) END AS num_frames,
+@query(f"""{T}, wanted AS (SELECT CAST(unnest([1, 2, 3, 100000000]) AS BIGINT) AS track_id) SELECT w.track_id, count(t.track_id) > 0 AS found,
+ CASE WHEN count(t.track_id) > 0 THEN count(*) FILTER (WHERE t.frame_idx = 5) ELSE -1 END AS num_frames,
  coalesce(sum(t.frame_idx) FILTER (WHERE t.frame_idx = 5), 0)::BIGINT AS frame_sum FROM wanted w LEFT JOIN tracking t USING (track_id) GROUP BY w.track_id""")
 def track_answers(spark, sf_dir):
     wanted = spark.createDataFrame([(i,) for i in (1, 2, 3, 100_000_000)], "track_id long")
     a = tracks.track_answer(tracking(spark, sf_dir), wanted, 5)
-    return a.select("track_id", "found", "num_frames", F.aggregate("locations", F.lit(0).cast("long"), lambda s, x: s + x["frame_idx"]).alias("frame_sum"))
+    return a.select("track_id", "found", F.coalesce("num_frames", F.lit(-1)).alias("num_frames"), F.aggregate("locations", F.lit(0).cast("long"), lambda s, x: s + x["frame_idx"]).alias("frame_sum"))
 
 
 @query(f"{T} SELECT track_id, frame_idx, event_id FROM tracking WHERE class_name = 'click' AND frame_idx = 3")
@@ -141,7 +141,7 @@ _PROJECT = f"""{T}, pt AS (SELECT frame_idx, track_id, CAST(x AS FLOAT) AS x, CA
  d AS (SELECT *, CAST({_DEPTH} AS FLOAT) AS z FROM pt)"""
 
 
-@query(f"""{_PROJECT} SELECT frame_idx AS frame_id, track_id AS point_id, round(CAST((x - 64) * z / 128 AS DOUBLE), 3) AS X, round(CAST((y - 48) * z / 128 AS DOUBLE), 3) AS Y,
+@query(f"""{_PROJECT} SELECT frame_idx AS frame_id, track_id AS point_id, round(CAST((x - 64) * z / 128 AS DOUBLE), 3) + 0e0 AS X, round(CAST((y - 48) * z / 128 AS DOUBLE), 3) + 0e0 AS Y,
  round(CAST(z AS DOUBLE), 3) AS Z, z > 0 AS valid FROM d""")
 def project_points(spark, sf_dir):
     t = tracking(spark, sf_dir).withColumns({"x": F.col("x").cast("float"), "y": F.col("y").cast("float")})
@@ -272,11 +272,12 @@ def index_documents(spark, sf_dir):
 @query(f"""{T}, {_D}, hits AS (SELECT * FROM d ORDER BY distance, track_id LIMIT 20),
  s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM tracking WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
  g AS (SELECT track_id, count(*) AS num_frames, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, round(coalesce(sum(step), 0e0), 4) AS path_length FROM s GROUP BY track_id)
- SELECT h.track_id, round(h.distance, 6) AS distance, g.track_id IS NOT NULL AS found, g.num_frames, g.first_frame, g.last_frame, g.path_length, CAST(g.num_frames AS BIGINT) AS n_locations FROM hits h LEFT JOIN g USING (track_id)""")
+ SELECT h.track_id, round(h.distance, 6) AS distance, g.track_id IS NOT NULL AS found, coalesce(g.num_frames, 0) AS num_frames, coalesce(g.first_frame, -1) AS first_frame, coalesce(g.last_frame, -1) AS last_frame, g.path_length, coalesce(g.num_frames, 0) AS n_locations FROM hits h LEFT JOIN g USING (track_id)""")
 def agent_query(spark, sf_dir):
     a = agent.answer(_index(spark, sf_dir), tracking(spark, sf_dir), _query_vector(spark, sf_dir), 20)
-    n = F.when(F.size("locations") > 0, F.size("locations")).cast("long")
-    return a.select("track_id", F.round("distance", 6).alias("distance"), "found", "num_frames", "first_frame", "last_frame", F.round("path_length", 4).alias("path_length"), n.alias("n_locations"))
+    n = F.coalesce(F.size("locations"), F.lit(0)).cast("long")
+    end = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_frame", "last_frame")]
+    return a.select("track_id", F.round("distance", 6).alias("distance"), "found", F.coalesce("num_frames", F.lit(0)).alias("num_frames"), *end, F.round("path_length", 4).alias("path_length"), n.alias("n_locations"))
 
 
 def nodes(spark, sf_dir):
