@@ -1,0 +1,338 @@
+"""Operators against direct computation, on small tables."""
+
+import io
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from trackloom.functions import geometry as G
+from trackloom.functions import vectors as V
+from trackloom.operators import embeddings as E
+from trackloom.operators import graph, projection, search, stats, tracks, windows
+from trackloom.operators.cache import DepthCache, read_through
+from trackloom.plans import agent
+from trackloom.plans import pipeline as chains
+from trackloom.schemas import TRACKING, Intrinsics
+from trackloom.sinks.files import TrackWriter, write_manifest, write_point_cloud, write_trajectories
+from trackloom.sources import files as src
+from trackloom.sources import generators as gen
+from trackloom.streaming import frames as streams
+from trackloom.udf import StubDepth, StubTracker, apply_per_clip, detect_text, measure
+
+
+def test_windows_of_30_frames(spark):
+    clips = spark.createDataFrame([(0, 30), (1, 4), (2, 0), (3, 16), (4, 17)], "clip_id int, n_frames int")
+    got = [(r[0], r[2], r[3]) for r in windows.frame_windows(clips).orderBy("clip_id", "window_id").collect()]
+    assert got == [(0, 0, 16), (0, 12, 28), (0, 24, 30), (3, 0, 16), (4, 0, 16), (4, 12, 17)]
+    with pytest.raises(ValueError):
+        windows.frame_windows(clips, 4, 4)
+
+
+@settings(max_examples=5, deadline=None)
+@given(n=st.integers(0, 70), w=st.integers(2, 20), o=st.integers(1, 19))
+def test_windows_by_enumeration(spark, n, w, o):
+    if o >= w:
+        return
+    want, at = [], 0
+    while at < n - o:
+        want.append((at, min(at + w, n)))
+        at += w - o
+    clip = spark.createDataFrame([(0, n)], "clip_id int, n_frames int")
+    assert [(r[2], r[3]) for r in windows.frame_windows(clip, w, o).orderBy("window_id").collect()] == want
+    frames = spark.range(n).select(F.col("id").alias("frame_idx"), F.lit(n).alias("n_frames"))
+    held = {(r["window_id"], r["frame_idx"]) for r in windows.windows_of_frames(frames, "n_frames", w, o).collect()}
+    assert held == {(i, f) for i, (a, b) in enumerate(want) for f in range(a, b)}
+
+
+def test_stitching_keeps_the_latest_window(spark):
+    rows = [(w, 0, f, t, float(w)) for w, (a, b) in enumerate([(0, 16), (12, 28), (24, 30)]) for f in range(a, b) for t in range(100)]
+    got = windows.stitch(spark.createDataFrame(rows, "window_id int, clip_id int, frame_idx long, track_id long, x double")).collect()
+    assert len(got) == 3000 and all(r["x"] == min(r["frame_idx"] // 12, 2) for r in got)
+
+
+def test_stitch_clip_starts_where_the_last_window_left(spark):
+    def tracker(part, points):
+        base = float(points["x"].iloc[0]) if points is not None and len(points) else 0.0
+        return pd.DataFrame({"clip_id": part["clip_id"], "frame_idx": part["frame_idx"], "x": base + np.arange(len(part), dtype=float)})
+
+    frames = spark.createDataFrame([(c, f) for c in (0, 1) for f in range(30)], "clip_id int, frame_idx long")
+    got = windows.stitch_clip(frames, tracker, "clip_id int, frame_idx long, x double").collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == [(c, f, float(f)) for c in (0, 1) for f in range(30)]
+
+
+def test_patch_cases(spark):
+    cases = [(0.0, 0.0, 0), (223.0, 223.0, 195), (16.0, 0.0, 1), (0.0, 16.0, 14), (112.0, 112.0, 105), (-5.0, 999.0, 182)]
+    df = spark.createDataFrame(cases, "x double, y double, want int")
+    assert all(r[0] == r[1] for r in df.select(G.patch_index("x", "y"), "want").collect())
+
+
+def test_pixels_round_half_to_even_and_clip(spark):
+    df = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (-3.0,), (1e20,), (float("nan"),), (9.6,)], "v double")
+    assert [r[0] for r in df.select(G.pixel_index("v", 10)).collect()] == [0, 2, 2, 0, 9, None, 9]
+
+
+def test_projection_equals_numpy(spark):
+    rng = np.random.default_rng(42)
+    h, w, n = 48, 64, 500
+    z = rng.uniform(-0.5, 50, (h, w)).astype("float32")
+    z[0, 0], z[1, 1], z[2, 2] = np.nan, np.inf, 0
+    x, y = rng.uniform(-3, w + 3, n).astype("float32"), rng.uniform(-3, h + 3, n).astype("float32")
+    t = spark.createDataFrame(pd.DataFrame({"frame_idx": 0, "track_id": range(n), "x": x, "y": y}), "frame_idx long, track_id long, x float, y float")
+    v, u = np.indices(z.shape)
+    d = spark.createDataFrame(pd.DataFrame({"frame_idx": 0, "v": v.ravel(), "u": u.ravel(), "z": z.ravel()}), "frame_idx long, v int, u int, z float")
+    got = projection.project_to_3d(t, d, h, w).orderBy("point_id").toPandas()
+    k = Intrinsics.of_size(h, w)
+    zi = z[np.clip(np.rint(y), 0, h - 1).astype(int), np.clip(np.rint(x), 0, w - 1).astype(int)]
+    f = np.float32
+    assert np.array_equal(got["X"].to_numpy("float32"), (x - f(k.cx)) * zi / f(k.fx), equal_nan=True)
+    assert np.array_equal(got["Y"].to_numpy("float32"), (y - f(k.cy)) * zi / f(k.fy), equal_nan=True)
+    assert np.array_equal(got["valid"].to_numpy(bool), np.isfinite(zi) & (zi > 0))
+    assert projection.project_to_3d(t, d, h, w, mask_invalid=False).where("not valid").count() == 0
+    with pytest.raises(ValueError):
+        Intrinsics(0, 1, 0, 0)
+
+
+def test_attach_text_drops_bad_depths_and_low_confidence(spark):
+    d = spark.createDataFrame([(0, v, u, float("nan") if u == 3 else 2.0) for v in range(4) for u in range(4)], "frame_idx long, v int, u int, z float")
+    det = spark.createDataFrame([(0, "a", (0, 0, 2, 2), 0.9), (0, "b", (2, 0, 2, 2), 0.9), (0, "c", (0, 0, 2, 2), 0.1), (0, "d", (1, 1, 0, 0), None)], "frame_idx long, text string, bbox struct<x:int,y:int,w:int,h:int>, confidence double")
+    got = projection.attach_text(det, d, 4, 4, Intrinsics.of_size(4, 4), 0.5, 2.0).orderBy("text").collect()
+    assert [r["text"] for r in got] == ["a", "d"] and tuple(got[0]["position_3d"]) == (-1.0, -1.0, 4.0) and tuple(got[0]["pixel_uv"]) == (1, 1)
+
+
+def test_summary_of_single_row_track_and_unknown_track(spark):
+    t = spark.createDataFrame([(1, 0, 1.0, 1.0, 5.0, "", 1.0)], TRACKING)
+    assert tracks.track_summary(t).first()["path_length"] == 0.0
+    assert tracks.track_summary(t, 9).count() == 0
+    a = tracks.track_answer(t, spark.createDataFrame([(1,), (9,)], "track_id long"), 3).orderBy("track_id").collect()
+    assert [(r["found"], r["num_frames"], r["locations"]) for r in a] == [(True, 0, []), (False, None, [])]
+
+
+def test_mock_tracks_path(spark):
+    s = {r["track_id"]: r for r in tracks.track_summary(gen.mock_tracks(spark)).collect()}
+    assert s[1]["num_frames"] == 300 and math.isclose(s[1]["path_length"], math.hypot(300, 150), rel_tol=1e-4)
+
+
+def test_identity_means(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0], 1.0), (1, [3.0, 6.0], 3.0), (2, [1.0, 1.0], 0.0), (2, [3.0, 5.0], 0.0)], "track_id long, embedding array<double>, w double")
+    got = lambda w: {r[0]: r[1] for r in E.identity_embedding(rows, weight=w).collect()}
+    assert got(None) == {1: [2.0, 4.0], 2: [2.0, 3.0]} and got("w") == {1: [2.5, 5.0], 2: [2.0, 3.0]}
+    with pytest.raises(Exception, match="negative weight"):
+        E.identity_embedding(rows.withColumn("w", F.lit(-1.0)), weight="w").collect()
+
+
+def test_validation(spark):
+    df = spark.createDataFrame([([1.0, float("nan")],), ([1.0, float("inf")],)], "embedding array<float>")
+    r = E.validation(df, 2, 2).first()
+    assert (r["count_ok"], r["dim_ok"], r["no_nan"], r["no_inf"], r["ok"]) == (True, True, False, False, False)
+    assert tuple(E.diagnostics(df).first()[4:]) == (16, 1, 1)
+    with pytest.raises(ValueError):
+        E.require_valid(df, 2, 2)
+
+
+def test_pca_is_centred_exact_and_survives_a_round_trip(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    x = np.random.default_rng(1).normal(3, 1, (200, 8)) * np.arange(1, 9)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, embedding array<double>")
+    m = E.fit_pca(df, 4)
+    y = np.array([r[0] for r in E.transform_pca(m, df).orderBy("id").select("embedding").collect()])
+    want = np.linalg.svd(x - x.mean(0), full_matrices=False)[1][:4] ** 2 / 199
+    assert np.allclose(y.mean(0), 0, atol=1e-9) and np.allclose(y.var(0, ddof=1), want)
+    m.write().overwrite().save(f"{tmp_path}/pca")
+    z = np.array([r[0] for r in E.transform_pca(PipelineModel.load(f"{tmp_path}/pca"), df).orderBy("id").select("embedding").collect()])
+    assert np.allclose(y, z)
+    assert E.explained_variance(m, spark, (2, 4)).count() == 2
+    with pytest.raises(ValueError):
+        E.fit_pca(df.limit(3), 4)
+    run = streams.RunningPCA(8).update(df.where("id < 77")).update(df.where("id >= 77"))
+    assert np.allclose(run.components(4)[1], want)
+
+
+def test_radius_edges_equal_brute_force(spark):
+    rng = np.random.default_rng(42)
+    p = rng.normal(size=(120, 3)) * 2
+    nodes = spark.createDataFrame([(i % 2, i, *map(float, p[i])) for i in range(120)], "graph_id long, node_idx long, px double, py double, pz double")
+    near = {(i, j): math.dist(p[i], p[j]) for i in range(120) for j in range(120) if i != j and i % 2 == j % 2 and math.dist(p[i], p[j]) < 1.5}
+    assert {(r["src"], r["dst"]) for r in graph.radius_edges(nodes, 1.5, None).collect()} == set(near)
+    capped = {(r["src"], r["dst"]) for r in graph.radius_edges(nodes, 1.5, 2).collect()}
+    assert capped == {(i, j) for i in range(120) for j in sorted((b for a, b in near if a == i), key=lambda j: (near[i, j], j))[:2]}
+    assert graph.radius_edges(nodes, 1.5, None, loop=True).count() == len(near) + 120
+    assert graph.radius_edges(nodes.limit(0), 1.5).count() == 0
+    assert "NestedLoop" not in graph.radius_edges(nodes, 1.5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ghost_nodes(spark):
+    n = spark.createDataFrame([(0, 0, 1.0, 2.0, 3.0, None), (0, 1, 1.0, 2.0, 3.0, [0.0, 1.0]), (1, 0, 0.0, 0.0, 0.0, [0.0, 0.0])], "graph_id long, node_idx long, px double, py double, pz double, embedding array<float>")
+    got = graph.fusion_nodes(n, 2).orderBy("graph_id", "node_idx").collect()
+    assert [r["features"] for r in got] == [[1, 2, 3, 0, 0], [1, 2, 3, 0, 1], [0, 0, 0, 0, 0]]
+    assert [r[1] for r in graph.has_real_embeddings(n).orderBy("graph_id").collect()] == [True, False]
+
+
+def test_index_and_agent(spark, tmp_path):
+    ids = spark.createDataFrame([(0, [0.0] * 4, {"class_name": "car", "color": "red"}), (1, [1.0] * 4, {"class_name": "car", "color": "blue"}), (2, [2.0] * 4, {"color": "red"})], "track_id long, embedding array<float>, metadata map<string,string>")
+    ix = search.VectorIndex(spark, f"{tmp_path}/index")
+    with pytest.raises(RuntimeError):
+        ix.search("car")
+    with pytest.raises(FileNotFoundError):
+        ix.load()
+    with pytest.raises(ValueError):
+        ix.index_embeddings(ids.limit(0))
+    ix.index_embeddings(ids.where("track_id < 2"))
+    ix.add_embedding(ids.where("track_id = 2"))
+    ix.save()
+    assert [r["track_id"] for r in ix.search("car track_1", 1).collect()] == [1]
+    assert {r["class_name"] for r in ix.search("object track_2", 3).collect()} == {"car", "unknown"}
+    assert [r["track_id"] for r in ix.search("car", 3, {"color": "blue"}).collect()] == [1]
+    w = TrackWriter(spark, f"{tmp_path}/tracks")
+    w.write(gen.mock_tracks(spark, 5))
+    a = agent.Agent(spark, f"{tmp_path}/index", f"{tmp_path}/tracks")
+    got = {r["track_id"]: r for r in a.query("car track_1", 3).collect()}
+    assert got[1]["found"] and got[1]["num_frames"] == 5 and len(got[1]["locations"]) == 5 and not got[0]["found"]
+    assert a.get_track(77).first()["found"] is False
+    bare = agent.Agent(spark, f"{tmp_path}/none", f"{tmp_path}/none")
+    with pytest.raises(RuntimeError):
+        bare.get_track(1)
+
+
+def test_top_k_plan(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    plan = search.nearest(df, F.array(*[F.lit(0.0)] * 64), 5, id_col="vec_id")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_writers_and_readers(spark, tmp_path):
+    w = TrackWriter(spark, f"{tmp_path}/t")
+    cols = dict(track_id=[0, 1], frame_idx=[0, 0], x=[100, 200], y=[150, 250], z=[2.5, 3.0], ocr_text=["", "STOP"], confidence=[0.95, 0.98])
+    w.write_batch(**cols)
+    w.write_from_dict(cols)
+    assert src.read_tracking(spark, f"{tmp_path}/t").count() == 4
+    w.close()
+    w.write_batch(**cols)
+    assert src.TrackStore(spark, f"{tmp_path}/t").df.count() == 2
+    with pytest.raises(ValueError):
+        w.write_batch(**{**cols, "x": [1]})
+    p = gen.mock_tracks(spark, 3).select(F.col("frame_idx").alias("frame_id"), F.col("track_id").alias("point_id"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"), F.lit(True).alias("valid"))
+    write_point_cloud(p, f"{tmp_path}/c")
+    back = src.read_point_cloud(spark, f"{tmp_path}/c")
+    assert sorted(back.collect()) == sorted(p.collect()) and src.read_point_cloud(spark, f"{tmp_path}/nothing") is None
+    write_trajectories(p, f"{tmp_path}/j")
+    t = src.read_trajectories(spark, f"{tmp_path}/j").orderBy("id").collect()
+    assert [r["id"] for r in t] == [1, 2] and [s["f"] for s in t[0]["path"]] == [0, 1, 2] and t[0]["fps"] == 30
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.bin").write_bytes(b"abc")
+    (tmp_path / "w/b.txt").write_bytes(b"1")
+    h = src.file_hashes(spark, f"{tmp_path}/w", (".bin",))
+    write_manifest(h, "m", f"{tmp_path}/m")
+    line = spark.read.text(f"{tmp_path}/m").first()[0]
+    assert line.startswith("m | ") and line.endswith("ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")
+    assert src.file_hashes(spark, f"{tmp_path}/w", exclude=(".bin",)).count() == 1
+
+
+def test_depth_files_and_images(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    with pytest.raises(FileNotFoundError):
+        src.read_depth_frames(spark, f"{tmp_path}/d")
+    for i in range(2):
+        b = io.BytesIO()
+        np.save(b, np.full((2, 3), i + 0.5, "float32"))
+        (tmp_path / f"d/frame_{i:04d}.npy").write_bytes(b.getvalue())
+        (tmp_path / f"d/{i}.PNG").write_bytes(b"x" * i)
+    d = src.read_depth_frames(spark, f"{tmp_path}/d")
+    assert d.count() == 12 and d.agg(F.sum("z")).first()[0] == 12.0
+    assert [r["frame_idx"] for r in src.list_images(spark, f"{tmp_path}/d", 1).collect()] == [0]
+    v = src.read_video(spark, f"{tmp_path}/d/1.PNG", lambda c: iter([c] * 5), 3)
+    assert v.count() == 3
+
+
+def test_cache_evicts_oldest_and_reads_through(spark, tmp_path):
+    d = gen.random_depth(spark, 1, 4, 4)
+    c = DepthCache(spark, f"{tmp_path}/cache")
+    assert c.get("a") is None
+    for k in "abc":
+        c.put(k, d)
+    c.get("a")
+    size = c.stats()["gb"] * 2**30 / 3
+    c.max_bytes = int(size * 3.5)
+    c.put("d", d)
+    assert not c.exists("b") and c.exists("a") and c.exists("c") and c.get("d").count() == 16
+    assert DepthCache(spark, f"{tmp_path}/cache").stats()["entries"] == 3
+    c.clear()
+    assert c.stats()["entries"] == 0
+    wanted = spark.range(4).withColumnRenamed("id", "frame_idx").withColumn("v", F.lit("new"))
+    cached = spark.createDataFrame([(1, "old"), (9, "old")], "frame_idx long, v string")
+    got = {r[0]: r[1] for r in read_through(cached, wanted, lambda m: m).collect()}
+    assert got == {0: "new", 1: "old", 2: "new", 3: "new"}
+    assert {r[1] for r in read_through(cached, wanted, lambda m: m, force=True).collect()} == {"new"}
+
+
+def test_lru_order(spark):
+    rows = [("c", "a", 5, 1), ("c", "b", 5, 2), ("c", "d", 5, 3), ("c", "huge", 100, 9)]
+    e = spark.createDataFrame(rows, "cache_id string, key string, bytes long, last_used long")
+    assert sorted(r["key"] for r in stats.lru_evict(e, 10).collect()) == ["a", "huge"]
+    assert stats.cache_stats(e.limit(0), 0).first()["usage_percent"] is None
+
+
+def test_reports(spark):
+    one = spark.createDataFrame([(0, 9.0), (1, 9.0), (2, 100.0)], "run_idx int, latency_ms double")
+    r = stats.latency_stats(one).first()
+    assert (r["runs"], r["mean_ms"], r["std_ms"], r["fps"], r["within_threshold"]) == (1, 100.0, 0.0, 10.0, True)
+    log = spark.createDataFrame([(0, i, 100.0 + 10 * i) for i in range(1, 31)], "series int, clip int, ram_mb double")
+    assert stats.endurance_verdict(log).first()["failed"] and {r["status"] for r in stats.endurance_rows(log).collect()} == {"OK", "WARN", "FAIL"}
+    report, parts = measure(spark, lambda: None, runs=4, stages={"a": lambda: None})
+    assert report.first()["runs"] == 2 and {r["stage"] for r in parts.collect()} == {"a", "total"}
+    with pytest.raises(TypeError):
+        measure(spark, lambda: None, runs=1, stages={"a": 1})
+
+
+def test_generators(spark):
+    g = gen.grid_points(spark, 720, 1280)
+    want = [(float(x), float(y)) for y in range(0, 720, 20) for x in range(0, 1280, 20)]
+    assert [(r["x"], r["y"]) for r in g.orderBy("id").collect()] == want
+    d = gen.random_depth(spark, 2, 5, 7)
+    lo, hi, n = d.agg(F.min("z"), F.max("z"), F.count("*")).first()
+    assert 1 <= lo < hi < 10 and n == 70 and d.collect() == gen.random_depth(spark, 2, 5, 7).collect()
+    assert gen.linear_tracks(g, 0).count() == 0
+
+
+def test_models(spark):
+    f = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "clip_id long, frame_idx long")
+    assert apply_per_clip(f, StubTracker(grid_size=10), "clip_id long, frame_idx long, track_id long, x double, y double, visible boolean").count() == 300
+    with pytest.raises(ValueError):
+        StubTracker()
+    with pytest.raises(ValueError):
+        StubDepth("huge")
+    frames = spark.createDataFrame([(i, bytearray(b"x")) for i in range(4)], "frame_idx long, content binary")
+    det = lambda c: [{"text": " hi ", "bbox": {"x": 0, "y": 0, "w": 1, "h": 1}, "conf": 50}, {"text": " ", "bbox": {"x": 0, "y": 0, "w": 1, "h": 1}, "conf": 90}]
+    assert [(r["frame_idx"], r["text"]) for r in detect_text(frames, det, frame_skip=2).orderBy("frame_idx").collect()] == [(0, "hi"), (2, "hi")]
+
+
+def test_prepared_embeddings_are_unit_vectors(spark):
+    v = gen.random_vectors(spark, 60, 12).select(F.lit(0).alias("clip_id"), (F.col("id") % 5).alias("track_id"), F.col("id").alias("frame_idx"), "embedding")
+    out, _ = chains.prepare_embeddings(v, k=4)
+    assert out.count() == 5 and all(math.isclose(r[0], 1, rel_tol=1e-9) for r in out.select(V.dot("embedding", "embedding")).collect())
+
+
+def test_stream_equals_batch(spark, sf):
+    from trackloom import catalog
+
+    batch = {(r["clip_id"], r["window_id"]): r["frames"] for r in catalog.queries()["window_counts"](spark, sf).collect()}
+    stream = {(r["clip_id"], r["window_id"]): r["frames"] for r in catalog.queries()["stream_frame_windows"](spark, sf).collect()}
+    assert batch == stream
+
+
+def test_guarded_stream_stops_after_too_many_errors(spark, tmp_path):
+    for i in range(4):
+        spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+
+    def fail(batch, epoch):
+        raise ValueError("no")
+
+    q, state = streams.run_guarded(streams.read_frames(spark, f"{tmp_path}/in", schema, 1), fail, f"{tmp_path}/ck", 10)
+    q.awaitTermination()
+    assert state == {"batches": 4, "errors": 4}

@@ -92,7 +92,7 @@ def read_video(spark: SparkSession, path: str, decode: Callable[[bytes], Iterato
 
 
 def file_hashes(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """SHA-256 of every file below a path: (file, bytes, digest), by name ending."""
+    """SHA-256 of every file below a path that has any bytes (Spark lists no empty ones): (file, bytes, digest)."""
     f = _files(spark, path, deep=True)
     ends = lambda e: F.lower("path").endswith(e)
     if extensions is not None:
