@@ -1,7 +1,8 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
 The model is a logistic regression over which words and word beginnings a text contains, fitted on a bounded sample of the
-labelled rows. Its loss has two further terms: an L1 norm, which leaves the few features that carry the label (so a long
+labelled rows. Weights are not negative, so no amount of clean text outweighs a toxic word, and a text without features
+scores lowest. The loss has two further terms: an L1 norm, which leaves the few features that carry the label (so a long
 clean text gathers no score from thousands of faint ones), and a counterfactual term: in labelled sentences the identity
 terms are swapped for other ones, and the square of the change in score is penalised. Sentences without an identity term
 get one inserted. So mentioning a group neither raises nor lowers a score.
@@ -25,7 +26,7 @@ PER_CLASS = 2500
 #: Features that the fit considers.
 MAX_FEATURES = 8_000
 THRESHOLD = 0.3
-MAX_REMEMBERED = 300_000
+MAX_REMEMBERED = 150_000
 #: Terms for groups of people in the corpus's languages, singular and plural forms written out.
 IDENTITY_TERMS = {
     "en": "muslim muslims christian christians jew jews jewish hindu buddhist atheist black white asian african european american mexican arab immigrant immigrants refugee refugees gay lesbian bisexual transgender queer straight woman women man men girl boy old young disabled blind deaf".split(),
@@ -111,7 +112,7 @@ def counterfactuals(sets: list[set[str]]) -> list[tuple[set[str], set[str]]]:
     return out
 
 
-def fit(texts: list[str], labels: list[int], prior: float | None = None, l1: float = 2e-4, swap: float = 1.0, rounds: int = 300) -> Model:
+def fit(texts: list[str], labels: list[int], prior: float | None = None, l1: float = 5e-4, swap: float = 1.0, rounds: int = 300) -> Model:
     """Fit on labelled texts. ``prior``: the share of label 1 that scores are to assume; the classes count alike by default.
 
     With no rows of one class the model is a constant: the prior if given, else the label there is, else 0.
@@ -158,7 +159,7 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, l1: flo
     for _ in range(rounds):  # accelerated proximal gradient
         g, gb = gradient(v, vb)
         new, newb = v - step * g, vb - step * gb
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+        new = np.maximum(new - step * l1, 0)
         s = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / s * (new - w), newb + (t - 1) / s * (newb - bias)
         w, bias, t = new, newb, s
