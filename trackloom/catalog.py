@@ -5,7 +5,6 @@ No table holds real tracks: ``events`` stands for the tracking table, ``embeddin
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from .plans import agent
 from .plans import pipeline as chains
 from .schemas import Intrinsics
 from .sources import generators as gen
+from .sources.files import work_dir
 from .streaming import frames as streams
 from .udf import StubDepth, StubTracker, apply_model, apply_per_clip
 
@@ -514,10 +514,10 @@ def random_sources(spark, sf_dir):
 @query()
 def stream_frame_windows(spark, sf_dir):
     """The windows of a stream of frames, run to its end; equals ``window_counts`` on the same rows."""
-    work = tempfile.mkdtemp(prefix="trackloom-stream-")
+    work = work_dir(spark)
     f = tracking(spark, sf_dir).select(F.col("track_id").alias("clip_id"), "frame_idx", F.col("y").alias("value"))
     f.write.mode("overwrite").parquet(f"{work}/in")
-    name = f"stream_{abs(hash(work))}"
+    name = "stream_" + work[-32:]
     q = streams.window_counts(streams.read_frames(spark, f"{work}/in", f.schema)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
@@ -526,7 +526,7 @@ def stream_frame_windows(spark, sf_dir):
 @query()
 def stream_append_index(spark, sf_dir):
     """Identities that arrive in a stream, indexed batch by batch."""
-    work = tempfile.mkdtemp(prefix="trackloom-stream-")
+    work = work_dir(spark)
     e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), "embedding", F.create_map(F.lit("class_name"), F.col("label").cast("string")).alias("metadata"))
     e.write.mode("overwrite").parquet(f"{work}/in")
     streams.grow_index(streams.read_frames(spark, f"{work}/in", e.schema), search.index_identities, f"{work}/index", f"{work}/checkpoint").awaitTermination()

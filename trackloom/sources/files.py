@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import logging
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +24,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p))
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, a temporary one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/trackloom-{uuid.uuid4().hex}"
+
+
 def read_tracking(spark: SparkSession, path: str) -> DataFrame:
     """Filters and columns that a query asks for reach the scan."""
     return spark.read.schema(TRACKING).parquet(path)
