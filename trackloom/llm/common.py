@@ -25,20 +25,30 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_roots: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this process's scratch tables; results that still read them must have been written before."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while _roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_roots.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage ends there and a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{scratch_root(spark)}/trackloom-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        _roots.append(self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 

@@ -68,5 +68,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORDS = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ t AS (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d)"""
+
+OP3 = rf"""{_WORDS}, g AS (SELECT r, p, string_agg(t, ' ') OVER w AS gram, count(*) OVER w AS n FROM t WINDOW w AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {substring.WINDOW - 1} FOLLOWING)),
+ s AS (SELECT r, p, count(*) OVER (PARTITION BY gram) AS times FROM g WHERE n = {substring.WINDOW}),
+ c AS (SELECT DISTINCT r, p + k AS p FROM s, range(0, {substring.WINDOW}) x(k) WHERE times > 1),
+ gone AS (SELECT r, count(*) AS n FROM c GROUP BY r), kept AS (SELECT r, string_agg(t, ' ' ORDER BY p) AS text FROM t ANTI JOIN c USING (r, p) GROUP BY r)
+ SELECT doc_id, len(w) AS n_words, coalesce(gone.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
+
+OP6 = rf"""{_WORDS}, g AS (SELECT r, p, string_agg(t, ' ') OVER w AS gram, count(*) OVER w AS n FROM t WINDOW w AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+ s AS (SELECT r, p, count(*) OVER (PARTITION BY r, gram) AS times FROM g WHERE n = 8),
+ c AS (SELECT r, count(DISTINCT p + k) AS n FROM s, range(0, 8) x(k) WHERE times > 1 GROUP BY r),
+ l AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+ m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines,
+  coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines, length(regexp_replace(text, '[^A-ZÀ-ÖØ-ÞΑ-ΩА-Я]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\pL]', '', 'g')) AS n_letters FROM d LEFT JOIN l USING (r) LEFT JOIN c USING (r)),
+ f AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES.values()))} AS bits FROM m)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & {quality.mask("base")} <> 0 AS base_failed, bits & {quality.mask()} = 0 AS kept, CAST(bits AS BIGINT) AS failed FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express: exact passages and rules. Hashes, models and tokens are beyond it."""
+    return {"op3_substring_dedup": OP3, "op6_quality_rules": OP6}
