@@ -156,13 +156,13 @@ def valid_mask(spark, sf_dir):
     return p.groupBy(F.col("frame_id").alias("frame_idx")).agg(F.count("*").alias("points"), F.count_if("valid").alias("valid_points"))
 
 
-_BOX = "doc_id % 8 AS frame_idx, substr(text, 1, 12) AS text, CAST(n_chars % 90 AS INT) AS bx, CAST(n_chars % 70 AS INT) AS b_y, CAST(n_chars % 21 AS INT) AS bw, CAST(n_chars % 15 AS INT) AS bh, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(n_chars % 101 AS DOUBLE) / 100 END AS confidence"
+_BOX = "doc_id % 8 AS frame_idx, text, CAST(n_chars % 90 AS INT) AS bx, CAST(n_chars % 70 AS INT) AS b_y, CAST(n_chars % 21 AS INT) AS bw, CAST(n_chars % 15 AS INT) AS bh, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(n_chars % 101 AS DOUBLE) / 100 END AS confidence"
 
 
 def detections(spark, sf_dir):
     n = F.col("n_chars")
     box = F.struct(*[(n % m).cast("int").alias(k) for k, m in (("x", 90), ("y", 70), ("w", 21), ("h", 15))])
-    return _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("frame_idx"), F.substring("text", 1, 12).alias("text"), box.alias("bbox"), F.when(F.col("doc_id") % 9 != 0, n % 101 / 100).alias("confidence"))
+    return _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("frame_idx"), "text", box.alias("bbox"), F.when(F.col("doc_id") % 9 != 0, n % 101 / 100).alias("confidence"))
 
 
 @query(f"""WITH b AS (SELECT {_BOX} FROM documents), c AS (SELECT *, bx + bw / 2e0 AS cx, b_y + bh / 2e0 AS cy FROM b WHERE confidence IS NULL OR confidence >= 0.3),
@@ -190,12 +190,13 @@ def temporal_slot(spark, sf_dir):
     return tracking(spark, sf_dir).select("event_id", G.temporal_slot("frame_idx", 16).alias("slot"))
 
 
-@query(f"""{T}, pt AS (SELECT event_id, least(frame_idx, 1) AS slot, floor(greatest(0, least(y * 3, 223)) / 16) * 14 + floor(greatest(0, least(x * 3, 223)) / 16) AS patch_idx FROM tracking)
+@query(f"""{T}, pt AS (SELECT event_id, least(frame_idx, (SELECT count(*) FROM embeddings) // 196 - 1) AS slot, floor(greatest(0, least(y * 3, 223)) / 16) * 14 + floor(greatest(0, least(x * 3, 223)) / 16) AS patch_idx FROM tracking)
  SELECT pt.event_id, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first, len(e.embedding) AS dim FROM pt JOIN embeddings e ON e.vec_id = pt.slot * 196 + pt.patch_idx""")
 def semantic_lookup(spark, sf_dir):
     t = tracking(spark, sf_dir).select(F.lit(0).alias("clip_id"), "frame_idx", F.col("event_id").alias("track_id"), (F.col("x") * 3).alias("x"), (F.col("y") * 3).alias("y"))
-    f = _t(spark, sf_dir, "embeddings").where("vec_id < 392").select(F.lit(0).alias("clip_id"), F.expr("cast(vec_id div 196 as int)").alias("slot"), F.expr("cast(vec_id % 196 as int)").alias("patch_idx"), "embedding")
-    return projection.semantic_lookup(t, f, 2).select(F.col("track_id").alias("event_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dim"))
+    e = _t(spark, sf_dir, "embeddings")
+    f = e.select(F.lit(0).alias("clip_id"), F.expr("cast(vec_id div 196 as int)").alias("slot"), F.expr("cast(vec_id % 196 as int)").alias("patch_idx"), "embedding")
+    return projection.semantic_lookup(t, f, e.count() // 196).select(F.col("track_id").alias("event_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dim"))
 
 
 @query("""WITH s AS (SELECT vec_id, [CAST(x AS DOUBLE) * 3 FOR x IN embedding] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum([x * x FOR x IN v])) AS n FROM s)
@@ -311,10 +312,10 @@ def ghost_nodes(spark, sf_dir):
     return graph.fusion_nodes(n, 64).select("node_idx", F.size("features").cast("long").alias("width"), "has_embedding", "nonzero")
 
 
-@query(f"""{T} SELECT CAST(0 AS BIGINT) AS graph_id, track_id FROM tracking WHERE frame_idx = 0 UNION ALL SELECT CAST(1 AS BIGINT), track_id FROM tracking WHERE frame_idx = 1""")
+@query(f"""{T} SELECT frame_idx % 2 AS graph_id, track_id FROM tracking""")
 def graph_batch(spark, sf_dir):
     n = nodes(spark, sf_dir)
-    return graph.graph_batch(n.where("graph_id = 0"), n.where("graph_id = 1")).select("graph_id", "track_id")
+    return graph.graph_batch(n.where("graph_id % 2 = 0"), n.where("graph_id % 2 = 1")).select("graph_id", "track_id")
 
 
 @query(f"{T} SELECT DISTINCT track_id FROM tracking")
@@ -430,9 +431,9 @@ def endurance_trend(spark, sf_dir):
     return stats.endurance_verdict(endurance_log(spark, sf_dir)).select("series", "clips", F.round("growth_mb", 4).alias("growth_mb"), F.round("trend_mb", 4).alias("trend_mb"), "failed")
 
 
-@query("""SELECT doc_id, trim(substr(text, 1, 12), ' ') AS text, CAST(n_chars % 101 AS INT) AS conf FROM documents WHERE n_chars % 101 >= 40 AND trim(substr(text, 1, 12), ' ') <> ''""")
+@query("""SELECT doc_id, trim(text, ' ') AS text, CAST(n_chars % 101 AS INT) AS conf FROM documents WHERE n_chars % 101 >= 40 AND trim(text, ' ') <> ''""")
 def ocr_filter(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("text"), (F.col("n_chars") % 101).cast("int").alias("conf"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", (F.col("n_chars") % 101).cast("int").alias("conf"))
     return projection.ocr_filter(d)
 
 
