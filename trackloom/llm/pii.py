@@ -132,23 +132,29 @@ def bootstrap(extracted: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> D
     return known.join(seeds, "inst", "left_anti")
 
 
-def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: the columns ``keep`` (doc_id), __tl_base and __tl_found (discovered spans).
+def _found(extracted: DataFrame, key: list[str], scratch: Scratch) -> DataFrame:
+    """``extracted`` (a written table with ``key``, __tl_base, __tl_more) and __tl_found, the discovered spans.
+
+    ``key`` tells rows apart. Rows without a token beside their base spans take no part in the join.
+    """
+    known = bootstrap(extracted, scratch)
+    more = extracted.where(F.size("__tl_more") > 0)
+    hits = more.select(*key, F.explode("__tl_more").alias("x")).select(*key, "x.start", "x.end", "x.inst").join(known, "inst").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__tl_found"))
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    with_tokens = more.join(hits, key, "left").withColumn("__tl_found", F.coalesce("__tl_found", none))
+    without = extracted.where(F.size("__tl_more") == 0).withColumn("__tl_found", none)
+    return with_tokens.unionByName(without).drop("__tl_more")
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, __tl_base and __tl_found (discovered spans).
 
     Null texts count as empty and have no spans. Rows that repeat a doc_id are separate rows. Spans are in code points,
-    end exclusive. An empty table gives an empty one. Columns besides text and ``keep`` are ignored.
+    end exclusive. An empty table gives an empty one. Columns besides doc_id and text are ignored.
     """
-    keep = ["doc_id"] if keep is None else keep
     scratch = Scratch(docs.sparkSession)
-    got = extract(docs.select(*dict.fromkeys([*keep, "text"])))
-    got = scratch.cut(got.select(*keep, "__tl_base", "__tl_more", F.monotonically_increasing_id().alias("__tl_row")))
-    found = bootstrap(got, scratch)
-    more = got.where(F.size("__tl_more") > 0)
-    hits = more.select("__tl_row", F.explode("__tl_more").alias("x")).select("__tl_row", "x.start", "x.end", "x.inst").join(found, "inst").groupBy("__tl_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__tl_found"))
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    with_tokens = more.join(hits, "__tl_row", "left").withColumn("__tl_found", F.coalesce("__tl_found", none))
-    without = got.where(F.size("__tl_more") == 0).withColumn("__tl_found", none)
-    return with_tokens.select(*keep, "__tl_base", "__tl_found").unionByName(without.select(*keep, "__tl_base", "__tl_found"))
+    got = extract(docs.select("doc_id", "text")).select("doc_id", "__tl_base", "__tl_more", F.monotonically_increasing_id().alias("__tl_row"))
+    return _found(scratch.cut(got), ["__tl_row"], scratch).drop("__tl_row")
 
 
 def _written(spans: Column) -> Column:
@@ -167,9 +173,18 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind in angle brackets; rows and columns stay.
 
-    Overlapping spans are replaced by one mark, that of the first to start (the longer one, if two start together).
+    Overlapping spans are replaced by one mark, that of the first to start (the longer one, if two start together). Spans
+    are found once for each distinct text; texts without a digit or an at sign can't have one and pass by.
     """
-    found = find(docs, docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    some = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))  # no span lacks both
+    keyed = docs.where(some).withColumns({"__tl_h1": F.xxhash64("text"), "__tl_h2": F.xxhash64(F.lit(1), "text")})
+    key = ["__tl_h1", "__tl_h2"]
+    # written before anything is filtered by it: a filter would be pushed below, with a copy of the extraction
+    got = scratch.cut(extract(keyed.select(*key, "text")).select(*key, "__tl_base", "__tl_more"))
+    once = scratch.cut(got.where(F.size("__tl_base") + F.size("__tl_more") > 0).dropDuplicates(key))
+    spans_of = _found(once, key, scratch)
+    found = keyed.join(spans_of, key, "left")
     spans = F.concat(F.transform("__tl_base", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), x["kind"].alias("kind"))), F.transform("__tl_found", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), F.lit(FOUND).alias("kind"))))
     step = F.expr(
         "aggregate(__tl_spans, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, s) -> if(s.start < a.at, "
@@ -178,4 +193,5 @@ def redact(docs: DataFrame) -> DataFrame:
         ", a -> array_join(concat(a.out, array(substring(text, cast(a.at + 1 as int)))), ''))"
     )
     text = F.when(F.size("__tl_spans") > 0, step).otherwise(F.col("text"))
-    return found.withColumn("__tl_spans", F.array_sort(spans)).withColumn("text", text).select(*docs.columns)
+    marked = found.withColumn("__tl_spans", F.array_sort(spans)).withColumn("text", text).select(*docs.columns)
+    return docs.where(~some).unionByName(marked)
