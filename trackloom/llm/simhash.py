@@ -66,15 +66,16 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(batch.num_columns - 1).cast(pa.binary())
         fp = np.fromiter((fingerprint(x.as_py() or b"") for x in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; null text has fingerprint zero. Other columns are not looked at."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_fingerprints, schema)
+def fingerprints(docs: DataFrame, keep: list[Column | str] | None = None) -> DataFrame:
+    """``keep`` (doc_id) and fp for every row; null text has fingerprint zero. Other columns are not looked at."""
+    rows = docs.select(*(keep or ["doc_id"]), F.col("text").cast("string").alias("__tl_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    return rows.mapInArrow(_fingerprints, schema)
 
 
 def _differ_bytes(x: np.ndarray) -> np.ndarray:
@@ -145,6 +146,15 @@ def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     return short.mapInArrow(_list_links, "u long, v long").unionByName(_link_long_lists(long))
 
 
+def _grouped(of_doc: DataFrame, scratch: Scratch, list_limit: int) -> DataFrame:
+    """``of_doc`` (doc_id, fp, ...) with root, the least fingerprint of its component, and component_id."""
+    of_fp = scratch.cut(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = star_components(links(of_fp.select("fp"), list_limit), scratch)
+    label = of_fp.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = label.groupBy("root").agg(F.min("least").alias("component_id"))
+    return of_doc.join(label.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (long), component_id.
 
@@ -154,26 +164,29 @@ def near_duplicates(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     gives an empty one; columns besides doc_id and text are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    of_doc = scratch.cut(fingerprints(docs))
-    of_fp = scratch.cut(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = star_components(links(of_fp.select("fp"), list_limit), scratch)
-    label = of_fp.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of_doc.join(label.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _grouped(scratch.cut(fingerprints(docs)), scratch, list_limit).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column | str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each group of near-duplicates, that of the smallest doc_id; all columns are kept.
+def keep_one(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """``docs`` with one row for each group of near-duplicates, that of the smallest doc_id (null last); all columns stay.
 
-    Rows that repeat the kept doc_id are reduced to one. A group in which no row has a doc_id keeps one row of each text.
+    Rows are told apart by doc_id and a hash of doc_id and text; of rows equal in both, one stays. Only the rows that go
+    are joined to the documents, the smaller part of them.
     """
     scratch = Scratch(docs.sparkSession)
-    stays = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    stays = scratch.cut(stays.select(F.col("doc_id").alias("__tl_id"), F.expr("n = 1 and doc_id is not null").alias("__tl_once")))
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__tl_id"])).drop("__tl_id")
-    again = kept.where(~F.col("__tl_once")).withColumn("__tl_text", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return kept.where("__tl_once").drop("__tl_once").unionByName(again.dropDuplicates(["doc_id", "__tl_text"]).drop("__tl_once", "__tl_text"))
+    key = F.xxhash64("doc_id", "text")
+    groups = scratch.cut(_grouped(scratch.cut(fingerprints(docs, ["doc_id", key.alias("key")])), scratch, list_limit).select("doc_id", "key", "root"))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
+    best = groups.groupBy("root").agg(F.min(rank).alias("best"))
+    gone = groups.join(best, "root").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))).select("doc_id", "key").distinct().withColumn("twice", F.lit(False))
+    twice = groups.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").join(best.select(F.col("best.doc_id").alias("d"), F.col("best.key").alias("k")), F.expr("doc_id <=> d and key = k")).select("doc_id", "key", F.lit(True).alias("twice"))
+    fate = scratch.cut(gone.unionByName(twice)).select(F.col("doc_id").alias("__tl_id"), F.col("key").alias("__tl_k"), F.col("twice").alias("__tl_twice"))
+    keyed = docs.withColumn("__tl_key", key)
+    met = keyed["doc_id"].eqNullSafe(fate["__tl_id"]) & (keyed["__tl_key"] == fate["__tl_k"])
+    once = keyed.join(fate, met, "left_anti")
+    again = keyed.join(fate.where("__tl_twice"), met, "left_semi").dropDuplicates(["doc_id", "__tl_key"])
+    return once.unionByName(again).drop("__tl_key")
