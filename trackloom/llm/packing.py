@@ -30,7 +30,7 @@ EOS = 2
 #: Rows of one length that are ranked together.
 RANKED_TOGETHER = 1000
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: The pre-token pattern of the byte-level vocabulary, and its special token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
@@ -103,8 +103,8 @@ def pieces(docs: DataFrame, ranks_path: str, size: int = SIZE, with_ids: bool =
     def run(batches):
         for batch in batches:
             enc = encoder(ranks_path).encode
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, text in enumerate(part.column(1)):
                     buf = enc(text.as_py() or "") + EOS.to_bytes(4, "little")
@@ -125,7 +125,18 @@ def pieces(docs: DataFrame, ranks_path: str, size: int = SIZE, with_ids: bool =
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def solve(counts: np.ndarray, size: int = SIZE) -> list[tuple[dict[int, int], int]]:
+Patterns = list[tuple[dict[int, int], int]]
+
+
+def solve(counts: np.ndarray, size: int = SIZE) -> Patterns:
+    """The fewest sequences among the packings with sums of up to three, two, one and no lengths indexed.
+
+    With few pieces, consuming triples early can cost more sequences at the end than it saves.
+    """
+    return min((_solve(counts, size, parts) for parts in (3, 2, 1, 0)), key=lambda plan: sum(n for _, n in plan))
+
+
+def _solve(counts: np.ndarray, size: int, most_parts: int) -> Patterns:
     """Patterns ({length: times}, sequences) that use up ``counts`` (index: length, 0 to ``size``).
 
     Each pattern is as frequent as its scarcest length allows, so each one exhausts a length or leaves less of it than
@@ -133,7 +144,7 @@ def solve(counts: np.ndarray, size: int = SIZE) -> list[tuple[dict[int, int], in
     """
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    out: list[tuple[dict[int, int], int]] = []
+    out: Patterns = []
 
     def use(parts: list[int]) -> int:
         need: dict[int, int] = {}
@@ -147,7 +158,7 @@ def solve(counts: np.ndarray, size: int = SIZE) -> list[tuple[dict[int, int], in
         return n
 
     use([size])
-    for n_parts in (1, 2, 3):  # fillers of the gap beside a largest length
+    for n_parts in range(1, most_parts + 1):  # fillers of the gap beside a largest length
         for big in range(size - 1, 0, -1):
             gap = size - big
             if n_parts == 1:
@@ -181,7 +192,7 @@ def solve(counts: np.ndarray, size: int = SIZE) -> list[tuple[dict[int, int], in
     return out
 
 
-def ranges(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
+def ranges(patterns: Patterns) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, end rank, times, first sequence, offset) for every length of every pattern."""
     used: dict[int, int] = {}
     out, sequence = [], 0
