@@ -171,8 +171,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, T.LongType()) for c in longs], T.StructField("sha", T.BinaryType()), T.StructField("anchors", T.ArrayType(T.LongType()))])
     seeds = scratch.cut(keyed.mapInArrow(_anchors, schema))
     texts = scratch.cut(seeds.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one")))
-    mine = seeds.join(texts.withColumnRenamed("one", "doc_id_").withColumnsRenamed({"h1": "g1", "h2": "g2"}), F.expr("h1 = g1 and h2 = g2 and doc_id <=> doc_id_")).select("h1", "h2", "doc_id", F.explode("anchors").alias("anchor"))
-    shared = mine.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    ones = texts.select(F.col("one").alias("doc_id_"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    one = seeds.join(ones, F.expr("h1 = g1 and h2 = g2 and doc_id <=> doc_id_")).select("h1", "h2", "doc_id", "anchors")
+    # written, so that the join's sides are plain shuffles and a frequent anchor's rows can be split
+    shared = scratch.cut(one.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    mine = one.select("h1", "h2", "doc_id", F.explode(F.array_distinct("anchors")).alias("anchor"))
     found = mine.join(shared, "anchor").groupBy("h1", "h2", "doc_id").agg(F.collect_set("anchor").alias("shared"))
     found = scratch.cut(found.withColumn("row", F.monotonically_increasing_id()))
     near = found.withColumnsRenamed({"h1": "g1", "h2": "g2", "doc_id": "doc_id_"})
