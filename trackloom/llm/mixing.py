@@ -22,7 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE, CEILING = 1.5, 2.0
-BLOCK_WORDS = 1 << 20
+#: Words of a block, more where there would be over MAX_BLOCKS of them.
+BLOCK_WORDS, MAX_BLOCKS = 1 << 17, 1 << 20
 SHARDS = 16
 SEED = 20240229
 
@@ -87,7 +88,7 @@ class Mix:
 
     def __init__(self, keyed: DataFrame, scratch: Scratch, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, **rule):
         self.sources = scratch.cut(
-            targets(keyed.groupBy("source").agg(F.sum("__tl_size").alias("source_size")), **rule).withColumns({"n_blocks": F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)), "quota": F.floor(F.col("target") + 0.5)})
+            targets(keyed.groupBy("source").agg(F.sum("__tl_size").alias("source_size")), **rule).withColumns({"n_blocks": F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(float(block_words)), F.sum("source_size").over(Window.partitionBy()) / MAX_BLOCKS))), "quota": F.floor(F.col("target") + 0.5)})
         )
         sizes = self._dealt(keyed.where("__tl_size > 0").select("source", "__tl_size", "__tl_key")).groupBy("__tl_sid", "__tl_block").agg(F.sum("__tl_size").alias("size"))
         permuted = Window.partitionBy("__tl_sid").orderBy(F.xxhash64(F.lit(seed), "__tl_sid", "__tl_block"), "__tl_block")
@@ -137,15 +138,17 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each copy taken, shards together and blocks shuffled within.
+    """The mix itself: the columns of ``docs``, a row for each copy taken.
 
-    The one document of a source at the edge of its target is cut to its first words there; all others come whole.
+    Every drawn block is gathered once and shuffled there, in order of its shards; a shard is its blocks. The one document
+    of a source at the edge of its target is cut to its first words there; all others come whole.
     """
     scratch = Scratch(docs.sparkSession)
     plan = Mix(scratch.cut(with_keys(docs.select("doc_id", "source", "text")).drop("text", "doc_id")), scratch, **options)
+    got = plan.apply(with_keys(docs)).where("__tl_take_1 > 0 or __tl_take_2 > 0").repartition("__tl_sid", "__tl_block")
     copies = F.explode(F.filter(F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"__tl_take_{p}").alias("take"), F.col(f"__tl_shard_{p}").alias("shard")) for p in (1, 2)]), lambda c: c["take"] > 0))
-    got = plan.apply(with_keys(docs)).withColumn("__tl_copy", copies)
+    got = got.withColumn("__tl_copy", copies)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("__tl_copy.take") == F.col("__tl_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__tl_copy.take").cast("int")), " "))
     got = got.withColumns({"text": text, "__tl_shard": F.col("__tl_copy.shard"), "__tl_order": F.xxhash64("__tl_key", "__tl_copy.pass")})
-    return got.repartition("__tl_shard", "__tl_sid", "__tl_block").sortWithinPartitions("__tl_shard", "__tl_order").select(*docs.columns)
+    return got.sortWithinPartitions("__tl_shard", "__tl_order").select(*docs.columns)
