@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import mixing, packing, pii, simhash, toxicity
+from trackloom.llm import mixing, nearcopies, packing, pii, toxicity
 from trackloom.llm.common import Scratch, table
 from trackloom.llm.queries import ranks_path
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

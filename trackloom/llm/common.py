@@ -58,6 +58,23 @@ class Scratch:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+SIEVE_BITS = 1 << 27
+
+
+def sieve(rows: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the longs in ``key``, in pieces of 4 KB, 16 MB at most: a broadcast instead of a shuffle of what isn't in it."""
+    bit = f"pmod({key}, {SIEVE_BITS}L) + 1"
+    return rows.groupBy(F.expr(f"bitmap_bucket_number({bit})").alias("__tl_piece")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({bit}))").alias("__tl_bits"))
+
+
+def in_sieve(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """``rows`` with __tl_in: false for no key of the sieve, true for few others; an exact join must follow."""
+    bit = f"pmod({key}, {SIEVE_BITS}L) + 1"
+    at = f"bitmap_bit_position({bit})"
+    test = F.coalesce(F.expr(f"getbit(cast(conv(hex(substring(__tl_bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int), cast({at} % 8 as int)) = 1"), F.lit(False))
+    return rows.withColumn("__tl_piece", F.expr(f"bitmap_bucket_number({bit})")).join(F.broadcast(bits), "__tl_piece", "left").withColumn("__tl_in", test).drop("__tl_piece", "__tl_bits")
+
+
 def star_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` (long) as ``(u, root)``, root being the component's smallest node.
 

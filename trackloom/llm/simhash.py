@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, star_components
+from .common import Scratch, in_sieve, sieve, star_components
 
 SEED = 42
 MAX_BITS = 3
@@ -171,22 +171,28 @@ def hex16(fp: Column | str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """``docs`` with one row for each group of near-duplicates, that of the smallest doc_id (null last); all columns stay.
+def keep_least(docs: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with one row for each root of ``groups`` (doc_id, key: xxhash64 of doc_id and text, root), that of the smallest doc_id.
 
-    Rows are told apart by doc_id and a hash of doc_id and text; of rows equal in both, one stays. Only the rows that go
-    are joined to the documents, the smaller part of them.
+    Rows are told apart by doc_id and key; of rows equal in both, one stays. A sieve finds the rows that may go; only
+    those are joined with the ones that do.
     """
-    scratch = Scratch(docs.sparkSession)
-    key = F.xxhash64("doc_id", "text")
-    groups = scratch.cut(_grouped(scratch.cut(fingerprints(docs, ["doc_id", key.alias("key")])), scratch, list_limit).select("doc_id", "key", "root"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
     best = groups.groupBy("root").agg(F.min(rank).alias("best"))
     gone = groups.join(best, "root").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))).select("doc_id", "key").distinct().withColumn("twice", F.lit(False))
     twice = groups.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").join(best.select(F.col("best.doc_id").alias("d"), F.col("best.key").alias("k")), F.expr("doc_id <=> d and key = k")).select("doc_id", "key", F.lit(True).alias("twice"))
     fate = scratch.cut(gone.unionByName(twice)).select(F.col("doc_id").alias("__tl_id"), F.col("key").alias("__tl_k"), F.col("twice").alias("__tl_twice"))
-    keyed = docs.withColumn("__tl_key", key)
-    met = keyed["doc_id"].eqNullSafe(fate["__tl_id"]) & (keyed["__tl_key"] == fate["__tl_k"])
-    once = keyed.join(fate, met, "left_anti")
-    again = keyed.join(fate.where("__tl_twice"), met, "left_semi").dropDuplicates(["doc_id", "__tl_key"])
-    return once.unionByName(again).drop("__tl_key")
+    keyed = in_sieve(docs.withColumn("__tl_key", F.xxhash64("doc_id", "text")), "__tl_key", scratch.cut(sieve(fate, "__tl_k")))
+    safe, asked = keyed.where("not __tl_in"), keyed.where("__tl_in")
+    met = asked["doc_id"].eqNullSafe(fate["__tl_id"]) & (asked["__tl_key"] == fate["__tl_k"])
+    once = asked.join(fate, met, "left_anti")
+    again = asked.join(fate.where("__tl_twice"), met, "left_semi").dropDuplicates(["doc_id", "__tl_key"])
+    return safe.unionByName(once).unionByName(again).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """``docs`` with one row for each group of op1's near-duplicates, that of the smallest doc_id (null last); all columns stay."""
+    scratch = Scratch(docs.sparkSession)
+    key = F.xxhash64("doc_id", "text")
+    groups = scratch.cut(_grouped(scratch.cut(fingerprints(docs, ["doc_id", key.alias("key")])), scratch, list_limit).select("doc_id", "key", "root"))
+    return keep_least(docs, groups, scratch)
