@@ -51,3 +51,17 @@ def test_fisher_yates_is_a_uniform_permutation():
         p = tuple(sharding.fisher_yates(3, seed).tolist())
         seen[p] = seen.get(p, 0) + 1
     assert len(seen) == 6 and all(800 < n < 1200 for n in seen.values())
+
+
+def test_reported_places_are_those_of_the_files(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    same = spark.createDataFrame([(7, "equal", "a")] * 2500 + [(7, "equal", "b")] * 500, docs.schema)
+    df = docs.unionByName(same)
+    sharding.write_shards(df, f"{tmp_path}/out", bucket_bytes=20_000)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(str, back.select("doc_id", "text", "source").collect())) == sorted(map(str, df.collect()))
+    got = sharding.shard(df, bucket_bytes=20_000)
+    places = lambda d: sorted(map(tuple, d.select("shard", "slot", "doc_id", "text_crc32").collect()))
+    assert places(got) == places(back.withColumn("text_crc32", F.crc32(F.col("text").cast("binary"))))
+    per = got.groupBy("bucket").count().collect()
+    assert len(per) > 20 and max(r["count"] for r in per) < 600  # equal rows don't fill one bucket

@@ -6,14 +6,13 @@ Fisher-Yates algorithm and written out. Buckets in a row are a uniform random or
 with row counts at most one apart (the law ``rows``).
 
 Equal records have equal hashes. So that a third of all rows being one text doesn't fill one bucket, the hash takes the
-record's key beside its text, and rows that are equal in both are told apart by a number among their equals, which is dealt
-out over salted groups.
+record's key beside its text, and rows that are equal in both are told apart by a number among their equals. Records with
+equals meet once as one record with a count, which is unfolded in runs of ``UNFOLDED`` over tasks; the others are scattered at
+once. Bucket sizes come from the hashes, so the records themselves are shuffled once and written once.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,13 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, in_sieve, sieve
 
 SHARDS = 8
 SEED = 8191
 BUCKET_BYTES = 8 << 20
 #: Rows that a bucket may hold in the mean, however small they are.
 BUCKET_ROWS = 20_000
+#: Equal records that one task writes out.
+UNFOLDED = 1000
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -40,21 +41,16 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
 
 
 def _shuffle_buckets(seed: int):
-    """Partitions sorted by bucket and key: adds each row's place in its bucket after the shuffle."""
-
-    def own(table: pa.Table, places: np.ndarray) -> pa.RecordBatch:
-        return table.drop_columns(["__tl_key"]).append_column("__tl_place", pa.array(places, pa.int64())).combine_chunks().to_batches()[0]
+    """Partitions sorted by bucket and key: each bucket's records in their order after the shuffle, with the place."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def flush():
             t = pa.Table.from_batches(held)
-            bucket = t["__tl_bucket"][0].as_py()
-            place = np.empty(t.num_rows, np.int64)
-            place[fisher_yates(t.num_rows, xxhash.xxh64_intdigest(str(bucket).encode(), seed))] = np.arange(t.num_rows)
+            order = fisher_yates(t.num_rows, xxhash.xxh64_intdigest(str(t["__tl_bucket"][0].as_py()).encode(), seed))
             held.clear()
-            return own(t, place)
+            return t.take(pa.array(order)).append_column("__tl_place", pa.array(np.arange(len(order)), pa.int64())).combine_chunks().to_batches()[0]
 
         for batch in batches:
             if not batch.num_rows:
@@ -71,28 +67,31 @@ def _shuffle_buckets(seed: int):
     return run
 
 
-def _digest(batches):
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        raw = [x.as_py() or b"" for x in texts]
-        size, crc = [len(x) + 1 for x in raw], [zlib.crc32(x) for x in raw]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), batch.column(2)], names=["doc_id", "size", "text_crc32", "key"])
-
-
-def records(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, text_crc32, key): what decides a record's place; size is UTF-8 bytes plus one."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("size", "text_crc32", "key")]])
-    return docs.select("doc_id", F.col("text").cast("string"), F.xxhash64(F.lit(seed), "doc_id", "text")).mapInArrow(_digest, schema)
-
-
-def _in_order(dealt: DataFrame, ties: list[str], scratch: Scratch, seed: int) -> DataFrame:
-    """The second pass: shuffles each bucket, and adds __tl_at, the place among all records."""
-    schema = T.StructType([*[f for f in dealt.schema if f.name != "__tl_key"], T.StructField("__tl_place", T.LongType())])
-    shuffled = scratch.cut(dealt.repartition("__tl_bucket").sortWithinPartitions("__tl_bucket", "__tl_key", *ties).mapInArrow(_shuffle_buckets(seed), schema))
-    sizes = shuffled.groupBy("__tl_bucket").agg(F.count("*").alias("n"))
+def _shuffled(docs: DataFrame, scratch: Scratch, n_shards: int, seed: int, bucket_bytes: int) -> DataFrame:
+    """The records of ``docs`` through both passes, with __tl_bucket, __tl_shard and __tl_slot."""
+    key, same = ["__tl_key", "__tl_row"], F.xxhash64(F.lit(seed + 2), *docs.columns)
+    keyed = docs.withColumns({"__tl_key": F.xxhash64(F.lit(seed), "doc_id", "text"), "__tl_row": same})
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1
+    own = keyed.select(*key, size.alias("size")).groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    by_key = Window.partitionBy("__tl_key")
+    own = scratch.cut(own.withColumns({"first": F.sum("n").over(by_key.orderBy("__tl_row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"), "all": F.sum("n").over(by_key)}))
+    rows, total = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n_buckets = max(1, -(-int(total) // bucket_bytes), -(-rows // BUCKET_ROWS))
+    # `nth` tells rows of one key apart, so that their number doesn't fill one bucket
+    spread = F.xxhash64(F.lit(seed + 1), "__tl_key", "nth")
+    bucket = F.pmod(spread, F.lit(n_buckets)).alias("__tl_bucket")
+    sizes = own.select("__tl_key", F.explode(F.expr("sequence(first, first + n - 1)")).alias("nth")).groupBy(bucket).agg(F.count("*").alias("n"))
     # a row for each bucket: the running total orders the buckets
-    before = sizes.select("__tl_bucket", (F.sum("n").over(Window.orderBy("__tl_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__tl_before"))
-    return shuffled.join(before, "__tl_bucket").withColumn("__tl_at", F.col("__tl_before") + F.col("__tl_place")).drop("__tl_before")
+    before = scratch.cut(sizes.select("__tl_bucket", (F.sum("n").over(Window.orderBy("__tl_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__tl_before")))
+    keyed = in_sieve(keyed, "__tl_key", scratch.cut(sieve(own.where("all > 1"), "__tl_key")))
+    alone = keyed.where("not __tl_in").select(*docs.columns, *key, F.lit(0).cast("long").alias("nth"))
+    met = keyed.where("__tl_in").groupBy(*key).agg(F.first(F.struct(*docs.columns)).alias("rec")).join(own.select(*key, "n", "first"), key)
+    runs = met.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {UNFOLDED})"))).repartition(*key, "run")
+    equals = runs.withColumn("nth", F.explode(F.expr(f"sequence(first + run * {UNFOLDED}, first + least(n, (run + 1) * {UNFOLDED}) - 1)"))).select("rec.*", *key, "nth")
+    dealt = alone.unionByName(equals).select(*docs.columns, bucket, spread.alias("__tl_key"), "__tl_row").repartition("__tl_bucket").sortWithinPartitions("__tl_bucket", "__tl_key", "__tl_row").drop("__tl_key", "__tl_row")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("__tl_place", T.LongType())])
+    placed = dealt.mapInArrow(_shuffle_buckets(seed), schema).join(F.broadcast(before), "__tl_bucket").withColumn("__tl_at", F.col("__tl_before") + F.col("__tl_place"))
+    return _place(placed, rows, n_shards).select(*docs.columns, "__tl_bucket", "__tl_shard", "__tl_slot")
 
 
 def _place(at: DataFrame, rows: int, n_shards: int) -> DataFrame:
@@ -105,34 +104,21 @@ def _place(at: DataFrame, rows: int, n_shards: int) -> DataFrame:
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, text_crc32, law ('rows'), shard, slot, bucket.
+    """One row per row of ``docs``: doc_id, size, text_crc32, law ('rows'), shard, slot, bucket, read from the written shards.
 
     Shards hold runs of the shuffled order, counts at most one apart; slots count from 0 without gaps. Null text has no
-    bytes; empty and very long texts are records like any other; equal rows are interchangeable and end at different
-    places. An empty table gives an empty one; other columns are ignored. The order follows from the records and the seed.
+    bytes; size is UTF-8 bytes plus one; empty and very long texts are records like any other; equal rows are interchangeable
+    and end at different places. An empty table gives an empty one. The order follows from the records and the seed.
     """
     scratch = Scratch(docs.sparkSession)
-    rec = scratch.cut(records(docs, seed))
-    rows, total = rec.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    n_buckets = max(1, -(-int(total) // bucket_bytes), -(-rows // BUCKET_ROWS))
-    # rows that are equal in all respects: `nth` tells them apart, so that their number doesn't fill one bucket
-    twins = rec.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count("*").alias("n")).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    spread = F.xxhash64(F.lit(seed + 1), "key", "nth")
-    dealt = twins.select("doc_id", "size", "text_crc32", F.pmod(spread, F.lit(n_buckets)).alias("__tl_bucket"), spread.alias("__tl_key"))
-    at = _in_order(dealt, ["doc_id"], scratch, seed)
-    return _place(at, rows, n_shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__tl_shard").alias("shard"), F.col("__tl_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("__tl_bucket").alias("bucket"))
+    out, path = _shuffled(docs, scratch, n_shards, seed, bucket_bytes), f"{scratch.root}/shards"
+    out.sortWithinPartitions("__tl_shard", "__tl_slot").write.partitionBy("__tl_shard").parquet(path)
+    back = docs.sparkSession.read.schema(out.schema).parquet(path)
+    raw = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
+    return back.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), F.col("__tl_shard").alias("shard"), F.col("__tl_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("__tl_bucket").alias("bucket"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Write all columns of ``docs`` as ``path``/shard=k, shuffled, with the slot in column ``slot``.
-
-    Rows equal in every column fall into one bucket here; copies of a text under other doc_ids don't.
-    """
-    scratch = Scratch(docs.sparkSession)
-    rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n_buckets = max(1, -(-int(total) // bucket_bytes), -(-rows // BUCKET_ROWS))
-    key = F.xxhash64(F.lit(seed), *docs.columns)
-    dealt = docs.withColumn("__tl_bucket", F.pmod(key, F.lit(n_buckets))).withColumn("__tl_key", key)
-    at = _place(_in_order(dealt, [], scratch, seed), rows, n_shards)
-    out = at.select(*docs.columns, F.col("__tl_slot").alias("slot"), F.col("__tl_shard").alias("shard"))
-    out.repartition("shard", F.expr(f"slot div {BUCKET_ROWS}")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write all columns of ``docs`` as ``path``/shard=k, shuffled, with the slot in column ``slot``; the places are those of ``shard``."""
+    out = _shuffled(docs, Scratch(docs.sparkSession), n_shards, seed, bucket_bytes).select(*docs.columns, F.col("__tl_slot").alias("slot"), F.col("__tl_shard").alias("shard"))
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
