@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document, with its place in a sequence."""
-    return packing.pack(docs, ranks_path())
+    """A row for each piece of a document, with its ids and its place in a sequence."""
+    return packing.pack(docs, ranks_path(), with_ids=True)
 
 
 STAGES = [

@@ -62,3 +62,10 @@ def test_run_is_the_stages_in_order(spark, sf, stages):
     assert key(got) == key(stages[4])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "pii", "mixing", "best_fit_packing"]
     assert mixing.SHARE == 1.5
+
+
+def test_packed_ids(stages):
+    import struct
+    import zlib
+
+    assert all(r["length"] == len(r["ids"]) and zlib.crc32(struct.pack(f"<{r['length']}I", *r["ids"])) == r["ids_crc32"] for r in stages[4].collect())
