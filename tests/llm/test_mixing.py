@@ -68,3 +68,16 @@ def test_tree_keeps_quotas_and_mixes(spark):
 def test_plan_has_no_python(spark, sf):
     plan = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet").withColumn("z", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_partitions_of_the_rows_are_the_shards(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["doc_id"])
+    want = sorted((r["doc_id"], s) for r in mixing.mix(df, block_words=500).collect() for s in (r["shard_1"], r["shard_2"]) if s is not None)
+    for part_words in (mixing.PART_WORDS, 3000):
+        monkeypatch.setattr(mixing, "PART_WORDS", part_words)
+        rows = mixing.mixed_rows(df, block_words=500)
+        parts = rows.rdd.getNumPartitions() // mixing.SHARDS
+        at = rows.select("doc_id", "source", F.spark_partition_id().alias("at")).collect()
+        assert sorted((r["doc_id"], r["at"] // parts) for r in at) == want
+        big = [r["source"] for r in at if r["at"] == 0]
+        assert part_words < 10_000 or sum(a != b for a, b in zip(big, big[1:], strict=False)) > len(set(big))  # not source after source

@@ -25,6 +25,8 @@ SHARE, CEILING = 1.5, 2.0
 #: Words of a block, more where there would be over MAX_BLOCKS of them.
 BLOCK_WORDS, MAX_BLOCKS = 1 << 17, 1 << 20
 SHARDS = 16
+#: Words of a shard that one task gathers.
+PART_WORDS = 1 << 22
 SEED = 20240229
 
 
@@ -140,15 +142,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each copy taken.
 
-    Every drawn block is gathered once and shuffled there, in order of its shards; a shard is its blocks. The one document
-    of a source at the edge of its target is cut to its first words there; all others come whole.
+    Partitions are shards, each shard being a run of as many partitions as its words ask for: all its blocks are shuffled
+    together there, across sources. The one document of a source at the edge of its target is cut to its first words; all
+    others come whole.
     """
     scratch = Scratch(docs.sparkSession)
     plan = Mix(scratch.cut(with_keys(docs.select("doc_id", "source", "text")).drop("text", "doc_id")), scratch, **options)
-    got = plan.apply(with_keys(docs)).where("__tl_take_1 > 0 or __tl_take_2 > 0").repartition("__tl_sid", "__tl_block")
+    got = plan.apply(with_keys(docs)).where("__tl_take_1 > 0 or __tl_take_2 > 0")
     copies = F.explode(F.filter(F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"__tl_take_{p}").alias("take"), F.col(f"__tl_shard_{p}").alias("shard")) for p in (1, 2)]), lambda c: c["take"] > 0))
     got = got.withColumn("__tl_copy", copies)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("__tl_copy.take") == F.col("__tl_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__tl_copy.take").cast("int")), " "))
     got = got.withColumns({"text": text, "__tl_shard": F.col("__tl_copy.shard"), "__tl_order": F.xxhash64("__tl_key", "__tl_copy.pass")})
-    return got.sortWithinPartitions("__tl_shard", "__tl_order").select(*docs.columns)
+    shards, words = options.get("shards", SHARDS), plan.sources.agg(F.sum("quota")).first()[0] or 0
+    parts = max(1, -(-int(words) // (shards * PART_WORDS)))
+    dealt = got.repartitionById(shards * parts, F.expr(f"cast(__tl_shard * {parts} + pmod(__tl_order, {parts}) as int)"))
+    return dealt.sortWithinPartitions("__tl_order").select(*docs.columns)
