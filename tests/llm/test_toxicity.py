@@ -62,3 +62,11 @@ def test_held_out_labels_change_nothing(spark):
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(corpus(120))], "doc_id long, toxic int")
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.train(docs, labels) == toxicity.train(docs, flipped)
+
+
+def test_copies_of_one_document_leave_the_fit_as_it_is(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(corpus(120))], "doc_id long, text string").where(~toxicity.held_out())
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(corpus(120))], "doc_id long, toxic int")
+    first = docs.orderBy("doc_id").limit(1)
+    many = first.crossJoin(spark.range(500)).select("doc_id", "text").unionByName(docs)
+    assert toxicity.train(many, labels, per_class=20) == toxicity.train(docs, labels, per_class=20)

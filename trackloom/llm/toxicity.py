@@ -175,7 +175,8 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **options) -> Model:
     """Fit on at most about ``per_class`` labelled rows of each class (twice as many at the very most).
 
-    Null labels and labels of unknown documents are ignored; a doc_id with several labels counts as toxic if one says so.
+    Null labels and labels of unknown documents are ignored; a doc_id with several labels counts as toxic if one says so, and
+    one with several texts gives the one with the least hash.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = dict(known.groupBy("toxic").count().collect())  # two rows
@@ -185,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **opti
         return fit([], [])
     both = sample[0] if len(sample) == 1 else sample[0].unionByName(sample[1])
     chosen = both.select(F.col("doc_id").alias("__tl_id"), "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__tl_id")).select("doc_id", "text", "toxic").limit(8 * per_class).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__tl_id")).groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "toxic").collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     return fit([r[1] for r in rows], [r[2] for r in rows], **options)
 
