@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 from pyspark.sql import functions as F
@@ -70,3 +71,12 @@ def test_copies_of_one_document_leave_the_fit_as_it_is(spark):
     first = docs.orderBy("doc_id").limit(1)
     many = first.crossJoin(spark.range(500)).select("doc_id", "text").unionByName(docs)
     assert toxicity.train(many, labels, per_class=20) == toxicity.train(docs, labels, per_class=20)
+
+
+def test_words_within_a_chunk_count():
+    texts, labels = zip(*corpus(), strict=True)
+    m = toxicity.fit(list(texts), list(labels))
+    for text in ("w1,w2,idiot,w3", "you-idiot", "(w1/scum)", "x" * 50 + ",idiot"):
+        assert m.score(text) > 0.5 > m.score(re.sub("idiot|scum", "w4", text))
+    assert toxicity.features("y" * 60)[0] == "y" * 60
+    assert toxicity.features("muslim") == ("muslim", "musl*", "musli*")

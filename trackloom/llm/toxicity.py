@@ -36,14 +36,17 @@ IDENTITY_TERMS = {
 }
 ALL_TERMS = sorted({t for terms in IDENTITY_TERMS.values() for t in terms})
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def features(chunk: str) -> tuple[str, ...]:
-    """The features of one white-space-delimited chunk of lower-case text: the word and its first 4 and 5 letters."""
-    word = _EDGES.sub("", chunk)[:40]
-    if not word:
-        return ()
-    return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n))
+    """The features of one white-space-delimited chunk of lower-case text: each word, and its first 4 and 5 letters.
+
+    Words are the chunk without its outer punctuation and each run of letters within it.
+    """
+    whole = _EDGES.sub("", chunk)
+    words = dict.fromkeys([whole, *_LETTERS.findall(whole)]) if whole else ()
+    return tuple(dict.fromkeys(f for word in words for f in (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n))))
 
 
 def of_text(text: str | None, memo: dict[str, tuple[str, ...]] | None = None) -> set[str]:
