@@ -77,3 +77,74 @@ def test_solver_uses_every_piece_and_stays_near_the_bound():
                 used[p] += m * k
         assert (used == counts).all() and sum(k for _, k in plan) <= 1.03 * -(-lengths.sum() // 1024) + 1
         assert len(plan) <= 3 * 1024
+
+
+def test_ids_of_whole_texts(tokenizer):
+    import duckdb
+
+    e = packing.Encoder(ranks_path())
+    for (text,) in duckdb.sql("select coalesce(text, '') from '/root/testdata/sf0.01/documents.parquet'").fetchall():
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def fewest(lengths, size):
+    """The least number of sequences, by trying every place of every piece."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for room in {*rooms}:
+            if room >= lengths[i]:
+                k = rooms.index(room)
+                put(i + 1, [*rooms[:k], room - lengths[i], *rooms[k + 1 :]])
+        put(i + 1, [*rooms, size - lengths[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_solver_against_an_exact_one():
+    rng, over = np.random.default_rng(5), 0
+    for _ in range(150):
+        size = int(rng.integers(8, 40))
+        lengths = rng.integers(1, size + 1, int(rng.integers(1, 11)))
+        got = sum(n for _, n in packing.solve(np.bincount(lengths, minlength=size + 1), size))
+        over += got - fewest(lengths.tolist(), size)
+        assert got <= fewest(lengths.tolist(), size) + 1
+    assert over <= 8
+
+
+def test_index_of_sums():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        counts = rng.integers(0, 3, 25)
+        counts[0], counts[rng.integers(1, 25, 12)] = 0, 0
+        sums = packing.Sums(counts)
+        pool = np.repeat(np.arange(25), counts).tolist()
+        pairs = {tuple(sorted((pool[i], pool[j]))) for i in range(len(pool)) for j in range(i)}
+        triples = {tuple(sorted((pool[i], pool[j], pool[k]))) for i in range(len(pool)) for j in range(i) for k in range(j)}
+        for gap in range(1, 25):
+            assert sums.pairs[gap] == sum(sum(p) == gap for p in pairs)
+            got = sums.exact(gap, 0)
+            fits = [p for p in (*pairs, *triples) if sum(p) == gap]
+            if counts[gap]:
+                assert got == [gap]
+            else:
+                assert sum(x * x for x in got) == max((sum(x * x for x in p) for p in fits), default=0) and (not fits or tuple(sorted(got)) in fits)
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_pairs_and_triples_fill_gaps(table):
+    import duckdb
+
+    e, lengths = packing.Encoder(ranks_path()), []
+    for (text,) in duckdb.sql(f"select coalesce(text, '') from '/root/testdata/{table}/documents.parquet'").fetchall():
+        lengths += [n for _, n in packing.cuts(len(e.encode(text)) // 4 + 1, packing.SIZE)]
+    plan = packing.solve(np.bincount(lengths, minlength=packing.SIZE + 1))
+    full = {k: sum(n for need, n in plan if sum(need.values()) == k and sum(p * m for p, m in need.items()) == packing.SIZE) for k in (2, 3, 4)}
+    assert full[2] > 0 and full[3] > 0 and full[4] >= (table == "sf0.001")
+    assert sum(n for _, n in plan) <= 1.01 * -(-sum(lengths) // packing.SIZE)
