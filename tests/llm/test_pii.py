@@ -1,6 +1,11 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import defaultdict
+
+from pyspark.sql import functions as F
 
 from trackloom.llm import pii
 
@@ -70,3 +75,112 @@ def test_plans_have_no_python(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     for out in (pii.digest(pii.find(df)), pii.redact(df)):
         assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+
+
+TOKEN = re.compile(r"(?<![A-Za-z0-9_@.=+/-])(?=[A-Za-z_@.=+/-]*[0-9])[A-Za-z0-9_@.=+/-]{7,}[A-Za-z0-9]")
+
+
+def bootstrap(texts):
+    """Discovered spans of each text, by the same rules in plain Python."""
+    clean = lambda w: re.sub(r"[^\w=:]|_", "", w).lower()
+    slots, graph = [], defaultdict(dict)
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute(t)]
+        for kind, form in [*FORMS, ("token", TOKEN.pattern)]:
+            ms = [m.span() for m in re.finditer(form, t)]
+            for k, (a, b) in enumerate(ms):
+                if kind == "token" and any(x < b and a < y for x, y in base) or kind != "token" and not valid(kind, t[a:b]):
+                    continue
+                before, after = t[ms[k - 1][1] if k else 0 : a].split(), t[b : ms[k + 1][0] if k + 1 < len(ms) else len(t)].split()
+                l1, l2, r1 = clean(before[-1]) if before else "", clean(before[-2]) if len(before) > 1 else "", clean(after[0]) if after else ""
+                made = [f"l1 {l1}" if l1 else "", f"l2 {l2} {l1}" if l1 and l2 else "", f"r1 {r1}" if r1 else "", f"lr {l1} {r1}" if l1 and r1 else ""]
+                for p in filter(None, made):
+                    graph[p][t[a:b].lower()] = graph[p].get(t[a:b].lower(), False) or kind != "token"
+                if kind == "token":
+                    slots.append((i, a, b))
+    seeds = {x for own in graph.values() for x, seed in own.items() if seed}
+    known = set(seeds)
+    while True:
+        doubt = {}
+        for p, own in graph.items():
+            hits = sum(x in known for x in own)
+            if hits >= pii.MIN_KNOWN and hits >= pii.MIN_SHARE * len(own) and hits < len(own):
+                doubt[p] = 1 - hits / (len(own) + 1)
+        votes = defaultdict(list)
+        for p, d in doubt.items():
+            for x in graph[p]:
+                if x not in known:
+                    votes[x].append(math.log(d))
+        new = {x for x, v in votes.items() if len(v) >= pii.MIN_PATTERNS and 1 - math.exp(sum(v)) >= pii.MIN_CHANCE}
+        if not new:
+            break
+        known |= new
+    out = defaultdict(list)
+    for i, a, b in slots:
+        if texts[i][a:b].lower() in known - seeds:
+            out[i].append(f"identifier:{a}:{b}")
+    return out
+
+
+def test_bootstrap_equals_plain_python(spark):
+    import duckdb
+
+    rows = duckdb.sql("select doc_id, coalesce(text, '') from '/root/testdata/sf0.01/documents.parquet' order by 1").fetchall()
+    rows += [(-1 - i, f"{t[:300]} ask agent u{i}@mail.example.com now." + f" Or ask agent ID-{i:06d} now" * (i < 12)) for i, (_, t) in enumerate(rows[:40])]
+    want = bootstrap([t for _, t in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("identifier")] for r in pii.digest(pii.find(df)).collect()}
+    assert got == {d: want[i] for i, (d, _) in enumerate(rows)}
+    assert sum(map(len, want.values())) >= 12
+
+
+def test_discovery_goes_on_until_a_round_adds_nothing(spark):
+    """A chain: each kind of context is vouched for by the identifiers that the one before it discovered."""
+    rows = [f"aa bb a{i:07d}@x.yy cc" for i in range(400)]
+    for k, n in enumerate((160, 64, 26, 11, 4)):
+        own = (f"ab{k}", f"cd{k}")
+        before = ("aa bb {} cc", *[f"ab{j} cd{j} {{}} ef{j}" for j in range(k)])[-1]
+        rows += [before.format(f"key{k}n{i:05d}") for i in range(n)] + [f"{own[0]} {own[1]} key{k}n{i:05d} ef{k}" for i in range(n)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(df)).collect()}
+    want = bootstrap(rows)
+    assert {i: [s for s in got[i].split(",") if s.startswith("identifier")] for i in got} == {i: want[i] for i in got}
+    assert sum("identifier" in s for s in got.values()) == 2 * 265
+
+
+def test_long_words_are_read_whole(spark):
+    long = "k" * 300
+    rows = [(i, f"{long} u{i}@mail.example.com {long}") for i in range(30)] + [(90, f"{long} AB-4471-9920 {long}"), (91, f"{long[1:]} AB-4471-9999 {long[1:]}")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[90] == "identifier:301:313" and got[91] == ""
+
+
+def test_a_text_of_very_many_matches(spark):
+    n = 50_000
+    text = " ".join(f"write u{i}@mail.example.com or id AB-{i:07d} é" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, "no"), (3, None)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(df)).collect()}
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert time.time() - began < 60
+    assert got[1]["n_email"] == n and got[1]["base_sha256"] == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+    assert red[1].startswith("write <EMAIL> or id ") and red[1].count("<EMAIL>") == n and "@" not in red[1] and red[2] == "no" and red[3] is None
+
+
+def test_overlapping_spans_and_running_values(spark):
+    random.seed(7)
+    for n in (0, 1, 2, 5, 17, 100):
+        v = [random.randint(-3, 9) for _ in range(n)]
+        df = spark.createDataFrame([(v,)], "v array<bigint>")
+        total, best = [sum(v[: i + 1]) for i in range(n)], [max([0, *v[: i + 1]]) for i in range(n)]
+        assert df.select(pii.running(F.col("v"), lambda a, x: a + x), pii.running(F.col("v"), F.greatest)).first() == (total, best)
+    for _ in range(20):
+        text = "".join(random.choice("abcé😀 ") for _ in range(40))
+        spans = sorted((a, -min(40, a + random.randint(1, 9)), "email") for a in random.choices(range(40), k=random.randint(1, 12)))
+        out, at = "", 0
+        for a, b, k in spans:
+            if a >= at:
+                out += text[at:a] + "<EMAIL>"
+            at = max(at, -b)
+        df = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:bigint,minus:bigint,kind:string>>")
+        assert df.select(pii._marked(F.col("text"), F.col("spans"))).first()[0] == out + text[at:]

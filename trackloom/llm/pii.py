@@ -7,11 +7,16 @@ the share of its distinct instances that are known already, and a token that eno
 becomes known itself, so it raises the score of its other patterns in the next round. Tokens discovered so are spans of
 kind ``identifier``, beside the spans of the four kinds.
 
+The rounds end when one adds nothing. Places of matches, overlaps and redacted texts come from running sums and maxima over
+the sorted matches of a text, in blocks of the root of their number, so a text of very many matches stays affordable.
+
 Counts go over distinct (pattern, instance) pairs of the whole corpus, so thousands of copies of a document weigh as one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +34,50 @@ FORMS = {
 }
 #: What can fill a slot: eight or more characters of identifiers, one of them a digit.
 TOKEN = r"(?<![A-Za-z0-9_@.=+/-])(?=[A-Za-z_@.=+/-]*+[0-9])[A-Za-z0-9_@.=+/-]{7,}[A-Za-z0-9]"
-ROUNDS = 3
 #: A pattern counts with so many distinct known instances, and such a share of its instances known.
 MIN_KNOWN, MIN_SHARE = 4, 0.7
 #: A token is accepted at such a chance that not all of its patterns are wrong, with so many patterns.
 MIN_CHANCE, MIN_PATTERNS = 0.95, 2
 
-_CONTEXT = 80
+#: The last word of what stands before a match, the last two, and the first word after it. Each starts at the start of a word
+#: and never goes back, so a long run of characters is read once.
+LAST, LAST_TWO, FIRST = r"(?<!\S)(\S++)\s*+\z", r"(?<!\S)(\S++)\s++\S++\s*+\z", r"\A\s*+(\S++)"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` mentions it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+_LONGS = "cast(array() as array<bigint>)"
+
+
+def _blocks(values: Column) -> Column:
+    """An array in consecutive blocks, as many as each has elements."""
+    n = F.size(values)
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(starts, lambda b: F.slice(values, b * step + 1, step))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of longs, ``op`` over all before it and itself, from zero on.
+
+    Appending to an array copies it, so the running values are made in blocks of the root of the array's length.
+    """
+
+    def scan(start: Column, own: Column) -> Column:
+        state = lambda at, out: F.struct(at.cast("long").alias("at"), out.alias("out"))
+        add = lambda a, x: _let(op(a["at"], x), lambda at: state(at, F.concat(a["out"], F.array(at.cast("long")))))
+        return F.aggregate(own, state(start, F.expr(_LONGS)), add, lambda a: a["out"])
+
+    zero = F.lit(0).cast("long")
+
+    def whole(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: op(a, x).cast("long")))
+        return _let(scan(zero, totals), lambda ends: F.flatten(F.transform(blocks, lambda b, i: scan(F.when(i > 0, F.get(ends, i - 1)).otherwise(zero), b))))
+
+    return _let(values, lambda v: _let(_blocks(v), whole))
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -55,36 +97,61 @@ def _clean(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}=:]+", ""))
 
 
-def _word(piece: Column, back: int) -> Column:
-    """The ``back``-th word from the end of what stands before a match; '' if there is none."""
-    return _clean(F.coalesce(F.get(F.reverse(F.split(F.trim(F.regexp_replace(F.right(piece, F.lit(_CONTEXT)), r"\s+", " ")), " ")), F.lit(back - 1)), F.lit("")))
+def _placed(found: Column, pieces: Column) -> Column:
+    """Matches with their places, from the matches and from what lies between them (code points, end exclusive)."""
 
+    def placed(found: Column, pieces: Column) -> Column:
+        both = F.zip_with(found, pieces, lambda m, piece: F.when(m.isNotNull(), (F.length(piece) + F.length(m)).cast("long")))
+        ends = running(F.slice(both, 1, F.size(found)), lambda a, x: a + x)
 
-def _first(piece: Column) -> Column:
-    return _clean(F.coalesce(F.get(F.split(F.trim(F.regexp_replace(F.left(piece, F.lit(_CONTEXT)), r"\s+", " ")), " "), F.lit(0)), F.lit("")))
+        def place(e: Column) -> Column:
+            at = lambda m, i: F.struct(
+                m.alias("m"),
+                (F.get(e, i) - F.length(m)).alias("start"),
+                F.get(e, i).alias("end"),
+                F.regexp_extract(F.get(pieces, i), LAST, 1).alias("l1"),
+                F.regexp_extract(F.get(pieces, i), LAST_TWO, 1).alias("l2"),
+                F.regexp_extract(F.get(pieces, i + 1), FIRST, 1).alias("r1"),
+            )
+            return F.transform(found, at)
 
+        return _let(ends, place)
 
-_PLACED = "array<struct<m:string,start:bigint,end:bigint,before:string,after:string>>"
+    # bound, as the optimiser could else put the search itself where a match's place is looked up
+    return _let(found, lambda f: _let(pieces, lambda p: placed(f, p)))
 
 
-def _placed(found: str, pieces: str) -> Column:
-    """Matches with their places, from the matches and from what lies between them (code points, end exclusive)."""
-    return F.expr(
-        f"aggregate(sequence(1, size({found})), named_struct('at', 0L, 'out', cast(array() as {_PLACED})), (a, i) -> named_struct("
-        f"'at', a.at + length({pieces}[i - 1]) + length({found}[i - 1]), "
-        f"'out', concat(a.out, array(named_struct('m', {found}[i - 1], 'start', a.at + length({pieces}[i - 1]), 'end', a.at + length({pieces}[i - 1]) + length({found}[i - 1]), "
-        f"'before', right({pieces}[i - 1], {_CONTEXT}), 'after', left({pieces}[i], {_CONTEXT})))))).out"
-    )
+_PLACED = "array<struct<m:string,start:bigint,end:bigint,l1:string,l2:string,r1:string>>"
 
 
 def _slot(x: Column) -> list[Column]:
-    return [x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(F.lower(x["m"])).alias("inst"), _word(x["before"], 1).alias("l1"), _word(x["before"], 2).alias("l2"), _first(x["after"]).alias("r1")]
+    return [x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(F.lower(x["m"])).alias("inst"), *[_clean(x[w]).alias(w) for w in ("l1", "l2", "r1")]]
 
 
 def _spans(kind: str) -> Column:
     return F.transform(F.filter(f"__tl_p_{kind}", lambda x: _valid(kind, x["m"])), lambda x: F.struct(F.lit(kind).alias("kind"), *_slot(x)))
 
 
+def _clear(tokens: Column, base: Column) -> Column:
+    """The tokens, in order, that no base span overlaps.
+
+    Tokens by their end and base spans by their start are sorted together; a token is clear if the greatest end of the base
+    spans before it doesn't pass its start.
+    """
+    none = F.lit(None)
+    event = lambda at, kind, end, token: F.struct(at.alias("at"), F.lit(kind).alias("kind"), end.alias("reach"), token.alias("token"))
+    zero = F.lit(0).cast("long")
+    events = F.concat(F.transform(tokens, lambda t: event(t["end"], 0, zero, t["start"])), F.transform(base, lambda b: event(b["start"], 1, b["end"], none.cast("long"))))
+
+    def passed(e: Column) -> Column:
+        reach = running(F.transform(e, lambda x: x["reach"]), F.greatest)
+        free = _let(reach, lambda r: F.transform(e, lambda x, i: x.withField("free", F.get(r, i) <= x["token"])))
+        return F.transform(F.filter(free, lambda x: x["kind"] == 0), lambda x: x["free"])
+
+    kept = lambda ok: F.filter(tokens, lambda t, i: F.get(ok, i))
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), _let(_let(F.array_sort(events), passed), kept)).otherwise(tokens)
+
+
 def extract(docs: DataFrame) -> DataFrame:
     """``docs`` (with a text column) and __tl_base (spans of the four kinds, in order) and __tl_more (other tokens)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -98,10 +165,9 @@ def extract(docs: DataFrame) -> DataFrame:
     for kind, form in forms.items():
         df = df.withColumn(f"__tl_s_{kind}", F.when(F.size(f"__tl_f_{kind}") > 0, F.split("__tl_text", form, -1)))
     for kind in forms:
-        df = df.withColumn(f"__tl_p_{kind}", F.when(F.size(f"__tl_f_{kind}") > 0, _placed(f"__tl_f_{kind}", f"__tl_s_{kind}")).otherwise(nothing))
+        df = df.withColumn(f"__tl_p_{kind}", F.when(F.size(f"__tl_f_{kind}") > 0, _placed(F.col(f"__tl_f_{kind}"), F.col(f"__tl_s_{kind}"))).otherwise(nothing))
     df = df.withColumn("__tl_base", F.concat(*map(_spans, KINDS)))
-    clear = lambda x: ~F.exists("__tl_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    df = df.withColumn("__tl_more", F.transform(F.filter("__tl_p_token", clear), lambda x: F.struct(*_slot(x))))
+    df = df.withColumn("__tl_more", F.transform(_clear(F.col("__tl_p_token"), F.col("__tl_base")), lambda x: F.struct(*_slot(x))))
     return df.drop("__tl_text", "__tl_digits", *[f"__tl_{a}_{kind}" for kind in forms for a in "fsp"])
 
 
@@ -117,19 +183,21 @@ def _patterns(x: str) -> Column:
     return F.array_compact(F.array(*made))
 
 
-def bootstrap(extracted: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """The instances discovered, ``inst``, from the pattern-instance graph of ``extracted``."""
+def bootstrap(extracted: DataFrame, scratch: Scratch) -> DataFrame:
+    """The instances discovered, ``inst``, from the pattern-instance graph of ``extracted``; rounds go on until one adds nothing."""
     slots = extracted.select(F.explode(F.concat(F.transform("__tl_base", lambda x: x.dropFields("kind").withField("seed", F.lit(True))), F.transform("__tl_more", lambda x: x.withField("seed", F.lit(False))))).alias("x"))
     graph = scratch.cut(slots.select("x.inst", "x.seed", F.explode(_patterns("x")).alias("pattern")).groupBy("pattern", "inst").agg(F.max("seed").alias("seed")))
     known = scratch.cut(graph.where("seed").select("inst").distinct())
     seeds = known
-    for _ in range(rounds):
+    while True:
         marked = graph.select("pattern", "inst").join(known.withColumn("known", F.lit(True)), "inst", "left")
         scored = marked.groupBy("pattern").agg(F.count("*").alias("n"), F.count("known").alias("hits")).where((F.col("hits") >= MIN_KNOWN) & (F.col("hits") >= MIN_SHARE * F.col("n")) & (F.col("hits") < F.col("n")))
         votes = marked.where("known is null").join(scored.select("pattern", (1 - F.col("hits") / (F.col("n") + 1)).alias("doubt")), "pattern")
         new = votes.groupBy("inst").agg(F.count("*").alias("n"), F.sum(F.log("doubt")).alias("doubt")).where((F.col("n") >= MIN_PATTERNS) & (1 - F.exp("doubt") >= MIN_CHANCE)).select("inst")
+        new = scratch.cut(new)
+        if new.isEmpty():
+            return known.join(seeds, "inst", "left_anti")
         known = scratch.cut(known.unionByName(new))
-    return known.join(seeds, "inst", "left_anti")
 
 
 def _found(extracted: DataFrame, key: list[str], scratch: Scratch) -> DataFrame:
@@ -170,6 +238,33 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
 
 
+def _marked(text: Column, spans: Column) -> Column:
+    """``text`` with its spans (start, minus the end, kind), sorted, replaced by marks.
+
+    A span that starts before the greatest end so far gives no mark of its own. Texts between marks are cut out of the text
+    block by block, as a cut counts characters from the start.
+    """
+
+    def kept(reach: Column) -> Column:
+        at = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0).cast("long"))
+        own = F.transform(spans, lambda x, i: F.struct(at(i).alias("at"), x["start"].alias("start"), x["kind"].alias("kind")))
+        return F.filter(own, lambda x: x["start"] >= x["at"])
+
+    sub = lambda t, at, n: F.substring(t, (at + 1).cast("int"), n.cast("int"))
+    mark = lambda x: F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+
+    def block(own: Column) -> Column:
+        first, last = F.get(own, F.lit(0)), F.element_at(own, -1)
+        pieces = lambda t: F.array_join(F.transform(own, lambda x: F.concat(sub(t, x["at"] - first["at"], x["start"] - x["at"]), mark(x))), "")
+        return _let(sub(text, first["at"], last["start"] - first["at"]), pieces)
+
+    def joined(reach: Column) -> Column:
+        rest = F.substring(text, (F.element_at(reach, -1) + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(F.transform(_let(kept(reach), _blocks), block), ""), rest)
+
+    return _let(running(F.transform(spans, lambda x: -x["minus"]), F.greatest), joined)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind in angle brackets; rows and columns stay.
 
@@ -186,12 +281,6 @@ def redact(docs: DataFrame) -> DataFrame:
     spans_of = _found(once, key, scratch)
     found = keyed.join(spans_of, key, "left")
     spans = F.concat(F.transform("__tl_base", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), x["kind"].alias("kind"))), F.transform("__tl_found", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), F.lit(FOUND).alias("kind"))))
-    step = F.expr(
-        "aggregate(__tl_spans, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, s) -> if(s.start < a.at, "
-        "named_struct('at', greatest(a.at, -s.minus), 'out', a.out), "
-        "named_struct('at', -s.minus, 'out', concat(a.out, array(substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), concat('<', upper(s.kind), '>')))))"
-        ", a -> array_join(concat(a.out, array(substring(text, cast(a.at + 1 as int)))), ''))"
-    )
-    text = F.when(F.size("__tl_spans") > 0, step).otherwise(F.col("text"))
+    text = F.when(F.size("__tl_spans") > 0, _marked(F.col("text"), F.col("__tl_spans"))).otherwise(F.col("text"))
     marked = found.withColumn("__tl_spans", F.array_sort(spans)).withColumn("text", text).select(*docs.columns)
     return docs.where(~some).unionByName(marked)
