@@ -44,40 +44,38 @@ MIN_CHANCE, MIN_PATTERNS = 0.95, 2
 LAST, LAST_TWO, FIRST = r"(?<!\S)(\S++)\s*+\z", r"(?<!\S)(\S++)\s++\S++\s*+\z", r"\A\s*+(\S++)"
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` mentions it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for a value that is computed once, however often it is mentioned."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-_LONGS = "cast(array() as array<bigint>)"
+def _blocks(values: str) -> str:
+    """SQL: an array in consecutive blocks, as many as each has elements."""
+    step = f"cast(ceil(sqrt(size({values}))) as int)"
+    return f"transform(if(size({values}) > 0, sequence(0, cast(ceil(size({values}) / {step}) as int) - 1), cast(array() as array<int>)), k -> slice({values}, k * {step} + 1, {step}))"
 
 
-def _blocks(values: Column) -> Column:
-    """An array in consecutive blocks, as many as each has elements."""
-    n = F.size(values)
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda b: F.slice(values, b * step + 1, step))
-
-
-def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """For each of an array of longs, ``op`` over all before it and itself, from zero on.
+def running(values: str, op: Callable[[str, str], str]) -> str:
+    """SQL: for each of an array of longs, ``op`` over all before it and itself, from zero on.
 
     Appending to an array copies it, so the running values are made in blocks of the root of the array's length.
     """
 
-    def scan(start: Column, own: Column) -> Column:
-        state = lambda at, out: F.struct(at.cast("long").alias("at"), out.alias("out"))
-        add = lambda a, x: _let(op(a["at"], x), lambda at: state(at, F.concat(a["out"], F.array(at.cast("long")))))
-        return F.aggregate(own, state(start, F.expr(_LONGS)), add, lambda a: a["out"])
+    def scan(start: str, own: str) -> str:
+        step = _let(op("a.at", "x"), "n", "named_struct('at', n, 'out', concat(a.out, array(n)))")
+        return f"aggregate({own}, named_struct('at', {start}, 'out', cast(array() as array<bigint>)), (a, x) -> {step}, a -> a.out)"
+
+    totals = f"transform(blocks, b -> aggregate(b, 0L, (a, x) -> {op('a', 'x')}))"
+    each = f"flatten(transform(blocks, (b, i) -> {scan('if(i > 0, ends[i - 1], 0L)', 'b')}))"
+    return _let(values, "vs", _let(_blocks("vs"), "blocks", _let(scan("0L", totals), "ends", each)))
+
 
-    zero = F.lit(0).cast("long")
+def _sum(a: str, x: str) -> str:
+    return f"{a} + {x}"
 
-    def whole(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: op(a, x).cast("long")))
-        return _let(scan(zero, totals), lambda ends: F.flatten(F.transform(blocks, lambda b, i: scan(F.when(i > 0, F.get(ends, i - 1)).otherwise(zero), b))))
 
-    return _let(values, lambda v: _let(_blocks(v), whole))
+def _most(a: str, x: str) -> str:
+    return f"greatest({a}, {x})"
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -97,28 +95,13 @@ def _clean(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}=:]+", ""))
 
 
-def _placed(found: Column, pieces: Column) -> Column:
+def _placed(found: str, pieces: str) -> Column:
     """Matches with their places, from the matches and from what lies between them (code points, end exclusive)."""
-
-    def placed(found: Column, pieces: Column) -> Column:
-        both = F.zip_with(found, pieces, lambda m, piece: F.when(m.isNotNull(), (F.length(piece) + F.length(m)).cast("long")))
-        ends = running(F.slice(both, 1, F.size(found)), lambda a, x: a + x)
-
-        def place(e: Column) -> Column:
-            at = lambda m, i: F.struct(
-                m.alias("m"),
-                (F.get(e, i) - F.length(m)).alias("start"),
-                F.get(e, i).alias("end"),
-                F.regexp_extract(F.get(pieces, i), LAST, 1).alias("l1"),
-                F.regexp_extract(F.get(pieces, i), LAST_TWO, 1).alias("l2"),
-                F.regexp_extract(F.get(pieces, i + 1), FIRST, 1).alias("r1"),
-            )
-            return F.transform(found, at)
-
-        return _let(ends, place)
-
+    sizes = "transform(found, (m, i) -> cast(length(pieces[i]) + length(m) as bigint))"
+    word = lambda piece, form: f"regexp_extract(pieces[{piece}], r'{form}', 1)"
+    at = f"named_struct('m', m, 'start', reach[i] - length(m), 'end', reach[i], 'l1', {word('i', LAST)}, 'l2', {word('i', LAST_TWO)}, 'r1', {word('i + 1', FIRST)})"
     # bound, as the optimiser could else put the search itself where a match's place is looked up
-    return _let(found, lambda f: _let(pieces, lambda p: placed(f, p)))
+    return F.expr(_let(found, "found", _let(pieces, "pieces", _let(running(sizes, _sum), "reach", f"transform(found, (m, i) -> {at})"))))
 
 
 _PLACED = "array<struct<m:string,start:bigint,end:bigint,l1:string,l2:string,r1:string>>"
@@ -132,24 +115,17 @@ def _spans(kind: str) -> Column:
     return F.transform(F.filter(f"__tl_p_{kind}", lambda x: _valid(kind, x["m"])), lambda x: F.struct(F.lit(kind).alias("kind"), *_slot(x)))
 
 
-def _clear(tokens: Column, base: Column) -> Column:
+def _clear(tokens: str, base: str) -> Column:
     """The tokens, in order, that no base span overlaps.
 
     Tokens by their end and base spans by their start are sorted together; a token is clear if the greatest end of the base
     spans before it doesn't pass its start.
     """
-    none = F.lit(None)
-    event = lambda at, kind, end, token: F.struct(at.alias("at"), F.lit(kind).alias("kind"), end.alias("reach"), token.alias("token"))
-    zero = F.lit(0).cast("long")
-    events = F.concat(F.transform(tokens, lambda t: event(t["end"], 0, zero, t["start"])), F.transform(base, lambda b: event(b["start"], 1, b["end"], none.cast("long"))))
-
-    def passed(e: Column) -> Column:
-        reach = running(F.transform(e, lambda x: x["reach"]), F.greatest)
-        free = _let(reach, lambda r: F.transform(e, lambda x, i: x.withField("free", F.get(r, i) <= x["token"])))
-        return F.transform(F.filter(free, lambda x: x["kind"] == 0), lambda x: x["free"])
-
-    kept = lambda ok: F.filter(tokens, lambda t, i: F.get(ok, i))
-    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), _let(_let(F.array_sort(events), passed), kept)).otherwise(tokens)
+    event = lambda at, kind, reach, start: f"named_struct('at', {at}, 'kind', {kind}, 'reach', {reach}, 'start', {start})"
+    events = f"array_sort(concat(transform(tokens, t -> {event('t.end', 0, '0L', 't.start')}), transform(spans, t -> {event('t.start', 1, 't.end', '0L')})))"
+    free = _let(running("transform(events, t -> t.reach)", _most), "reach", "filter(transform(events, (t, i) -> if(t.kind = 0, reach[i] <= t.start, null)), ok -> ok is not null)")
+    kept = _let(events, "events", _let(free, "free", "filter(tokens, (t, i) -> free[i])"))
+    return F.expr(_let(tokens, "tokens", _let(base, "spans", f"if(size(tokens) > 0 and size(spans) > 0, {kept}, tokens)")))
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -157,17 +133,14 @@ def extract(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     some = {"email": text.contains("@"), "phone": text.contains("+")}
     digits = text.rlike("[0-9]")
-    df = docs.withColumn("__tl_text", text).withColumn("__tl_digits", digits)
+    df = docs.withColumns({"__tl_text": text, "__tl_digits": digits})
     nothing = F.expr(f"cast(array() as {_PLACED})")
     forms = {**FORMS, "token": TOKEN}
-    for kind, form in forms.items():
-        df = df.withColumn(f"__tl_f_{kind}", F.when(some.get(kind, F.col("__tl_digits")), F.regexp_extract_all("__tl_text", F.lit(form), F.lit(0))))
-    for kind, form in forms.items():
-        df = df.withColumn(f"__tl_s_{kind}", F.when(F.size(f"__tl_f_{kind}") > 0, F.split("__tl_text", form, -1)))
-    for kind in forms:
-        df = df.withColumn(f"__tl_p_{kind}", F.when(F.size(f"__tl_f_{kind}") > 0, _placed(F.col(f"__tl_f_{kind}"), F.col(f"__tl_s_{kind}"))).otherwise(nothing))
+    df = df.withColumns({f"__tl_f_{kind}": F.when(some.get(kind, F.col("__tl_digits")), F.regexp_extract_all("__tl_text", F.lit(form), F.lit(0))) for kind, form in forms.items()})
+    df = df.withColumns({f"__tl_s_{kind}": F.when(F.size(f"__tl_f_{kind}") > 0, F.split("__tl_text", form, -1)) for kind, form in forms.items()})
+    df = df.withColumns({f"__tl_p_{kind}": F.when(F.size(f"__tl_f_{kind}") > 0, _placed(f"__tl_f_{kind}", f"__tl_s_{kind}")).otherwise(nothing) for kind in forms})
     df = df.withColumn("__tl_base", F.concat(*map(_spans, KINDS)))
-    df = df.withColumn("__tl_more", F.transform(_clear(F.col("__tl_p_token"), F.col("__tl_base")), lambda x: F.struct(*_slot(x))))
+    df = df.withColumn("__tl_more", F.transform(_clear("__tl_p_token", "__tl_base"), lambda x: F.struct(*_slot(x))))
     return df.drop("__tl_text", "__tl_digits", *[f"__tl_{a}_{kind}" for kind in forms for a in "fsp"])
 
 
@@ -238,31 +211,20 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
 
 
-def _marked(text: Column, spans: Column) -> Column:
+def _marked(text: str, spans: str) -> Column:
     """``text`` with its spans (start, minus the end, kind), sorted, replaced by marks.
 
     A span that starts before the greatest end so far gives no mark of its own. Texts between marks are cut out of the text
     block by block, as a cut counts characters from the start.
     """
-
-    def kept(reach: Column) -> Column:
-        at = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0).cast("long"))
-        own = F.transform(spans, lambda x, i: F.struct(at(i).alias("at"), x["start"].alias("start"), x["kind"].alias("kind")))
-        return F.filter(own, lambda x: x["start"] >= x["at"])
-
-    sub = lambda t, at, n: F.substring(t, (at + 1).cast("int"), n.cast("int"))
-    mark = lambda x: F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-
-    def block(own: Column) -> Column:
-        first, last = F.get(own, F.lit(0)), F.element_at(own, -1)
-        pieces = lambda t: F.array_join(F.transform(own, lambda x: F.concat(sub(t, x["at"] - first["at"], x["start"] - x["at"]), mark(x))), "")
-        return _let(sub(text, first["at"], last["start"] - first["at"]), pieces)
-
-    def joined(reach: Column) -> Column:
-        rest = F.substring(text, (F.element_at(reach, -1) + 1).cast("int"), F.length(text))
-        return F.concat(F.array_join(F.transform(_let(kept(reach), _blocks), block), ""), rest)
-
-    return _let(running(F.transform(spans, lambda x: -x["minus"]), F.greatest), joined)
+    sub = lambda t, at, n: f"substring({t}, cast({at} + 1 as int), cast({n} as int))"
+    own = "transform(spans, (x, i) -> named_struct('at', if(i > 0, reach[i - 1], 0L), 'start', x.start, 'kind', x.kind))"
+    kept = f"filter({own}, x -> x.start >= x.at)"
+    pieces = f"array_join(transform(own, x -> concat({sub('t', 'x.at - own[0].at', 'x.start - x.at')}, '<', upper(x.kind), '>')), '')"
+    block = _let(sub(text, "own[0].at", "element_at(own, -1).start - own[0].at"), "t", pieces)
+    rest = sub(text, "element_at(reach, -1)", f"length({text})")
+    joined = f"concat(array_join(transform({_let(kept, 'kept', _blocks('kept'))}, own -> {block}), ''), {rest})"
+    return F.expr(_let(spans, "spans", f"if(size(spans) > 0, {_let(running('transform(spans, x -> -x.minus)', _most), 'reach', joined)}, {text})"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -281,6 +243,6 @@ def redact(docs: DataFrame) -> DataFrame:
     spans_of = _found(once, key, scratch)
     found = keyed.join(spans_of, key, "left")
     spans = F.concat(F.transform("__tl_base", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), x["kind"].alias("kind"))), F.transform("__tl_found", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), F.lit(FOUND).alias("kind"))))
-    text = F.when(F.size("__tl_spans") > 0, _marked(F.col("text"), F.col("__tl_spans"))).otherwise(F.col("text"))
+    text = F.when(F.size("__tl_spans") > 0, _marked("text", "__tl_spans")).otherwise(F.col("text"))
     marked = found.withColumn("__tl_spans", F.array_sort(spans)).withColumn("text", text).select(*docs.columns)
     return docs.where(~some).unionByName(marked)
