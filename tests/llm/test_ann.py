@@ -18,7 +18,7 @@ def test_recall_and_scores(spark):
     x = rng.normal(size=(3000, 64)) + 2 * rng.normal(size=(20, 64))[rng.integers(20, size=3000)]
     x = (x * rng.uniform(0.5, 2, (3000, 1))).astype("float32")
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = ann.search(df, df.where("vec_id % 20 = 0"), block=1000, rerank=150).toPandas()
+    got = ann.search(df, df.where("vec_id % 20 = 0"), block=500, rerank=12).toPandas()
     want = brute([(i, v) for i, v in enumerate(x)], set(range(0, 3000, 20)), 20)
     hits = sum(len(set(g["vec_id"]) & set(want[q])) for q, g in got.groupby("query_id"))
     assert hits / (150 * 20) >= 0.9
@@ -29,6 +29,23 @@ def test_recall_and_scores(spark):
         assert np.allclose(g["score"], s, rtol=1e-12) and sorted(zip([-a for a in g["score"]], g["vec_id"], strict=True)) == list(zip([-a for a in g["score"]], g["vec_id"], strict=True))
 
 
+def test_recall_of_the_query_over_several_blocks(spark):
+    """Unclustered unit vectors, the query's own parameters but for smaller blocks."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(df, df.where("vec_id % 20 = 0"), block=1500).toPandas()
+    want = brute([(i, v) for i, v in enumerate(x)], set(range(0, 6000, 20)), 20)
+    assert sum(len(set(g["vec_id"]) & set(want[q])) for q, g in got.groupby("query_id")) >= 0.97 * 300 * 20
+
+
+def test_only_codes_and_numbers_are_dealt_for_the_scan(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    plan = ann.search(df, df.where("vec_id % 20 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "codes" in plan and "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_anisotropic_codes_keep_scores_better_than_plain_ones():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 16))

@@ -3,8 +3,9 @@
 Vectors are cut into parts of two components, and each part is coded by one of 16 centres (four bits). The loss that fits
 the centres and chooses the codes weighs the part of the residual that is parallel to the vector higher than the rest,
 because that part changes the scores that matter in a search for the largest inner products. The codebooks are fitted on a
-bounded sample; every vector is coded. A query adds up one table entry for each part, over a block of codes, and the best
-``RERANK`` of a block are scored exactly, in double precision, on the original vectors.
+bounded sample; every vector is coded once, and the codes (a quarter of a byte a component) are the index that is written. A
+query adds up one table entry for each part, over a block of codes; a block's best entries go on by their number alone. The
+best of all blocks meet their original vectors in one equi-join and are scored exactly, in double precision.
 
 Equal vectors are one entry of the index, with as many of their smallest ids as a result can hold, so a vector that a third
 of the rows share costs one entry and its ids tie as they should.
@@ -24,8 +25,10 @@ TOP = 20
 #: Vectors that the codebooks are fitted on, drawn by a hash: the bound of the sample.
 SAMPLE = 8192
 PART, CENTRES = 2, 16
-#: Entries of a block, queries of a block, entries of a block that are scored exactly for each query.
-BLOCK, QUERY_BLOCK, RERANK = 8192, 4096, 256
+#: Codes of a block (more, where there would be over MAX_BLOCKS of them), and queries of a block.
+BLOCK, MAX_BLOCKS, QUERY_BLOCK = 16384, 1024, 1024
+#: Entries that are scored exactly for each query: so many for each doubling of the index's size.
+RERANK = 24
 #: Scores over this share of the norm weigh in the loss.
 THRESHOLD = 0.2
 
@@ -100,47 +103,58 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _search(books: Codebooks, top: int, rerank: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+def _encode(books: Codebooks):
+    def run(batches):
+        for batch in batches:
+            packed = Codebooks.pack(books.encode(_matrix(batch.column("v"), books.dim))) if batch.num_rows else np.zeros((0, 1), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array([r.tobytes() for r in packed], pa.binary())], names=["entry", "codes"])
+
+    return run
+
+
+def _scan(books: Codebooks, rerank: int):
+    schema = pa.schema([("query_id", pa.int64()), ("entry", pa.int64()), ("near", pa.float32())])
 
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
-        """Best ``top`` of one block of entries for each query of one block."""
+        """The best ``rerank`` entries of one block of codes, by the tables, for each query of one block."""
         if not index.num_rows or not asked.num_rows:
             return schema.empty_table()
-        order = index["ids"].combine_chunks()
-        x, q = _matrix(index["v"], books.dim), _matrix(asked["v"], books.dim)
-        ids, ends = order.flatten().to_numpy(), order.offsets.to_numpy() - order.offsets[0].as_py()
-        first, count = ids[ends[:-1]], np.diff(ends)
-        packed = Codebooks.pack(books.encode(x))
-        asked_id = asked["query_id"].to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at in range(0, len(q), 128):
-            own = q[at : at + 128]
-            if len(x) > rerank:
-                tables, score = books.tables(own), np.zeros((len(own), len(x)), np.float32)
-                for j in range(packed.shape[1]):
-                    score += tables[:, j, :][:, packed[:, j]]
-                near = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
-            else:
-                near = np.broadcast_to(np.arange(len(x)), (len(own), len(x)))
-            for i, (v, c) in enumerate(zip(own, near, strict=True)):
-                exact = (x[c] * v).sum(axis=1)
-                best = c[np.lexsort((first[c], -exact))][: top + 1]  # one entry may hold the query alone
-                n = count[best]
-                got = np.concatenate([ids[ends[e] : ends[e] + k] for e, k in zip(best.tolist(), n.tolist(), strict=True)])
-                s = np.repeat((x[best] * v).sum(axis=1), n)
-                keep = got != asked_id[at + i]
-                got, s = got[keep], s[keep]
-                o = np.lexsort((got, -s))[:top]
-                out.append((np.full(len(o), asked_id[at + i]), got[o], s[o]))
+        entry, query = index["entry"].to_numpy(), asked["query_id"].to_numpy()
+        packed = np.frombuffer(b"".join(index["codes"].to_pylist()), np.uint8).reshape(len(entry), -1)
+        q, best = _matrix(asked["v"], books.dim), min(rerank, len(entry))
+        out: list[tuple[np.ndarray, ...]] = []
+        for at in range(0, len(q), 64):
+            tables = books.tables(q[at : at + 64])
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for low in range(0, len(entry), BLOCK):
+                own = packed[low : low + BLOCK]
+                score = np.zeros((len(tables), len(own)), np.float32)
+                for j in range(own.shape[1]):
+                    score += tables[:, j, :][:, own[:, j]]
+                k = min(best, len(own))
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                held.append((top + low, np.take_along_axis(score, top, 1)))
+            place, near = (np.concatenate(x, axis=1) for x in zip(*held, strict=True))
+            top = np.argpartition(-near, best - 1, axis=1)[:, :best]
+            out.append((np.repeat(query[at : at + 64], best), entry[np.take_along_axis(place, top, 1)].ravel(), np.take_along_axis(near, top, 1).ravel()))
         return pa.Table.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out, strict=True)], schema=schema)
 
     return run
 
 
+def _exact(dim: int):
+    def run(batches):
+        for batch in batches:
+            x, q = (_matrix(batch.column(c), dim) for c in ("v", "q"))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array((x * q).sum(axis=1))], names=["query_id", "ids", "score"])
+
+    return run
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors that take part, in double precision: of the most frequent length, finite, none null, not all zero."""
-    v = F.col("embedding").cast("array<double>")
+    """(vec_id, v): vectors that take part, with their own kind of components: of the most frequent length, finite, none null, not all zero."""
+    kind = vectors.schema["embedding"].dataType
+    v = F.col("embedding") if kind == T.ArrayType(T.FloatType()) else F.col("embedding").cast("array<double>")
     bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     ok = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(~bad & F.exists("v", lambda e: e != 0))
     length = ok.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
@@ -154,24 +168,32 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, sample: int =
     Both have vec_id and embedding. A query's own vec_id is no candidate; ties go to the smaller vec_id; fewer candidates
     than ``top`` are all returned. Vectors null, zero, with null or non-finite components or of an odd length take no part,
     nor do null ids. Of rows that repeat a vec_id with another vector, each is a candidate and the least vector is asked.
-    Empty tables give an empty result; other columns are ignored.
+    Empty tables give an empty result; other columns are ignored. ``rerank`` entries for each doubling of the index's size,
+    and never under ``top`` + 1, are scored exactly.
     """
     scratch = Scratch(vectors.sparkSession)
     good = scratch.cut(usable(vectors))
     first = good.first()
     dim = len(first[1]) if first else PART
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    index = scratch.cut(good.distinct().withColumn("rank", rank).where(F.col("rank") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    index = good.distinct().withColumn("rank", rank).where(F.col("rank") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    index = scratch.cut(index.withColumn("entry", F.monotonically_increasing_id()))
     n = index.count()
     drawn = F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))) + 1
     x = np.array([r[0] for r in index.where(drawn).select("v").limit(2 * sample).collect()], np.float64).reshape(-1, dim)
     books = fit(x) if len(x) else Codebooks(dim, [np.zeros((CENTRES, min(PART, dim - a))) for a in range(0, dim, PART)])
+    codes = scratch.cut(index.select("entry", "v").mapInArrow(_encode(books), "entry long, codes binary"))
     asked = good.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = scratch.cut(asked.withColumnRenamed("vec_id", "query_id"))
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-asked.count() // QUERY_BLOCK))
-    left = index.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    blocks, query_blocks = max(1, -(-n // max(block, -(-n // MAX_BLOCKS)))), max(1, -(-asked.count() // QUERY_BLOCK))
+    left = codes.withColumn("b", F.pmod(F.xxhash64("entry"), F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(_search(books, top, rerank), schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    most = max(top + 1, rerank * max(1, n).bit_length())
+    near = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(_scan(books, most), "query_id long, entry long, near float")
+    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "entry")
+    kept = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).select("query_id", "entry")
+    both = kept.join(index, "entry").join(asked.select("query_id", F.col("v").alias("q")), "query_id").select("query_id", "ids", "v", "q")
+    found = both.mapInArrow(_exact(dim), "query_id long, ids array<bigint>, score double")
+    each = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id").distinct()
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
