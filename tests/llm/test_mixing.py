@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from trackloom.llm import mixing
@@ -81,3 +82,31 @@ def test_partitions_of_the_rows_are_the_shards(spark, sf, monkeypatch):
         assert sorted((r["doc_id"], r["at"] // parts) for r in at) == want
         big = [r["source"] for r in at if r["at"] == 0]
         assert part_words < 10_000 or sum(a != b for a, b in zip(big, big[1:], strict=False)) > len(set(big))  # not source after source
+
+
+def test_more_passes_where_the_ceiling_asks_for_them(spark):
+    rows = [(i, "a b c d", s) for i in range(10) for s in ("x", "y")] + [(99, "e", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for ceiling, share in ((3.0, 3.0), (3.5, 3.2), (1.0, 0.7), (0.5, 0.4)):
+        got = mixing.mix(df, ceiling=ceiling, share=share, block_words=7).collect()
+        for s in ("x", "y"):
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
+        assert all(r["taken"] <= max(1, -(-ceiling // 1)) * r["size"] for r in got)
+        mixed = mixing.mixed_rows(df, ceiling=ceiling, share=share, block_words=7).collect()
+        assert sum(words(r["text"]) for r in mixed) == sum(r["taken"] for r in got)
+
+
+def test_mixed_rows_of_edge_rows(spark):
+    rows = [(1, "a b c", None, 5), (2, None, "s", 6), (3, "", "s", 7), (4, "x y", "s", 8), (4, "x y", "s", 8), (None, "p q r s t", "t", None), (7, "w " * 3000, "t", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int")
+    got = mixing.mixed_rows(df, "mix_shard", block_words=50)
+    taken = sorted((str(r["doc_id"]), r["text"]) for r in got.collect())
+    assert got.columns == [*df.columns, "mix_shard"] and not {"2", "3"} & {d for d, _ in taken}
+    assert sum(words(t) for _, t in taken) == sum(r["taken"] for r in mixing.mix(df, block_words=50).collect())
+    assert {r["mix_shard"] for r in got.collect()} <= set(range(mixing.SHARDS)) and all(r["shard"] in (5, 6, 7, 8, 9, None) for r in got.collect())
+    places = {(r["doc_id"], r["mix_shard"]) for r in got.collect()}
+    assert places == {(r["doc_id"], s) for r in mixing.mix(df, block_words=50).collect() for s in (r["shard_1"], r["shard_2"]) if s is not None}
+    assert mixing.mixed_rows(df.limit(0)).count() == 0 and mixing.mixed_rows(df.where("doc_id = 3")).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mixed_rows(df, "shard")

@@ -2,7 +2,7 @@
 
 Every source is dealt into blocks of about ``block_words`` words by a seeded hash, so a block is a random draw from its
 source and a source of any share of the rows becomes many blocks. A source whose target is r times its size is walked
-through r times in its permuted block order: whole passes take every block, the last pass takes blocks until the target
+through r times in its permuted block order (``ceiling`` bounds r): whole passes take every block, the last pass takes blocks until the target
 is met, and the block at the edge is taken document by document, the document at the edge word by word.
 
 The drawn blocks of each source are its exact quota. A binary tree splits the quotas among the output shards: at a node,
@@ -13,6 +13,8 @@ runs of each source's permuted blocks, and only what lies within a shard's block
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,7 @@ class Mix:
     """A plan for ``keyed`` rows (source, __tl_size, __tl_key and any others), kept in three small tables."""
 
     def __init__(self, keyed: DataFrame, scratch: Scratch, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, **rule):
+        self.passes = range(1, max(1, math.ceil(rule.get("ceiling", CEILING))) + 1)
         self.sources = scratch.cut(
             targets(keyed.groupBy("source").agg(F.sum("__tl_size").alias("source_size")), **rule).withColumns({"n_blocks": F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(float(block_words)), F.sum("source_size").over(Window.partitionBy()) / MAX_BLOCKS))), "quota": F.floor(F.col("target") + 0.5)})
         )
@@ -97,59 +100,66 @@ class Mix:
         at = F.sum("size").over(permuted.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
         placed = sizes.join(self.sources.select(F.col("sid").alias("__tl_sid"), "source_size", "quota"), "__tl_sid").withColumn("at", at)
         clamp = lambda x: F.greatest(F.lit(0), F.least("size", x))
-        blocks = scratch.cut(placed.withColumns({"take_1": clamp(F.col("quota") - F.col("at")), "take_2": clamp(F.col("quota") - F.col("source_size") - F.col("at"))}))
-        drawn = blocks.select("__tl_sid", "__tl_block", F.explode(F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"take_{p}").alias("take")) for p in (1, 2)])).alias("d")).where("d.take > 0").select("__tl_sid", "__tl_block", "d.pass")
+        blocks = scratch.cut(placed.withColumns({f"take_{p}": clamp(F.col("quota") - (p - 1) * F.col("source_size") - F.col("at")) for p in self.passes}))
+        drawn = blocks.select("__tl_sid", "__tl_block", F.explode(F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"take_{p}").alias("take")) for p in self.passes])).alias("d")).where("d.take > 0").select("__tl_sid", "__tl_block", "d.pass")
         rank = F.row_number().over(Window.partitionBy("__tl_sid").orderBy(F.xxhash64(F.lit(seed + 1), "__tl_sid", "pass", "__tl_block"), "pass", "__tl_block"))
         quotas = split_quotas(drawn.groupBy(F.col("__tl_sid").alias("sid")).agg(F.count("*").alias("q")), shards, seed)
         end = F.sum("q").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
         runs = quotas.withColumn("end", end).select("shard", F.col("sid").alias("__tl_sid"), F.explode(F.sequence(F.col("end") - F.col("q") + 1, F.col("end"))).alias("rank"))
         dealt = drawn.withColumn("rank", rank.cast("long")).join(runs, ["__tl_sid", "rank"])
-        shard = dealt.groupBy("__tl_sid", "__tl_block").agg(*[F.max(F.when(F.col("pass") == p, F.col("shard"))).alias(f"__tl_shard_{p}") for p in (1, 2)])
-        edge = " or ".join(f"take_{p} > 0 and take_{p} < size" for p in (1, 2))
-        self.blocks = scratch.cut(blocks.join(shard, ["__tl_sid", "__tl_block"], "left").select("__tl_sid", "__tl_block", "at", "take_1", "take_2", "__tl_shard_1", "__tl_shard_2", F.expr(edge).alias("edge")))
+        shard = dealt.groupBy("__tl_sid", "__tl_block").agg(*[F.max(F.when(F.col("pass") == p, F.col("shard"))).alias(f"__tl_shard_{p}") for p in self.passes])
+        edge = " or ".join(f"take_{p} > 0 and take_{p} < size" for p in self.passes)
+        self.blocks = scratch.cut(blocks.join(shard, ["__tl_sid", "__tl_block"], "left").select("__tl_sid", "__tl_block", "at", *self._each("take"), *self._each("__tl_shard"), F.expr(edge).alias("edge")))
+
+    def _each(self, name: str) -> list[str]:
+        return [f"{name}_{p}" for p in self.passes]
 
     def _dealt(self, keyed: DataFrame) -> DataFrame:
         s = self.sources.select(F.col("source").alias("__tl_source"), F.col("sid").alias("__tl_sid"), "n_blocks", F.col("source_size").alias("__tl_source_size"), F.col("target").alias("__tl_target"), F.col("quota").alias("__tl_quota"))
         return keyed.join(s, keyed["source"].eqNullSafe(s["__tl_source"])).withColumn("__tl_block", F.expr("pmod(__tl_key, n_blocks)")).drop("__tl_source", "n_blocks")
 
     def apply(self, keyed: DataFrame) -> DataFrame:
-        """``keyed`` with __tl_source_size, __tl_target, __tl_take_1, __tl_take_2 (words taken in each pass), __tl_shard_1, __tl_shard_2."""
+        """``keyed`` with __tl_source_size, __tl_target, and for each pass p __tl_take_p (words taken) and __tl_shard_p."""
         b = self.blocks
         joined = self._dealt(keyed).join(b, ["__tl_sid", "__tl_block"], "left")
-        whole = joined.where("__tl_size = 0 or edge is null or not edge").withColumns({f"__tl_take_{p}": F.when(F.col(f"take_{p}") > 0, F.col("__tl_size")).otherwise(F.lit(0)).cast("long") for p in (1, 2)})
+        whole = joined.where("__tl_size = 0 or edge is null or not edge").withColumns({f"__tl_take_{p}": F.when(F.col(f"take_{p}") > 0, F.col("__tl_size")).otherwise(F.lit(0)).cast("long") for p in self.passes})
         order = Window.partitionBy("__tl_sid", "__tl_block").orderBy("__tl_key", "__tl_size").rowsBetween(Window.unboundedPreceding, 0)
         off = F.col("at") + F.sum("__tl_size").over(order) - F.col("__tl_size")
         clamp = lambda x: F.greatest(F.lit(0), F.least("__tl_size", x)).cast("long")
-        edge = joined.where("__tl_size > 0 and edge").withColumn("__tl_off", off).withColumns({"__tl_take_1": clamp(F.col("__tl_quota") - F.col("__tl_off")), "__tl_take_2": clamp(F.col("__tl_quota") - F.col("__tl_source_size") - F.col("__tl_off"))}).drop("__tl_off")
-        return whole.unionByName(edge).drop("at", "take_1", "take_2", "edge")
+        edge = joined.where("__tl_size > 0 and edge").withColumn("__tl_off", off).withColumns({f"__tl_take_{p}": clamp(F.col("__tl_quota") - (p - 1) * F.col("__tl_source_size") - F.col("__tl_off")) for p in self.passes}).drop("__tl_off")
+        return whole.unionByName(edge).drop("at", *self._each("take"), "edge")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, shard_1, shard_2.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, shard_1, shard_2 (one for each pass).
 
-    ``size`` counts words (null and empty texts: 0, never taken); ``taken`` counts the words the mix takes, at most twice
-    the size; shard_p is the output shard that gets the copy of pass p, null if there is none. A null source is a source
+    ``size`` counts words (null and empty texts: 0, never taken); ``taken`` counts the words the mix takes, at most
+    ``ceiling`` times the size; shard_p is the output shard that gets the copy of pass p, null if there is none. A null source is a source
     of its own, after the others. Rows that repeat a doc_id are separate documents; equal rows are interchangeable. An
     empty table gives an empty one. All draws are seeded hashes of the rows, so reruns agree. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     keyed = scratch.cut(with_keys(docs.select("doc_id", "source", "text")).drop("text"))
-    got = Mix(keyed, scratch, **options).apply(keyed)
-    shard = lambda p: F.when(F.col(f"__tl_take_{p}") > 0, F.col(f"__tl_shard_{p}")).alias(f"shard_{p}")
-    return got.select("doc_id", "source", F.col("__tl_size").alias("size"), F.col("__tl_source_size").alias("source_size"), F.col("__tl_target").alias("target"), (F.col("__tl_take_1") + F.col("__tl_take_2")).alias("taken"), shard(1), shard(2))
+    plan = Mix(keyed, scratch, **options)
+    taken = sum((F.col(f"__tl_take_{p}") for p in plan.passes), F.lit(0).cast("long"))
+    shard = [F.when(F.col(f"__tl_take_{p}") > 0, F.col(f"__tl_shard_{p}")).alias(f"shard_{p}") for p in plan.passes]
+    return plan.apply(keyed).select("doc_id", "source", F.col("__tl_size").alias("size"), F.col("__tl_source_size").alias("source_size"), F.col("__tl_target").alias("target"), taken.alias("taken"), *shard)
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each copy taken.
+def mixed_rows(docs: DataFrame, shard_column: str | None = None, **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each copy taken, and ``shard_column``, its shard, if one is named.
 
     Partitions are shards, each shard being a run of as many partitions as its words ask for: all its blocks are shuffled
     together there, across sources. The one document of a source at the edge of its target is cut to its first words; all
-    others come whole.
+    others come whole. Null texts and texts without words are of no size, so the mix has none of them. Rows that repeat a
+    doc_id are separate documents; an empty table gives an empty one; any other columns go along as they are.
     """
+    if shard_column in docs.columns:
+        raise ValueError(f"the documents have a column {shard_column} already")
     scratch = Scratch(docs.sparkSession)
     plan = Mix(scratch.cut(with_keys(docs.select("doc_id", "source", "text")).drop("text", "doc_id")), scratch, **options)
-    got = plan.apply(with_keys(docs)).where("__tl_take_1 > 0 or __tl_take_2 > 0")
-    copies = F.explode(F.filter(F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"__tl_take_{p}").alias("take"), F.col(f"__tl_shard_{p}").alias("shard")) for p in (1, 2)]), lambda c: c["take"] > 0))
+    got = plan.apply(with_keys(docs)).where(" or ".join(f"__tl_take_{p} > 0" for p in plan.passes))
+    copies = F.explode(F.filter(F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"__tl_take_{p}").alias("take"), F.col(f"__tl_shard_{p}").alias("shard")) for p in plan.passes]), lambda c: c["take"] > 0))
     got = got.withColumn("__tl_copy", copies)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("__tl_copy.take") == F.col("__tl_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__tl_copy.take").cast("int")), " "))
@@ -157,4 +167,5 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     shards, words = options.get("shards", SHARDS), plan.sources.agg(F.sum("quota")).first()[0] or 0
     parts = max(1, -(-int(words) // (shards * PART_WORDS)))
     dealt = got.repartitionById(shards * parts, F.expr(f"cast(__tl_shard * {parts} + pmod(__tl_order, {parts}) as int)"))
-    return dealt.sortWithinPartitions("__tl_order").select(*docs.columns)
+    shard = [F.col("__tl_shard").cast("int").alias(shard_column)] if shard_column else []
+    return dealt.sortWithinPartitions("__tl_order").select(*docs.columns, *shard)
