@@ -1,5 +1,6 @@
 import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from trackloom.llm import sharding
@@ -65,3 +66,37 @@ def test_reported_places_are_those_of_the_files(spark, sf, tmp_path):
     assert places(got) == places(back.withColumn("text_crc32", F.crc32(F.col("text").cast("binary"))))
     per = got.groupBy("bucket").count().collect()
     assert len(per) > 20 and max(r["count"] for r in per) < 600  # equal rows don't fill one bucket
+
+
+def test_order_by_hand(spark, sf):
+    """Hashed buckets, Fisher-Yates in each, the buckets one after the other, cut into runs: from the keys alone."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["doc_id"])
+    nth = F.lit(0).cast("long")
+    key = F.xxhash64(F.lit(sharding.SEED), "doc_id", "text")
+    rows = docs.select("doc_id", (F.octet_length("text") + 1).alias("size"), F.xxhash64(F.lit(sharding.SEED + 1), key, nth).alias("spread")).collect()
+    n_buckets = max(1, -(-sum(r["size"] for r in rows) // 30_000))
+    order = []
+    for b in range(n_buckets):
+        own = [r["doc_id"] for r in sorted(rows, key=lambda r: r["spread"]) if r["spread"] % n_buckets == b]
+        turn = sharding.fisher_yates(len(own), xxhash.xxh64_intdigest(str(b).encode(), sharding.SEED))
+        order += [own[i] for i in turn]
+    small, more = divmod(len(order), sharding.SHARDS)
+    want, at = {}, 0
+    for k in range(sharding.SHARDS):
+        for slot in range(small + (k < more)):
+            want[order[at]] = (k, slot)
+            at += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(docs, bucket_bytes=30_000).collect()} == want
+
+
+def test_written_shards_of_edge_rows(spark, tmp_path):
+    rows = [(1, None, 9, {"a": 1}), (1, "", 9, None), (2, "é" * 3000, None, {}), *[(5, "same", 1, {"b": 2})] * 30, (None, "x", 2, {"c": None})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, tags map<string,int>").withColumn("slot", F.lit("own"))
+    names = sharding.write_shards(df, f"{tmp_path}/out", bucket_bytes=50)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert names == ("_shard", "_slot") and sorted(back.columns) == sorted([*df.columns, *names])
+    assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    per = back.groupBy("_shard").agg(F.count("*").alias("n"), F.count_distinct("_slot").alias("d"), F.max("_slot").alias("m")).collect()
+    assert len(per) == 8 and all(r["d"] == r["n"] == r["m"] + 1 and r["n"] in (4, 5) for r in per)
+    assert sharding.shard(df).count() == len(rows)
+    sharding.write_shards(df.limit(0), f"{tmp_path}/none")

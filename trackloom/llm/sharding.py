@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,9 +67,15 @@ def _shuffle_buckets(seed: int):
     return run
 
 
+def _hashable(docs: DataFrame, name: str) -> Column:
+    """The column, as JSON if it holds a map, which has no hash."""
+    column = F.col(f"`{name}`")
+    return F.to_json(F.struct(column.alias("x"))) if "map<" in docs.schema[name].dataType.simpleString() else column
+
+
 def _shuffled(docs: DataFrame, scratch: Scratch, n_shards: int, seed: int, bucket_bytes: int) -> DataFrame:
     """The records of ``docs`` through both passes, with __tl_bucket, __tl_shard and __tl_slot."""
-    key, same = ["__tl_key", "__tl_row"], F.xxhash64(F.lit(seed + 2), *docs.columns)
+    key, same = ["__tl_key", "__tl_row"], F.xxhash64(F.lit(seed + 2), *[_hashable(docs, c) for c in docs.columns])
     keyed = docs.withColumns({"__tl_key": F.xxhash64(F.lit(seed), "doc_id", "text"), "__tl_row": same})
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1
     own = keyed.select(*key, size.alias("size")).groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
@@ -80,14 +86,17 @@ def _shuffled(docs: DataFrame, scratch: Scratch, n_shards: int, seed: int, bucke
     # `nth` tells rows of one key apart, so that their number doesn't fill one bucket
     spread = F.xxhash64(F.lit(seed + 1), "__tl_key", "nth")
     bucket = F.pmod(spread, F.lit(n_buckets)).alias("__tl_bucket")
-    sizes = own.select("__tl_key", F.explode(F.expr("sequence(first, first + n - 1)")).alias("nth")).groupBy(bucket).agg(F.count("*").alias("n"))
+    run = F.explode(F.expr(f"sequence(0L, (n - 1) div {UNFOLDED})"))
+    nth = F.explode(F.expr(f"sequence(first + run * {UNFOLDED}, first + least(n, (run + 1) * {UNFOLDED}) - 1)"))
+    once = own.where("n = 1").select("__tl_key", F.col("first").alias("nth"))
+    often = own.where("n > 1").withColumn("run", run).repartition(*key, "run").withColumn("nth", nth).select("__tl_key", "nth")
+    sizes = once.unionByName(often).groupBy(bucket).agg(F.count("*").alias("n"))
     # a row for each bucket: the running total orders the buckets
     before = scratch.cut(sizes.select("__tl_bucket", (F.sum("n").over(Window.orderBy("__tl_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__tl_before")))
     keyed = in_sieve(keyed, "__tl_key", scratch.cut(sieve(own.where("all > 1"), "__tl_key")))
     alone = keyed.where("not __tl_in").select(*docs.columns, *key, F.lit(0).cast("long").alias("nth"))
     met = keyed.where("__tl_in").groupBy(*key).agg(F.first(F.struct(*docs.columns)).alias("rec")).join(own.select(*key, "n", "first"), key)
-    runs = met.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {UNFOLDED})"))).repartition(*key, "run")
-    equals = runs.withColumn("nth", F.explode(F.expr(f"sequence(first + run * {UNFOLDED}, first + least(n, (run + 1) * {UNFOLDED}) - 1)"))).select("rec.*", *key, "nth")
+    equals = met.withColumn("run", run).repartition(*key, "run").withColumn("nth", nth).select("rec.*", *key, "nth")
     dealt = alone.unionByName(equals).select(*docs.columns, bucket, spread.alias("__tl_key"), "__tl_row").repartition("__tl_bucket").sortWithinPartitions("__tl_bucket", "__tl_key", "__tl_row").drop("__tl_key", "__tl_row")
     schema = T.StructType([*dealt.schema.fields, T.StructField("__tl_place", T.LongType())])
     placed = dealt.mapInArrow(_shuffle_buckets(seed), schema).join(F.broadcast(before), "__tl_bucket").withColumn("__tl_at", F.col("__tl_before") + F.col("__tl_place"))
@@ -118,7 +127,18 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, bucket_byte
     return back.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), F.col("__tl_shard").alias("shard"), F.col("__tl_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("__tl_bucket").alias("bucket"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Write all columns of ``docs`` as ``path``/shard=k, shuffled, with the slot in column ``slot``; the places are those of ``shard``."""
-    out = _shuffled(docs, Scratch(docs.sparkSession), n_shards, seed, bucket_bytes).select(*docs.columns, F.col("__tl_slot").alias("slot"), F.col("__tl_shard").alias("shard"))
-    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[str, str]:
+    """Write all columns of ``docs`` as ``path``/shard=k, shuffled, with the slot in column ``slot``; the places are those of ``shard``.
+
+    Returns the names of the two columns: if ``docs`` has one of that name, underscores are put before the new one's. Null
+    texts, empty and very long ones, repeated rows and columns of any kind are records like others; an empty table gives no files.
+    """
+    names = []
+    for name in ("shard", "slot"):
+        while name.lower() in [c.lower() for c in docs.columns]:
+            name = f"_{name}"
+        names.append(name)
+    out = _shuffled(docs, Scratch(docs.sparkSession), n_shards, seed, bucket_bytes)
+    ordered = out.sortWithinPartitions("__tl_shard", "__tl_slot").select(*docs.columns, F.col("__tl_slot").alias(names[1]), F.col("__tl_shard").alias(names[0]))
+    ordered.write.partitionBy(names[0]).parquet(path)
+    return names[0], names[1]
