@@ -45,7 +45,7 @@ def test_documents_against_brute_force(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute([tuple(r) for r in df.select("doc_id", "text").collect()])
     assert got(df) == want
-    assert got(df, list_limit=1) == want  # every list by shared neighbours
+    assert got(df, list_limit=1) == want  # every list is split as far as it goes
 
 
 def test_edge_rows(spark):
@@ -66,6 +66,41 @@ def test_blocks_meet_every_pair_once_or_more():
     assert all(any(not set(b) & set(c) for b in simhash.BLOCKS) for c in combinations(range(8), 3))
 
 
+def test_long_lists_are_split_without_losing_a_link(spark):
+    """Fingerprints crowded around a few values, so that lists are long at every step."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from trackloom.llm.common import Scratch, star_components
+
+    random.seed(3)
+    made = set()
+    for base in (random.getrandbits(64), random.getrandbits(64)):
+        for _ in range(500):
+            x = base
+            for _ in range(random.randint(0, 9)):
+                x ^= 1 << random.choice([*range(24), *random.choices(range(64), k=6)])
+            made.add(x)
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in made)
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
+    parent = {x: x for x in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = {x: find(x) for x in fps if find(x) != x}
+    for limit in (simhash.LIST_LIMIT, 50, 5):
+        scratch = Scratch(spark)
+        edges = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), scratch, limit)
+        assert {r["u"]: r["root"] for r in star_components(edges, scratch).where(F.col("u") != F.col("root")).collect()} == want
+
+
 def test_keep_one(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     groups = brute([tuple(r) for r in df.select("doc_id", "text").collect()])

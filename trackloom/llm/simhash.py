@@ -9,8 +9,10 @@ Within a list the shared positional bytes of each pair are tallied, pairs below
 by its differing bits.
 
 Lists of up to ``list_limit`` fingerprints are compared in one task, in blocks, and yield a spanning forest, never pairs.
-Longer lists are not cut: their fingerprints are linked exactly through shared neighbours (``_link_long_lists``), at a cost
-in proportion to their number.
+Longer lists are not cut but split further by the index itself: their members share four bytes and must share a fifth, so
+each of the other four positions splits the list by its byte. A list that is still too long shares five bytes; its members
+differ in at most three of the six half bytes left, so each triple of half bytes splits it again, into lists of at most 4,096
+distinct fingerprints. Each step finds every pair that the list holds.
 """
 
 from __future__ import annotations
@@ -40,10 +42,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _mask(block: tuple[int, ...]) -> int:
-    return _signed(sum(0xFF << 8 * p for p in block))
-
-
 def fingerprint(text: bytes) -> int:
     """The unsigned 64-bit fingerprint of UTF-8 bytes: A-Z lower-cased, 3-word shingles, repeats counted."""
     words = text.lower().split()  # bytes: only A-Z change, and only \x20 and \x09-\x0D separate
@@ -120,39 +118,47 @@ def _list_links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _link_long_lists(hot: DataFrame) -> DataFrame:
-    """Links among the fingerprints of ``hot(fp)`` without a pairwise step.
-
-    Two fingerprints differ in at most three bits exactly if some value lies within one bit of one and two bits of the
-    other. Each fingerprint visits the 2,081 values within two bits; at a value that is within one bit of somebody, all
-    visitors are linked to the smallest such fingerprint.
-    """
-    bits = [1 << i for i in range(64)]
-    near = [0, *bits]
-    far = [a | b for a, b in combinations(bits, 2)]
-    flips = F.array(*[F.lit(_signed(x)) for x in near + far])
-    seen = hot.select("fp", F.posexplode(flips).alias("i", "flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"), (F.col("i") < len(near)).alias("one"))
-    hubs = seen.groupBy("at").agg(F.min(F.when(F.col("one"), F.col("fp"))).alias("v"), F.count("*").alias("n")).where("v is not null and n > 1")
-    return seen.join(hubs, "at").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
+def _split(mask: int) -> list[int]:
+    """What the members of a long list, which agree in the bits of ``mask``, are split by: the bits they agree in then."""
+    rest = [p for p in range(8) if not mask >> 8 * p & 0xFF]
+    if len(rest) == 4:
+        return [mask | 0xFF << 8 * p for p in rest]
+    halves = [8 * p + low for p in rest for low in (0, 4)]
+    return [mask | sum(0xF << h for h in three) for three in combinations(halves, 3)]
 
 
-def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch, list_limit: int = LIST_LIMIT) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fps(fp)`` that connect all pairs within MAX_BITS."""
-    index = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("block"), F.col("fp").bitwiseAND(F.lit(_mask(b))).alias("key")) for i, b in enumerate(BLOCKS)])).alias("p")).select("fp", "p.block", "p.key")
-    sizes = index.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = index.join(sizes, ["block", "key"])
-    short = shared.where(F.col("n") <= list_limit).groupBy("block", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
-    long = shared.where(F.col("n") > list_limit).select("fp").distinct()
-    return short.mapInArrow(_list_links, "u long, v long").unionByName(_link_long_lists(long))
+    agree = lambda masks: F.explode(F.array(*[F.lit(_signed(m)) for m in masks]))
+    index = fps.select("fp", agree([sum(0xFF << 8 * p for p in b) for b in BLOCKS]).alias("mask"))
+    masks, found = [sum(0xFF << 8 * p for p in b) for b in BLOCKS], None
+    for last in (False, False, True):
+        index = index.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = index.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = index.join(sizes, ["mask", "key"])
+        short = shared if last else shared.where(F.col("n") <= list_limit)
+        own = short.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_list_links, "u long, v long")
+        found = own if found is None else found.unionByName(own)
+        if last:
+            break
+        long = scratch.cut(shared.where(F.col("n") > list_limit).select("fp", "mask"))
+        if long.isEmpty():
+            break
+        into = {m: _split(m) for m in masks}
+        masks = sorted({m for own in into.values() for m in own})
+        split = F.create_map(*[x for m, own in into.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in own]))])
+        index = long.select("fp", F.explode(F.element_at(split, F.col("mask"))).alias("mask")).distinct()
+    return found
 
 
 def _grouped(of_doc: DataFrame, scratch: Scratch, list_limit: int) -> DataFrame:
     """``of_doc`` (doc_id, fp, ...) with root, the least fingerprint of its component, and component_id."""
     of_fp = scratch.cut(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = star_components(links(of_fp.select("fp"), list_limit), scratch)
-    label = of_fp.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of_doc.join(label.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    roots = star_components(links(of_fp.select("fp"), scratch, list_limit), scratch)
+    label = scratch.cut(of_fp.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # written, here and below: the sides of these joins are plain shuffles then, and a large component's rows can be split
+    ids = scratch.cut(label.groupBy("root").agg(F.min("least").alias("component_id")))
+    return of_doc.join(scratch.cut(label.join(ids, "root").select("fp", "root", "component_id")), "fp")
 
 
 def near_duplicates(docs: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
@@ -178,7 +184,7 @@ def keep_least(docs: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFram
     those are joined with the ones that do.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
-    best = groups.groupBy("root").agg(F.min(rank).alias("best"))
+    best = scratch.cut(groups.groupBy("root").agg(F.min(rank).alias("best")))
     gone = groups.join(best, "root").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))).select("doc_id", "key").distinct().withColumn("twice", F.lit(False))
     twice = groups.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").join(best.select(F.col("best.doc_id").alias("d"), F.col("best.key").alias("k")), F.expr("doc_id <=> d and key = k")).select("doc_id", "key", F.lit(True).alias("twice"))
     fate = scratch.cut(gone.unionByName(twice)).select(F.col("doc_id").alias("__tl_id"), F.col("key").alias("__tl_k"), F.col("twice").alias("__tl_twice"))
