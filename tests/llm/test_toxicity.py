@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -45,7 +46,8 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, (t, _) in enumerate(corpus(80))] + [(900, None, 0.5), (901, "", 0.5), (None, "idiot", 0.5), (3, "idiot " * 50_000, 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(corpus(80))] + [(None, 1), (5, None), (77777, 1), (3, 1)], "doc_id long, toxic int")
     m = toxicity.train(docs, labels)
-    out = toxicity.score(docs.drop("score"), m)
+    out = toxicity.score(docs, m)
+    assert out.columns == [*docs.columns, "predicted"] and out.where("score = 0.5").count() == 0
     assert out.count() == 84 and out.where("score is null").count() == 0
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and {900, 901} <= {r["doc_id"] for r in kept.collect()}
@@ -80,3 +82,72 @@ def test_words_within_a_chunk_count():
         assert m.score(text) > 0.5 > m.score(re.sub("idiot|scum", "w4", text))
     assert toxicity.features("y" * 60)[0] == "y" * 60
     assert toxicity.features("muslim") == ("muslim", "musl*", "musli*")
+
+
+def labelled(table):
+    """(training, held out) rows (text, label) of a registered table."""
+    import duckdb
+
+    sf = f"/root/testdata/{table}"
+    rows = duckdb.sql(f"select doc_id, min(text), max(toxic) from '{sf}/documents.parquet' join '{sf}/labels.parquet' using (doc_id) where toxic is not null group by 1 order by 1").fetchall()
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    return [r[1:] for r in rows if not held(r[0])], [r[1:] for r in rows if held(r[0])]
+
+
+def test_the_counterfactual_term_lowers_false_positives_on_held_out_documents():
+    train, test = labelled("sf0.1")
+    texts, labels = zip(*train, strict=True)
+    wrong, gap = {}, {}
+    for swap in (0.0, 10.0):
+        m = toxicity.fit(list(texts), list(labels), swap=swap)
+        hit = [(y, int(m.score(t) >= toxicity.THRESHOLD)) for t, y in test]
+        wrong[swap] = (hit.count((0, 1)), hit.count((1, 0)), hit.count((1, 1)))
+        pairs = toxicity.counterfactuals([t for t, _ in test], [y for _, y in test])
+        weight = lambda fs, m=m: sum(m.weights.get(f, 0.0) for f in fs)
+        gap[swap] = sum((weight(b) - weight(a)) ** 2 for a, b in pairs)
+    fp, fn, tp = wrong[10.0]
+    assert fp < wrong[0.0][0] and gap[10.0] < 0.1 * gap[0.0]
+    assert tp / (tp + fp) >= 0.9 and tp / (tp + fn) >= 0.9
+
+
+def plain_features(text):
+    """Level features by hand: words and their first 4 and 5 letters, occurring once, twice, three times."""
+    n = {}
+    for chunk in text.lower().split():
+        chunk = re.sub(r"^[\W_]+|[\W_]+$", "", chunk)
+        own = set()
+        for w in [chunk, *re.findall(r"[^\W\d_]+", chunk)] if chunk else []:
+            own |= {w} | {w[:k] + "*" for k in (4, 5) if len(w) > k}
+        for f in own:
+            n[f] = n.get(f, 0) + 1
+    return {f + suffix for f, c in n.items() for k, suffix in ((1, ""), (2, "#2"), (3, "#3")) if c >= k}
+
+
+def test_scores_by_hand():
+    texts, labels = zip(*corpus(), strict=True)
+    m = toxicity.fit(list(texts), list(labels))
+    for t in [*texts[:40], "", "Idiot! idiot, (idiot) scummy", "w1,w2 w1"]:
+        assert toxicity.of_text(t) == plain_features(t)
+        assert abs(m.score(t) - 1 / (1 + math.exp(-m.bias - sum(m.weights.get(f, 0.0) for f in plain_features(t))))) < 1e-12
+
+
+def test_the_fit_is_the_least_of_its_loss():
+    """No single weight can be moved so that the loss, computed by hand, falls."""
+    texts, labels = map(list, zip(*corpus(), strict=True))
+    m, l1, swap = toxicity.fit(texts, labels, rounds=3000), 1e-3, 10.0
+    sets, pos = [plain_features(t) for t in texts], sum(labels)
+    pairs = toxicity.counterfactuals(texts, labels)
+
+    def loss(bias, w):
+        z = [bias + sum(w.get(f, 0.0) for f in s) for s in sets]
+        fit = sum((0.5 / pos if y else 0.5 / (len(labels) - pos)) * math.log1p(math.exp(-v if y else v)) for v, y in zip(z, labels, strict=True))
+        cf = sum((sum(w.get(f, 0.0) for f in b) - sum(w.get(f, 0.0) for f in a)) ** 2 for a, b in pairs) / len(pairs)
+        return fit + l1 * sum(w.values()) + swap * cf
+
+    least = loss(m.bias, m.weights)
+    assert m.weights
+    for f, x in m.weights.items():
+        for step in (-0.01, 0.01):
+            assert loss(m.bias, m.weights | {f: max(0.0, x + step)}) > least - 1e-6
+    for step in (-0.01, 0.01):
+        assert loss(m.bias + step, m.weights) > least - 1e-6

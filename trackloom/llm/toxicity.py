@@ -1,11 +1,16 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-The model is a logistic regression over which words and word beginnings a text contains, fitted on a bounded sample of the
-labelled rows. Weights are not negative, so no amount of clean text outweighs a toxic word, and a text without features
-scores lowest. The loss has two further terms: an L1 norm, which leaves the few features that carry the label (so a long
-clean text gathers no score from thousands of faint ones), and a counterfactual term: in labelled sentences the identity
-terms are swapped for other ones, and the square of the change in score is penalised. Sentences without an identity term
-get one inserted. So mentioning a group neither raises nor lowers a score.
+The model is a logistic regression over the words and word beginnings of a text, each as up to three features: it occurs, it
+occurs twice, it occurs three times or more. It is fitted on a bounded sample of the labelled rows. Weights are not negative,
+so no amount of clean text outweighs a toxic word, and a text without features scores lowest. The loss has two further terms:
+an L1 norm, which leaves the few features that carry the label (so a long clean text gathers no score from thousands of faint
+ones), and a counterfactual term: in sentences of the labelled texts a term that stands for a group is swapped for another
+one, and the square of the change in the sentence's score is penalised. So mentioning one neither raises nor lowers a score.
+
+Terms are a list of identity terms, each swapped within its language and inserted where a sentence has none, and what the
+corpus itself mentions neutrally: words that several clean texts hold. Those are swapped for words that stand beside them in
+other clean texts, which keeps to a language without being told it. A single mention that clean texts share with toxic ones
+so loses its weight to the repeated mentions that they don't share.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -23,8 +29,12 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that the fit reads, drawn by a hash of doc_id: the bound of the sample.
 PER_CLASS = 2500
-#: Features that the fit considers.
-MAX_FEATURES = 8_000
+#: Features that the fit considers: those in so many texts at least, and of them the most telling ones.
+MIN_TEXTS, MAX_FEATURES = 4, 4_000
+#: A word counts as mentioned neutrally from so many clean texts on; sentences of a text that are swapped.
+NEUTRAL_TEXTS, SENTENCES = 4, 3
+#: A feature's levels: so many occurrences or more.
+LEVELS = (1, 2, 3)
 THRESHOLD = 0.3
 MAX_REMEMBERED = 150_000
 #: Terms for groups of people in the corpus's languages, singular and plural forms written out.
@@ -34,9 +44,9 @@ IDENTITY_TERMS = {
     "fr": "musulman musulmans chrétien chrétiens juif juifs noir noirs blanc blancs asiatique africain européen américain arabe immigré immigrés réfugié réfugiés homosexuel lesbienne femme femmes homme hommes fille garçon vieux jeune handicapé aveugle sourd".split(),
     "es": "musulmán musulmanes cristiano cristianos judío judíos negro negros blanco blancos asiático africano europeo americano árabe inmigrante inmigrantes refugiado refugiados homosexual lesbiana mujer mujeres hombre hombres niña niño viejo joven discapacitado ciego sordo".split(),
 }
-ALL_TERMS = sorted({t for terms in IDENTITY_TERMS.values() for t in terms})
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_SENTENCES = re.compile(r"[.!?\n]+")
 
 
 def features(chunk: str) -> tuple[str, ...]:
@@ -49,16 +59,21 @@ def features(chunk: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(f for word in words for f in (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n))))
 
 
+def level(feature: str, n: int) -> str:
+    return feature if n == 1 else f"{feature}#{n}"
+
+
 def of_text(text: str | None, memo: dict[str, tuple[str, ...]] | None = None) -> set[str]:
-    """The features of a text; ``memo`` lets many texts share the strings of their features."""
+    """The features of a text at all their levels; ``memo`` lets many texts share the strings of their features."""
     memo = {} if memo is None else memo
-    out: set[str] = set()
-    for chunk in set((text or "").lower().split()):
+    seen: Counter = Counter()
+    for chunk, n in Counter((text or "").lower().split()).items():
         got = memo.get(chunk)
         if got is None:
             got = memo[chunk] = tuple(map(sys.intern, features(chunk)))
-        out.update(got)
-    return out
+        for f in got:
+            seen[f] += n
+    return {sys.intern(level(f, k)) for f, n in seen.items() for k in LEVELS if n >= k}
 
 
 @dataclass
@@ -67,20 +82,23 @@ class Model:
 
     bias: float
     weights: dict[str, float]
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False, compare=False)
+
+    def __post_init__(self) -> None:
+        self.used = {f.split("#")[0] for f in self.weights}
 
     def score(self, text: str | None) -> float:
-        on: set[str] = set()
+        seen: dict[str, int] = {}
         known = self.known
-        for chunk in set((text or "").lower().split()):
+        for chunk, n in Counter((text or "").lower().split()).items():
             got = known.get(chunk)
             if got is None:
-                got = tuple(f for f in features(chunk) if f in self.weights)
+                got = tuple(f for f in features(chunk) if f in self.used)
                 if len(known) < MAX_REMEMBERED and len(chunk) <= 40:
                     known[chunk] = got
-            if got:
-                on.update(got)
-        z = self.bias + math.fsum(map(self.weights.get, on))
+            for f in got:
+                seen[f] = seen.get(f, 0) + n
+        z = self.bias + math.fsum(self.weights.get(level(f, k), 0.0) for f, n in seen.items() for k in LEVELS if n >= k)
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
     def column(self, text: Column | str) -> Column:
@@ -97,30 +115,56 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
-def counterfactuals(sets: list[set[str]]) -> list[tuple[set[str], set[str]]]:
-    """(features lost, features gained) of swapping identity terms in the given labelled texts, a few swaps for each text.
+def neutral_terms(texts: list[str], labels: list[int]) -> dict[str, list[str]]:
+    """Words that NEUTRAL_TEXTS clean texts or more hold, each with the others of one of those texts, to be swapped for."""
+    held = [sorted({w for c in t.lower().split() for w in _LETTERS.findall(c) if len(w) > 3}) for t, y in zip(texts, labels, strict=True) if not y]
+    often = {w for w, n in Counter(w for words in held for w in words).items() if n >= NEUTRAL_TEXTS}
+    out: dict[str, list[str]] = {}
+    for words in held:
+        own = [w for w in words if w in often]
+        for w in own:
+            out.setdefault(w, own)
+    return out
 
-    A text with a term swaps it for the next ones of the list; a text without gets one inserted.
+
+def counterfactuals(texts: list[str], labels: list[int]) -> list[tuple[set[str], set[str]]]:
+    """(features lost, features gained) of swapping one term for another in sentences of the labelled texts.
+
+    Of each text, the sentences are taken in order of a hash, and in each a listed identity term if there is one, else
+    a neutral term of the corpus. A text without listed terms gets one inserted into a sentence.
     """
-    place = {t: i for i, t in enumerate(ALL_TERMS)}
-    out = []
-    for k, have in enumerate(sets):
-        own = sorted(t for t in have if t in place)
-        for t in own or [None]:
-            lost = set(features(t)) if t else set()
-            for step in (1, 7, 31):
-                other = ALL_TERMS[((place[t] if t else k) + step) % len(ALL_TERMS)]
-                gained = set(features(other)) - (have - lost)
-                out.append((lost - gained, gained - lost))
+    neutral = neutral_terms(texts, labels)
+    listed = {t: terms for terms in IDENTITY_TERMS.values() for t in terms}
+    lists, out = list(IDENTITY_TERMS.values()), []
+    draw = lambda *key: zlib.crc32(repr(key).encode())
+
+    def swap(sentence: str, old: str, new: str) -> None:
+        one = of_text(sentence)
+        other = of_text(re.sub(rf"(?<![^\W\d_]){old}(?![^\W\d_])", new, sentence) if old else f"{sentence} {new}")
+        out.append((one - other, other - one))
+
+    for k, text in enumerate(texts):
+        sentences = sorted({s.strip() for s in _SENTENCES.split(text.lower()) if s.strip()}, key=lambda s: (draw(s), s))
+        words = [list(dict.fromkeys(_LETTERS.findall(s))) for s in sentences[: 8 * SENTENCES]]
+        named = [(s, w) for s, own in zip(sentences, words, strict=False) for w in own if w in listed]
+        plain = [(s, max(own, key=lambda w: (draw(w), w))) for s, every in zip(sentences, words, strict=False) if (own := [w for w in every if len(neutral.get(w, ())) > 1])]
+        for s, w in named[:SENTENCES]:
+            swap(s, w, listed[w][(listed[w].index(w) + 1 + draw(s) % (len(listed[w]) - 1)) % len(listed[w])])
+        for s, w in plain[:SENTENCES]:
+            others = [x for x in neutral[w] if x != w]
+            swap(s, w, others[draw(s, w) % len(others)])
+        if sentences and not named:
+            terms = lists[k % len(lists)]
+            swap(sentences[0], "", terms[draw(sentences[0]) % len(terms)])
     return out
 
 
-def fit(texts: list[str], labels: list[int], prior: float | None = None, l1: float = 5e-4, swap: float = 1.0, rounds: int = 300) -> Model:
+def fit(texts: list[str | None], labels: list[int], prior: float | None = None, l1: float = 1e-3, swap: float = 10.0, rounds: int = 300) -> Model:
     """Fit on labelled texts. ``prior``: the share of label 1 that scores are to assume; the classes count alike by default.
 
     With no rows of one class the model is a constant: the prior if given, else the label there is, else 0.
     """
-    y = np.array(labels, float)
+    texts, y = [t or "" for t in texts], np.array(labels, float)
     n, pos = len(y), int(y.sum())
     share = prior if prior is not None else 0.5 if 0 < pos < n else pos / max(1, n)
     share = min(max(share, 1e-4), 1 - 1e-4)
@@ -132,15 +176,16 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, l1: flo
     for s, label in zip(sets, labels, strict=True):
         seen[label].update(s)
     total = seen[0] + seen[1]
-    odds = {f: abs(math.log((seen[1][f] + 0.5) / (pos + 1)) - math.log((seen[0][f] + 0.5) / (n - pos + 1))) * math.sqrt(c) for f, c in total.items() if c >= 4}
-    fixed = {f for t in ALL_TERMS for f in features(t)}
+    odds = {f: abs(math.log((seen[1][f] + 0.5) / (pos + 1)) - math.log((seen[0][f] + 0.5) / (n - pos + 1))) * math.sqrt(c) for f, c in total.items() if c >= MIN_TEXTS}
+    fixed = {f for terms in IDENTITY_TERMS.values() for t in terms for f in features(t)}
     names = sorted(fixed | set(sorted(odds, key=lambda f: (-odds[f], f))[:MAX_FEATURES]))
     place = {f: i for i, f in enumerate(names)}
     m = len(names)
     rows = [[place[f] for f in s if f in place] for s in sets]
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     col = np.array([i for r in rows for i in sorted(r)], np.int64)
-    pairs = counterfactuals(sets)
+    among = lambda fs: {f for f in fs if f in place}
+    pairs = [(among(a), among(b)) for a, b in counterfactuals(texts, labels)] or [(set(), set())]
     prow = np.array([k for k, (a, b) in enumerate(pairs) for _ in range(len(a) + len(b))], np.int64)
     pcol = np.array([place[f] for a, b in pairs for f in (*sorted(a), *sorted(b))], np.int64)
     psign = np.array([s for a, b in pairs for s in [-1.0] * len(a) + [1.0] * len(b)])
@@ -197,11 +242,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **opti
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if the score reaches THRESHOLD).
 
-    Null and empty texts get the score of a text without features. All columns and rows are kept.
+    Null and empty texts get the score of a text without features; very long ones are read whole. All rows are kept, repeated
+    ones get equal scores, and an empty table gives an empty one. All columns are kept but those named score and predicted,
+    which are replaced.
     """
     return docs.withColumn("score", model.column(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score stays under THRESHOLD, with their columns."""
+    """The rows of ``docs`` whose score stays under THRESHOLD, with their columns.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives an empty one; any other columns go along.
+    """
     return docs.where(train(docs, labels).column(F.col("text").cast("string")) < THRESHOLD)
