@@ -3,8 +3,9 @@
 A passage counts as repeated from ``WINDOW`` words on. Every window of that many words selects one of its k-grams, the one
 of the least hash, as its anchor: equal windows select equal anchors at equal places. So only windows around an anchor that
 occurs twice can repeat. The seeds are counted over the corpus (an eighth of the words), and documents that share one are
-extended: each of their windows around a shared anchor is compared through a hash of its whole word sequence. Overlapping
-repeated windows merge into the maximal repeats, which are removed.
+extended both ways from it, word by word, as far as a window reaches: each of their windows around a shared anchor is compared
+through 128 bits of its whole word sequence (two hashes with bases of their own). Overlapping repeated windows merge into the
+maximal repeats, which are removed.
 
 Equal texts are recognised first and count as repeats of each other from ``WINDOW`` words on; one of them stands for all
 when windows are compared. Windows that repeat within a task's batch are settled there and sent on once, so a passage that
@@ -28,22 +29,22 @@ from .common import Scratch
 WINDOW = 35
 #: Words of an anchor.
 GRAM = 12
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _U = np.uint64
 
 
 class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as they have been needed."""
+    """Powers of a base and of its inverse modulo 2**64, as far as they have been needed."""
 
-    up = down = np.zeros(0, _U)
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            m = max(n, 2 * len(cls.up), 4096)
-            cls.up = np.cumprod(np.full(m, _BASE, _U))
-            cls.down = np.cumprod(np.full(m, pow(_BASE, -1, 1 << 64), _U))
-        return cls.up[:n], cls.down[:n]
+    def to(cls, n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+        up, down = cls.known.get(base, (np.zeros(0, _U), np.zeros(0, _U)))
+        if len(up) < n:
+            m = max(n, 2 * len(up), 4096)
+            up, down = cls.known[base] = np.cumprod(np.full(m, base, _U)), np.cumprod(np.full(m, pow(base, -1, 1 << 64), _U))
+        return up[:n], down[:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,15 +54,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def windows(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: its hash, the place of its anchor; and the hashes of all k-grams."""
+    """For each window: its hash of 128 bits (two columns), the place of its anchor; and the hashes of all k-grams."""
     n = len(words)
     if n < window:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, _U)
+        return np.zeros((0, 2), _U), np.zeros(0, np.int64), np.zeros(0, _U)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(7)), _U, n)
     up, down = _Powers.to(n)
     total = np.concatenate([np.zeros(1, _U), np.cumsum(h * down)])
     grams = _mix((total[gram:] - total[:-gram]) * up[gram - 1 :])
     whole = _mix((total[window:] - total[:-window]) * up[window - 1 :] + _U(window))
+    up, down = _Powers.to(n, _OTHER)
+    total = np.concatenate([np.zeros(1, _U), np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(8)), _U, n) * down)])
+    whole = np.stack([whole, _mix((total[window:] - total[:-window]) * up[window - 1 :])], axis=1)
     width = window - gram + 1
     m, step = n - window + 1, 50_000  # the view is read in blocks
     anchor = np.concatenate([np.lib.stride_tricks.sliding_window_view(grams[at : min(m, at + step) + width - 1], width).argmin(axis=1) for at in range(0, m, step)])
@@ -88,8 +92,8 @@ def _candidates(batches):
     Windows that repeat within the batch are listed in ``here``; the others in ``keys`` and ``starts``. A last row without
     text lists a key for each window that repeats here, for other batches to meet.
     """
-    names = ["row", "h1", "h2", "text", "here", "keys", "starts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["row", "h1", "h2", "text", "here", "keys", "more", "starts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
     for batch in batches:
         keys, starts = [], []
         for x, shared in zip(batch.column(3).cast(pa.binary()), batch.column(4), strict=True):
@@ -97,19 +101,22 @@ def _candidates(batches):
             at = np.nonzero(np.isin(grams[anchor].view(np.int64), np.array(shared.as_py(), np.int64)))[0]
             keys.append(whole[at].view(np.int64))
             starts.append(at.astype(np.int32))
-        every = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        known, back, times = np.unique(every, return_inverse=True, return_counts=True)
-        twice, rows, at = times[back] > 1, ([], [], []), 0
+        every = np.concatenate(keys) if keys else np.zeros((0, 2), np.int64)
+        order = np.lexsort(every.T)
+        new = np.concatenate([[True], (every[order][1:] != every[order][:-1]).any(axis=1)]) if len(every) else np.zeros(0, bool)
+        times = np.diff(np.flatnonzero(np.concatenate([new, [True]])))
+        met, twice = every[order][new][times > 1], np.zeros(len(every), bool)
+        twice[order] = np.repeat(times > 1, times)
+        rows, at = ([], [], [], []), 0
         for k, s in zip(keys, starts, strict=True):
             t = twice[at : at + len(k)]
             at += len(k)
-            for out, v in zip(rows, (s[t], k[~t], s[~t]), strict=True):
+            for out, v in zip(rows, (s[t], k[~t, 0], k[~t, 1], s[~t]), strict=True):
                 out.append(v)
         cols = [*batch.columns[:3], batch.column(3).cast(pa.binary()), *[pa.array(v, t) for v, t in zip(rows, kinds[4:], strict=True)]]
         yield pa.RecordBatch.from_arrays(cols, names=names)
-        met = known[times > 1]
         if len(met):
-            last = [[None], [None], [None], [None], [[]], [met], [np.full(len(met), -1, np.int32)]]
+            last = [[None], [None], [None], [None], [[]], [met[:, 0]], [met[:, 1]], [np.full(len(met), -1, np.int32)]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(last, kinds, strict=True)], names=names)
 
 
@@ -119,19 +126,19 @@ def _repeated(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, row, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        key, more, row, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         hit = np.zeros(len(key), bool)
         if held:
-            key, row, start = (np.concatenate([[h], x]) for h, x in zip(held, (key, row, start), strict=False))
-            hit = np.concatenate([[held[3]], hit])
-        same = key[1:] == key[:-1]
+            key, more, row, start = (np.concatenate([[h], x]) for h, x in zip(held, (key, more, row, start), strict=False))
+            hit = np.concatenate([[held[4]], hit])
+        same = (key[1:] == key[:-1]) & (more[1:] == more[:-1])
         hit[1:] |= same
         hit[:-1] |= same
-        held = (key[-1], row[-1], start[-1], hit[-1])
+        held = (key[-1], more[-1], row[-1], start[-1], hit[-1])
         on = hit[:-1] & (row[:-1] >= 0)
         yield pa.RecordBatch.from_arrays([pa.array(row[:-1][on], pa.int64()), pa.array(start[:-1][on], pa.int32())], names=["row", "start"])
-    if held and held[3] and held[1] >= 0:
-        yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int32())], names=["row", "start"])
+    if held and held[4] and held[2] >= 0:
+        yield pa.RecordBatch.from_arrays([pa.array([held[2]], pa.int64()), pa.array([held[3]], pa.int32())], names=["row", "start"])
 
 
 _SPANS = "array<struct<start:int,end:int>>"
@@ -161,7 +168,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words. Texts shorter than the window keep all their words, however often they occur; of
     equal longer texts none keeps any. Rows that repeat a doc_id count as separate documents. An empty table gives an
-    empty one; columns besides doc_id and text are ignored. Equality of windows is that of a 64-bit hash of the words.
+    empty one; columns besides doc_id and text are ignored. Equality of windows is that of 128 bits of their words.
     """
     scratch = Scratch(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
@@ -180,12 +187,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = scratch.cut(found.withColumn("row", F.monotonically_increasing_id()))
     near = found.withColumnsRenamed({"h1": "g1", "h2": "g2", "doc_id": "doc_id_"})
     pair = keyed.join(near, F.expr("h1 = g1 and h2 = g2 and doc_id <=> doc_id_")).select("row", "h1", "h2", "text", "shared")
-    cand = scratch.cut(pair.mapInArrow(_candidates, "row long, h1 long, h2 long, text binary, here array<int>, keys array<long>, starts array<int>"))
-    open_ = cand.select("row", F.explode(F.arrays_zip("keys", "starts")).alias("x")).select(F.col("x.keys").alias("key"), F.coalesce("row", F.lit(-1)).alias("row"), F.col("x.starts").alias("start"))
-    met = open_.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "row long, start int").groupBy("row").agg(F.collect_list("start").alias("more"))
+    cand = scratch.cut(pair.mapInArrow(_candidates, "row long, h1 long, h2 long, text binary, here array<int>, keys array<long>, more array<long>, starts array<int>"))
+    open_ = cand.select("row", F.explode(F.arrays_zip("keys", "more", "starts")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.more").alias("more"), F.coalesce("row", F.lit(-1)).alias("row"), F.col("x.starts").alias("start"))
+    met = open_.repartition("key", "more").sortWithinPartitions("key", "more").mapInArrow(_repeated, "row long, start int").groupBy("row").agg(F.collect_list("start").alias("more"))
     done = cand.where("row is not null").select("row", "h1", "h2", "text", "here").join(met, "row", "left").where("size(here) > 0 or more is not null")
     cut = done.select("h1", "h2", "text", "here", "more").mapInArrow(_cut, f"h1 long, h2 long, n_gone long, sha_left binary, spans {_SPANS}").dropDuplicates(["h1", "h2"])
-    fate = texts.drop("one").join(cut, ["h1", "h2"], "left")
+    # written, so that the copies of one text can be split in the join
+    fate = scratch.cut(texts.drop("one").join(cut, ["h1", "h2"], "left"))
     out = seeds.drop("anchors").join(fate, ["h1", "h2"])
     all_gone = F.expr(f"copies > 1 and n_words >= {WINDOW}")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
