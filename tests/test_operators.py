@@ -1,6 +1,7 @@
 """Operators against direct computation, on small tables."""
 
 import io
+import json
 import math
 
 import numpy as np
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
+from trackloom.functions import image
 from trackloom.functions import vectors as V
 from trackloom.operators import embeddings as E
 from trackloom.operators import graph, projection, search, stats, tracks, windows
@@ -18,11 +20,11 @@ from trackloom.operators.cache import DepthCache, read_through
 from trackloom.plans import agent
 from trackloom.plans import pipeline as chains
 from trackloom.schemas import TRACKING, Intrinsics
-from trackloom.sinks.files import TrackWriter, write_manifest, write_point_cloud, write_trajectories
+from trackloom.sinks.files import TrackWriter, write_frames, write_manifest, write_point_cloud, write_trajectories
 from trackloom.sources import files as src
 from trackloom.sources import generators as gen
 from trackloom.streaming import frames as streams
-from trackloom.udf import StubDepth, StubTracker, apply_per_clip, detect_text, measure
+from trackloom.udf import OcrConfig, StubDepth, StubEmbedder, StubTracker, apply_per_clip, detect_text, measure, report_text
 
 
 def test_windows_of_30_frames(spark):
@@ -325,14 +327,175 @@ def test_stream_equals_batch(spark, sf):
     assert batch == stream
 
 
+def batches(spark, path):
+    for i in range(6):
+        spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return streams.read_frames(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema, 1)
+
+
+def fail(batch, epoch):
+    raise ValueError("no")
+
+
 def test_guarded_stream_stops_after_too_many_errors(spark, tmp_path):
-    for i in range(4):
-        spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    q, state = streams.run_guarded(batches(spark, tmp_path), fail, f"{tmp_path}/ck", 2)
+    with pytest.raises(Exception, match="no"):
+        q.awaitTermination()
+    assert state == {"batches": 3, "errors": 3}
 
-    def fail(batch, epoch):
-        raise ValueError("no")
 
-    q, state = streams.run_guarded(streams.read_frames(spark, f"{tmp_path}/in", schema, 1), fail, f"{tmp_path}/ck", 10)
+def test_guarded_stream_goes_on_after_few_errors(spark, tmp_path):
+    q, state = streams.run_guarded(batches(spark, tmp_path), fail, f"{tmp_path}/ck", 10)
     q.awaitTermination()
-    assert state == {"batches": 4, "errors": 4}
+    assert state == {"batches": 6, "errors": 6}
+
+
+def test_index_is_loaded_grown_and_saved(spark, tmp_path):
+    ids = spark.createDataFrame([(i, [float(i)] * 4, {"class_name": "car"}) for i in range(4)], "track_id long, embedding array<float>, metadata map<string,string>")
+    first = search.VectorIndex(spark, f"{tmp_path}/ix")
+    first.index_embeddings(ids.where("track_id < 2"))
+    first.save()
+    again = search.VectorIndex(spark, f"{tmp_path}/ix")
+    again.load()
+    again.add_embedding(ids.where("track_id = 2"))
+    again.save()
+    again.add_embedding(ids.where("track_id = 3"))
+    again.save()
+    last = search.VectorIndex(spark, f"{tmp_path}/ix")
+    last.load()
+    assert sorted(r[0] for r in last.rows.select("track_id").collect()) == [0, 1, 2, 3] == sorted(r[0] for r in again.rows.select("track_id").collect())
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("ix")] == ["ix"]
+    a = agent.Agent(spark, f"{tmp_path}/ix", f"{tmp_path}/none")
+    assert a.objects_of_class("car", 2).count() == 2 and a.objects_of_class("bus").count() == 0
+
+
+def npy(x):
+    b = io.BytesIO()
+    np.save(b, x)
+    return bytearray(b.getvalue())
+
+
+def test_frames_are_detected_and_attached(spark):
+    h, w, k = 6, 8, Intrinsics.of_size(6, 8)
+    images = [(i, npy(np.full((h, w, 3), 10 * i, "uint8"))) for i in range(4)]
+    frames = spark.createDataFrame(images, "frame_idx long, content binary")
+    depth = spark.createDataFrame([(i, h, w, [float(v * w + u + 1) for v in range(h) for u in range(w)]) for i in (0, 2, 9)], "frame_idx long, height int, width int, depth array<float>")
+
+    def detector(image, engine):
+        assert image.shape == (12, 16) and image.dtype == np.uint8 and engine == "fast"
+        return [{"text": " A ", "bbox": {"x": 4, "y": 2, "w": 6, "h": 5}, "conf": 90}, {"text": "b", "bbox": {"x": 0, "y": 0, "w": 1, "h": 1}, "conf": 50}]
+
+    got = chains.annotate_frames(frames, depth, detector, k, h, w, min_confidence=60.0, depth_scale=2.0, ocr=OcrConfig(scale=2.0, engine="fast")).orderBy("frame_idx").collect()
+    assert [(r["frame_idx"], r["text"], r["confidence"]) for r in got] == [(0, "A", 90.0), (2, "A", 90.0)]
+    z = 2.0 * (2 * w + 4 + 1)  # the box is (2, 1, 3, 2), its centre (3.5, 2.0), whose pixel is (4, 2)
+    assert tuple(got[0]["pixel_uv"]) == (4, 2) and np.allclose(tuple(got[0]["position_3d"]), ((3.5 - k.cx) * z / k.fx, (2.0 - k.cy) * z / k.fy, z))
+    doc = json.loads(projection.annotation_json(chains.annotate_frames(frames, depth, detector, k, h, w, ocr=OcrConfig(scale=2.0, engine="fast"))).orderBy("frame_idx", "json").first()["json"])
+    assert set(doc) == {"text", "position_3d", "confidence", "pixel_uv"}
+    for bad in (depth.limit(0), depth.withColumn("height", F.lit(5)), depth.withColumn("depth", F.expr("cast(array() as array<float>)"))):
+        with pytest.raises(ValueError):
+            chains.annotate_frames(frames, bad, detector, k, h, w)
+    with pytest.raises(ValueError):
+        OcrConfig(method="other")
+
+
+def test_depth_maps_give_what_pixels_give(spark):
+    px = gen.random_depth(spark, 3, 5, 7)
+    maps = projection.depth_maps(px)
+    assert projection.require_depth(maps).count() == 3
+    t = spark.createDataFrame([(f, i, float(x), float(y)) for f in range(4) for i, (x, y) in enumerate([(0, 0), (6, 4), (3.5, 2.5), (99, -9), (float("nan"), 1)])], "frame_idx long, track_id long, x float, y float")
+    rows = lambda d: sorted(map(tuple, projection.project_to_3d(t, d, 5, 7).collect()))
+    assert rows(maps) == rows(px) and len(rows(px)) == 12
+    det = spark.createDataFrame([(1, "a", (2, 2, 3, 1), 0.9)], "frame_idx long, text string, bbox struct<x:int,y:int,w:int,h:int>, confidence double")
+    assert projection.attach_text(det, maps, 5, 7, Intrinsics.of_size(5, 7)).collect() == projection.attach_text(det, px, 5, 7, Intrinsics.of_size(5, 7)).collect()
+    assert projection.project_to_3d(t, maps, 50, 70).where("point_id = 3 and frame_id = 0").count() == 0  # outside of the map
+
+
+def test_frames_are_prepared_as_by_hand():
+    rng = np.random.default_rng(3)
+    f = rng.integers(0, 256, (9, 11, 3)).astype("uint8")
+    g = image.grey(f)
+    assert g[2, 3] == round(0.114 * int(f[2, 3, 0]) + 0.587 * int(f[2, 3, 1]) + 0.299 * int(f[2, 3, 2]))
+    with pytest.raises(ValueError):
+        image.grey(f[..., :2])
+    flat = g.ravel().astype(float)
+    spread = lambda t: (flat <= t).sum() * (flat > t).sum() * (flat[flat <= t].mean() - flat[flat > t].mean()) ** 2
+    assert image.otsu(g) == max(range(int(flat.min()), int(flat.max())), key=lambda t: (round(spread(t), 6), -t))
+    assert set(np.unique(image.prepare(f))) == {0, 255} and image.prepare(f, threshold=False).tolist() == g.tolist()
+    up = image.upscale(np.full((4, 5), 77, "uint8"), 1.5)
+    assert up.shape == (6, 7) and (up == 77).all()
+    ramp = image.upscale(np.tile(np.arange(0, 80, 8, dtype="uint8"), (4, 1)), 2.0)
+    assert (np.diff(ramp[3, 4:-4].astype(int)) == 4).all()
+    a = image.prepare(f, method="adaptive")
+    sigma = 0.3 * 4 + 0.8
+    k = np.exp(-(np.arange(-5, 6) ** 2) / (2 * sigma**2))
+    k = np.outer(k, k) / k.sum() ** 2
+    pad = np.pad(g.astype(float), 5, mode="edge")
+    mean = np.array([[(pad[y : y + 11, x : x + 11] * k).sum() for x in range(11)] for y in range(9)])
+    assert (a == np.where(g > np.rint(mean) - 2, 255, 0)).mean() > 0.98
+
+
+class Counting(StubTracker):
+    """Writes a file for each load."""
+
+    def __init__(self, path):
+        super().__init__(grid_size=1)
+        self.where = path
+
+    def load(self):
+        import pathlib
+        import uuid
+
+        (pathlib.Path(self.where) / uuid.uuid4().hex).write_text("")
+
+
+def test_a_model_is_loaded_once_in_a_task(spark, tmp_path):
+    f = spark.createDataFrame([(c, 0) for c in range(40)], "clip_id long, frame_idx long").repartition(2, "clip_id")
+    assert apply_per_clip(f, Counting(str(tmp_path)), "clip_id long, frame_idx long, track_id long, x double, y double, visible boolean").count() == 40
+    assert len(list(tmp_path.iterdir())) <= 4
+    with pytest.raises(ValueError):
+        StubEmbedder("small")
+
+
+def test_pca_of_a_missing_or_unfitted_model(spark, tmp_path):
+    rows = spark.createDataFrame([([float(i), float(i * i), 1.0],) for i in range(5)], "embedding array<double>")
+    with pytest.raises(RuntimeError):
+        E.save_pca(None, f"{tmp_path}/p")
+    with pytest.raises(RuntimeError):
+        E.transform_pca(None, rows)
+    with pytest.raises(FileNotFoundError):
+        E.load_pca(spark, f"{tmp_path}/p")
+    m = E.fit_pca(rows, 2)
+    E.save_pca(m, f"{tmp_path}/p")
+    E.save_pca(m, f"{tmp_path}/p")
+    assert np.allclose(*[[r[0] for r in E.transform_pca(x, rows).select("embedding").collect()] for x in (m, E.load_pca(spark, f"{tmp_path}/p"))])
+
+
+def test_positions_and_embeddings_must_be_as_many(spark):
+    p = spark.createDataFrame([(0, 1), (0, 2), (1, 1)], "frame_id long, point_id long")
+    chains.require_aligned(p, p)
+    for other in (p.where("point_id = 1"), p.where("frame_id = 0"), p.unionByName(p)):
+        with pytest.raises(ValueError):
+            chains.require_aligned(p, other)
+
+
+def test_chain_tumbling_and_folders(spark, tmp_path):
+    assert [r[0] for r in chains.chain(spark.range(6), lambda d: d.where("id > 1"), lambda d: d.where("id % 2 = 0")).orderBy("id").collect()] == [2, 4]
+    e = spark.createDataFrame([("2024-01-01 00:00:05", "a"), ("2024-01-01 00:00:09", "a"), ("2024-01-01 00:00:11", "b")], "ts string, k string")
+    assert sorted((r["k"], r["n"]) for r in streams.tumbling(e, "ts", "10 seconds", "1 minute", "k").collect()) == [("a", 2), ("b", 1)]
+    write_frames(spark.createDataFrame([(3, 0, 1.0), (4, 0, 2.0)], "clip_id long, frame_idx long, x double"), f"{tmp_path}/f")
+    assert {p.name for p in (tmp_path / "f").iterdir() if p.is_dir()} == {"clip_id=3", "clip_id=4"} and spark.read.parquet(f"{tmp_path}/f").count() == 2
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/x.bin").write_bytes(b"12345")
+    assert [(r["name"], r["bytes"]) for r in src.scan_cache(spark, f"{tmp_path}/c").collect()] == [("x.bin", 5)]
+    bad = npy(np.zeros((2, 2, 2), "float32"))
+    (tmp_path / "c/frame_0001.npy").write_bytes(bytes(bad))
+    with pytest.raises(Exception, match="two dimensions"):
+        src.read_depth_maps(spark, f"{tmp_path}/c").collect()
+
+
+def test_report_text(spark):
+    report, parts = measure(spark, lambda: None, runs=4, stages={"b": lambda: None, "a": lambda: None})
+    lines = report_text(report, parts).split("\n")
+    assert [x.split(":")[0] for x in lines[:3]] == ["a", "b", "total"] and lines[-1].startswith("PASS")
+    slow = spark.createDataFrame([(i, 200.0) for i in range(4)], "run_idx int, latency_ms double")
+    assert report_text(stats.latency_stats(slow)).split("\n")[-1].startswith("FAIL")

@@ -18,10 +18,11 @@ from .operators.cache import read_through
 from .plans import agent
 from .plans import pipeline as chains
 from .schemas import Intrinsics
+from .sinks.files import TrackWriter, write_manifest, write_point_cloud, write_trajectories
 from .sources import generators as gen
-from .sources.files import work_dir
+from .sources.files import TrackStore, read_point_cloud, read_trajectories, work_dir
 from .streaming import frames as streams
-from .udf import StubDepth, StubTracker, apply_model, apply_per_clip
+from .udf import StubDepth, StubEmbedder, StubTracker, apply_model, apply_per_clip
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -73,10 +74,10 @@ _DEPTH = "CASE WHEN (u + v) % 13 = 0 THEN 0e0 ELSE CAST((u * 7 + v * 3 + frame_i
 
 
 def depth_maps(spark: SparkSession, frames: DataFrame) -> DataFrame:
-    """(frame_idx, v, u, z) of the given frames."""
-    px = frames.select("frame_idx").distinct().withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(H - 1)))).withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(W - 1))))
-    z = F.when((F.col("u") + F.col("v")) % 13 == 0, 0.0).otherwise((F.col("u") * 7 + F.col("v") * 3 + F.col("frame_idx")) % 40 / 4 + 0.5)
-    return px.withColumn("z", z.cast("float"))
+    """A map for each of the given frames: (frame_idx, height, width, depth)."""
+    z = f"if((i % {W} + i div {W}) % 13 = 0, 0D, ((i % {W}) * 7 + (i div {W}) * 3 + frame_idx) % 40 / 4D + 0.5D)"
+    depth = F.expr(f"transform(sequence(0, {H * W - 1}), i -> cast({z} as float))")
+    return frames.select("frame_idx").distinct().select("frame_idx", F.lit(H).alias("height"), F.lit(W).alias("width"), depth.alias("depth"))
 
 
 K = Intrinsics.of_size(H, W)
@@ -168,7 +169,7 @@ def detections(spark, sf_dir):
 @query(f"""WITH b AS (SELECT {_BOX} FROM documents), c AS (SELECT *, bx + bw / 2e0 AS cx, b_y + bh / 2e0 AS cy FROM b WHERE confidence IS NULL OR confidence >= 0.3),
  p AS (SELECT *, CAST(greatest(0, least(round_even(cx, 0), {W - 1})) AS BIGINT) AS u, CAST(greatest(0, least(round_even(cy, 0), {H - 1})) AS BIGINT) AS v FROM c),
  d AS (SELECT *, CAST(CAST({_DEPTH} AS FLOAT) AS DOUBLE) * 2 AS z FROM p)
- SELECT frame_idx, text, round((u - 64) * z / 128, 4) AS x, round((v - 48) * z / 128, 4) AS y, round(z, 4) AS z, confidence, u, v FROM d WHERE z > 0""")
+ SELECT frame_idx, text, round((cx - 64) * z / 128, 4) + 0e0 AS x, round((cy - 48) * z / 128, 4) + 0e0 AS y, round(z, 4) AS z, confidence, u, v FROM d WHERE z > 0""")
 def attach_text_3d(spark, sf_dir):
     d = detections(spark, sf_dir)
     a = projection.attach_text(d, depth_maps(spark, spark.range(8).select(F.col("id").alias("frame_idx"))), H, W, K, 0.3, 2.0)
@@ -190,20 +191,25 @@ def temporal_slot(spark, sf_dir):
     return tracking(spark, sf_dir).select("event_id", G.temporal_slot("frame_idx", 16).alias("slot"))
 
 
+def _weighted(v: str):
+    """All components in one number: each times its place, added up."""
+    return F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
 @query(f"""{T}, pt AS (SELECT event_id, least(frame_idx, (SELECT count(*) FROM embeddings) // 196 - 1) AS slot, floor(greatest(0, least(y * 3, 223)) / 16) * 14 + floor(greatest(0, least(x * 3, 223)) / 16) AS patch_idx FROM tracking)
- SELECT pt.event_id, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first, len(e.embedding) AS dim FROM pt JOIN embeddings e ON e.vec_id = pt.slot * 196 + pt.patch_idx""")
+ SELECT pt.event_id, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first, len(e.embedding) AS dim, round(list_sum([CAST(x AS DOUBLE) * i FOR x, i IN e.embedding]), 5) AS weighted FROM pt JOIN embeddings e ON e.vec_id = pt.slot * 196 + pt.patch_idx""")
 def semantic_lookup(spark, sf_dir):
     t = tracking(spark, sf_dir).select(F.lit(0).alias("clip_id"), "frame_idx", F.col("event_id").alias("track_id"), (F.col("x") * 3).alias("x"), (F.col("y") * 3).alias("y"))
     e = _t(spark, sf_dir, "embeddings")
     f = e.select(F.lit(0).alias("clip_id"), F.expr("cast(vec_id div 196 as int)").alias("slot"), F.expr("cast(vec_id % 196 as int)").alias("patch_idx"), "embedding")
-    return projection.semantic_lookup(t, f, e.count() // 196).select(F.col("track_id").alias("event_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dim"))
+    return projection.semantic_lookup(t, f, e.count() // 196).select(F.col("track_id").alias("event_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dim"), F.round(_weighted("embedding"), 5).alias("weighted"))
 
 
 @query("""WITH s AS (SELECT vec_id, [CAST(x AS DOUBLE) * 3 FOR x IN embedding] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum([x * x FOR x IN v])) AS n FROM s)
- SELECT vec_id, round(v[1] / n, 6) AS first, round(v[64] / n, 6) AS last FROM n""")
+ SELECT vec_id, round(v[1] / n, 6) AS first, round(v[64] / n, 6) AS last, round(list_sum([x / n * i FOR x, i IN v]), 5) AS weighted FROM n""")
 def l2_normalize(spark, sf_dir):
     v = V.l2_normalize(F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3))
-    return _t(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"), F.round(_weighted("v"), 5).alias("weighted"))
 
 
 @query("""SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(e), 6) AS value FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings)
@@ -226,16 +232,37 @@ def group_by_track(spark, sf_dir):
     return g.select("track_id", F.size("embeddings").cast("long").alias("vectors"), F.round(F.aggregate("embeddings", F.lit(0.0), lambda s, v: s + v[0].cast("double")), 4).alias("first_sum"))
 
 
-@query("""SELECT round(min(e), 6) AS min, round(max(e), 6) AS max, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS std, count(*) * 4 AS bytes, CAST(0 AS BIGINT) AS nan_count, CAST(0 AS BIGINT) AS inf_count
- FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings)""")
+def flawed(spark, sf_dir):
+    """Embeddings, some of which have a NaN, an infinity or a component too few."""
+    rule = "case when vec_id % 11 = 3 then concat(slice(embedding, 1, 63), array(float('nan'))) when vec_id % 13 = 5 then concat(array(float('-infinity')), slice(embedding, 2, 63)) when vec_id % 17 = 1 then slice(embedding, 1, 63) else embedding end"
+    return _t(spark, sf_dir, "embeddings").withColumn("embedding", F.expr(rule))
+
+
+_FLAWED = """WITH f AS (SELECT vec_id, label, CASE WHEN vec_id % 11 = 3 THEN embedding[1:63] || ['nan'::FLOAT] WHEN vec_id % 13 = 5 THEN ['-infinity'::FLOAT] || embedding[2:64]
+ WHEN vec_id % 17 = 1 THEN embedding[1:63] ELSE embedding END AS embedding FROM embeddings), e AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS e FROM f)"""
+
+
+@query(f"""{_FLAWED} SELECT round(min(e) FILTER (isfinite(e)), 6) AS min, round(max(e) FILTER (isfinite(e)), 6) AS max, round(avg(e) FILTER (isfinite(e)), 6) AS mean,
+ round(stddev_pop(e) FILTER (isfinite(e)), 6) AS std, count(*) * 4 AS bytes, count(*) FILTER (isnan(e)) AS nan_count, count(*) FILTER (isinf(e)) AS inf_count FROM e""")
 def embedding_stats(spark, sf_dir):
-    d = E.diagnostics(_t(spark, sf_dir, "embeddings"))
+    d = E.diagnostics(flawed(spark, sf_dir))
     return d.select(*[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")], "bytes", "nan_count", "inf_count")
 
 
-@query("SELECT count(*) = 500 AS count_ok, bool_and(len(embedding) = 64) AS dim_ok, true AS no_nan, true AS no_inf, count(*) = 500 AND bool_and(len(embedding) = 64) AS ok FROM embeddings")
+@query(f"""{_FLAWED}, c AS (SELECT label % 3 AS part, embedding, len([x FOR x IN embedding IF isnan(x)]) AS nans, len([x FOR x IN embedding IF isinf(x)]) AS infs FROM f WHERE vec_id % 17 <> 1 OR label % 3 = 2),
+ t AS (SELECT part, count(*) = (SELECT count(*) FROM embeddings WHERE label % 3 = part AND vec_id % 17 <> 1) AS count_ok, bool_and(len(embedding) = 64) AS dim_ok, bool_and(nans = 0) AS no_nan, bool_and(infs = 0) AS no_inf FROM c WHERE part > 0 OR nans + infs = 0 GROUP BY part)
+ SELECT *, count_ok AND dim_ok AND no_nan AND no_inf AS ok FROM t""")
 def embedding_validate(spark, sf_dir):
-    return E.validation(_t(spark, sf_dir, "embeddings"), 500, 64)
+    """Three parts of the table, with flaws of different kinds."""
+    e, out = flawed(spark, sf_dir), None
+    for part in range(3):
+        own = e.where(f"label % 3 = {part}")
+        n = own.where("vec_id % 17 <> 1").count()
+        own = own if part == 2 else own.where("vec_id % 17 <> 1")
+        own = own if part else own.where("not exists(embedding, x -> isnan(x) or abs(x) = double('infinity'))")
+        got = E.validation(own, n, 64).select(F.lit(part).alias("part"), "*")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def _index(spark, sf_dir):
@@ -306,10 +333,11 @@ def node_degree(spark, sf_dir):
     return graph.node_degree(graph.radius_edges(nodes(spark, sf_dir), 8.0, None))
 
 
-@query("""SELECT vec_id AS node_idx, CASE WHEN vec_id % 3 = 0 THEN 3 + 64 ELSE 3 + len(embedding) END AS width, vec_id % 3 <> 0 AS has_embedding, vec_id % 3 <> 0 AND len([x FOR x IN embedding IF x <> 0]) > 0 AS nonzero FROM embeddings""")
+@query("""SELECT vec_id AS node_idx, CASE WHEN vec_id % 3 = 0 THEN 3 + 64 ELSE 3 + len(embedding) END AS width, vec_id % 3 <> 0 AS has_embedding, vec_id % 3 <> 0 AND len([x FOR x IN embedding IF x <> 0]) > 0 AS nonzero,
+ round(14e0 * vec_id + CASE WHEN vec_id % 3 = 0 THEN 0e0 ELSE list_sum([CAST(x AS DOUBLE) * (i + 3) FOR x, i IN embedding]) END, 5) AS weighted FROM embeddings""")
 def ghost_nodes(spark, sf_dir):
-    n = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_idx"), *[F.lit(0.5).alias(c) for c in ("px", "py", "pz")], F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding"))
-    return graph.fusion_nodes(n, 64).select("node_idx", F.size("features").cast("long").alias("width"), "has_embedding", "nonzero")
+    n = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_idx"), *[(F.col("vec_id") * n).cast("double").alias(c) for n, c in enumerate(("px", "py", "pz"), 1)], F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding"))
+    return graph.fusion_nodes(n, 64).select("node_idx", F.size("features").cast("long").alias("width"), "has_embedding", "nonzero", F.round(_weighted("features"), 5).alias("weighted"))
 
 
 @query(f"""{T} SELECT frame_idx % 2 AS graph_id, track_id FROM tracking""")
@@ -364,10 +392,11 @@ def playback_position(spark, sf_dir):
 
 
 @query(f"""{T}, k AS (SELECT frame_idx AS cloud_id, event_id AS idx, CAST(floor((0.25e0 * x + 0.5e0 * y + 2e0 * z - 3e0) * 1000) AS BIGINT) AS depth_key FROM tracking)
- SELECT cloud_id, idx, depth_key, row_number() OVER (PARTITION BY cloud_id ORDER BY depth_key DESC, idx DESC) AS draw_rank FROM k""")
+ SELECT cloud_id, idx, depth_key, row_number() OVER (PARTITION BY cloud_id ORDER BY depth_key DESC, idx DESC) AS draw_rank,
+ round(CASE WHEN max(depth_key) OVER c > min(depth_key) OVER c THEN (depth_key - min(depth_key) OVER c) / CAST(max(depth_key) OVER c - min(depth_key) OVER c AS DOUBLE) ELSE 0e0 END, 6) AS depth_share FROM k WINDOW c AS (PARTITION BY cloud_id)""")
 def depth_sort(spark, sf_dir):
     p = tracking(spark, sf_dir).select(F.col("frame_idx").alias("cloud_id"), F.col("event_id").alias("idx"), "x", "y", "z")
-    return projection.depth_sort(p, (0.25, 0.5, 2.0, -3.0)).select("cloud_id", "idx", "depth_key", F.col("draw_rank").cast("long").alias("draw_rank"))
+    return projection.depth_sort(p, (0.25, 0.5, 2.0, -3.0)).select("cloud_id", "idx", "depth_key", F.col("draw_rank").cast("long").alias("draw_rank"), F.round("depth_share", 6).alias("depth_share"))
 
 
 def cache_entries(spark, sf_dir):
@@ -471,14 +500,17 @@ def cache_read_through(spark, sf_dir):
     return read_through(mark(n.where("frame_idx % 3 = 0"), "cached"), n, lambda d: mark(d, "computed"))
 
 
-@query(f"""{T}, w AS (SELECT track_id AS clip_id, unnest(range(greatest(0, CAST(floor((frame_idx - 16) / 12e0) AS BIGINT) + 1), CAST(floor(frame_idx / 12e0) AS BIGINT) + 1)) AS window_id, y FROM tracking)
- SELECT clip_id, window_id, count(*) AS frames, round(sum(y), 4) AS total FROM w GROUP BY ALL""")
+_WINDOW_COUNTS = f"""{T}, w AS (SELECT track_id AS clip_id, unnest(range(greatest(0, CAST(floor((frame_idx - 16) / 12e0) AS BIGINT) + 1), CAST(floor(frame_idx / 12e0) AS BIGINT) + 1)) AS window_id, y FROM tracking)
+ SELECT clip_id, window_id, count(*) AS frames, round(sum(y), 4) AS total FROM w GROUP BY ALL"""
+
+
+@query(_WINDOW_COUNTS)
 def window_counts(spark, sf_dir):
     f = tracking(spark, sf_dir).select(F.col("track_id").alias("clip_id"), "frame_idx", F.col("y").alias("value"))
     return streams.window_counts(f).withColumn("total", F.round("total", 4))
 
 
-# Rows only: models, files, streams.
+# Models, files, streams.
 
 
 @query()
@@ -487,13 +519,16 @@ def pca_reduce(spark, sf_dir):
     return chains.prepare_embeddings(e, k=16)[0]
 
 
-@query()
+@query("""WITH b AS (SELECT page_id, regexp_extract_all(hex(encode(html)), '..') AS h FROM pages)
+ SELECT page_id AS frame_idx, round(coalesce(list_avg([CAST('0x' || x AS INT) FOR x IN h]), 0e0) / 255 + 1, 9) AS depth FROM b""")
 def model_udf(spark, sf_dir):
     f = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("frame_idx"), F.col("html").cast("binary").alias("content"))
-    return apply_model(f, StubDepth(), "frame_idx long, depth double")
+    return apply_model(f, StubDepth(), "frame_idx long, depth double").withColumn("depth", F.round("depth", 9))
 
 
-@query()
+@query(f"""{T}, f AS (SELECT track_id AS clip_id, frame_idx, frame_idx - min(frame_idx) OVER (PARTITION BY track_id) AS t FROM tracking)
+ SELECT clip_id, frame_idx, iy * 2 + ix AS track_id, CAST(CAST(112e0 * (ix + 0.5e0) AS FLOAT) + CAST(t AS FLOAT) * 2.5 AS DOUBLE) AS x, CAST(CAST(112e0 * (iy + 0.5e0) AS FLOAT) + CAST(t AS FLOAT) * 2.5 AS DOUBLE) AS y, true AS visible
+ FROM f, range(2) a(iy), range(2) b(ix)""")
 def tracker_udf(spark, sf_dir):
     f = tracking(spark, sf_dir).select(F.col("track_id").alias("clip_id"), "frame_idx")
     return apply_per_clip(f, StubTracker(grid_size=2), "clip_id long, frame_idx long, track_id long, x double, y double, visible boolean")
@@ -512,19 +547,25 @@ def random_sources(spark, sf_dir):
     return gen.random_clip(spark, 2, 3, 16).select("frame_idx", "channel", F.size("pixels").alias("n"))
 
 
-@query()
+@query(_WINDOW_COUNTS)
 def stream_frame_windows(spark, sf_dir):
-    """The windows of a stream of frames, run to its end; equals ``window_counts`` on the same rows."""
+    """The windows of a stream of frames, run to its end: each micro-batch's whole result replaces the table before it."""
     work = work_dir(spark)
     f = tracking(spark, sf_dir).select(F.col("track_id").alias("clip_id"), "frame_idx", F.col("y").alias("value"))
     f.write.mode("overwrite").parquet(f"{work}/in")
-    name = "stream_" + work[-32:]
-    q = streams.window_counts(streams.read_frames(spark, f"{work}/in", f.schema)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    counts = streams.window_counts(streams.read_frames(spark, f"{work}/in", f.schema))
+
+    def replace(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{work}/out/epoch={epoch}")
+
+    q = counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    out = spark.read.parquet(f"{work}/out")
+    last = out.agg(F.max("epoch")).first()[0]
+    return out.where(F.col("epoch") == last).drop("epoch").withColumn("total", F.round("total", 4))
 
 
-@query()
+@query("SELECT vec_id AS track_id, label || ' track_' || vec_id AS page_content, CAST(label AS VARCHAR) AS class_name FROM embeddings")
 def stream_append_index(spark, sf_dir):
     """Identities that arrive in a stream, indexed batch by batch."""
     work = work_dir(spark)
@@ -532,3 +573,116 @@ def stream_append_index(spark, sf_dir):
     e.write.mode("overwrite").parquet(f"{work}/in")
     streams.grow_index(streams.read_frames(spark, f"{work}/in", e.schema), search.index_identities, f"{work}/index", f"{work}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{work}/index").select("track_id", "page_content", "class_name")
+
+
+# Tables written and read again.
+
+
+@query("SELECT vec_id AS track_id, 'c' || label || ' track_' || vec_id AS page_content, len(embedding) AS dim FROM embeddings")
+def index_grow(spark, sf_dir):
+    """An index that is saved, loaded, grown and saved again, and then read by another one."""
+    ids = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), "embedding", F.create_map(F.lit("class_name"), F.concat(F.lit("c"), F.col("label").cast("string"))).alias("metadata"))
+    path = work_dir(spark)
+    first = search.VectorIndex(spark, path)
+    first.index_embeddings(ids.where("track_id % 3 = 0"))
+    first.save()
+    for part in (1, 2):
+        more = search.VectorIndex(spark, path)
+        more.load()
+        more.add_embedding(ids.where(f"track_id % 3 = {part}"))
+        more.save()
+    last = search.VectorIndex(spark, path)
+    last.load()
+    return last.rows.select("track_id", "page_content", F.size("embedding").cast("long").alias("dim"))
+
+
+@query("""WITH a AS (SELECT vec_id AS track_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+ d AS (SELECT b.track_id AS query_id, a.track_id, sqrt(sum(pow(a.v - b.v, 2))) AS distance FROM a JOIN a b ON a.i = b.i AND b.track_id IN (7, 100, 333) GROUP BY 1, 2)
+ SELECT query_id, track_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, track_id) AS n FROM d) WHERE n <= 8""")
+def knn_of_several(spark, sf_dir):
+    """The search for three vectors, one plan each."""
+    out = None
+    for q in _t(spark, sf_dir, "embeddings").where("vec_id in (7, 100, 333)").collect():
+        hits = search.nearest(_index(spark, sf_dir), F.array(*map(F.lit, q["embedding"])), 8).select(F.lit(q["vec_id"]).alias("query_id"), "track_id", F.round("distance", 6).alias("distance"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query(f"""{T}, d AS (SELECT frame_idx, 'e' || event_id AS text, CAST(event_id % 90 AS INT) AS bx, CAST(event_id % 71 AS INT) AS b_y, CAST(event_id % 19 AS INT) AS bw, CAST(event_id % 13 AS INT) AS bh, CAST(event_id % 101 AS DOUBLE) AS confidence FROM tracking WHERE frame_idx % 2 = 0),
+ c AS (SELECT *, bx + bw / 2e0 AS cx, b_y + bh / 2e0 AS cy FROM d WHERE confidence >= 50 AND frame_idx % 3 <> 1),
+ p AS (SELECT *, CAST(greatest(0, least(round_even(cx, 0), {W - 1})) AS BIGINT) AS u, CAST(greatest(0, least(round_even(cy, 0), {H - 1})) AS BIGINT) AS v FROM c),
+ z AS (SELECT *, CAST(CAST({_DEPTH} AS FLOAT) AS DOUBLE) * 0.5 AS z FROM p)
+ SELECT frame_idx, text, round((cx - 64) * z / 128, 4) + 0e0 AS x, round((cy - 48) * z / 128, 4) + 0e0 AS y, round(z, 4) AS z, confidence, u, v FROM z WHERE z > 0""")
+def frame_annotations(spark, sf_dir):
+    """Frames through a detector and their depth maps to 3-D annotations; a frame's content stands for what is seen in it."""
+    import json
+
+    box = F.struct(*[(F.col("event_id") % m).cast("int").alias(c) for c, m in (("x", 90), ("y", 71), ("w", 19), ("h", 13))])
+    seen = F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("text"), box.alias("bbox"), (F.col("event_id") % 101).cast("int").alias("conf"))
+    frames = tracking(spark, sf_dir).groupBy("frame_idx").agg(F.to_json(F.collect_list(seen)).cast("binary").alias("content"))
+    depth = depth_maps(spark, frames.where("frame_idx % 3 <> 1"))
+    a = chains.annotate_frames(frames, depth, lambda content: json.loads(bytes(content)), K, H, W, min_confidence=50.0, depth_scale=0.5, frame_skip=2)
+    return a.select("frame_idx", "text", *[F.round(f"position_3d.{c}", 4).alias(c) for c in "xyz"], "confidence", F.col("pixel_uv.u").cast("long").alias("u"), F.col("pixel_uv.v").cast("long").alias("v"))
+
+
+@query(f"""{T} SELECT track_id, count(*) AS n, sum(frame_idx)::BIGINT AS frames, round(sum(CAST(CAST(x AS FLOAT) AS DOUBLE)), 3) AS x, round(sum(CAST(CAST(z AS FLOAT) AS DOUBLE)), 3) AS z, min(class_name) AS ocr_text FROM tracking GROUP BY track_id""")
+def tracking_round_trip(spark, sf_dir):
+    """Two batches through the writer, read back through the store."""
+    t, path = tracking(spark, sf_dir).withColumnRenamed("class_name", "ocr_text"), work_dir(spark)
+    w = TrackWriter(spark, path)
+    for part in (0, 1):
+        w.write(t.where(f"event_id % 2 = {part}"))
+    w.close()
+    each = lambda c: F.round(F.sum(F.col(c).cast("double")), 3).alias(c)
+    return TrackStore(spark, path).df.groupBy("track_id").agg(F.count("*").alias("n"), F.sum("frame_idx").alias("frames"), each("x"), each("z"), F.min("ocr_text").alias("ocr_text"))
+
+
+@query(f"""{_PROJECT} SELECT frame_idx AS frame_id, count(*) AS points, count(*) FILTER (z > 0) AS valid_points, round(sum(CAST(z AS DOUBLE)), 3) AS z FROM d GROUP BY frame_idx""")
+def point_cloud_round_trip(spark, sf_dir):
+    """Projected points as CSV with a header, read back."""
+    path = work_dir(spark)
+    t = tracking(spark, sf_dir).withColumns({"x": F.col("x").cast("float"), "y": F.col("y").cast("float")})
+    write_point_cloud(projection.project_to_3d(t, depth_maps(spark, t), H, W), path)
+    return read_point_cloud(spark, path).groupBy("frame_id").agg(F.count("*").alias("points"), F.count_if("valid").alias("valid_points"), F.round(F.sum(F.col("Z").cast("double")), 3).alias("z"))
+
+
+@query(f"""{T} SELECT track_id AS id, CAST(25 AS INT) AS fps, count(*) AS steps, sum(frame_idx)::BIGINT AS frames, round(sum(x), 3) AS x, true AS coloured FROM tracking WHERE track_id % 4 = 1 GROUP BY track_id""")
+def trajectory_round_trip(spark, sf_dir):
+    """The nested document as JSON, read back; a track has one colour, within [0, 1)."""
+    path = work_dir(spark)
+    p = tracking(spark, sf_dir).where("track_id % 4 = 1").select(F.col("frame_idx").alias("frame_id"), F.col("track_id").alias("point_id"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"))
+    write_trajectories(p, path, 25)
+    step = read_trajectories(spark, path).select("fps", "id", F.inline("path"))
+    colour = F.expr("count(distinct r, g, b) = 1 and min(least(r, g, b)) >= 0 and max(greatest(r, g, b)) < 1 and count(distinct r) = 1")
+    return step.groupBy("id", "fps").agg(F.count("*").alias("steps"), F.sum("f").alias("frames"), F.round(F.sum("x"), 3).alias("x"), colour.alias("coloured"))
+
+
+@query("SELECT 'pages | ' || url || ' | ' || sha256(html) AS line FROM pages")
+def manifest_round_trip(spark, sf_dir):
+    path = work_dir(spark)
+    write_manifest(_t(spark, sf_dir, "pages").select(F.col("url").alias("file"), F.sha2("html", 256).alias("digest")), "pages", path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(f"""{T}, t AS (SELECT track_id, frame_idx, least(frame_idx, 1) AS slot, CAST(greatest(0, least(round_even(CAST(x AS FLOAT), 0), {W - 1})) AS BIGINT) AS u, CAST(greatest(0, least(round_even(CAST(y AS FLOAT), 0), {H - 1})) AS BIGINT) AS v,
+  CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y FROM tracking),
+ p AS (SELECT *, CAST(CAST({_DEPTH} AS FLOAT) AS DOUBLE) AS z, CAST(floor(greatest(0, least(y, 223)) / 16) * 14 + floor(greatest(0, least(x, 223)) / 16) AS INT) AS patch FROM t)
+ SELECT p.frame_idx AS graph_id, p.track_id AS node_idx, e.vec_id IS NOT NULL AS has_embedding, 3 + 64 AS width, round((x - 64) * z / 128, 3) + 0e0 AS px, round(z, 3) AS pz
+ FROM p LEFT JOIN embeddings e ON e.vec_id = slot * 196 + patch AND e.vec_id < 392 WHERE z > 0""")
+def fusion_graph_nodes(spark, sf_dir):
+    """Tracks, depth maps and patch embeddings to the nodes of the frames' fusion graphs; invalid depths are dropped."""
+    t = tracking(spark, sf_dir).select(F.lit(0).alias("clip_id"), "frame_idx", "track_id", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"))
+    f = _t(spark, sf_dir, "embeddings").where("vec_id < 392").select(F.lit(0).alias("clip_id"), F.expr("cast(vec_id div 196 as int)").alias("slot"), F.expr("cast(vec_id % 196 as int)").alias("patch_idx"), "embedding")
+    n = chains.fusion_graph_of_clip(t, depth_maps(spark, t), f, 2, H, W, drop_invalid=True)[0]
+    return n.select("graph_id", "node_idx", "has_embedding", F.size("features").alias("width"), F.round(F.col("px").cast("double"), 3).alias("px"), F.round(F.col("pz").cast("double"), 3).alias("pz"))
+
+
+@query(f"""{T}, f AS (SELECT track_id AS clip_id, frame_idx, frame_idx - min(frame_idx) OVER (PARTITION BY track_id) AS t FROM tracking WHERE track_id % 10 = 3 AND frame_idx < 30),
+ p AS (SELECT clip_id, frame_idx, iy * 2 + ix AS track_id, 112e0 * (ix + 0.5e0) + t * 2.5e0 AS x, 112e0 * (iy + 0.5e0) + t * 2.5e0 AS y FROM f, range(2) a(iy), range(2) b(ix)),
+ k AS (SELECT *, least(frame_idx, 1) * 196 + floor(least(y, 223) / 16) * 14 + floor(least(x, 223) / 16) AS token FROM p)
+ SELECT clip_id, frame_idx, track_id, round(list_sum([CAST((CAST(token AS BIGINT) * 31 + j * 7 + clip_id) % 97 AS DOUBLE) / 97 FOR j IN range(8)]), 4) AS total FROM k""")
+def semantic_tracks(spark, sf_dir):
+    """Clips tracked, embedded and mapped to each other, with stand-in models."""
+    f = tracking(spark, sf_dir).where("track_id % 10 = 3 and frame_idx < 30").select(F.col("track_id").alias("clip_id"), "frame_idx")
+    s = chains.extract_semantics(f, StubTracker(grid_size=2), StubEmbedder(slots=2, dim=8), 2)
+    return s.select("clip_id", "frame_idx", "track_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULTS
@@ -69,10 +69,26 @@ def fit_pca(rows: DataFrame, k: int = DEFAULTS.pca_dim) -> PipelineModel:
 
 def transform_pca(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """``rows`` with their embedding reduced."""
+    if model is None:
+        raise RuntimeError("the PCA is not fitted")
     got = model.transform(rows.withColumn("raw", array_to_vector(F.col("embedding").cast("array<double>"))))
     return got.withColumn("embedding", vector_to_array("reduced")).drop("raw", "centred", "reduced")
 
 
+def save_pca(model: PipelineModel | None, path: str) -> None:
+    """Replaces what is at ``path``; a model that isn't fitted is a RuntimeError."""
+    if model is None:
+        raise RuntimeError("the PCA is not fitted")
+    model.write().overwrite().save(path)
+
+
+def load_pca(spark: SparkSession, path: str) -> PipelineModel:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        raise FileNotFoundError(path)
+    return PipelineModel.load(path)
+
+
 def explained_variance(model: PipelineModel, spark, marks: tuple[int, ...] = (10, 20, 32, 48, 64)) -> DataFrame:
     ratios = model.stages[-1].explainedVariance.toArray().tolist()
     return cumulative_variance(spark.createDataFrame(list(enumerate(ratios, 1)), "k int, ratio double"), marks)

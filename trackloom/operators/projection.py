@@ -6,18 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..schemas import DEFAULTS, Intrinsics
+from ..schemas import ANNOTATION_3D, DEFAULTS, Intrinsics
+
+
+def depth_maps(depth: DataFrame) -> DataFrame:
+    """(frame_idx, v, u, z), every pixel once, to one row per frame: (frame_idx, height, width, depth), depths row by row."""
+    rows = F.array_sort(F.collect_list(F.struct("v", "u", "z")))
+    return depth.groupBy("frame_idx").agg((F.max("v") + 1).alias("height"), (F.max("u") + 1).alias("width"), F.transform(rows, lambda p: p["z"]).alias("depth"))
+
+
+def at_pixels(points: DataFrame, depth: DataFrame) -> DataFrame:
+    """``points`` (frame_idx, v, u, ...) with z, their pixel's depth; points of frames or pixels without one drop out.
+
+    ``depth`` has a row for each frame, (frame_idx, height, width, depth), or one for each pixel, (frame_idx, v, u, z). With a
+    row for each frame the join is on the frame alone, so a map moves as one array and none of its pixels is a row.
+    """
+    if "depth" not in depth.columns:
+        return points.join(depth.select("frame_idx", "v", "u", "z"), ["frame_idx", "v", "u"])
+    maps = depth.select("frame_idx", F.col("height").alias("__h"), F.col("width").alias("__w"), F.col("depth").alias("__depth"))
+    inside = (F.col("v") >= 0) & (F.col("v") < F.col("__h")) & (F.col("u") >= 0) & (F.col("u") < F.col("__w"))
+    return points.join(maps, "frame_idx").where(inside).withColumn("z", F.get("__depth", F.col("v") * F.col("__w") + F.col("u"))).drop("__h", "__w", "__depth")
+
+
+def require_depth(depth: DataFrame) -> DataFrame:
+    """``depth`` (a row for each frame) if it has any row and all its maps hold height times width values, else ValueError."""
+    bad = (F.col("depth").isNull()) | (F.coalesce(F.col("height") * F.col("width"), F.lit(0)) <= 0) | (F.size("depth") != F.col("height") * F.col("width"))
+    n, wrong = depth.agg(F.count("*"), F.count_if(F.coalesce(bad, F.lit(True)))).first()
+    if not n or wrong:
+        raise ValueError(f"depth maps are not valid: {n} in all, {wrong} empty or not of their height times width")
+    return depth
 
 
 def project_to_3d(tracks: DataFrame, depth: DataFrame, height: int, width: int, k: Intrinsics | None = None, mask_invalid: bool = True) -> DataFrame:
-    """(frame_idx, track_id, x, y) with a depth (frame_idx, v, u, z) to (frame_id, point_id, X, Y, Z, valid).
+    """(frame_idx, track_id, x, y) with depths (see ``at_pixels``) to (frame_id, point_id, X, Y, Z, valid).
 
-    One equi-join on frame and pixel for all frames; frames without depth drop out. Points are kept and flagged where
+    One equi-join for all frames; frames without depth drop out. Points are kept and flagged where
     their depth is not finite or not positive; points without a pixel (NaN) drop out. The unrounded pixel is projected.
     """
     k = k or Intrinsics.of_size(height, width)
     at = tracks.select("frame_idx", F.col("track_id").alias("point_id"), "x", "y", G.pixel_index("y", height).alias("v"), G.pixel_index("x", width).alias("u"))
-    p = at.join(depth.select("frame_idx", "v", "u", "z"), ["frame_idx", "v", "u"]).withColumn("p", G.back_project("x", "y", "z", k))
+    p = at_pixels(at, depth).withColumn("p", G.back_project("x", "y", "z", k))
     valid = G.valid_depth("z") if mask_invalid else F.lit(True)
     return p.select(F.col("frame_idx").alias("frame_id"), "point_id", "p.X", "p.Y", "p.Z", valid.alias("valid"))
 
@@ -25,16 +53,22 @@ def project_to_3d(tracks: DataFrame, depth: DataFrame, height: int, width: int,
 def attach_text(detections: DataFrame, depth: DataFrame, height: int, width: int, k: Intrinsics, min_confidence: float = 0.0, depth_scale: float = 1.0) -> DataFrame:
     """(frame_idx, text, bbox, confidence) to 3-D annotations at the depth of each box's centre.
 
-    Detections of null confidence stay, those under the least don't; annotations without a valid scaled depth are dropped.
+    The centre itself is projected; its nearest pixel gives the depth. Detections of null confidence stay, those under the least don't; annotations without a valid scaled depth are dropped.
     """
     cx, cy = G.bbox_center("bbox")
     kept = detections.where(F.col("confidence").isNull() | (F.col("confidence") >= min_confidence))
     at = kept.withColumns({"cx": cx, "cy": cy}).withColumns({"v": G.pixel_index("cy", height), "u": G.pixel_index("cx", width)})
-    z = at.join(depth.select("frame_idx", "v", "u", F.col("z").cast("double").alias("z")), ["frame_idx", "v", "u"]).withColumn("z", F.col("z") * F.lit(float(depth_scale))).where(G.valid_depth("z"))
-    p = z.withColumn("p", G.back_project("u", "v", "z", k, "double"))
+    z = at_pixels(at, depth).withColumn("z", F.col("z").cast("double") * F.lit(float(depth_scale))).where(G.valid_depth("z"))
+    p = z.withColumn("p", G.back_project("cx", "cy", "z", k, "double"))
     return p.select("frame_idx", "text", F.struct(F.col("p.X").alias("x"), F.col("p.Y").alias("y"), F.col("p.Z").alias("z")).alias("position_3d"), "confidence", F.struct("u", "v").alias("pixel_uv"))
 
 
+def annotation_json(annotations: DataFrame) -> DataFrame:
+    """(frame_idx, json): each annotation as a document of text, position_3d, confidence and pixel_uv; nulls stay in it."""
+    fields = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ANNOTATION_3D])
+    return annotations.select("frame_idx", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def ocr_filter(tokens: DataFrame, min_conf: int = DEFAULTS.min_ocr_conf) -> DataFrame:
     """Tokens of enough confidence whose trimmed text isn't empty; the text is stored trimmed."""
     return tokens.withColumn("text", F.trim("text")).where((F.col("conf") >= min_conf) & (F.col("text") != ""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +52,17 @@ class VectorIndex:
     def save(self) -> None:
         if self.rows is None:
             raise RuntimeError("the index is empty")
-        self.rows.write.mode("overwrite").parquet(self.path)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        new, old = (f"{self.path.rstrip('/')}.{uuid.uuid4().hex}.{name}" for name in ("new", "old"))
+        self.rows.write.parquet(new)
+        # only a whole new table takes the place of the old one, which the rows may still be read from until then
+        fs = at(self.path).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if fs.exists(at(self.path)):
+            fs.rename(at(self.path), at(old))
+        if not fs.rename(at(new), at(self.path)):
+            raise OSError(f"{new} can't be moved to {self.path}")
+        fs.delete(at(old), True)
+        self.load()
 
     def load(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

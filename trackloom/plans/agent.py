@@ -15,10 +15,9 @@ from ..sources.files import TrackStore
 def enrich(hits: DataFrame, tracks: DataFrame, include_locations: bool = True) -> DataFrame:
     """``hits(track_id, ...)`` with found, the summary's columns and the locations; a hit without a track stays.
 
-    The tracking table is scanned once, and cut to the hits' tracks by a semi-join before anything is computed on it; hits
-    are at most k rows.
+    The tracking table is cut to the hits' tracks by a semi-join before anything is computed on it.
     """
-    ids = F.broadcast(hits.select("track_id").distinct())
+    ids = hits.select("track_id").distinct()  # its size decides how it is joined
     own = tracks.join(ids, "track_id", "left_semi")
     out = hits.join(track_summary(own), "track_id", "left").withColumn("found", F.col("num_frames").isNotNull())
     if include_locations:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import embeddings as E
 from ..operators.graph import build_fusion_graph
-from ..operators.projection import project_to_3d, semantic_lookup
-from ..schemas import DEFAULTS
+from ..operators.projection import attach_text, project_to_3d, require_depth, semantic_lookup
+from ..schemas import DEFAULTS, PATCH_FEATURES, Intrinsics
+from ..udf import Model, OcrConfig, apply_per_clip, detect_text
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -24,14 +25,45 @@ def chain(df: DataFrame, *stages: Stage) -> DataFrame:
     return df
 
 
-def fusion_graph_of_clip(tracks: DataFrame, depth: DataFrame, features: DataFrame, slots: int, height: int, width: int, radius: float = 1.5, drop_invalid: bool = False) -> tuple[DataFrame, DataFrame]:
+def annotate_frames(
+    frames: DataFrame, depth: DataFrame, detector: Callable[[bytes], list[dict]], k: Intrinsics, height: int, width: int, min_confidence: float = 0.0, depth_scale: float = 1.0, frame_skip: int = 1, ocr: OcrConfig | None = None, check: bool = True
+) -> DataFrame:
+    """Frames (frame_idx, content) and their depth maps to 3-D text annotations: detect, then attach, all frames in one plan.
+
+    Images and depths meet by frame number; a frame without the other one gives nothing. Confidence is the detector's, 0 to
+    100. The plan is lazy but for the check of the maps, and runs on a stream's micro-batch as on a table.
+    """
+    if check and "depth" in depth.columns:
+        require_depth(depth)
+    found = detect_text(frames, detector, frame_skip=frame_skip, config=ocr).withColumn("confidence", F.col("conf").cast("double"))
+    return attach_text(found, depth, height, width, k, min_confidence, depth_scale)
+
+
+def extract_semantics(frames: DataFrame, tracker: Model, embedder: Model, slots: int) -> DataFrame:
+    """Clips (clip_id, frame_idx, content) to semantic tracks: tracked, embedded and mapped to each other in one plan."""
+    tracks = apply_per_clip(frames, tracker, "clip_id long, frame_idx long, track_id long, x double, y double, visible boolean")
+    return semantic_lookup(tracks, apply_per_clip(frames, embedder, PATCH_FEATURES), slots)
+
+
+def require_aligned(positions: DataFrame, embeddings: DataFrame, keys: tuple[str, ...] = ("frame_id",)) -> None:
+    """ValueError unless both have equally many rows for each value of ``keys``."""
+    n = lambda d, name: d.groupBy(*keys).agg(F.count("*").alias(name))
+    bad = n(positions, "a").join(n(embeddings, "b"), list(keys), "full").where("not (a <=> b)").limit(3).collect()
+    if bad:
+        raise ValueError(f"positions and embeddings differ in number: {[tuple(r) for r in bad]}")
+
+
+def fusion_graph_of_clip(tracks: DataFrame, depth: DataFrame, features: DataFrame, slots: int, height: int, width: int, radius: float = 1.5, drop_invalid: bool = False, check: bool = False) -> tuple[DataFrame, DataFrame]:
     """Tracks (clip_id, frame_idx, track_id, x, y), depth and patch features to the graphs of all frames: nodes, edges.
 
-    A frame is a graph. Points with an invalid depth stay unless ``drop_invalid``.
+    A frame is a graph. Points with an invalid depth stay unless ``drop_invalid``. ``check``: frames whose points and
+    embeddings differ in number are a ValueError; otherwise a point without one is a ghost node.
     """
     p = project_to_3d(tracks, depth, height, width)
     p = p.where("valid") if drop_invalid else p
     s = semantic_lookup(tracks, features, slots).select(F.col("frame_idx").alias("frame_id"), F.col("track_id").alias("point_id"), "embedding")
+    if check:
+        require_aligned(p, s)
     nodes = p.join(s, ["frame_id", "point_id"], "left").select(F.col("frame_id").alias("graph_id"), F.col("point_id").alias("node_idx"), F.col("point_id").alias("track_id"), F.col("X").alias("px"), F.col("Y").alias("py"), F.col("Z").alias("pz"), "embedding")
     return build_fusion_graph(nodes, radius, placeholder_dim=DEFAULTS.pca_dim)
 

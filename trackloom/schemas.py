@@ -17,24 +17,18 @@ def _struct(**fields: T.DataType) -> T.StructType:
 TRACKING = _struct(track_id=_L, frame_idx=_L, x=_F, y=_F, z=_F, ocr_text=_S, confidence=_F)
 #: Projected points as they are exchanged by CSV.
 POINT_CLOUD = _struct(frame_id=_L, point_id=_L, X=_F, Y=_F, Z=_F, valid=_B)
-TRACKS_2D = _struct(clip_id=_I, frame_idx=_L, track_id=_L, x=_F, y=_F, visible=_B)
 DEPTH = _struct(frame_idx=_L, v=_I, u=_I, z=_F)
-FRAME = _struct(path=_S, content=T.BinaryType())
-PATCH_FEATURES = _struct(clip_id=_I, slot=_I, patch_idx=_I, embedding=T.ArrayType(_F))
-SEMANTIC_TRACKS = _struct(clip_id=_I, frame_idx=_L, track_id=_L, embedding=T.ArrayType(_F))
-IDENTITY = _struct(track_id=_L, embedding=T.ArrayType(_F), metadata=T.MapType(_S, _S))
+#: A frame's depths as one array, row by row.
+DEPTH_MAP = _struct(frame_idx=_L, height=_I, width=_I, depth=T.ArrayType(_F))
+#: One row per patch of a clip's temporal slot.
+PATCH_FEATURES = _struct(clip_id=_L, slot=_I, patch_idx=_I, embedding=T.ArrayType(_F))
 INDEX = _struct(track_id=_L, page_content=_S, text_vec=T.ArrayType(_D), embedding=T.ArrayType(_F), class_name=_S, metadata=T.MapType(_S, _S))
-NODES = _struct(graph_id=_L, node_idx=_L, track_id=_L, px=_F, py=_F, pz=_F, features=T.ArrayType(_F))
-EDGES = _struct(graph_id=_L, src=_L, dst=_L)
 BBOX = _struct(x=_I, y=_I, w=_I, h=_I)
 OCR_DETECTION = _struct(frame_idx=_L, text=_S, bbox=BBOX, conf=_I)
 ANNOTATION_3D = _struct(text=_S, position_3d=_struct(x=_D, y=_D, z=_D), confidence=_D, pixel_uv=_struct(u=_I, v=_I))
 PATH_POINT = _struct(f=_L, x=_D, y=_D, z=_D, r=_D, g=_D, b=_D)
 TRAJECTORY = _struct(fps=_I, tracks=T.ArrayType(_struct(id=_L, path=T.ArrayType(PATH_POINT))))
 CACHE_ENTRY = _struct(key=_S, name=_S, bytes=_L, last_used=_L)
-LATENCY_REPORT = _struct(runs=_L, mean_ms=_D, std_ms=_D, min_ms=_D, max_ms=_D, fps=_D, within_threshold=_B)
-LOCATION = _struct(frame_idx=_L, x=_D, y=_D, z=_D, confidence=_D)
-ANSWER = _struct(rank=_I, track_id=_L, distance=_D, similarity=_D, class_name=_S, found=_B, num_frames=_L, locations=T.ArrayType(LOCATION))
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import logging
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import DEPTH, POINT_CLOUD, TRACKING, TRAJECTORY
+from ..schemas import DEPTH_MAP, POINT_CLOUD, TRACKING, TRAJECTORY
 
 log = logging.getLogger(__name__)
 IMAGES = (".png", ".jpg", ".jpeg")
@@ -25,8 +24,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share, a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new path in the folder that all executors share, in the warehouse where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/trackloom-{uuid.uuid4().hex}"
 
 
@@ -61,8 +60,11 @@ def _files(spark: SparkSession, path: str, glob: str | None = None, deep: bool =
     return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
-def read_depth_frames(spark: SparkSession, path: str, glob: str = "frame_*.npy") -> DataFrame:
-    """One array of depths per frame, named by number, to (frame_idx, v, u, z); frames count in order of their names."""
+def read_depth_maps(spark: SparkSession, path: str, glob: str = "frame_*.npy") -> DataFrame:
+    """One file of depths per frame, named by number, to one row per frame: (frame_idx, height, width, depth), row by row.
+
+    A file that doesn't hold an array of two dimensions with any value fails the query.
+    """
     files = _files(spark, path, glob)
     if files.isEmpty():
         raise FileNotFoundError(f"{path}/{glob}")
@@ -72,10 +74,17 @@ def read_depth_frames(spark: SparkSession, path: str, glob: str = "frame_*.npy")
         for b in batches:
             for frame, content in zip(b["frame_idx"], b["content"], strict=True):
                 z = np.load(io.BytesIO(content)).astype(np.float32)
-                v, u = np.indices(z.shape)
-                yield pd.DataFrame({"frame_idx": frame, "v": v.ravel().astype("int32"), "u": u.ravel().astype("int32"), "z": z.ravel()})
+                if z.ndim != 2 or not z.size:
+                    raise ValueError(f"frame {frame}: depths must have two dimensions and a value, not the shape {z.shape}")
+                yield pd.DataFrame({"frame_idx": [frame], "height": [z.shape[0]], "width": [z.shape[1]], "depth": [z.ravel()]})
+
+    return files.select(number.alias("frame_idx"), "content").mapInPandas(load, DEPTH_MAP)
 
-    return files.select(number.alias("frame_idx"), "content").mapInPandas(load, DEPTH)
+
+def read_depth_frames(spark: SparkSession, path: str, glob: str = "frame_*.npy") -> DataFrame:
+    """The same files, a row for each pixel: (frame_idx, v, u, z)."""
+    px = read_depth_maps(spark, path, glob).select("frame_idx", "width", F.posexplode("depth").alias("i", "z"))
+    return px.select("frame_idx", F.expr("cast(i div width as int)").alias("v"), F.expr("cast(i % width as int)").alias("u"), "z")
 
 
 def list_images(spark: SparkSession, path: str, max_frames: int = 20) -> DataFrame:

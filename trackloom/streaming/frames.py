@@ -58,14 +58,15 @@ class RunningPCA:
 
         self_s = self.s
         parts = batch.select(column).mapInPandas(moments, "n long, s array<double>, p array<double>")
-        total = parts.select("n", F.posexplode("p").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-        sums = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-        self.n += parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        each = parts.select(F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "p")).alias("i", "x"))
         d = len(self.s)
-        for i, x in sums.collect():
-            self.s[i] += x
-        for i, x in total.collect():
-            self.p[i // d, i % d] += x
+        for i, x in each.groupBy("i").agg(F.sum("x").alias("x")).collect():  # 1 + d + d * d numbers
+            if not i:
+                self.n += round(x)
+            elif i <= d:
+                self.s[i - 1] += x
+            else:
+                self.p[(i - 1 - d) // d, (i - 1 - d) % d] += x
         return self
 
     def components(self, k: int) -> tuple[np.ndarray, np.ndarray]:

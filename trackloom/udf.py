@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import io
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .schemas import OCR_DETECTION
+from .schemas import DEFAULTS, OCR_DETECTION
 
 
 class Model(ABC):
@@ -43,15 +48,16 @@ def apply_model(df: DataFrame, model: Model, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def apply_per_clip(df: DataFrame, model: Model, schema: str) -> DataFrame:
-    """For models that need a whole clip: one group per clip."""
+def apply_per_clip(df: DataFrame, model: Model, schema: str | T.StructType) -> DataFrame:
+    """For models that need a whole clip: one group per clip. The model is loaded once in a task, with its first clip."""
+    loaded: list[Model] = []
 
     def run(clip: pd.DataFrame) -> pd.DataFrame:
-        model.load()
-        try:
-            return model.predict(clip.sort_values("frame_idx"))
-        finally:
-            model.release()
+        if not loaded:
+            model.load()
+            loaded.append(model)
+            atexit.register(model.release)
+        return model.predict(clip.sort_values("frame_idx"))
 
     return df.groupBy("clip_id").applyInPandas(run, schema)
 
@@ -95,13 +101,58 @@ class StubTracker(Model):
         return pd.DataFrame({"clip_id": np.repeat(batch["clip_id"].to_numpy(), n), "frame_idx": np.repeat(t, n), "track_id": np.tile(np.arange(n), len(t)), "x": np.tile(at[:, 0], len(t)) + move, "y": np.tile(at[:, 1], len(t)) + move, "visible": True})
 
 
-def detect_text(frames: DataFrame, detector: Callable[[bytes], list[dict]], min_conf: int = 40, frame_skip: int = 1) -> DataFrame:
-    """Detections of sampled frames; frames are skipped before the detector sees them."""
+class StubEmbedder(Model):
+    """Patch embeddings of a clip that follow from its numbers: stands where a video model is not installed."""
+
+    SIZES = {"vitl": 1024, "vith": 1280, "vitg": 1408, "vitg_384": 1408}
+
+    def __init__(self, size: str = "vitl", slots: int = 2, dim: int | None = None):
+        super().__init__()
+        if size not in self.SIZES:
+            raise ValueError(f"size must be one of {sorted(self.SIZES)}")
+        self.slots, self.dim, self.patches = slots, dim or self.SIZES[size], DEFAULTS.patches_per_side**2
+
+    def load(self) -> None: ...
+
+    def predict(self, batch: pd.DataFrame) -> pd.DataFrame:
+        n, clip = self.slots * self.patches, int(batch["clip_id"].iloc[0])
+        token = np.arange(n)
+        rows = ((token[:, None] * 31 + np.arange(self.dim) * 7 + clip) % 97 / 97).astype("float32")
+        return pd.DataFrame({"clip_id": clip, "slot": (token // self.patches).astype("int32"), "patch_idx": (token % self.patches).astype("int32"), "embedding": list(rows)})
+
+
+@dataclass(frozen=True)
+class OcrConfig:
+    """How a frame is prepared for a detector that takes pixels: ``method`` is otsu or adaptive."""
+
+    threshold: bool = True
+    method: str = "otsu"
+    scale: float = 1.0
+    engine: str = ""
+
+    def __post_init__(self) -> None:
+        if self.method not in ("otsu", "adaptive") or self.scale <= 0:
+            raise ValueError("method must be otsu or adaptive, and scale positive")
+
+
+def detect_text(frames: DataFrame, detector: Callable[..., list[dict]], min_conf: int = DEFAULTS.min_ocr_conf, frame_skip: int = 1, config: OcrConfig | None = None) -> DataFrame:
+    """Detections of sampled frames; frames are skipped before the detector sees them.
+
+    The detector gets a frame's content. With a ``config``, content is an array file of shape (height, width, 3), blue first:
+    the detector gets the prepared grey image and the engine's options, and its boxes are scaled back to the frame.
+    """
+    from .functions.image import prepare
     from .operators.projection import ocr_filter, sample_frames
 
+    def of_frame(content: bytes) -> list[dict]:
+        if config is None:
+            return detector(content)
+        found = detector(prepare(np.load(io.BytesIO(content)), config.threshold, config.method, config.scale), config.engine)
+        return [d | {"bbox": {k: int(x / config.scale) for k, x in d["bbox"].items()}} for d in found]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"frame_idx": f, **d} for f, c in zip(b["frame_idx"], b["content"], strict=True) for d in detector(c)]
+            rows = [{"frame_idx": f, **d} for f, c in zip(b["frame_idx"], b["content"], strict=True) for d in of_frame(c)]
             yield pd.DataFrame(rows, columns=["frame_idx", "text", "bbox", "conf"])
 
     return ocr_filter(sample_frames(frames, frame_skip).select("frame_idx", "content").mapInPandas(run, OCR_DETECTION), min_conf)
@@ -123,3 +174,11 @@ def measure(spark, f: Callable, runs: int = 20, warmup: int = 2, threshold_ms: f
     report = latency_stats(spark.createDataFrame(times, "run_idx int, latency_ms double"), None, warmup, threshold_ms)
     parts = [(n, time_ms(s)[1]) for n, s in (stages or {}).items()]
     return report, stage_breakdown(spark.createDataFrame(parts, "stage string, ms double")) if parts else None
+
+
+def report_text(report: DataFrame, stages: DataFrame | None = None, threshold_ms: float = DEFAULTS.latency_ms) -> str:
+    """The report of ``measure`` as lines, PASS or FAIL last."""
+    r = report.first()
+    lines = [f"{s['stage']}: {s['ms']:.2f} ms" for s in (stages.orderBy(F.col("stage") == "total", "stage").collect() if stages is not None else [])]
+    lines.append(f"runs {r['runs']}, mean {r['mean_ms']:.2f} ms, deviation {r['std_ms']:.2f} ms, {r['fps']:.1f} frames a second")
+    return "\n".join([*lines, f"{'PASS' if r['within_threshold'] else 'FAIL'}: mean under {threshold_ms:g} ms"])
