@@ -29,7 +29,7 @@ def legal(text):
 
 def conversations(df):
     out = {}
-    for r in chat.format_chats(df).orderBy("conv_id", "part", "seq").collect():
+    for r in chat.format_chats(df).orderBy("conv_id", "place", "seq").collect():
         out.setdefault(r["conv_id"], []).append(r)
     return out
 
@@ -71,3 +71,15 @@ def test_edge_rows_and_one_long_conversation(spark):
     assert [r["turn"] for r in got[1] if r["action"] != "insert"] == list(range(4000))
     assert sum(r["action"] == "merge" for r in got[3]) == 1 and "".join(r["rendered"] for r in got[4]).startswith(("<|user|>\n<|end|>\n<|assistant|>\nhi", "<|user|>\nhi"))
     assert conversations(df.limit(0)) == {}
+
+
+def test_rows_do_not_depend_on_how_they_are_dealt(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(str, chat.format_chats(df.repartition(int(n))).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]

@@ -144,9 +144,9 @@ def _runs(batches, names: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
 
 
 def _stretches(batches):
-    schema, rows = pa.schema([("conv", pa.binary()), ("part", pa.int32()), ("m", pa.list_(pa.int64()))]), []
+    schema, rows = pa.schema([("conv", pa.binary()), ("part", pa.int32()), ("n", pa.int64()), ("m", pa.list_(pa.int64()))]), []
     for (conv, part), run in _runs(batches, ["conv", "part"]):
-        rows.append({"conv": conv, "part": part, "m": matrix([r["role"] for r in run])})
+        rows.append({"conv": conv, "part": part, "n": len(run), "m": matrix([r["role"] for r in run])})
         if len(rows) == 2000:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
             rows = []
@@ -154,31 +154,31 @@ def _stretches(batches):
 
 
 def _threads(batches):
-    schema = pa.schema([("conv", pa.binary()), ("part", pa.int32()), ("entry", pa.int32()), ("leave", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
+    schema = pa.schema([("conv", pa.binary()), ("part", pa.int32()), ("entry", pa.int32()), ("leave", pa.int32()), ("start", pa.int64()), ("last", pa.bool_())])
     for batch in batches:
         rows = []
         for conv, stretches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for i, (s, (entry, leave)) in enumerate(zip(stretches, thread([s["m"] for s in stretches]), strict=True)):
-                rows.append({"conv": conv, "part": s["part"], "entry": entry, "leave": leave, "first": i == 0, "last": i == len(stretches) - 1})
+            start = 0
+            for s, (entry, leave) in zip(stretches, thread([s["m"] for s in stretches]), strict=True):
+                rows.append({"conv": conv, "part": s["part"], "entry": entry, "leave": leave, "start": start, "last": s is stretches[-1]})
+                start += s["n"]
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _rendered(rows: list[dict]) -> list[dict]:
     """The pieces of one stretch."""
     out: list[dict] = []
-
-    def piece(r: dict, role: int, text: str, action: str, opens: bool) -> None:
-        close = CLOSE if opens and not (r["first"] and not out) else ""
-        out.append({"conv_id": r["conv_id"], "turn": r["turn"], "part": r["part"], "seq": len(out), "role": ROLES[role], "action": action, "opens": opens, "rendered": (close + OPEN.format(role=ROLES[role]) if opens else JOIN) + text})
-
-    for r, (before, at, action) in zip(rows, decode([r["role"] for r in rows], rows[0]["entry"], rows[0]["leave"]), strict=True):
-        for s in _BETWEEN[before, at] if action == "new" else ():
-            piece(r, s, "", "insert", True)
-        piece(r, at, r["text"] or "", "merge" if action == "merge" else "keep" if r["role"] == ROLES[at] else "relabel", action == "new")
-    if r["last"]:
-        for s in {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(at, ()):
-            piece(r, s, "", "insert", True)
-        out[-1]["rendered"] += CLOSE
+    steps = decode([r["role"] for r in rows], rows[0]["entry"], rows[0]["leave"])
+    for i, (r, (before, at, action)) in enumerate(zip(rows, steps, strict=True)):
+        pieces = [(s, "", "insert", True) for s in (_BETWEEN[before, at] if action == "new" else ())]
+        pieces.append((at, r["text"] or "", "merge" if action == "merge" else "keep" if r["role"] == ROLES[at] else "relabel", action == "new"))
+        end = r["last"] and i == len(rows) - 1
+        if end:
+            pieces += [(s, "", "insert", True) for s in {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(at, ())]
+        for seq, (role, text, action_, opens) in enumerate(pieces):
+            close = CLOSE if opens and r["start"] + i + seq else ""
+            head = close + OPEN.format(role=ROLES[role]) if opens else JOIN
+            out.append({"conv_id": r["conv_id"], "turn": r["turn"], "place": r["start"] + i, "seq": seq, "role": ROLES[role], "action": action_, "opens": opens, "rendered": head + text + (CLOSE if end and seq == len(pieces) - 1 else "")})
     return out
 
 
@@ -196,9 +196,10 @@ def _render(schema: pa.Schema):
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """The repaired conversations, a row for each piece: conv_id, turn, part, seq, role, action, opens, rendered.
+    """The repaired conversations, a row for each piece: conv_id, turn, place, seq, role, action, opens, rendered.
 
-    Pieces of a conversation follow (part, seq). ``action`` is keep, relabel, merge or insert. The pieces' ``rendered`` texts, one
+    ``place`` counts the conversation's turns before the piece's own, ``seq`` the pieces of that turn; they don't depend on how
+    rows are dealt. Pieces of a conversation follow (place, seq). ``action`` is keep, relabel, merge or insert. The pieces' ``rendered`` texts, one
     after the other, are the conversation. Turns stand in order of ``turn`` (null first),
     ties in order of role and a hash of the text; repeated rows are turns of their own. Null roles and unknown ones are relabelled; null
     texts are empty; a null conv_id is a conversation of its own. An empty table gives an empty one; other columns are
@@ -211,9 +212,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     dealt = t.withColumn("conv", conv).withColumn("tie", F.xxhash64("text")).repartitionByRange("conv", "turn", "role", "tie").withColumn("part", F.spark_partition_id())
     dealt = scratch.cut(dealt)
     parts = lambda df: df.repartition("conv", "part").sortWithinPartitions("conv", "part", *order)
-    stretches = parts(dealt).select("conv", "part", "role").mapInArrow(_stretches, "conv binary, part int, m array<bigint>")
-    lists = stretches.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("part", "m"))).alias("s"))  # one for each partition at most
-    ways = scratch.cut(lists.mapInArrow(_threads, "conv binary, part int, entry int, leave int, first boolean, last boolean"))
+    stretches = parts(dealt).select("conv", "part", "role").mapInArrow(_stretches, "conv binary, part int, n long, m array<bigint>")
+    lists = stretches.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("part", "n", "m"))).alias("s"))  # one for each partition at most
+    ways = scratch.cut(lists.mapInArrow(_threads, "conv binary, part int, entry int, leave int, start long, last boolean"))
     fields = {f.name: f for f in turns.schema}
-    schema = T.StructType([fields["conv_id"], fields["turn"], *[T.StructField(n, k) for n, k in (("part", T.IntegerType()), ("seq", T.IntegerType()), ("role", T.StringType()), ("action", T.StringType()), ("opens", T.BooleanType()), ("rendered", T.StringType()))]])
+    schema = T.StructType([fields["conv_id"], fields["turn"], *[T.StructField(n, k) for n, k in (("place", T.LongType()), ("seq", T.IntegerType()), ("role", T.StringType()), ("action", T.StringType()), ("opens", T.BooleanType()), ("rendered", T.StringType()))]])
     return parts(dealt.join(ways, ["conv", "part"])).mapInArrow(_render(to_arrow_schema(schema)), schema)
