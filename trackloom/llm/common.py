@@ -23,10 +23,15 @@ def scratch_root(spark: SparkSession) -> str:
 _roots: list[str] = []
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete this process's scratch tables; results that still read them must have been written before."""
+def scratch_mark() -> int:
+    """How many scratch folders this process has: what is made from now on can be cleared by this mark."""
+    return len(_roots)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete this process's scratch tables, or those made since a mark; results that still read them must have been written before."""
     conf = spark._jsparkSession.sessionState().newHadoopConf()
-    while _roots:
+    while len(_roots) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_roots.pop())
         path.getFileSystem(conf).delete(path, True)
 
