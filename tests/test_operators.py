@@ -24,7 +24,7 @@ from trackloom.sinks.files import TrackWriter, write_frames, write_manifest, wri
 from trackloom.sources import files as src
 from trackloom.sources import generators as gen
 from trackloom.streaming import frames as streams
-from trackloom.udf import OcrConfig, StubDepth, StubEmbedder, StubTracker, apply_per_clip, detect_text, measure, report_text
+from trackloom.udf import OcrConfig, StubDepth, StubEmbedder, StubTracker, apply_per_clip, detect_text, measure, report_text, simulated_stages
 
 
 def test_windows_of_30_frames(spark):
@@ -499,3 +499,10 @@ def test_report_text(spark):
     assert [x.split(":")[0] for x in lines[:3]] == ["a", "b", "total"] and lines[-1].startswith("PASS")
     slow = spark.createDataFrame([(i, 200.0) for i in range(4)], "run_idx int, latency_ms double")
     assert report_text(stats.latency_stats(slow)).split("\n")[-1].startswith("FAIL")
+
+
+def test_simulated_stages(spark):
+    stages = simulated_stages(spark, 50, 6, 8)
+    assert {n: f() >= 0 for n, f in stages.items()} == {"products": True, "projection": True, "graph": True} and stages["projection"]() == 50
+    report, parts = measure(spark, stages["graph"], runs=2, warmup=1, stages=stages)
+    assert report.first()["runs"] == 1 and parts.count() == 4

@@ -686,3 +686,14 @@ def semantic_tracks(spark, sf_dir):
     f = tracking(spark, sf_dir).where("track_id % 10 = 3 and frame_idx < 30").select(F.col("track_id").alias("clip_id"), "frame_idx")
     s = chains.extract_semantics(f, StubTracker(grid_size=2), StubEmbedder(slots=2, dim=8), 2)
     return s.select("clip_id", "frame_idx", "track_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+@query("""WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings), m AS (SELECT i, avg(e) AS m FROM e GROUP BY i),
+ l AS (SELECT label, i, avg(e) AS a FROM e GROUP BY label, i) SELECT label AS track_id, 64 AS dim, round(sum(pow(a - m, 2)), 6) AS squared_norm FROM l JOIN m USING (i) GROUP BY label""")
+def pca_rotation(spark, sf_dir):
+    """Identities after a PCA that keeps all dimensions, saved and loaded: a rotation about the mean, so norms are known."""
+    e = _t(spark, sf_dir, "embeddings").select(F.lit(0).alias("clip_id"), F.col("label").alias("track_id"), F.col("vec_id").alias("frame_idx"), "embedding")
+    path = work_dir(spark)
+    E.save_pca(E.fit_pca(e, 64), path)
+    out, _ = chains.prepare_embeddings(e, E.load_pca(spark, path), normalize=False)
+    return out.select("track_id", F.size("embedding").alias("dim"), F.round(V.dot("embedding", "embedding"), 6).alias("squared_norm"))

@@ -182,3 +182,21 @@ def report_text(report: DataFrame, stages: DataFrame | None = None, threshold_ms
     lines = [f"{s['stage']}: {s['ms']:.2f} ms" for s in (stages.orderBy(F.col("stage") == "total", "stage").collect() if stages is not None else [])]
     lines.append(f"runs {r['runs']}, mean {r['mean_ms']:.2f} ms, deviation {r['std_ms']:.2f} ms, {r['fps']:.1f} frames a second")
     return "\n".join([*lines, f"{'PASS' if r['within_threshold'] else 'FAIL'}: mean under {threshold_ms:g} ms"])
+
+
+def simulated_stages(spark, n: int = 10_000, height: int = 720, width: int = 1280) -> dict[str, Callable[[], int]]:
+    """Stages over seeded data for ``measure``: products of vectors, projection of points, a radius graph of 1.5."""
+    from .functions import vectors as V
+    from .operators.graph import radius_edges
+    from .operators.projection import depth_maps, project_to_3d
+    from .sources import generators as gen
+
+    v = gen.random_vectors(spark, 2000, 64)
+    points = gen.random_tracks(spark, 1, n, min(height, width))
+    maps = depth_maps(gen.random_depth(spark, 1, height, width))
+    nodes = gen.random_vectors(spark, 500, 3).select(F.lit(0).alias("graph_id"), F.col("id").alias("node_idx"), *[(F.get("embedding", F.lit(i)) * 5).alias(c) for i, c in enumerate(("px", "py", "pz"))])
+    return {
+        "products": lambda: v.select(V.dot("embedding", F.reverse("embedding")).alias("x")).where("x is not null").count(),
+        "projection": lambda: project_to_3d(points, maps, height, width).where("valid").count(),
+        "graph": lambda: radius_edges(nodes, 1.5).count(),
+    }
