@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ EOS = 2
 #: Rows of one length that are ranked together.
 RANKED_TOGETHER = 1000
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: The pre-token pattern of the byte-level vocabulary, and its special token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
@@ -58,7 +60,10 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
+        ids = array("I", self.bpe.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _plain(self, text: str) -> bytes:
         if _WIDE.search(text):
