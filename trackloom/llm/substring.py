@@ -53,8 +53,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def windows(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: its hash of 128 bits (two columns), the place of its anchor; and the hashes of all k-grams."""
+def windows(words: list[bytes], window: int = WINDOW, gram: int = GRAM, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: its hash of 128 bits (two columns; none unless ``hashed``), the place of its anchor; and the hashes of all k-grams."""
     n = len(words)
     if n < window:
         return np.zeros((0, 2), _U), np.zeros(0, np.int64), np.zeros(0, _U)
@@ -62,10 +62,12 @@ def windows(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
     up, down = _Powers.to(n)
     total = np.concatenate([np.zeros(1, _U), np.cumsum(h * down)])
     grams = _mix((total[gram:] - total[:-gram]) * up[gram - 1 :])
-    whole = _mix((total[window:] - total[:-window]) * up[window - 1 :] + _U(window))
-    up, down = _Powers.to(n, _OTHER)
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(8)), _U, n) * down)])
-    whole = np.stack([whole, _mix((total[window:] - total[:-window]) * up[window - 1 :])], axis=1)
+    whole = np.zeros((0, 2), _U)
+    if hashed:
+        one = _mix((total[window:] - total[:-window]) * up[window - 1 :] + _U(window))
+        up, down = _Powers.to(n, _OTHER)
+        total = np.concatenate([np.zeros(1, _U), np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(8)), _U, n) * down)])
+        whole = np.stack([one, _mix((total[window:] - total[:-window]) * up[window - 1 :])], axis=1)
     width = window - gram + 1
     m, step = n - window + 1, 50_000  # the view is read in blocks
     anchor = np.concatenate([np.lib.stride_tricks.sliding_window_view(grams[at : min(m, at + step) + width - 1], width).argmin(axis=1) for at in range(0, m, step)])
@@ -79,7 +81,7 @@ def _anchors(batches):
             words = (x.as_py() or b"").split()
             n_words.append(len(words))
             sha.append(hashlib.sha256(b" ".join(words)).digest())
-            _, anchor, grams = windows(words)
+            _, anchor, grams = windows(words, hashed=False)
             values.append(grams[np.unique(anchor)].view(np.int64))
             offsets.append(offsets[-1] + len(values[-1]))
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
