@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"[.!?\n]+")
 
 
+@lru_cache(50_000)
 def features(chunk: str) -> tuple[str, ...]:
     """The features of one white-space-delimited chunk of lower-case text: each word, and its first 4 and 5 letters.
 
@@ -63,17 +64,13 @@ def level(feature: str, n: int) -> str:
     return feature if n == 1 else f"{feature}#{n}"
 
 
-def of_text(text: str | None, memo: dict[str, tuple[str, ...]] | None = None) -> set[str]:
-    """The features of a text at all their levels; ``memo`` lets many texts share the strings of their features."""
-    memo = {} if memo is None else memo
-    seen: Counter = Counter()
+def of_text(text: str | None) -> set[str]:
+    """The features of a text at all their levels."""
+    seen: dict[str, int] = {}
     for chunk, n in Counter((text or "").lower().split()).items():
-        got = memo.get(chunk)
-        if got is None:
-            got = memo[chunk] = tuple(map(sys.intern, features(chunk)))
-        for f in got:
-            seen[f] += n
-    return {sys.intern(level(f, k)) for f, n in seen.items() for k in LEVELS if n >= k}
+        for f in features(chunk):
+            seen[f] = seen.get(f, 0) + n
+    return {level(f, k) for f, n in seen.items() for k in LEVELS if n >= k}
 
 
 @dataclass
@@ -170,20 +167,18 @@ def fit(texts: list[str | None], labels: list[int], prior: float | None = None,
     share = min(max(share, 1e-4), 1 - 1e-4)
     if not 0 < pos < n:
         return Model(math.log(share / (1 - share)), {})
-    memo: dict[str, tuple[str, ...]] = {}
-    sets = [of_text(t, memo) for t in texts]
+    # features are made twice, so that those of all texts are never held at once
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for s, label in zip(sets, labels, strict=True):
-        seen[label].update(s)
-    total = seen[0] + seen[1]
-    odds = {f: abs(math.log((seen[1][f] + 0.5) / (pos + 1)) - math.log((seen[0][f] + 0.5) / (n - pos + 1))) * math.sqrt(c) for f, c in total.items() if c >= MIN_TEXTS}
+    for t, label in zip(texts, labels, strict=True):
+        seen[label].update(of_text(t))
+    odds = {f: abs(math.log((seen[1][f] + 0.5) / (pos + 1)) - math.log((seen[0][f] + 0.5) / (n - pos + 1))) * math.sqrt(c) for f in seen[0].keys() | seen[1].keys() if (c := seen[0][f] + seen[1][f]) >= MIN_TEXTS}
+    seen = (Counter(), Counter())
     fixed = {f for terms in IDENTITY_TERMS.values() for t in terms for f in features(t)}
     names = sorted(fixed | set(sorted(odds, key=lambda f: (-odds[f], f))[:MAX_FEATURES]))
     place = {f: i for i, f in enumerate(names)}
     m = len(names)
-    rows = [[place[f] for f in s if f in place] for s in sets]
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    col = np.array([i for r in rows for i in sorted(r)], np.int64)
+    rows = [np.array(sorted(place[f] for f in of_text(t) if f in place), np.int64) for t in texts]
+    row, col = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
     among = lambda fs: {f for f in fs if f in place}
     pairs = [(among(a), among(b)) for a, b in counterfactuals(texts, labels)] or [(set(), set())]
     prow = np.array([k for k, (a, b) in enumerate(pairs) for _ in range(len(a) + len(b))], np.int64)
