@@ -19,6 +19,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Container
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -64,13 +65,17 @@ def level(feature: str, n: int) -> str:
     return feature if n == 1 else f"{feature}#{n}"
 
 
-def of_text(text: str | None) -> set[str]:
-    """The features of a text at all their levels."""
+def of_text(text: str | None, only: Container[str] | None = None) -> set[str]:
+    """The features of a text at all their levels, or those of the features ``only``."""
     seen: dict[str, int] = {}
     for chunk, n in Counter((text or "").lower().split()).items():
         for f in features(chunk):
-            seen[f] = seen.get(f, 0) + n
-    return {level(f, k) for f, n in seen.items() for k in LEVELS if n >= k}
+            if only is None or f in only:
+                seen[f] = seen.get(f, 0) + n
+    out = set(seen)
+    for k in LEVELS[1:]:
+        out.update([level(f, k) for f, n in seen.items() if n >= k])
+    return out
 
 
 @dataclass
@@ -177,7 +182,8 @@ def fit(texts: list[str | None], labels: list[int], prior: float | None = None,
     names = sorted(fixed | set(sorted(odds, key=lambda f: (-odds[f], f))[:MAX_FEATURES]))
     place = {f: i for i, f in enumerate(names)}
     m = len(names)
-    rows = [np.array(sorted(place[f] for f in of_text(t) if f in place), np.int64) for t in texts]
+    plain = {f.split("#")[0] for f in names}
+    rows = [np.array(sorted(place[f] for f in of_text(t, plain) if f in place), np.int64) for t in texts]
     row, col = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
     among = lambda fs: {f for f in fs if f in place}
     pairs = [(among(a), among(b)) for a, b in counterfactuals(texts, labels)] or [(set(), set())]
