@@ -603,7 +603,7 @@ def knn_of_several(spark, sf_dir):
     """The search for three vectors, one plan each."""
     out = None
     for q in _t(spark, sf_dir, "embeddings").where("vec_id in (7, 100, 333)").collect():
-        hits = search.nearest(_index(spark, sf_dir), F.array(*map(F.lit, q["embedding"])), 8).select(F.lit(q["vec_id"]).alias("query_id"), "track_id", F.round("distance", 6).alias("distance"))
+        hits = search.nearest(_index(spark, sf_dir), F.array(*map(F.lit, q["embedding"])), 8).select(F.lit(q["vec_id"]).cast("long").alias("query_id"), "track_id", F.round("distance", 6).alias("distance"))
         out = hits if out is None else out.unionByName(hits)
     return out
 
