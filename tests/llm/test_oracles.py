@@ -7,7 +7,8 @@ from trackloom.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "conversations", "pages"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, sf)
     assert sorted(got.columns) == sorted(want.columns)
@@ -15,4 +16,4 @@ def test_oracle(spark, sf, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
