@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import urllib.parse
 import uuid
@@ -32,6 +33,7 @@ from .common import Scratch, in_sieve, sieve
 FRAME, SKIPPABLE, DICTIONARY = 0xFD2FB528, 0x184D2A50, 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSIONS = (b"WARC/1.0", b"WARC/1.1")
+NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 #: An empty skippable frame, as text: what stands between frames.
 BETWEEN = struct.pack("<II", SKIPPABLE, 0).decode("ascii")
@@ -215,7 +217,7 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
             out[name] += " " + line.strip().decode()
             continue
         key, colon, value = line.partition(b":")
-        if not colon or not key or key != key.strip():
+        if not colon or not NAME.fullmatch(key):
             raise ValueError(f"no header field: {line[:80]!r}")
         name = key.decode().lower()
         out.setdefault(name, value.strip().decode())
