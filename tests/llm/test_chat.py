@@ -52,6 +52,55 @@ def test_stretches_combine_to_the_whole():
         assert cost == chat.repair(roles)[0]
 
 
+def first_way(roles):
+    """Of all cheapest ways, the states of the first one by the states from the end on."""
+    best = (1 << 60, ())
+    for path in itertools.product((1, 2, 3), repeat=len(roles)):
+        at, cost = 0, 0
+        for r, to in zip(roles, path, strict=True):
+            ways = [c for a, b, c, _ in chat.moves(r) if (a, b) == (at, to)]
+            cost, at = cost + min(ways, default=1 << 60), to
+        best = min(best, (cost + chat.END[at], path[::-1]))
+    return best[1][::-1]
+
+
+def test_the_way_chosen_does_not_follow_from_the_cuts():
+    rnd = random.Random(3)
+    names = ["system", "user", "assistant", "human", "tool", None, "System"]
+    for _ in range(150):
+        roles = [rnd.choice(names) for _ in range(rnd.randint(1, 7))]
+        want = first_way(roles)
+        for _ in range(4):
+            cuts = sorted({0, len(roles), *rnd.sample(range(len(roles)), rnd.randint(0, len(roles) - 1))})
+            parts = [roles[a:b] for a, b in itertools.pairwise(cuts)]
+            ways = chat.thread([chat.matrix(p) for p in parts])
+            got = [m for p, (a, b) in zip(parts, ways, strict=True) for m in chat.decode(p, a, b)]
+            assert tuple(s for _, s, _ in got) == want
+    roles = [rnd.choice(names) for _ in range(2000)]
+    seen = set()
+    for step in (1, 3, 64, 511, 2000):
+        parts = [roles[i : i + step] for i in range(0, 2000, step)]
+        ways = chat.thread([chat.matrix(p) for p in parts])
+        seen.add(tuple(m for p, (a, b) in zip(parts, ways, strict=True) for m in chat.decode(p, a, b)))
+    assert len(seen) == 1
+
+
+def test_long_conversations_do_not_depend_on_partitions(spark):
+    rnd = random.Random(4)
+    rows = [(c, i, rnd.choice(["system", "user", "assistant", "tool", None]), f"t{i}") for c in (1, 2) for i in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before, got = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}, set()
+    try:
+        for n, adaptive in ((1, "true"), (3, "false"), (8, "true"), (13, "false"), (16, "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got.add(tuple(sorted(map(str, chat.format_chats(df).collect()))))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 1
+
+
 def test_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/conversations.parquet")
     got = conversations(df)

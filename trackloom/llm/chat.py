@@ -4,9 +4,9 @@ A legal conversation may open with a system turn, then user and assistant altern
 the last word. Over that automaton a dynamic program chooses for every turn, in order, to keep it, relabel it, merge it into
 the turn before, or insert empty turns before it, at the least total cost; the repaired sequence is then rendered.
 
-Costs of consecutive turns combine as matrices over (min, +), which is associative. So a conversation that holds a third of
+Costs of consecutive turns combine as matrices over (min, +), which is associative; so does the order of ways that cost the same. So a conversation that holds a third of
 all rows isn't a unit of work: rows are range-partitioned by conversation and turn, each stretch of a conversation in a
-partition is reduced to one 4 x 4 matrix, the matrices of a conversation (at most one for each partition) give each
+partition is reduced to one 4 x 4 matrix of costs and one of ranks, the matrices of a conversation (at most one for each partition) give each
 stretch the state in which it starts and ends, and the stretches are then decoded by themselves.
 """
 
@@ -96,16 +96,28 @@ def _steps(roles: list[str | None], entry: dict[int, int]) -> list[dict[int, tup
 
 
 def matrix(roles: list[str | None]) -> list[int]:
-    """Least cost from each state to each, row by row."""
-    flat = []
-    for at in range(4):
-        last = _steps(roles, {at: 0})[-1]
-        flat += [last[to][0] if to in last else _NO for to in range(4)]
-    return flat
+    """Least cost from each state to each, row by row; then the rank of each such way among those that end in its state.
+
+    Ways are ranked by their states from the end on, the state before the first turn last. So of ways that cost the same, the same
+    one is chosen wherever a conversation is cut.
+    """
+    cost = [{at: 0} for at in range(4)]
+    rank = {at: {at: 0} for at in range(4)}
+    for role in roles:
+        steps = [{} for _ in range(4)]
+        for at, to, c, _ in moves(role):
+            for entry in range(4):
+                if at in cost[entry] and (to not in steps[entry] or (cost[entry][at] + c, at) < steps[entry][to]):
+                    steps[entry][to] = (cost[entry][at] + c, at)
+        ends = {to for s in steps for to in s}
+        order = {to: sorted((steps[e][to][1], rank[steps[e][to][1]][e], e) for e in range(4) if to in steps[e]) for to in ends}
+        rank = {to: {e: i for i, (_, _, e) in enumerate(found)} for to, found in order.items()}
+        cost = [{to: c for to, (c, _) in s.items()} for s in steps]
+    return [cost[at].get(to, _NO) for at in range(4) for to in range(4)] + [rank.get(to, {}).get(at, 4) for at in range(4) for to in range(4)]
 
 
 def decode(roles: list[str | None], entry: int, leave: int) -> list[tuple[int, int, str]]:
-    """(state before, state, action) of each turn on a cheapest way from ``entry`` to ``leave``."""
+    """(state before, state, action) of each turn on the first of the cheapest ways from ``entry`` to ``leave``: see ``matrix``."""
     steps, at, out = _steps(roles, {entry: 0}), leave, []
     for best in reversed(steps):
         _, before, action = best[at]
@@ -115,11 +127,12 @@ def decode(roles: list[str | None], entry: int, leave: int) -> list[tuple[int, i
 
 
 def thread(matrices: list[list[int]]) -> list[tuple[int, int]]:
-    """(entry, leave) of each stretch on a cheapest way through all, from the start to a legal end."""
+    """(entry, leave) of each stretch on the first of the cheapest ways through all, from the start to a legal end."""
     cost, back = np.array([0, _NO, _NO, _NO]), []
     for m in matrices:
-        total = cost[:, None] + np.array(m).reshape(4, 4)
-        back.append(total.argmin(axis=0))
+        each, rank = np.array(m).reshape(2, 4, 4)
+        total = cost[:, None] + each
+        back.append(np.where(total == total.min(axis=0), rank, 5).argmin(axis=0))
         cost = np.minimum(total.min(axis=0), _NO)
     at, out = int(np.argmin([c + END[s] for s, c in enumerate(cost)])), []
     for b in reversed(back):
