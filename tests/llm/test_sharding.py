@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import xxhash
@@ -72,7 +73,7 @@ def test_order_by_hand(spark, sf):
     """Hashed buckets, Fisher-Yates in each, the buckets one after the other, cut into runs: from the keys alone."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["doc_id"])
     nth = F.lit(0).cast("long")
-    key = F.xxhash64(F.lit(sharding.SEED), "doc_id", "text")
+    key = sharding._digest(docs, sharding.SEED)
     rows = docs.select("doc_id", (F.octet_length("text") + 1).alias("size"), F.xxhash64(F.lit(sharding.SEED + 1), key, nth).alias("spread")).collect()
     n_buckets = max(1, -(-sum(r["size"] for r in rows) // 30_000))
     order = []
@@ -100,3 +101,33 @@ def test_written_shards_of_edge_rows(spark, tmp_path):
     assert len(per) == 8 and all(r["d"] == r["n"] == r["m"] + 1 and r["n"] in (4, 5) for r in per)
     assert sharding.shard(df).count() == len(rows)
     sharding.write_shards(df.limit(0), f"{tmp_path}/none")
+
+
+def test_records_that_differ_only_by_which_column_is_null(spark, tmp_path):
+    rnd = random.Random(9)
+    some = lambda *x: rnd.choice([None, *x])
+    rows = [(1, "same", "en", None, None, None), (1, "same", None, "en", None, None), (1, "same", None, None, ("a", None), ["x", None]), (1, "same", None, None, (None, "a"), [None, "x"]), (1, "same", None, None, ("a", None), ["x", None])]
+    rows += [(some(1, 2), some("", "t"), some("a", "b"), some("a", "b"), rnd.choice([None, (None, None), ("a", None), (None, "a")]), rnd.choice([None, [], [None], ["a"], ["a", None]])) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, pair struct<l:string,r:string>, list array<string>")
+    sharding.write_shards(df.repartition(6), f"{tmp_path}/out", bucket_bytes=500)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(repr, back.select(*df.columns).collect())) == sorted(map(repr, df.collect()))
+    per = back.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert len(per) == 8 and all(r["n"] == r["d"] == r["m"] + 1 for r in per) and max(r["n"] for r in per) - min(r["n"] for r in per) <= 1
+
+
+def test_equal_hashes_lose_nothing(spark, tmp_path, monkeypatch):
+    """All records with one hash: they still come out as they went in."""
+    monkeypatch.setattr(sharding, "_digest", lambda docs, seed: F.lit(seed).cast("long") + F.length("text") * 0)
+    rows = [(i % 7, "ab"[i % 2], f"s{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sharding.write_shards(df, f"{tmp_path}/out")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(*df.columns).collect())) == sorted(rows)
+
+
+def test_totals_before_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKETS_TOGETHER", 7)
+    rnd = random.Random(2)
+    sizes = {b: rnd.randint(1, 9) for b in rnd.sample(range(200), 90)}
+    got = sharding._totals_before(spark.createDataFrame(list(sizes.items()), "__tl_bucket long, n long")).collect()
+    assert {r[0]: r[1] for r in got} == {b: sum(n for x, n in sizes.items() if x < b) for b in sizes}

@@ -5,10 +5,9 @@ and, at ``bucket_bytes`` in the mean, fits in a task's memory. Second pass: each
 Fisher-Yates algorithm and written out. Buckets in a row are a uniform random order of all records; shards are runs of it,
 with row counts at most one apart (the law ``rows``).
 
-Equal records have equal hashes. So that a third of all rows being one text doesn't fill one bucket, the hash takes the
-record's key beside its text, and rows that are equal in both are told apart by a number among their equals. Records with
-equals meet once as one record with a count, which is unfolded in runs of ``UNFOLDED`` over tasks; the others are scattered at
-once. Bucket sizes come from the hashes, so the records themselves are shuffled once and written once.
+Equal records have equal hashes. So that a third of all rows being one record doesn't fill one bucket, equal rows are told apart
+by a number among their equals. Records with equals meet once as one record with a count, by all their columns, which is
+unfolded in runs of ``UNFOLDED`` over tasks; the others are scattered at once. Bucket sizes come from the hashes, so the records themselves are shuffled once and written once.
 """
 
 from __future__ import annotations
@@ -29,6 +28,8 @@ BUCKET_BYTES = 8 << 20
 BUCKET_ROWS = 20_000
 #: Equal records that one task writes out.
 UNFOLDED = 1000
+#: Buckets whose rows are added up by one task.
+BUCKETS_TOGETHER = 4096
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -67,39 +68,54 @@ def _shuffle_buckets(seed: int):
     return run
 
 
-def _hashable(docs: DataFrame, name: str) -> Column:
-    """The column, as JSON if it holds a map, which has no hash."""
-    column = F.col(f"`{name}`")
-    return F.to_json(F.struct(column.alias("x"))) if "map<" in docs.schema[name].dataType.simpleString() else column
+def _digest(docs: DataFrame, seed: int) -> Column:
+    """A hash of all columns of a row. Which of them are null counts, as Spark's hash passes over nulls; nested ones go as JSON that keeps them."""
+    own = [F.col(f"`{f.name}`") for f in docs.schema]
+    flat = [c if f.dataType.typeName() not in ("struct", "array", "map") else F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}) for c, f in zip(own, docs.schema, strict=True)]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in own])
+    return F.xxhash64(F.lit(seed), nulls, *flat)
+
+
+def _totals_before(sizes: DataFrame) -> DataFrame:
+    """(__tl_bucket, n) to (__tl_bucket, __tl_before), the rows of all buckets before it, in two levels: groups of buckets, then each group's own."""
+    grouped = sizes.withColumn("many", F.expr(f"__tl_bucket div {BUCKETS_TOGETHER}"))
+    so_far = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    groups = grouped.groupBy("many").agg(F.sum("n").alias("n"))
+    groups = groups.select("many", so_far(Window.orderBy("many")).alias("of_groups"))
+    own = grouped.select("many", "__tl_bucket", so_far(Window.partitionBy("many").orderBy("__tl_bucket")).alias("of_own"))
+    return own.join(groups, "many").select("__tl_bucket", (F.col("of_groups") + F.col("of_own")).alias("__tl_before"))
 
 
 def _shuffled(docs: DataFrame, scratch: Scratch, n_shards: int, seed: int, bucket_bytes: int) -> DataFrame:
-    """The records of ``docs`` through both passes, with __tl_bucket, __tl_shard and __tl_slot."""
-    key, same = ["__tl_key", "__tl_row"], F.xxhash64(F.lit(seed + 2), *[_hashable(docs, c) for c in docs.columns])
-    keyed = docs.withColumns({"__tl_key": F.xxhash64(F.lit(seed), "doc_id", "text"), "__tl_row": same})
+    """The records of ``docs`` through both passes, with __tl_bucket, __tl_shard and __tl_slot.
+
+    Hashes only decide where a record goes. Which records are equal is decided by their columns, so none is ever taken for another.
+    """
+    key = ["__tl_key", "__tl_row"]
+    keyed = docs.withColumns({"__tl_key": _digest(docs, seed), "__tl_row": _digest(docs, seed + 2)})
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1
     own = keyed.select(*key, size.alias("size")).groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    by_key = Window.partitionBy("__tl_key")
+    by_key = Window.partitionBy("__tl_key")  # more than one row only where hashes of different records are equal
     own = scratch.cut(own.withColumns({"first": F.sum("n").over(by_key.orderBy("__tl_row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"), "all": F.sum("n").over(by_key)}))
     rows, total = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_buckets = max(1, -(-int(total) // bucket_bytes), -(-rows // BUCKET_ROWS))
     # `nth` tells rows of one key apart, so that their number doesn't fill one bucket
     spread = F.xxhash64(F.lit(seed + 1), "__tl_key", "nth")
     bucket = F.pmod(spread, F.lit(n_buckets)).alias("__tl_bucket")
-    run = F.explode(F.expr(f"sequence(0L, (n - 1) div {UNFOLDED})"))
-    nth = F.explode(F.expr(f"sequence(first + run * {UNFOLDED}, first + least(n, (run + 1) * {UNFOLDED}) - 1)"))
+    run = lambda n: F.explode(F.expr(f"sequence(0L, ({n} - 1) div {UNFOLDED})"))
+    nth = lambda n: F.explode(F.expr(f"sequence(first + run * {UNFOLDED}, first + least({n}, (run + 1) * {UNFOLDED}) - 1)"))
     once = own.where("n = 1").select("__tl_key", F.col("first").alias("nth"))
-    often = own.where("n > 1").withColumn("run", run).repartition(*key, "run").withColumn("nth", nth).select("__tl_key", "nth")
-    sizes = once.unionByName(often).groupBy(bucket).agg(F.count("*").alias("n"))
-    # a row for each bucket: the running total orders the buckets
-    before = scratch.cut(sizes.select("__tl_bucket", (F.sum("n").over(Window.orderBy("__tl_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("__tl_before")))
+    often = own.where("n > 1").withColumn("run", run("n")).repartition(*key, "run").withColumn("nth", nth("n")).select("__tl_key", "nth")
+    before = scratch.cut(_totals_before(once.unionByName(often).groupBy(bucket).agg(F.count("*").alias("n"))))
     keyed = in_sieve(keyed, "__tl_key", scratch.cut(sieve(own.where("all > 1"), "__tl_key")))
     alone = keyed.where("not __tl_in").select(*docs.columns, *key, F.lit(0).cast("long").alias("nth"))
-    met = keyed.where("__tl_in").groupBy(*key).agg(F.first(F.struct(*docs.columns)).alias("rec")).join(own.select(*key, "n", "first"), key)
-    equals = met.withColumn("run", run).repartition(*key, "run").withColumn("nth", nth).select("rec.*", *key, "nth")
-    dealt = alone.unionByName(equals).select(*docs.columns, bucket, spread.alias("__tl_key"), "__tl_row").repartition("__tl_bucket").sortWithinPartitions("__tl_bucket", "__tl_key", "__tl_row").drop("__tl_key", "__tl_row")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    met = keyed.where("__tl_in").groupBy(*columns, *key).agg(F.count("*").alias("__tl_n")).select(F.struct(*columns).alias("rec"), *key, "__tl_n")
+    equals = met.join(own.select(*key, "first"), key).withColumn("run", run("__tl_n")).repartition(*key, "run").withColumn("nth", nth("__tl_n")).select("rec.*", *key, "nth")
+    dealt = alone.unionByName(equals).select(*docs.columns, bucket, spread.alias("__tl_key"), "__tl_row").repartition("__tl_bucket").join(before, "__tl_bucket")
+    dealt = dealt.sortWithinPartitions("__tl_bucket", "__tl_key", "__tl_row").drop("__tl_key", "__tl_row")
     schema = T.StructType([*dealt.schema.fields, T.StructField("__tl_place", T.LongType())])
-    placed = dealt.mapInArrow(_shuffle_buckets(seed), schema).join(F.broadcast(before), "__tl_bucket").withColumn("__tl_at", F.col("__tl_before") + F.col("__tl_place"))
+    placed = dealt.mapInArrow(_shuffle_buckets(seed), schema).withColumn("__tl_at", F.col("__tl_before") + F.col("__tl_place"))
     return _place(placed, rows, n_shards).select(*docs.columns, "__tl_bucket", "__tl_shard", "__tl_slot")
 
 
