@@ -37,7 +37,7 @@ NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 #: An empty skippable frame, as text: what stands between frames.
 BETWEEN = struct.pack("<II", SKIPPABLE, 0).decode("ascii")
-#: The dictionary is trained on so many pages, of each so many bytes; they are those of the smallest hashes.
+#: The dictionary is trained on so many pages, drawn by hash, of each so many bytes.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 512, 4096, 1 << 15, 3
 #: Bytes of frames that a task hands over at once.
 HANDED = 4 << 20
@@ -165,8 +165,9 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE
     an empty table gives no archives; other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession)
-    few = pages.select("page_id", F.col("url").cast("string").alias("url"), F.substring(F.col("html").cast("string").cast("binary"), 1, SAMPLE_BYTES).alias("html"))
-    sample = few.orderBy(F.xxhash64("page_id", "url"), "page_id", "url", "html").limit(SAMPLE).select("html").collect()
+    few = pages.select(F.xxhash64("page_id", "url", F.monotonically_increasing_id()).alias("draw"), F.substring(F.col("html").cast("string").cast("binary"), 1, SAMPLE_BYTES).alias("html"))
+    share = min(1.0, 2 * SAMPLE / max(1, pages.count()))  # so that a task passes on a few rows, not as many as the whole sample
+    sample = few.where(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("draw").limit(SAMPLE).select("html").collect()
     dictionary = train([bytes(r["html"]) for r in sample if r["html"]])
     frames = _decided(pages, least, scratch).mapInArrow(_frames(dictionary, date), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", BETWEEN).option("compression", "none").option("maxRecordsPerFile", 0).text(path)
