@@ -66,6 +66,8 @@ def test_a_small_sketch_gives_the_same(spark, sf, monkeypatch):
     whole = audited(df)
     monkeypatch.setattr(divergence, "CELLS", (4, 4))
     monkeypatch.setattr(divergence, "HELD", 50)
+    monkeypatch.setattr(divergence, "PAIRS", 90)
+    monkeypatch.setattr(divergence, "HANDED", 7)
     monkeypatch.setattr(divergence, "PIECE", 40)
     assert audited(df) == whole
 

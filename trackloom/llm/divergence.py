@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MIN_DOCS, TOP = 10, 10
-#: Rows of the sketch, and the least and most cells of a row, as powers of two: one for each 256 bytes of text between them.
+#: Rows of the sketch, and the least and most cells of a row, as powers of two: one for each 1,024 bytes of text between them.
 ROWS, CELLS = 4, (16, 24)
 BLOCK = 1 << 16
 #: Sketches of a block that meet first.
 SALTS = 32
-#: Terms that a task holds before it passes their counts on, and bytes of a text that are taken apart at once.
-HELD, PIECE = 200_000, 1 << 20
+#: Terms, and pairs of a document and a term, that a task holds before it passes their counts on; rows that it hands over at once.
+HELD, PAIRS, HANDED = 400_000, 2_500_000, 20_000
+#: Bytes of a text that are taken apart at once.
+PIECE = 1 << 20
 #: p is a share in units of this.
 UNIT = 1_000_000_000
 
@@ -75,6 +77,47 @@ def _add(total: np.ndarray, raw: bytes, most: int) -> None:
     total[at] = np.minimum(total[at].astype(np.int64) + more, most)
 
 
+def _tallies(batches) -> Iterator[tuple[list[bytes], list[tuple[str, str]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts (lang, source, text) to (terms, groups, group, term, occurrences, documents), the last four a row for each group and term.
+
+    Terms get numbers, rising but with gaps, so that counting is sorting numbers. What a task holds is bounded by HELD and PAIRS;
+    it stops at the end of a document.
+    """
+    label: dict[bytes, int] = {}
+    groups: dict[tuple[str, str], int] = {}
+    found, times, owner, size = [], [], [], 0
+
+    def tally():
+        code = np.repeat(np.array(owner, np.int64) << 32, [len(x) for x in found]) | np.concatenate(found)
+        order = np.argsort(code)
+        code = code[order]
+        start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        n = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), start)
+        place = np.zeros(size, np.int64)
+        place[np.fromiter(label.values(), np.int64, len(label))] = np.arange(len(label))
+        out = list(label), list(groups), code[start] >> 32, place[code[start] & 0xFFFFFFFF], n, np.diff(start, append=len(code))
+        for x in (label, groups, found, times, owner):
+            x.clear()
+        return out
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            own = Counter()
+            for piece in terms(text.as_py()):
+                own.update(piece)
+            if not own:
+                continue
+            found.append(np.fromiter(map(label.setdefault, own, count(size)), np.uint32, len(own)))
+            times.append(np.fromiter(own.values(), np.int32, len(own)))
+            owner.append(groups.setdefault((lang, source), len(groups)))
+            size += len(own)
+            if size > PAIRS or len(label) > HELD:
+                yield tally()
+                size = 0
+    if found:
+        yield tally()
+
+
 def _sketches(bits: int, most: int):
     """Texts (lang, text) to the blocks of the task's sketch."""
 
@@ -85,8 +128,8 @@ def _sketches(bits: int, most: int):
 
         def flush() -> None:
             for lang, seen in held.items():
-                found, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
-                for row, at in zip(cells, _places(lang, found, bits), strict=True):
+                n = np.fromiter(seen.values(), np.int64, len(seen))
+                for row, at in zip(cells, _places(lang, list(seen), bits), strict=True):
                     once, back = np.unique(at, return_inverse=True)
                     row[once] = np.minimum(row[once] + np.bincount(back, n).astype(np.int64), most)
             held.clear()
@@ -161,31 +204,20 @@ def _counted(bits: int, marks):
     """Texts (lang, source, text) to (lang, source, term, n, docs) of the terms that the sketch lets through."""
 
     def run(batches):
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
-
-        def flush():
-            for (lang, source), (words, docs) in held.items():
-                found = list(docs)
-                kept = [found[i] for i in np.flatnonzero(possible(marks.value, bits, lang, found))] if found else []
-                if kept:
-                    columns = {"lang": pa.array([lang] * len(kept)), "source": pa.array([source] * len(kept)), "term": pa.array(kept, pa.binary()), "n": pa.array([words[t] for t in kept], pa.int64()), "docs": pa.array([docs[t] for t in kept], pa.int64())}
-                    yield pa.RecordBatch.from_pydict(columns)
-            held.clear()
-
-        for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                before, once = len(docs), set()
-                for piece in terms(text.as_py()):
-                    words.update(piece)
-                    once.update(piece)
-                docs.update(once)
-                size += len(docs) - before
-                if size > HELD:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+        for found, groups, group, term, n, docs in _tallies(batches):
+            kept = np.zeros(len(group), bool)
+            lang_of = np.array([lang for lang, _ in groups], object)[group]
+            for lang in {lang for lang, _ in groups}:
+                own = np.flatnonzero(lang_of == lang)
+                some = np.unique(term[own])
+                ok = np.zeros(len(found), bool)
+                ok[some] = possible(marks.value, bits, lang, [found[j] for j in some.tolist()])
+                kept[own] = ok[term[own]]
+            at = pa.array(group[kept])
+            columns = {"lang": pa.array([lang for lang, _ in groups], pa.string()).take(at), "source": pa.array([source for _, source in groups], pa.string()).take(at)}
+            columns |= {"term": pa.array(found, pa.binary()).take(pa.array(term[kept])).cast(pa.string()), "n": pa.array(n[kept]), "docs": pa.array(docs[kept], pa.int64())}
+            batch = pa.RecordBatch.from_pydict(columns)
+            yield from (batch.slice(i, HANDED) for i in range(0, batch.num_rows, HANDED))
 
     return run
 
@@ -215,9 +247,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     rows = docs.select(text("lang"), text("source"), text("text").cast("binary").alias("text"))
     found = scratch.cut(rows.groupBy("lang", "source").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")))
     size = found.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    bits = min(max((size // 256).bit_length(), CELLS[0]), CELLS[1])
+    bits = min(max((size // 1024).bit_length(), CELLS[0]), CELLS[1])
     marks = docs.sparkSession.sparkContext.broadcast(sketch(rows.select("lang", "text"), bits, min_docs))
-    each = rows.mapInArrow(_counted(bits, marks), "lang string, source string, term binary, n long, docs long").withColumn("term", F.col("term").cast("string"))
+    each = rows.mapInArrow(_counted(bits, marks), "lang string, source string, term string, n long, docs long")
     counts = scratch.cut(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     kept = scratch.cut(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= min_docs).drop("docs"))
     own = scratch.cut(counts.drop("docs").join(kept, ["lang", "term"]))
