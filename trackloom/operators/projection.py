@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..schemas import ANNOTATION_3D, DEFAULTS, Intrinsics
+from .ranking import ranked
 
 
 def depth_maps(depth: DataFrame) -> DataFrame:
@@ -85,11 +86,8 @@ def semantic_lookup(tracks: DataFrame, features: DataFrame, slots: int) -> DataF
 
 
 def depth_sort(points: DataFrame, view_row: tuple[float, float, float, float]) -> DataFrame:
-    """Points back to front, ties by the larger index first; with the key scaled to [0, 1]."""
-    from pyspark.sql import Window
-
-    every = Window.partitionBy("cloud_id")
+    """Points back to front, ties by the larger index first; with the key scaled to [0, 1]. A cloud may be of any size: see ``ranked``."""
     keyed = points.withColumn("depth_key", G.depth_key("x", "y", "z", view_row))
-    low, high = F.min("depth_key").over(every), F.max("depth_key").over(every)
-    scaled = keyed.withColumn("depth_share", F.when(high > low, (F.col("depth_key") - low) / (high - low)).otherwise(F.lit(0.0)))
-    return scaled.withColumn("draw_rank", F.row_number().over(every.orderBy(F.desc("depth_key"), F.desc("idx"))))
+    out = ranked(keyed, ["cloud_id"], [F.desc("depth_key"), F.desc("idx")], "draw_rank", low=("min", "depth_key"), high=("max", "depth_key"))
+    scaled = F.when(F.col("high") > F.col("low"), (F.col("depth_key") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.lit(0.0))
+    return out.withColumn("depth_share", scaled).drop("low", "high")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULTS
+from .ranking import beyond
 
 
 def latency_stats(runs: DataFrame, by: list[str] | None = None, warmup: int = DEFAULTS.warmup, threshold_ms: float = DEFAULTS.latency_ms) -> DataFrame:
@@ -47,11 +48,11 @@ def cache_stats(entries: DataFrame, max_bytes: int = DEFAULTS.cache_bytes) -> Da
 def lru_evict(entries: DataFrame, max_bytes: int, incoming: int = 0) -> DataFrame:
     """Entries of (cache_id, key, bytes, last_used) that must go, oldest first, so that the rest and ``incoming`` fit.
 
-    An entry larger than its whole budget doesn't take the others with it: it goes alone.
+    An entry larger than its whole budget doesn't take the others with it: it goes alone. Caches aren't sorted: see ``beyond``.
     """
-    fits = entries.withColumn("too_large", F.col("bytes") > max_bytes - incoming)
-    w = Window.partitionBy("cache_id", "too_large").orderBy(F.desc("last_used"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    return fits.withColumn("running", F.sum("bytes").over(w)).where(F.col("too_large") | (F.col("running") > max_bytes - incoming)).select("cache_id", "key", "bytes", "last_used")
+    entries = entries.select("cache_id", "key", "bytes", "last_used")
+    large = F.coalesce(F.col("bytes") > max_bytes - incoming, F.lit(False))
+    return entries.where(large).unionByName(beyond(entries.where(~large), "cache_id", ["last_used", "key"], "bytes", max_bytes - incoming))
 
 
 def size_reduction(sizes: DataFrame) -> DataFrame:

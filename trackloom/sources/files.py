@@ -29,6 +29,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/trackloom-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends there, and what was dealt or drawn stays as it is."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_tracking(spark: SparkSession, path: str) -> DataFrame:
     """Filters and columns that a query asks for reach the scan."""
     return spark.read.schema(TRACKING).parquet(path)
