@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .functions import vectors as V
 from .operators import embeddings as E
-from .operators import graph, projection, search, stats, tracks, windows
+from .operators import graph, knn, projection, search, stats, tracks, windows
 from .operators.cache import read_through
 from .plans import agent
 from .plans import pipeline as chains
@@ -600,12 +600,32 @@ def index_grow(spark, sf_dir):
  d AS (SELECT b.track_id AS query_id, a.track_id, sqrt(sum(pow(a.v - b.v, 2))) AS distance FROM a JOIN a b ON a.i = b.i AND b.track_id IN (7, 100, 333) GROUP BY 1, 2)
  SELECT query_id, track_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, track_id) AS n FROM d) WHERE n <= 8""")
 def knn_of_several(spark, sf_dir):
-    """The search for three vectors, one plan each."""
-    out = None
-    for q in _t(spark, sf_dir, "embeddings").where("vec_id in (7, 100, 333)").collect():
-        hits = search.nearest(_index(spark, sf_dir), F.array(*map(F.lit, q["embedding"])), 8).select(F.lit(q["vec_id"]).cast("long").alias("query_id"), "track_id", F.round("distance", 6).alias("distance"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    """The search for three vectors at once."""
+    index = _index(spark, sf_dir)
+    hits = knn.knn_join(index.where("track_id in (7, 100, 333)").withColumnRenamed("track_id", "query_id"), index, 8)
+    return hits.select("query_id", "track_id", F.round("distance", 6).alias("distance"))
+
+
+_MANY = """WITH a AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+ d AS (SELECT b.vec_id AS query_id, a.vec_id AS track_id, sqrt(sum(pow(a.v - b.v, 2))) AS distance FROM a JOIN a b ON a.i = b.i AND b.vec_id % 100 = 0 {where} GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, track_id) AS rank FROM d) SELECT query_id, track_id, CAST(rank AS INT) AS rank, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM r WHERE rank <= 10"""
+
+
+def _many(spark, sf_dir, where=None):
+    index = _index(spark, sf_dir)
+    hits = knn.knn_join(index.where("track_id % 100 = 0").withColumnRenamed("track_id", "query_id"), index, 10, where=where)
+    return hits.select("query_id", "track_id", "rank", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(_MANY.format(where=""))
+def knn_many(spark, sf_dir):
+    """The search for every vector whose id is divisible by 100, against all, as one join."""
+    return _many(spark, sf_dir)
+
+
+@query(_MANY.format(where="WHERE a.label = 3"))
+def knn_many_filtered(spark, sf_dir):
+    return _many(spark, sf_dir, {"class_name": "3"})
 
 
 @query(f"""{T}, d AS (SELECT frame_idx, 'e' || event_id AS text, CAST(event_id % 90 AS INT) AS bx, CAST(event_id % 71 AS INT) AS b_y, CAST(event_id % 19 AS INT) AS bw, CAST(event_id % 13 AS INT) AS bh, CAST(event_id % 101 AS DOUBLE) AS confidence FROM tracking WHERE frame_idx % 2 = 0),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schemas import DEFAULTS, INDEX
+from .knn import knn_join
 
 
 def index_identities(identities: DataFrame, dim: int = DEFAULTS.pca_dim) -> DataFrame:
@@ -49,6 +50,14 @@ class VectorIndex:
         hits = nearest(self.rows, V.text_vector(F.lit(query), self.dim), k, where, "text_vec")
         return hits.select("track_id", "distance", "similarity", F.coalesce("class_name", F.lit("unknown")).alias("class_name"), "metadata")
 
+    def search_many(self, queries: DataFrame, k: int = DEFAULTS.top_k, where: dict[str, str] | None = None) -> DataFrame:
+        """The hits of all ``queries`` (query_id, query) at once; the same as those of ``search`` for each of them."""
+        if self.rows is None:
+            raise RuntimeError("the index is empty")
+        asked = queries.select("query_id", V.text_vector("query", self.dim).alias("text_vec"))
+        hits = knn_join(asked, self.rows, k, vector="text_vec", where=where, keep=("class_name", "metadata"))
+        return hits.select("query_id", "track_id", "distance", "similarity", F.coalesce("class_name", F.lit("unknown")).alias("class_name"), "metadata")
+
     def save(self) -> None:
         if self.rows is None:
             raise RuntimeError("the index is empty")

@@ -43,6 +43,10 @@ class Agent:
     def query(self, text: str, k: int = DEFAULTS.top_k, include_locations: bool = True) -> DataFrame:
         return enrich(self.index.search(text, k), self.store.df, include_locations)
 
+    def query_many(self, queries: DataFrame, k: int = DEFAULTS.top_k, include_locations: bool = True) -> DataFrame:
+        """The answers to all questions (query_id, query) at once: one search, one pass over the tracks."""
+        return enrich(self.index.search_many(queries, k), self.store.df, include_locations)
+
     def get_track(self, track_id: int, frame_idx: int | None = None) -> DataFrame:
         df = self.store.df
         return track_answer(df, df.sparkSession.createDataFrame([(track_id,)], "track_id long"), frame_idx)
