@@ -20,8 +20,9 @@ from .plans import pipeline as chains
 from .schemas import Intrinsics
 from .sinks.files import TrackWriter, write_manifest, write_point_cloud, write_trajectories
 from .sources import generators as gen
-from .sources.files import TrackStore, read_point_cloud, read_trajectories, work_dir
+from .sources.files import TrackStore, read_point_cloud, read_trajectories, settle, work_dir
 from .streaming import frames as streams
+from .streaming import fusion, stitching
 from .udf import StubDepth, StubEmbedder, StubTracker, apply_model, apply_per_clip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -628,23 +629,103 @@ def knn_many_filtered(spark, sf_dir):
     return _many(spark, sf_dir, {"class_name": "3"})
 
 
-@query(f"""{T}, d AS (SELECT frame_idx, 'e' || event_id AS text, CAST(event_id % 90 AS INT) AS bx, CAST(event_id % 71 AS INT) AS b_y, CAST(event_id % 19 AS INT) AS bw, CAST(event_id % 13 AS INT) AS bh, CAST(event_id % 101 AS DOUBLE) AS confidence FROM tracking WHERE frame_idx % 2 = 0),
+_ANNOTATED = f"""{T}, d AS (SELECT frame_idx, 'e' || event_id AS text, CAST(event_id % 90 AS INT) AS bx, CAST(event_id % 71 AS INT) AS b_y, CAST(event_id % 19 AS INT) AS bw, CAST(event_id % 13 AS INT) AS bh, CAST(event_id % 101 AS DOUBLE) AS confidence FROM tracking WHERE frame_idx % 2 = 0),
  c AS (SELECT *, bx + bw / 2e0 AS cx, b_y + bh / 2e0 AS cy FROM d WHERE confidence >= 50 AND frame_idx % 3 <> 1),
  p AS (SELECT *, CAST(greatest(0, least(round_even(cx, 0), {W - 1})) AS BIGINT) AS u, CAST(greatest(0, least(round_even(cy, 0), {H - 1})) AS BIGINT) AS v FROM c),
  z AS (SELECT *, CAST(CAST({_DEPTH} AS FLOAT) AS DOUBLE) * 0.5 AS z FROM p)
- SELECT frame_idx, text, round((cx - 64) * z / 128, 4) + 0e0 AS x, round((cy - 48) * z / 128, 4) + 0e0 AS y, round(z, 4) AS z, confidence, u, v FROM z WHERE z > 0""")
-def frame_annotations(spark, sf_dir):
-    """Frames through a detector and their depth maps to 3-D annotations; a frame's content stands for what is seen in it."""
-    import json
+ SELECT frame_idx, text, round((cx - 64) * z / 128, 4) + 0e0 AS x, round((cy - 48) * z / 128, 4) + 0e0 AS y, round(z, 4) AS z, confidence, u, v FROM z WHERE z > 0"""
 
+
+def _seen_frames(spark, sf_dir):
+    """Frames whose content stands for what is seen in them, and the depth maps of most of them."""
     box = F.struct(*[(F.col("event_id") % m).cast("int").alias(c) for c, m in (("x", 90), ("y", 71), ("w", 19), ("h", 13))])
     seen = F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("text"), box.alias("bbox"), (F.col("event_id") % 101).cast("int").alias("conf"))
     frames = tracking(spark, sf_dir).groupBy("frame_idx").agg(F.to_json(F.collect_list(seen)).cast("binary").alias("content"))
-    depth = depth_maps(spark, frames.where("frame_idx % 3 <> 1"))
-    a = chains.annotate_frames(frames, depth, lambda content: json.loads(bytes(content)), K, H, W, min_confidence=50.0, depth_scale=0.5, frame_skip=2)
+    return frames, depth_maps(spark, frames.where("frame_idx % 3 <> 1"))
+
+
+def _detector(content):
+    import json
+
+    return json.loads(bytes(content))
+
+
+def _annotation_columns(a):
     return a.select("frame_idx", "text", *[F.round(f"position_3d.{c}", 4).alias(c) for c in "xyz"], "confidence", F.col("pixel_uv.u").cast("long").alias("u"), F.col("pixel_uv.v").cast("long").alias("v"))
 
 
+@query(_ANNOTATED)
+def frame_annotations(spark, sf_dir):
+    """Frames through a detector and their depth maps to 3-D annotations."""
+    frames, depth = _seen_frames(spark, sf_dir)
+    return _annotation_columns(chains.annotate_frames(frames, depth, _detector, K, H, W, min_confidence=50.0, depth_scale=0.5, frame_skip=2))
+
+
+def _frame_time():
+    """A frame a second."""
+    return F.timestamp_seconds(F.col("frame_idx") + 1_700_000_000)
+
+
+#: Where streams of frames are cut into what arrives at once.
+_CUTS = ("frame_idx < 20", "frame_idx >= 20 and frame_idx < 45", "frame_idx >= 45")
+
+
+@query(_ANNOTATED)
+def stream_frame_annotations(spark, sf_dir):
+    """The same from two streams; each part of the maps arrives a micro-batch after its frames."""
+    work = work_dir(spark)
+    frames, depth = (settle(d.withColumn("ts", _frame_time())) for d in _seen_frames(spark, sf_dir))
+    depth.limit(0).write.parquet(f"{work}/depth")
+    for i in range(len(_CUTS) + 1):
+        if i < len(_CUTS):
+            frames.where(_CUTS[i]).write.mode("append").parquet(f"{work}/frames")
+        if i:
+            depth.where(_CUTS[i - 1]).write.mode("append").parquet(f"{work}/depth")
+        a, b = (streams.read_frames(spark, f"{work}/{n}", d.schema) for n, d in (("frames", frames), ("depth", depth)))
+        met = fusion.annotate_streams(a, b, _detector, K, H, W, min_confidence=50.0, depth_scale=0.5, frame_skip=2)
+        fusion.to_epochs(met, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return _annotation_columns(spark.read.parquet(f"{work}/out"))
+
+
+def _follow(part, points):
+    """A tracker that moves its start points, or those of a 2 x 2 grid, by 2.5 a frame, and tells where its window starts."""
+    import pandas as pd
+
+    if not len(part):
+        return pd.DataFrame(columns=["clip_id", "frame_idx", "track_id", "x", "since"])
+    first = int(part["frame_idx"].iloc[0])
+    at = [(i, 112 * (i % 2 + 0.5)) for i in range(4)] if points is None else list(zip(points["track_id"], points["x"], strict=True))
+    rows = [(int(part["clip_id"].iloc[0]), f, i, x + 2.5 * (f - first), first) for f in part["frame_idx"].tolist() for i, x in at]
+    return pd.DataFrame(rows, columns=["clip_id", "frame_idx", "track_id", "x", "since"])
+
+
+_FOLLOWED = f"""{T}, n AS (SELECT track_id AS clip_id, count(*) AS n FROM tracking GROUP BY track_id)
+ SELECT clip_id, frame_idx, i AS track_id, 112e0 * (i % 2 + 0.5e0) + 2.5e0 * frame_idx AS x, 12 * least(frame_idx // 12, CAST(ceil((n - 4) / 12e0) AS BIGINT) - 1) AS since FROM n JOIN tracking t ON t.track_id = n.clip_id, range(4) r(i) WHERE n > 4"""
+_FOLLOWS = "clip_id long, frame_idx long, track_id long, x double, since long"
+
+
+@query(_FOLLOWED)
+def stitched_clips(spark, sf_dir):
+    """Clips through a tracker window by window; its start points and its window tell that each began where the last one left."""
+    return windows.stitch_clip(tracking(spark, sf_dir).select(F.col("track_id").alias("clip_id"), "frame_idx"), _follow, _FOLLOWS)
+
+
+@query(_FOLLOWED)
+def stream_stitched(spark, sf_dir):
+    """The same from a stream that is cut within windows; a last row of another clip, much later, lets the timers close all clips."""
+    work = work_dir(spark)
+    ts = _frame_time().alias("ts")
+    frames = settle(tracking(spark, sf_dir).select(F.col("track_id").alias("clip_id"), "frame_idx", ts))
+    later = frames.agg((F.max("frame_idx") + 100_000).alias("frame_idx")).select(F.lit(-1).cast("long").alias("clip_id"), "frame_idx", ts)
+    for part in [*map(frames.where, _CUTS), later]:
+        part.write.mode("append").parquet(f"{work}/in")
+        with stitching.rocksdb_state(spark):
+            found = stitching.stitch_stream(streams.read_frames(spark, f"{work}/in", frames.schema), _follow, _FOLLOWS)
+            q = fusion.to_epochs(found, f"{work}/out", f"{work}/checkpoint")
+        q.awaitTermination()
+    return spark.read.parquet(f"{work}/out").drop("epoch")
+
+
 @query(f"""{T} SELECT track_id, count(*) AS n, sum(frame_idx)::BIGINT AS frames, round(sum(CAST(CAST(x AS FLOAT) AS DOUBLE)), 3) AS x, round(sum(CAST(CAST(z AS FLOAT) AS DOUBLE)), 3) AS z, min(class_name) AS ocr_text FROM tracking GROUP BY track_id""")
 def tracking_round_trip(spark, sf_dir):
     """Two batches through the writer, read back through the store."""

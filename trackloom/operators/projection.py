@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -25,8 +25,13 @@ def at_pixels(points: DataFrame, depth: DataFrame) -> DataFrame:
     if "depth" not in depth.columns:
         return points.join(depth.select("frame_idx", "v", "u", "z"), ["frame_idx", "v", "u"])
     maps = depth.select("frame_idx", F.col("height").alias("__h"), F.col("width").alias("__w"), F.col("depth").alias("__depth"))
+    return points.join(maps, "frame_idx").withColumn("z", depth_in_map()).where("v >= 0 and v < __h and u >= 0 and u < __w").drop("__h", "__w", "__depth")
+
+
+def depth_in_map() -> Column:
+    """The depth at pixel (v, u) of a map (__h, __w, __depth); null outside."""
     inside = (F.col("v") >= 0) & (F.col("v") < F.col("__h")) & (F.col("u") >= 0) & (F.col("u") < F.col("__w"))
-    return points.join(maps, "frame_idx").where(inside).withColumn("z", F.get("__depth", F.col("v") * F.col("__w") + F.col("u"))).drop("__h", "__w", "__depth")
+    return F.when(inside, F.get("__depth", F.col("v") * F.col("__w") + F.col("u")))
 
 
 def require_depth(depth: DataFrame) -> DataFrame:
@@ -51,17 +56,27 @@ def project_to_3d(tracks: DataFrame, depth: DataFrame, height: int, width: int,
     return p.select(F.col("frame_idx").alias("frame_id"), "point_id", "p.X", "p.Y", "p.Z", valid.alias("valid"))
 
 
+def centred(detections: DataFrame, height: int, width: int, min_confidence: float = 0.0) -> DataFrame:
+    """Detections of enough confidence, or of none, with the centre of their box (cx, cy) and its nearest pixel (v, u)."""
+    cx, cy = G.bbox_center("bbox")
+    kept = detections.where(F.col("confidence").isNull() | (F.col("confidence") >= min_confidence))
+    return kept.withColumns({"cx": cx, "cy": cy}).withColumns({"v": G.pixel_index("cy", height), "u": G.pixel_index("cx", width)})
+
+
+def position(k: Intrinsics) -> Column:
+    """The projected centre of a box at depth z."""
+    p = G.back_project("cx", "cy", "z", k, "double")
+    return F.struct(p["X"].alias("x"), p["Y"].alias("y"), p["Z"].alias("z"))
+
+
 def attach_text(detections: DataFrame, depth: DataFrame, height: int, width: int, k: Intrinsics, min_confidence: float = 0.0, depth_scale: float = 1.0) -> DataFrame:
     """(frame_idx, text, bbox, confidence) to 3-D annotations at the depth of each box's centre.
 
     The centre itself is projected; its nearest pixel gives the depth. Detections of null confidence stay, those under the least don't; annotations without a valid scaled depth are dropped.
     """
-    cx, cy = G.bbox_center("bbox")
-    kept = detections.where(F.col("confidence").isNull() | (F.col("confidence") >= min_confidence))
-    at = kept.withColumns({"cx": cx, "cy": cy}).withColumns({"v": G.pixel_index("cy", height), "u": G.pixel_index("cx", width)})
+    at = centred(detections, height, width, min_confidence)
     z = at_pixels(at, depth).withColumn("z", F.col("z").cast("double") * F.lit(float(depth_scale))).where(G.valid_depth("z"))
-    p = z.withColumn("p", G.back_project("cx", "cy", "z", k, "double"))
-    return p.select("frame_idx", "text", F.struct(F.col("p.X").alias("x"), F.col("p.Y").alias("y"), F.col("p.Z").alias("z")).alias("position_3d"), "confidence", F.struct("u", "v").alias("pixel_uv"))
+    return z.select("frame_idx", "text", position(k).alias("position_3d"), "confidence", F.struct("u", "v").alias("pixel_uv"))
 
 
 def annotation_json(annotations: DataFrame) -> DataFrame:

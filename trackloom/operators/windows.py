@@ -38,26 +38,37 @@ def stitch(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def advance(frames, points, tracker, window: int = DEFAULTS.window, overlap: int = DEFAULTS.overlap, closed: bool = True):
+    """Windows of a clip's ``frames`` (pandas, in order) in turn: (what they yield, frames that are left, start points of the next window).
+
+    A window runs once it is known whether it is the last: when a frame stands behind it, or when the clip is ``closed``. Each
+    starts at the points where the one before left its first shared frame, and yields what lies before the next one's first frame.
+    """
+    step, out = _check(window, overlap), []
+    while len(frames) > window or (closed and len(frames) > overlap):
+        got = tracker(frames.iloc[:window], points)
+        if len(frames) <= window:
+            return [*out, got], frames.iloc[:0], None
+        turn = frames["frame_idx"].iloc[step]
+        shared = got["frame_idx"] == turn
+        points = got[shared] if shared.any() else None
+        out.append(got[got["frame_idx"] < turn])
+        frames = frames.iloc[step:]
+    return out, frames, points
+
+
 def stitch_clip(frames: DataFrame, tracker, schema: str, window: int = DEFAULTS.window, overlap: int = DEFAULTS.overlap) -> DataFrame:
     """Windows of a clip in turn, each started at the points where the one before left its first shared frame.
 
     A window needs the tracker's output on the one before, so a clip is one group and clips run in parallel. ``tracker`` is
-    called with a window's frames and the start points (None for the first), and returns rows with frame_idx.
+    called with a window's frames and the start points (None for the first), and returns rows with frame_idx. Streams: ``streaming.stitching``.
     """
-    step = _check(window, overlap)
+    _check(window, overlap)
 
     def run(clip):
         import pandas as pd
 
-        clip = clip.sort_values("frame_idx")
-        n, kept, points = len(clip), [], None
-        for k in range(max(0, -(-(n - overlap) // step))):
-            part = clip.iloc[k * step : k * step + window]
-            got = tracker(part, points)
-            nxt = (k + 1) * step
-            points = got[got["frame_idx"] == nxt] if (got["frame_idx"] == nxt).any() else None
-            owned = got if nxt + overlap >= n else got[got["frame_idx"] < nxt]
-            kept.append(owned)
+        kept, _, _ = advance(clip.sort_values("frame_idx"), None, tracker, window, overlap)
         return pd.concat(kept) if kept else tracker(clip.iloc[:0], None)
 
     return frames.groupBy("clip_id").applyInPandas(run, schema)

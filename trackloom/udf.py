@@ -135,8 +135,8 @@ class OcrConfig:
             raise ValueError("method must be otsu or adaptive, and scale positive")
 
 
-def detect_text(frames: DataFrame, detector: Callable[..., list[dict]], min_conf: int = DEFAULTS.min_ocr_conf, frame_skip: int = 1, config: OcrConfig | None = None) -> DataFrame:
-    """Detections of sampled frames; frames are skipped before the detector sees them.
+def detect_text(frames: DataFrame, detector: Callable[..., list[dict]], min_conf: int = DEFAULTS.min_ocr_conf, frame_skip: int = 1, config: OcrConfig | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Detections of sampled frames, with the frames' columns ``keep``; frames are skipped before the detector sees them.
 
     The detector gets a frame's content. With a ``config``, content is an array file of shape (height, width, 3), blue first:
     the detector gets the prepared grey image and the engine's options, and its boxes are scaled back to the frame.
@@ -152,10 +152,11 @@ def detect_text(frames: DataFrame, detector: Callable[..., list[dict]], min_conf
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"frame_idx": f, **d} for f, c in zip(b["frame_idx"], b["content"], strict=True) for d in of_frame(c)]
-            yield pd.DataFrame(rows, columns=["frame_idx", "text", "bbox", "conf"])
+            rows = [{"frame_idx": f, **d, **dict(zip(keep, more, strict=True))} for f, c, *more in zip(*(b[n] for n in ("frame_idx", "content", *keep)), strict=True) for d in of_frame(c)]
+            yield pd.DataFrame(rows, columns=["frame_idx", "text", "bbox", "conf", *keep])
 
-    return ocr_filter(sample_frames(frames, frame_skip).select("frame_idx", "content").mapInPandas(run, OCR_DETECTION), min_conf)
+    schema = T.StructType([*OCR_DETECTION, *[frames.schema[c] for c in keep]])
+    return ocr_filter(sample_frames(frames, frame_skip).select("frame_idx", "content", *keep).mapInPandas(run, schema), min_conf)
 
 
 def time_ms(f: Callable, *args) -> tuple[object, float]:
