@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .functions import vectors as V
 from .operators import embeddings as E
-from .operators import graph, knn, projection, search, stats, tracks, windows
+from .operators import cache, graph, knn, projection, search, stats, tracks, windows
 from .operators.cache import read_through
 from .plans import agent
 from .plans import pipeline as chains
@@ -412,6 +412,44 @@ def lru_evict(spark, sf_dir):
     return stats.lru_evict(cache_entries(spark, sf_dir), 30_000).select("cache_id", "key", "bytes")
 
 
+_CACHE_LOG = """WITH log AS (SELECT 'k' || (user_id % 97) AS key, CASE WHEN event_id % 11 = 4 THEN 'evict' WHEN event_id % 3 = 1 THEN 'touch' ELSE 'put' END AS op, CAST(value * 100 AS BIGINT) AS bytes, epoch_us(ts) AS t,
+  'w' || (event_id % 2) AS writer, event_id AS seq, 'd' || event_id AS data FROM events), last AS (SELECT key, op, bytes, data FROM log WHERE op <> 'touch' QUALIFY row_number() OVER (PARTITION BY key ORDER BY t DESC, writer DESC, seq DESC) = 1),
+ state AS (SELECT key, md5(key) AS name, bytes, (SELECT max(t) FROM log u WHERE u.key = last.key AND u.op <> 'evict') AS last_used, data FROM last WHERE op = 'put')"""
+
+
+def cache_log(spark, sf_dir):
+    """Events as the records of two sessions that share a cache."""
+    e = _t(spark, sf_dir, "events")
+    op = F.when(F.expr("event_id % 11 = 4"), "evict").when(F.expr("event_id % 3 = 1"), "touch").otherwise("put")
+    columns = {"key": F.concat(F.lit("k"), (F.col("user_id") % 97).cast("string")), "op": op, "bytes": F.round(F.col("value") * 100).cast("long"), "at": F.unix_micros(F.col("ts").cast("timestamp"))}
+    columns |= {"writer": F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string")), "seq": F.col("event_id"), "data": F.concat(F.lit("d"), F.col("event_id").cast("string"))}
+    return e.select(*[c.alias(n) for n, c in columns.items()])
+
+
+def shared_cache(spark, sf_dir):
+    """The log as both sessions write it, in parts that come in any order, with compactions in between."""
+    records, path = cache_log(spark, sf_dir), work_dir(spark)
+    sessions = [cache.CacheLog(spark, path, remembered=1 << 62) for _ in range(2)]  # the events are years old
+    for part in (3, 0, 4, 1, 2):
+        for w, log in enumerate(sessions):
+            log.append(records.where((F.col("writer") == f"w{w}") & (F.pmod(F.xxhash64("seq"), F.lit(5)) == part)))
+        if part in (4, 1):
+            sessions[part % 2].compact()
+    return sessions[0].state()
+
+
+@query(f"{_CACHE_LOG} SELECT key, name, bytes, last_used, data FROM state")
+def cache_log_state(spark, sf_dir):
+    return shared_cache(spark, sf_dir)
+
+
+@query(f"""{_CACHE_LOG} SELECT key, bytes FROM (SELECT *, bytes > 50000 AS big, sum(bytes) OVER (PARTITION BY bytes > 50000 ORDER BY last_used DESC, key DESC ROWS UNBOUNDED PRECEDING) AS running FROM state) WHERE big OR running > 50000""")
+def cache_log_evict(spark, sf_dir):
+    """What the shared cache must evict."""
+    state = shared_cache(spark, sf_dir).select(F.lit(0).alias("cache_id"), "key", "bytes", "last_used")
+    return stats.lru_evict(state, 50_000).select("key", "bytes")
+
+
 @query("SELECT count(*) AS entries, round(sum(n_chars) / 1048576e0, 6) AS mb, round(100e0 * sum(n_chars) / 10737418240e0, 6) AS usage_percent FROM documents")
 def cache_stats(spark, sf_dir):
     return stats.cache_stats(cache_entries(spark, sf_dir)).select("entries", F.round("mb", 6).alias("mb"), F.round("usage_percent", 6).alias("usage_percent"))
