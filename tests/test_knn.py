@@ -94,8 +94,8 @@ def test_many_questions_have_the_answers_of_single_ones(spark, tmp_path):
         for q, text in texts.items():
             one = [(r["track_id"], round(r["distance"], 9), r["class_name"], r["metadata"]) for r in index.search(text, 3, where).collect()]
             assert sorted(map(str, one)) == sorted(str((r["track_id"], round(r["distance"], 9), r["class_name"], r["metadata"])) for r in many if r["query_id"] == q)
-    w = TrackWriter(spark, f"{tmp_path}/tracks")
-    w.write(gen.mock_tracks(spark, 5))
+    with TrackWriter(spark, f"{tmp_path}/tracks") as w:
+        w.write(gen.mock_tracks(spark, 5))
     a = agent.Agent(spark, f"{tmp_path}/ix", f"{tmp_path}/tracks")
     got = a.query_many(asked, 6)
     assert got.count() == 24 and got.where("found").select("track_id").distinct().count() == 2 and got.where("track_id = 1").agg(F.min(F.size("locations"))).first()[0] == 5

@@ -192,6 +192,7 @@ def test_index_and_agent(spark, tmp_path):
     assert [r["track_id"] for r in ix.search("car", 3, {"color": "blue"}).collect()] == [1]
     w = TrackWriter(spark, f"{tmp_path}/tracks")
     w.write(gen.mock_tracks(spark, 5))
+    w.close()
     a = agent.Agent(spark, f"{tmp_path}/index", f"{tmp_path}/tracks")
     got = {r["track_id"]: r for r in a.query("car track_1", 3).collect()}
     assert got[1]["found"] and got[1]["num_frames"] == 5 and len(got[1]["locations"]) == 5 and not got[0]["found"]
@@ -212,9 +213,11 @@ def test_writers_and_readers(spark, tmp_path):
     cols = dict(track_id=[0, 1], frame_idx=[0, 0], x=[100, 200], y=[150, 250], z=[2.5, 3.0], ocr_text=["", "STOP"], confidence=[0.95, 0.98])
     w.write_batch(**cols)
     w.write_from_dict(cols)
-    assert src.read_tracking(spark, f"{tmp_path}/t").count() == 4
     w.close()
+    assert src.read_tracking(spark, f"{tmp_path}/t").count() == 4
     w.write_batch(**cols)
+    assert src.TrackStore(spark, f"{tmp_path}/t").df.count() == 4
+    w.close()
     assert src.TrackStore(spark, f"{tmp_path}/t").df.count() == 2
     with pytest.raises(ValueError):
         w.write_batch(**{**cols, "x": [1]})

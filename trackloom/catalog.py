@@ -768,10 +768,9 @@ def stream_stitched(spark, sf_dir):
 def tracking_round_trip(spark, sf_dir):
     """Two batches through the writer, read back through the store."""
     t, path = tracking(spark, sf_dir).withColumnRenamed("class_name", "ocr_text"), work_dir(spark)
-    w = TrackWriter(spark, path)
-    for part in (0, 1):
-        w.write(t.where(f"event_id % 2 = {part}"))
-    w.close()
+    with TrackWriter(spark, path) as w:
+        for part in (0, 1):
+            w.write(t.where(f"event_id % 2 = {part}"))
     each = lambda c: F.round(F.sum(F.col(c).cast("double")), 3).alias(c)
     return TrackStore(spark, path).df.groupBy("track_id").agg(F.count("*").alias("n"), F.sum("frame_idx").alias("frames"), each("x"), each("z"), F.min("ocr_text").alias("ocr_text"))
 

@@ -6,6 +6,8 @@ import numpy as np
 
 #: Weights of blue, green and red in grey; the cubic kernel's constant; side and offset of the local threshold.
 GREY, CUBIC, SIDE, OFFSET = (0.114, 0.587, 0.299), -0.75, 11, 2
+#: Fixed values of the denoising: strength, sides of a patch and of the square that is searched, and the weight below which a pixel doesn't count.
+STRENGTH, PATCH, AROUND, LEAST = 10.0, 7, 21, 0.001
 
 
 def grey(frame: np.ndarray) -> np.ndarray:
@@ -55,10 +57,35 @@ def adaptive(image: np.ndarray) -> np.ndarray:
     return np.where(image > np.rint(mean) - OFFSET, 255, 0).astype(np.uint8)
 
 
-def prepare(frame: np.ndarray, threshold: bool = True, method: str = "otsu", scale: float = 1.0) -> np.ndarray:
+def denoise(image: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
+    """Non-local means: each pixel is the mean of those around it, weighted by how alike the patches around both are.
+
+    For each shift of the picture against itself, squared differences are added up over all patches at once by an
+    integral image, so the work is pixels times shifts, whatever the patch's size. Edges are mirrored.
+    """
+    height, width = image.shape
+    r, p = AROUND // 2, PATCH // 2
+    whole = np.pad(image.astype(float), r + p, mode="reflect")
+    inner = whole[r : r + height + 2 * p, r : r + width + 2 * p]
+    total, weights = np.zeros((height, width)), np.zeros((height, width))
+    for dy in range(2 * r + 1):
+        for dx in range(2 * r + 1):
+            other = whole[dy : dy + height + 2 * p, dx : dx + width + 2 * p]
+            sums = np.pad(((inner - other) ** 2).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+            alike = (sums[PATCH:, PATCH:] - sums[:-PATCH, PATCH:] - sums[PATCH:, :-PATCH] + sums[:-PATCH, :-PATCH]) / PATCH**2
+            w = np.exp(-alike / strength**2)
+            w[w < LEAST] = 0
+            total += w * other[p : p + height, p : p + width]
+            weights += w
+    return np.clip(np.rint(total / weights), 0, 255).astype(np.uint8)
+
+
+def prepare(frame: np.ndarray, threshold: bool = True, method: str = "otsu", scale: float = 1.0, denoised: bool = False) -> np.ndarray:
     image = grey(frame)
     if scale != 1:
         image = upscale(image, scale)
+    if denoised:
+        image = denoise(image)
     if not threshold:
         return image
     return adaptive(image) if method == "adaptive" else np.where(image > otsu(image), 255, 0).astype(np.uint8)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schemas import DEFAULTS, INDEX
+from ..sources.files import exists, table_path
+from ..sources.versions import Versions
 from .knn import knn_join
 
 
@@ -59,22 +59,17 @@ class VectorIndex:
         return hits.select("query_id", "track_id", "distance", "similarity", F.coalesce("class_name", F.lit("unknown")).alias("class_name"), "metadata")
 
     def save(self) -> None:
+        """Commits the rows as the table's next version; they may still be read from the one before."""
         if self.rows is None:
             raise RuntimeError("the index is empty")
-        at = self.spark._jvm.org.apache.hadoop.fs.Path
-        new, old = (f"{self.path.rstrip('/')}.{uuid.uuid4().hex}.{name}" for name in ("new", "old"))
-        self.rows.write.parquet(new)
-        # only a whole new table takes the place of the old one, which the rows may still be read from until then
-        fs = at(self.path).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if fs.exists(at(self.path)):
-            fs.rename(at(self.path), at(old))
-        if not fs.rename(at(new), at(self.path)):
-            raise OSError(f"{new} can't be moved to {self.path}")
-        fs.delete(at(old), True)
+        versions = Versions(self.spark, self.path)
+        name = versions.begin()
+        self.rows.write.parquet(versions.folder(name))
+        versions.commit(name)
         self.load()
 
     def load(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        at = table_path(self.spark, self.path)
+        if not exists(self.spark, at):
             raise FileNotFoundError(self.path)
-        self.rows = self.spark.read.schema(INDEX).parquet(self.path)
+        self.rows = self.spark.read.schema(INDEX).parquet(at)

@@ -8,19 +8,33 @@ from pyspark.sql import functions as F
 
 from ..operators.tracks import trajectory_document
 from ..schemas import DEFAULTS, TRACKING
+from ..sources.versions import Versions
 
 
 class TrackWriter:
-    """Appends batches to a tracking table; the first batch after opening or closing replaces what is there."""
+    """Writes a tracking table in sessions: batches are added until ``close``, which puts them in the old table's place at once.
+
+    Until then readers see the old table. ``abort``, or an exception within ``with``, drops the session's batches, and a
+    writer that dies leaves the old table as it is. The batch after a close begins a new session.
+    """
 
     def __init__(self, spark: SparkSession, path: str, compression: str = "snappy", block_bytes: int | None = None):
-        self.spark, self.path, self.fresh = spark, path, True
+        self.spark, self.versions, self.session = spark, Versions(spark, path), None
         self.options = {"compression": compression} | ({"parquet.block.size": str(block_bytes)} if block_bytes else {})
 
+    def __enter__(self) -> TrackWriter:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is None:
+            self.close()
+        else:
+            self.abort()
+
     def write(self, rows: DataFrame) -> None:
         cast = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TRACKING])
-        cast.write.mode("overwrite" if self.fresh else "append").options(**self.options).parquet(self.path)
-        self.fresh = False
+        self.session = self.session or self.versions.begin()
+        cast.write.mode("append").options(**self.options).parquet(self.versions.folder(self.session))
 
     def write_batch(self, **columns) -> None:
         """One list for each column of the schema, all equally long."""
@@ -35,7 +49,15 @@ class TrackWriter:
         self.write_batch(**data)
 
     def close(self) -> None:
-        self.fresh = True
+        """Commits the session; without a batch there is nothing to commit."""
+        if self.session is not None:
+            self.versions.commit(self.session)
+        self.session = None
+
+    def abort(self) -> None:
+        if self.session is not None:
+            self.versions.abort(self.session)
+        self.session = None
 
 
 def write_point_cloud(points: DataFrame, path: str) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DEPTH_MAP, POINT_CLOUD, TRACKING, TRAJECTORY
+from .versions import Versions
 
 log = logging.getLogger(__name__)
 IMAGES = (".png", ".jpg", ".jpeg")
@@ -36,16 +37,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table_path(spark: SparkSession, path: str) -> str:
+    """Where a table's files are: its newest committed version, or the folder itself if it has no versions."""
+    return Versions(spark, path).current() or path
+
+
 def read_tracking(spark: SparkSession, path: str) -> DataFrame:
-    """Filters and columns that a query asks for reach the scan."""
-    return spark.read.schema(TRACKING).parquet(path)
+    """The table as it was last committed. Filters and columns that a query asks for reach the scan."""
+    return spark.read.schema(TRACKING).parquet(table_path(spark, path))
 
 
 class TrackStore:
     """A tracking table that may not exist yet: asking it then is a RuntimeError."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self._df = read_tracking(spark, path) if exists(spark, path) else None
+        versions = Versions(spark, path)
+        self._df = read_tracking(spark, path) if versions.current() or exists(spark, path) and not exists(spark, f"{path}/versions") else None
 
     @property
     def df(self) -> DataFrame:

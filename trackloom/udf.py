@@ -129,6 +129,7 @@ class OcrConfig:
     method: str = "otsu"
     scale: float = 1.0
     engine: str = ""
+    denoised: bool = False
 
     def __post_init__(self) -> None:
         if self.method not in ("otsu", "adaptive") or self.scale <= 0:
@@ -147,7 +148,7 @@ def detect_text(frames: DataFrame, detector: Callable[..., list[dict]], min_conf
     def of_frame(content: bytes) -> list[dict]:
         if config is None:
             return detector(content)
-        found = detector(prepare(np.load(io.BytesIO(content)), config.threshold, config.method, config.scale), config.engine)
+        found = detector(prepare(np.load(io.BytesIO(content)), config.threshold, config.method, config.scale, config.denoised), config.engine)
         return [d | {"bbox": {k: int(x / config.scale) for k, x in d["bbox"].items()}} for d in found]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
