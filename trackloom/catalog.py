@@ -23,6 +23,7 @@ from .sources import generators as gen
 from .sources.files import TrackStore, read_point_cloud, read_trajectories, settle, work_dir
 from .streaming import frames as streams
 from .streaming import fusion, stitching
+from .streaming.pca import IncrementalPCA
 from .udf import StubDepth, StubEmbedder, StubTracker, apply_model, apply_per_clip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -835,3 +836,33 @@ def pca_rotation(spark, sf_dir):
     E.save_pca(E.fit_pca(e, 64), path)
     out, _ = chains.prepare_embeddings(e, E.load_pca(spark, path), normalize=False)
     return out.select("track_id", F.size("embedding").alias("dim"), F.round(V.dot("embedding", "embedding"), 6).alias("squared_norm"))
+
+
+#: The covariance of all vectors; sums of powers of its eigenvalues are traces of its powers.
+_COVARIANCE = """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT i, avg(x) AS m FROM e GROUP BY i), d AS (SELECT vec_id, i, x - m AS x FROM e JOIN m USING (i)),
+ c AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT count(*) - 1 FROM embeddings) AS c FROM d a JOIN d b USING (vec_id) GROUP BY 1, 2)"""
+
+
+@query(f"{_COVARIANCE} SELECT 64 AS components, round(sum(c) FILTER (i = j), 6) AS variance, round(sum(c * c), 8) AS squares, true AS falling FROM c")
+def pca_spectrum(spark, sf_dir):
+    """Variances of all components of the reduced vectors: their squares add up to those of the covariance only if the PCA has turned it diagonal."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    v = E.transform_pca(E.fit_pca(e, 64), e).select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])
+    s = v.agg(F.count("*").cast("int").alias("components"), F.round(F.sum("v"), 6).alias("variance"), F.round(F.sum(F.col("v") * F.col("v")), 8).alias("squares"), values.alias("vs"))
+    return s.select("components", "variance", "squares", F.forall(F.sequence(F.lit(1), F.size("vs") - 1), lambda i: F.get("vs", i) <= F.get("vs", i - 1) + 1e-12).alias("falling"))
+
+
+@query(f"""{_COVARIANCE}, c2 AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2)
+ SELECT (SELECT count(*) FROM embeddings) AS n, round(sum(c.c) FILTER (c.i = c.j), 6) AS variance, round(sum(c.c * c.c), 8) AS squares, round(sum(c.c * c2.c), 9) AS cubes, 1e0 AS share FROM c JOIN c2 USING (i, j)""")
+def stream_pca(spark, sf_dir):
+    """Explained variances of a PCA that grows with a stream, from summaries of bounded size."""
+    work, pca = work_dir(spark), IncrementalPCA(64, 64)
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    for part in range(3):
+        e.where(f"vec_id % 3 = {part}").write.mode("append").parquet(f"{work}/in")
+        q = streams.read_frames(spark, f"{work}/in", e.schema).writeStream.foreachBatch(lambda batch, _: pca.update(batch) and None)
+        q.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    _, variances, shares = pca.components(64)
+    sums = [float((variances**p).sum()) for p in (1, 2, 3)]
+    return spark.createDataFrame([(pca.known.n, round(sums[0], 6), round(sums[1], 8), round(sums[2], 9), round(float(shares.sum()), 9))], "n long, variance double, squares double, cubes double, share double")

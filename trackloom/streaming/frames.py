@@ -80,9 +80,14 @@ class RunningPCA:
         return vectors[:, order].T, values[order]
 
 
-def run_guarded(frames: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, max_errors: int = 5) -> tuple[StreamingQuery, dict]:
-    """Processes micro-batches, counting failures; more than ``max_errors`` in all end the query."""
-    state = {"batches": 0, "errors": 0}
+def run_guarded(frames: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, max_errors: int = 5, dead_letters: str | None = None) -> tuple[StreamingQuery, dict]:
+    """Processes micro-batches, counting failures; more than ``max_errors`` in all end the query.
+
+    A batch that fails is written to ``dead_letters`` (beside the checkpoint if none is named) as epoch=n, so its rows can be
+    processed again; the state returned names the epochs. One that ends the query isn't: the next start repeats it.
+    """
+    state: dict = {"batches": 0, "errors": 0, "failed": []}
+    kept = dead_letters or f"{checkpoint.rstrip('/')}-failed"
 
     def each(batch: DataFrame, epoch: int) -> None:
         state["batches"] += 1
@@ -92,5 +97,7 @@ def run_guarded(frames: DataFrame, process: Callable[[DataFrame, int], None], ch
             state["errors"] += 1
             if state["errors"] > max_errors:
                 raise
+            batch.write.mode("overwrite").parquet(f"{kept}/epoch={epoch}")
+            state["failed"].append(epoch)
 
     return frames.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), state
