@@ -20,7 +20,7 @@ from trackloom.operators.cache import DepthCache, read_through
 from trackloom.plans import agent
 from trackloom.plans import pipeline as chains
 from trackloom.schemas import TRACKING, Intrinsics
-from trackloom.sinks.files import TrackWriter, write_frames, write_manifest, write_point_cloud, write_trajectories
+from trackloom.sinks.files import TrackWriter, write_frames, write_manifest, write_point_cloud, write_trajectories, write_trajectory_parts
 from trackloom.sources import files as src
 from trackloom.sources import generators as gen
 from trackloom.streaming import frames as streams
@@ -228,6 +228,9 @@ def test_writers_and_readers(spark, tmp_path):
     write_trajectories(p, f"{tmp_path}/j")
     t = src.read_trajectories(spark, f"{tmp_path}/j").orderBy("id").collect()
     assert [r["id"] for r in t] == [1, 2] and [s["f"] for s in t[0]["path"]] == [0, 1, 2] and t[0]["fps"] == 30
+    write_trajectory_parts(gen.mock_tracks(spark, 25).selectExpr("frame_idx * 1000 as frame_id", "track_id as point_id", "x as X", "y as Y", "z as Z"), f"{tmp_path}/l")
+    parts = src.read_trajectory_parts(spark, f"{tmp_path}/l").orderBy("id", "part").collect()
+    assert [(r["id"], r["part"], len(r["path"])) for r in parts] == [(i, k, n) for i in (1, 2) for k, n in ((0, 10), (1, 10), (2, 5))] and [s["f"] for s in parts[1]["path"]] == list(range(10_000, 20_000, 1000))
     (tmp_path / "w").mkdir()
     (tmp_path / "w/a.bin").write_bytes(b"abc")
     (tmp_path / "w/b.txt").write_bytes(b"1")

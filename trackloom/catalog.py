@@ -18,9 +18,9 @@ from .operators.cache import read_through
 from .plans import agent
 from .plans import pipeline as chains
 from .schemas import Intrinsics
-from .sinks.files import TrackWriter, write_manifest, write_point_cloud, write_trajectories
+from .sinks.files import TrackWriter, write_manifest, write_point_cloud, write_trajectory_parts
 from .sources import generators as gen
-from .sources.files import TrackStore, read_point_cloud, read_trajectories, settle, work_dir
+from .sources.files import TrackStore, read_point_cloud, read_trajectory_parts, settle, work_dir
 from .streaming import frames as streams
 from .streaming import fusion, stitching
 from .streaming.pca import IncrementalPCA
@@ -516,9 +516,13 @@ def hash_manifest(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.concat_ws(" | ", F.lit("pages"), "url", F.sha2("html", 256)).alias("line"), F.md5("url").alias("cache_key"))
 
 
-@query("SELECT k, round(sum(1e0 / (i * i + i)), 6) AS cumulative FROM (SELECT unnest([10, 20, 32, 48, 64]) AS k), range(1, 65) r(i) WHERE i <= k GROUP BY k")
+@query("""WITH v AS (SELECT i, var_samp(x) AS v FROM (SELECT generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY i),
+ r AS (SELECT i, v / (SELECT sum(v) FROM v) AS ratio FROM v) SELECT CAST(k AS INT) AS k, round(sum(ratio), 6) AS cumulative FROM (SELECT unnest([10, 20, 32, 48, 64]) AS k), r WHERE i <= k GROUP BY k""")
 def cumulative_variance(spark, sf_dir):
-    ratios = spark.range(1, 65).select(F.col("id").cast("int").alias("k"), (1 / (F.col("id") * F.col("id") + F.col("id"))).alias("ratio"))
+    """Of the vectors' own components."""
+    v = _t(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("i", "x")).groupBy((F.col("i") + 1).alias("k")).agg(F.var_samp(F.col("x").cast("double")).alias("v"))
+    total = v.agg(F.sum("v").alias("total"))  # one row
+    ratios = v.join(F.broadcast(total)).select("k", (F.col("v") / F.col("total")).alias("ratio"))
     return E.cumulative_variance(ratios, (10, 20, 32, 48, 64)).withColumn("cumulative", F.round("cumulative", 6))
 
 
@@ -785,13 +789,13 @@ def point_cloud_round_trip(spark, sf_dir):
     return read_point_cloud(spark, path).groupBy("frame_id").agg(F.count("*").alias("points"), F.count_if("valid").alias("valid_points"), F.round(F.sum(F.col("Z").cast("double")), 3).alias("z"))
 
 
-@query(f"""{T} SELECT track_id AS id, CAST(25 AS INT) AS fps, count(*) AS steps, sum(frame_idx)::BIGINT AS frames, round(sum(x), 3) AS x, true AS coloured FROM tracking WHERE track_id % 4 = 1 GROUP BY track_id""")
+@query(f"""{T} SELECT track_id AS id, CAST(25 AS INT) AS fps, count(*) AS steps, sum(frame_idx)::BIGINT AS frames, round(sum(x), 3) AS x, true AS coloured FROM tracking GROUP BY track_id""")
 def trajectory_round_trip(spark, sf_dir):
-    """The nested document as JSON, read back; a track has one colour, within [0, 1)."""
+    """Paths as lines of JSON, read back; a track has one colour, within [0, 1)."""
     path = work_dir(spark)
-    p = tracking(spark, sf_dir).where("track_id % 4 = 1").select(F.col("frame_idx").alias("frame_id"), F.col("track_id").alias("point_id"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"))
-    write_trajectories(p, path, 25)
-    step = read_trajectories(spark, path).select("fps", "id", F.inline("path"))
+    p = tracking(spark, sf_dir).select(F.col("frame_idx").alias("frame_id"), F.col("track_id").alias("point_id"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"))
+    write_trajectory_parts(p, path, 25)
+    step = read_trajectory_parts(spark, path).select("fps", "id", F.inline("path"))
     colour = F.expr("count(distinct r, g, b) = 1 and min(least(r, g, b)) >= 0 and max(greatest(r, g, b)) < 1 and count(distinct r) = 1")
     return step.groupBy("id", "fps").agg(F.count("*").alias("steps"), F.sum("f").alias("frames"), F.round(F.sum("x"), 3).alias("x"), colour.alias("coloured"))
 
@@ -803,26 +807,27 @@ def manifest_round_trip(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query(f"""{T}, t AS (SELECT track_id, frame_idx, least(frame_idx, 1) AS slot, CAST(greatest(0, least(round_even(CAST(x AS FLOAT), 0), {W - 1})) AS BIGINT) AS u, CAST(greatest(0, least(round_even(CAST(y AS FLOAT), 0), {H - 1})) AS BIGINT) AS v,
+@query(f"""{T}, t AS (SELECT track_id, frame_idx, least(frame_idx, (SELECT count(*) FROM embeddings) // 196 - 1) AS slot, CAST(greatest(0, least(round_even(CAST(x AS FLOAT), 0), {W - 1})) AS BIGINT) AS u, CAST(greatest(0, least(round_even(CAST(y AS FLOAT), 0), {H - 1})) AS BIGINT) AS v,
   CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y FROM tracking),
  p AS (SELECT *, CAST(CAST({_DEPTH} AS FLOAT) AS DOUBLE) AS z, CAST(floor(greatest(0, least(y, 223)) / 16) * 14 + floor(greatest(0, least(x, 223)) / 16) AS INT) AS patch FROM t)
  SELECT p.frame_idx AS graph_id, p.track_id AS node_idx, e.vec_id IS NOT NULL AS has_embedding, 3 + 64 AS width, round((x - 64) * z / 128, 3) + 0e0 AS px, round(z, 3) AS pz
- FROM p LEFT JOIN embeddings e ON e.vec_id = slot * 196 + patch AND e.vec_id < 392 WHERE z > 0""")
+ FROM p LEFT JOIN embeddings e ON e.vec_id = slot * 196 + patch WHERE z > 0""")
 def fusion_graph_nodes(spark, sf_dir):
     """Tracks, depth maps and patch embeddings to the nodes of the frames' fusion graphs; invalid depths are dropped."""
     t = tracking(spark, sf_dir).select(F.lit(0).alias("clip_id"), "frame_idx", "track_id", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"))
-    f = _t(spark, sf_dir, "embeddings").where("vec_id < 392").select(F.lit(0).alias("clip_id"), F.expr("cast(vec_id div 196 as int)").alias("slot"), F.expr("cast(vec_id % 196 as int)").alias("patch_idx"), "embedding")
-    n = chains.fusion_graph_of_clip(t, depth_maps(spark, t), f, 2, H, W, drop_invalid=True)[0]
+    e = _t(spark, sf_dir, "embeddings")
+    f = e.select(F.lit(0).alias("clip_id"), F.expr("cast(vec_id div 196 as int)").alias("slot"), F.expr("cast(vec_id % 196 as int)").alias("patch_idx"), "embedding")
+    n = chains.fusion_graph_of_clip(t, depth_maps(spark, t), f, e.count() // 196, H, W, drop_invalid=True)[0]
     return n.select("graph_id", "node_idx", "has_embedding", F.size("features").alias("width"), F.round(F.col("px").cast("double"), 3).alias("px"), F.round(F.col("pz").cast("double"), 3).alias("pz"))
 
 
-@query(f"""{T}, f AS (SELECT track_id AS clip_id, frame_idx, frame_idx - min(frame_idx) OVER (PARTITION BY track_id) AS t FROM tracking WHERE track_id % 10 = 3 AND frame_idx < 30),
+@query(f"""{T}, f AS (SELECT track_id AS clip_id, frame_idx, frame_idx - min(frame_idx) OVER (PARTITION BY track_id) AS t FROM tracking),
  p AS (SELECT clip_id, frame_idx, iy * 2 + ix AS track_id, 112e0 * (ix + 0.5e0) + t * 2.5e0 AS x, 112e0 * (iy + 0.5e0) + t * 2.5e0 AS y FROM f, range(2) a(iy), range(2) b(ix)),
  k AS (SELECT *, least(frame_idx, 1) * 196 + floor(least(y, 223) / 16) * 14 + floor(least(x, 223) / 16) AS token FROM p)
  SELECT clip_id, frame_idx, track_id, round(list_sum([CAST((CAST(token AS BIGINT) * 31 + j * 7 + clip_id) % 97 AS DOUBLE) / 97 FOR j IN range(8)]), 4) AS total FROM k""")
 def semantic_tracks(spark, sf_dir):
     """Clips tracked, embedded and mapped to each other, with stand-in models."""
-    f = tracking(spark, sf_dir).where("track_id % 10 = 3 and frame_idx < 30").select(F.col("track_id").alias("clip_id"), "frame_idx")
+    f = tracking(spark, sf_dir).select(F.col("track_id").alias("clip_id"), "frame_idx")
     s = chains.extract_semantics(f, StubTracker(grid_size=2), StubEmbedder(slots=2, dim=8), 2)
     return s.select("clip_id", "frame_idx", "track_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -54,12 +54,22 @@ def of_class(tracks: DataFrame, class_name: str, frame_idx: int | None = None) -
     return t if frame_idx is None else t.where(F.col("frame_idx") == frame_idx)
 
 
-def trajectories(points: DataFrame) -> DataFrame:
-    """(frame_id, point_id, X, Y, Z) to one row per point: id and its path in frame order, with the track's colour."""
+def _step() -> Column:
     r, g, b = G.track_color("point_id")
     xyz = [F.col(a).cast("double").alias(a.lower()) for a in "XYZ"]
-    step = F.struct(F.col("frame_id").alias("f"), *xyz, r.alias("r"), g.alias("g"), b.alias("b"))
-    return points.groupBy(F.col("point_id").alias("id")).agg(F.array_sort(F.collect_list(step)).alias("path"))
+    return F.struct(F.col("frame_id").alias("f"), *xyz, r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+def trajectories(points: DataFrame) -> DataFrame:
+    """(frame_id, point_id, X, Y, Z) to one row per point: id and its path in frame order, with the track's colour."""
+    return points.groupBy(F.col("point_id").alias("id")).agg(F.array_sort(F.collect_list(_step())).alias("path"))
+
+
+def trajectory_parts(points: DataFrame, fps: int = DEFAULTS.fps, frames: int = 10_000) -> DataFrame:
+    """(fps, id, part, path): paths in parts of so many frame numbers, so that no row holds more of a path than that."""
+    part = F.expr(f"frame_id div {frames}").alias("part")
+    own = points.groupBy(F.col("point_id").alias("id"), part).agg(F.array_sort(F.collect_list(_step())).alias("path"))
+    return own.select(F.lit(fps).alias("fps"), "id", "part", "path")
 
 
 def trajectory_document(points: DataFrame, fps: int = DEFAULTS.fps) -> DataFrame:

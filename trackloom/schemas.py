@@ -28,6 +28,7 @@ OCR_DETECTION = _struct(frame_idx=_L, text=_S, bbox=BBOX, conf=_I)
 ANNOTATION_3D = _struct(text=_S, position_3d=_struct(x=_D, y=_D, z=_D), confidence=_D, pixel_uv=_struct(u=_I, v=_I))
 PATH_POINT = _struct(f=_L, x=_D, y=_D, z=_D, r=_D, g=_D, b=_D)
 TRAJECTORY = _struct(fps=_I, tracks=T.ArrayType(_struct(id=_L, path=T.ArrayType(PATH_POINT))))
+TRAJECTORY_PART = _struct(fps=_I, id=_L, part=_L, path=T.ArrayType(PATH_POINT))
 #: A record of a cache's log: op is put, touch or evict; records are in order of at, writer, seq.
 CACHE_LOG = _struct(key=_S, op=_S, bytes=_L, at=_L, writer=_S, seq=_L, data=_S)
 CACHE_ENTRY = _struct(key=_S, name=_S, bytes=_L, last_used=_L)

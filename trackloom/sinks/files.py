@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tracks import trajectory_document
+from ..operators.tracks import trajectory_document, trajectory_parts
 from ..schemas import DEFAULTS, TRACKING
 from ..sources.versions import Versions
 
@@ -65,9 +65,15 @@ def write_point_cloud(points: DataFrame, path: str) -> None:
 
 
 def write_trajectories(points: DataFrame, path: str, fps: int = DEFAULTS.fps) -> None:
+    """One document of one clip, for a viewer; tables of any size: ``write_trajectory_parts``."""
     trajectory_document(points, fps).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_trajectory_parts(points: DataFrame, path: str, fps: int = DEFAULTS.fps) -> None:
+    """A line of JSON for each part of a path, in as many files as there are tasks."""
+    trajectory_parts(points, fps).write.mode("overwrite").json(path)
+
+
 def write_manifest(hashes: DataFrame, name: str, path: str) -> None:
     """Lines ``name | file | digest``, by file."""
     hashes.orderBy("file").select(F.concat_ws(" | ", F.lit(name), "file", "digest").alias("value")).write.mode("overwrite").text(path)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import DEPTH_MAP, POINT_CLOUD, TRACKING, TRAJECTORY
+from ..schemas import DEPTH_MAP, POINT_CLOUD, TRACKING, TRAJECTORY, TRAJECTORY_PART
 from .versions import Versions
 
 log = logging.getLogger(__name__)
@@ -144,3 +144,8 @@ def scan_cache(spark: SparkSession, path: str) -> DataFrame:
 def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     """The nested document as rows (fps, id, path)."""
     return spark.read.schema(TRAJECTORY).option("multiLine", True).json(path).select("fps", F.inline("tracks"))
+
+
+def read_trajectory_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of parts of paths as rows (fps, id, part, path)."""
+    return spark.read.schema(TRAJECTORY_PART).json(path)
