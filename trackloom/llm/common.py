@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset.
+
+    A warehouse on a machine's own disk will do for a local master alone; on a cluster it is refused.
+    """
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    root = spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    own = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getScheme() == "file"
+    if own and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"{root} is a folder of one machine: set spark.checkpoint.dir to one that all executors share")
+    return root.rstrip("/")
 
 
 _roots: list[str] = []

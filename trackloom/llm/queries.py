@@ -95,8 +95,9 @@ OP6 = rf"""{_WORDS}, g AS (SELECT r, p, string_agg(t, ' ') OVER w AS gram, count
  l AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
  m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines,
   coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines, length(regexp_replace(text, '[^A-ZÀ-ÖØ-ÞΑ-ΩА-Я]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\pL]', '', 'g')) AS n_letters FROM d LEFT JOIN l USING (r) LEFT JOIN c USING (r)),
- f AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES.values()))} AS bits FROM m)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & {quality.mask("base")} <> 0 AS base_failed, bits & {quality.mask()} = 0 AS kept, CAST(bits AS BIGINT) AS failed FROM f"""
+ f AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 5 * word_chars THEN 4 ELSE 0 END + CASE WHEN n_letters >= 40 AND 100 * n_upper > 60 * n_letters THEN 8 ELSE 0 END
+  + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END AS bits FROM m)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits & 127 = 0 AS kept, CAST(bits AS BIGINT) AS failed FROM f"""
 
 OP11 = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
