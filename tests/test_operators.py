@@ -252,6 +252,13 @@ def test_depth_files_and_images(spark, tmp_path):
         (tmp_path / f"d/{i}.PNG").write_bytes(b"x" * i)
     d = src.read_depth_frames(spark, f"{tmp_path}/d")
     assert d.count() == 12 and d.agg(F.sum("z")).first()[0] == 12.0
+    (tmp_path / "d/frame_0007.npy").write_bytes(b"not an array")
+    some = src.frame_files(spark, f"{tmp_path}/d", "frame_*.npy", lambda n: n == 1)
+    assert [p.rsplit("/", 1)[1] for p in some.inputFiles()] == ["frame_0001.npy"]  # one file of three is opened
+    assert [(r["frame_idx"], list(r["depth"])) for r in src.read_depth_maps(spark, f"{tmp_path}/d", wanted=lambda n: n == 1).collect()] == [(1, [1.5] * 6)]
+    assert src.read_depth_frames(spark, f"{tmp_path}/d", wanted=lambda n: n > 100).count() == 0
+    with pytest.raises(Exception, match="allow_pickle|pickle|magic"):
+        src.read_depth_maps(spark, f"{tmp_path}/d").collect()
     assert [r["frame_idx"] for r in src.list_images(spark, f"{tmp_path}/d", 1).collect()] == [0]
     v = src.read_video(spark, f"{tmp_path}/d/1.PNG", lambda c: iter([c] * 5), 3)
     assert v.count() == 3

@@ -102,3 +102,17 @@ def test_denoising_equals_its_definition():
     assert image.denoise(noisy).std() < noisy.std() / 2
     frame = np.repeat(noisy[:, :, None], 3, axis=2)
     assert (image.prepare(frame, threshold=False, denoised=True) == image.denoise(image.grey(frame))).all()
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark, monkeypatch):
+    class Elsewhere:
+        """The session, as on a cluster and without a shared folder."""
+
+        _jvm, _jsparkSession = spark._jvm, spark._jsparkSession
+        sparkContext = type("Context", (), {"master": "yarn"})
+        conf = type("Conf", (), {"get": staticmethod(lambda key, *other: other[0] if "checkpoint" in key else "/tmp/warehouse")})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        src.work_dir(Elsewhere)
+    Elsewhere.sparkContext.master = "local[4]"
+    assert src.work_dir(Elsewhere).startswith("/tmp/warehouse/trackloom-")

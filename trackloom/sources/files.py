@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import logging
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,8 +26,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share, in the warehouse where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, or the warehouse where none is set.
+
+    A warehouse on a machine's own disk will do for a local master alone; on a cluster it is refused.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        own = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getScheme() == "file"
+        if own and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{root} is a folder of one machine: set spark.checkpoint.dir to one that all executors share")
     return f"{root.rstrip('/')}/trackloom-{uuid.uuid4().hex}"
 
 
@@ -74,14 +84,23 @@ def _files(spark: SparkSession, path: str, glob: str | None = None, deep: bool =
     return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
-def read_depth_maps(spark: SparkSession, path: str, glob: str = "frame_*.npy") -> DataFrame:
+def frame_files(spark: SparkSession, path: str, glob: str, wanted: Callable[[int], bool] | None = None) -> DataFrame:
+    """Files of a folder whose names end in a frame's number and which are wanted by it: the others are listed, not opened."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{glob}")
+    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at) or []
+    names = [(s.getPath().toString(), re.search(r"(\d+)\.[^./]+$", s.getPath().getName())) for s in found if s.isFile()]
+    if not names:
+        raise FileNotFoundError(f"{path}/{glob}")
+    some = [p for p, number in names if wanted is None or number and wanted(int(number[1]))]
+    return spark.read.format("binaryFile").load(some) if some else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+
+
+def read_depth_maps(spark: SparkSession, path: str, glob: str = "frame_*.npy", wanted: Callable[[int], bool] | None = None) -> DataFrame:
     """One file of depths per frame, named by number, to one row per frame: (frame_idx, height, width, depth), row by row.
 
-    A file that doesn't hold an array of two dimensions with any value fails the query.
+    ``wanted`` chooses frames by number, before any file is opened. A file that doesn't hold an array of two dimensions with any value fails the query.
     """
-    files = _files(spark, path, glob)
-    if files.isEmpty():
-        raise FileNotFoundError(f"{path}/{glob}")
+    files = frame_files(spark, path, glob, wanted)
     number = F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("long")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,9 +114,9 @@ def read_depth_maps(spark: SparkSession, path: str, glob: str = "frame_*.npy") -
     return files.select(number.alias("frame_idx"), "content").mapInPandas(load, DEPTH_MAP)
 
 
-def read_depth_frames(spark: SparkSession, path: str, glob: str = "frame_*.npy") -> DataFrame:
+def read_depth_frames(spark: SparkSession, path: str, glob: str = "frame_*.npy", wanted: Callable[[int], bool] | None = None) -> DataFrame:
     """The same files, a row for each pixel: (frame_idx, v, u, z)."""
-    px = read_depth_maps(spark, path, glob).select("frame_idx", "width", F.posexplode("depth").alias("i", "z"))
+    px = read_depth_maps(spark, path, glob, wanted).select("frame_idx", "width", F.posexplode("depth").alias("i", "z"))
     return px.select("frame_idx", F.expr("cast(i div width as int)").alias("v"), F.expr("cast(i % width as int)").alias("u"), "z")
 
 
