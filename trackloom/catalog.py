@@ -871,3 +871,21 @@ def stream_pca(spark, sf_dir):
     _, variances, shares = pca.components(64)
     sums = [float((variances**p).sum()) for p in (1, 2, 3)]
     return spark.createDataFrame([(pca.known.n, round(sums[0], 6), round(sums[1], 8), round(sums[2], 9), round(float(shares.sum()), 9))], "n long, variance double, squares double, cubes double, share double")
+
+
+@query("SELECT event_id, event_id // 7 % 3 = 1 AS failed_first FROM events")
+def stream_guarded(spark, sf_dir):
+    """A stream of which some micro-batches fail: their rows are kept, processed again later, and none is lost."""
+    work = work_dir(spark)
+    e = _t(spark, sf_dir, "events").select("event_id")
+    for part in range(3):
+        e.where(f"event_id div 7 % 3 = {part}").coalesce(1).write.mode("append").parquet(f"{work}/in")
+
+    def process(batch: DataFrame, epoch: int) -> None:
+        bad = F.when(F.expr("event_id div 7 % 3 = 1"), F.raise_error(F.lit("can't be processed")).cast("long")).otherwise(F.col("event_id"))
+        batch.select(bad.alias("event_id")).write.mode("overwrite").parquet(f"{work}/out/epoch={epoch}")
+
+    q, _ = streams.run_guarded(streams.read_frames(spark, f"{work}/in", e.schema, 1), process, f"{work}/checkpoint", dead_letters=f"{work}/failed")
+    q.awaitTermination()
+    done, again = (spark.read.schema("event_id long").parquet(f"{work}/{n}/epoch=*") for n in ("out", "failed"))
+    return done.withColumn("failed_first", F.lit(False)).unionByName(again.withColumn("failed_first", F.lit(True)))
