@@ -189,7 +189,7 @@ def sketch(texts: DataFrame, bits: int, min_docs: int) -> np.ndarray:
         blocks = dealt.mapInArrow(_merged(bits, min_docs, last), schema)
     own = min(BLOCK, 1 << bits) // 8
     out = np.zeros((ROWS << bits) // (8 * own), f"V{own}")
-    for slot, cells in blocks.toLocalIterator():
+    for slot, cells in blocks.collect():
         out[slot] = np.frombuffer(bytes(cells), f"V{own}")[0]
     return out.view(np.uint8).reshape(ROWS, -1)
 
