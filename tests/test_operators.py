@@ -354,13 +354,13 @@ def test_guarded_stream_stops_after_too_many_errors(spark, tmp_path):
     q, state = streams.run_guarded(batches(spark, tmp_path), fail, f"{tmp_path}/ck", 2)
     with pytest.raises(Exception, match="no"):
         q.awaitTermination()
-    assert state == {"batches": 3, "errors": 3}
+    assert state == {"batches": 3, "errors": 3, "failed": [0, 1]}
 
 
 def test_guarded_stream_goes_on_after_few_errors(spark, tmp_path):
     q, state = streams.run_guarded(batches(spark, tmp_path), fail, f"{tmp_path}/ck", 10)
     q.awaitTermination()
-    assert state == {"batches": 6, "errors": 6}
+    assert state == {"batches": 6, "errors": 6, "failed": [0, 1, 2, 3, 4, 5]}
 
 
 def test_index_is_loaded_grown_and_saved(spark, tmp_path):
