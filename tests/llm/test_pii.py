@@ -5,6 +5,7 @@ import re
 import time
 from collections import defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
 from trackloom.llm import pii
@@ -77,25 +78,44 @@ def test_plans_have_no_python(spark, sf):
         assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9_@.=+/-])(?=[A-Za-z_@.=+/-]*[0-9])[A-Za-z0-9_@.=+/-]{7,}[A-Za-z0-9]")
+TOKEN = regex.compile(r"(?<![\p{L}\p{N}_@.+/-])(?=[\p{L}_@.+/-]*[0-9])[\p{L}\p{N}_@.+/-]{4,}[\p{L}\p{N}]")
+LABEL = r"""(?i:token|secret|password|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?["']?\x20{0,2}[=:]\x20{0,2}["']?"""
+SECRET = regex.compile(rf"""(?<={LABEL})(?=[^\s"'`,;<>(){{}}\[\]=:])(?=[^\s"'`,;<>(){{}}\[\]]*[0-9])[^\s"'`,;<>(){{}}\[\]]{{5,}}[\p{{L}}\p{{N}}=]""")
+
+
+def shape(m):
+    for form, mark in ((r"\p{L}+[0-9][\p{L}0-9]*|[0-9]+\p{L}[\p{L}0-9]*", "#"), (r"[0-9]+", "9"), (r"\p{L}+", "a")):
+        m = regex.sub(form, mark, m)
+    return m
+
+
+def secrets(t):
+    """Values of fields with a telling label that no base span overlaps."""
+    base = [tuple(map(int, s.split(":")[1:])) for s in brute(t)]
+    return [m.span() for m in SECRET.finditer(t or "") if not any(x < m.end() and m.start() < y for x, y in base)]
 
 
 def bootstrap(texts):
     """Discovered spans of each text, by the same rules in plain Python."""
     clean = lambda w: re.sub(r"[^\w=:]|_", "", w).lower()
-    slots, graph = [], defaultdict(dict)
+    slots, graph, failed = [], defaultdict(dict), set()
     for i, t in enumerate(texts):
         base = [tuple(map(int, s.split(":")[1:])) for s in brute(t)]
-        for kind, form in [*FORMS, ("token", TOKEN.pattern)]:
-            ms = [m.span() for m in re.finditer(form, t)]
+        named = secrets(t)
+        for kind, form in [*FORMS, ("secret", SECRET.pattern), ("token", TOKEN.pattern)]:
+            ms = [m.span() for m in regex.finditer(form, t)]
             for k, (a, b) in enumerate(ms):
-                if kind == "token" and any(x < b and a < y for x, y in base) or kind != "token" and not valid(kind, t[a:b]):
+                if kind == "token" and any(x < b and a < y for x, y in base + named) or kind == "secret" and (a, b) not in named or kind in dict(FORMS) and not valid(kind, t[a:b]):
                     continue
-                before, after = t[ms[k - 1][1] if k else 0 : a].split(), t[b : ms[k + 1][0] if k + 1 < len(ms) else len(t)].split()
+                before = regex.sub(r"""["'`(\[{<«]+$(?!\n)""", "", t[ms[k - 1][1] if k else 0 : a]).split()
+                after = regex.sub(r"\A[\p{P}\p{S}]+", "", t[b : ms[k + 1][0] if k + 1 < len(ms) else len(t)]).split()
                 l1, l2, r1 = clean(before[-1]) if before else "", clean(before[-2]) if len(before) > 1 else "", clean(after[0]) if after else ""
                 made = [f"l1 {l1}" if l1 else "", f"l2 {l2} {l1}" if l1 and l2 else "", f"r1 {r1}" if r1 else "", f"lr {l1} {r1}" if l1 and r1 else ""]
+                label = l2 if l1 in ("=", ":") else re.sub("[=:]", "", l1) if l1[-1:] in ("=", ":") else ""
+                made += [f"f {label}" if label else "", f"s {l1} {shape(t[a:b])}" if l1 else ""]
                 for p in filter(None, made):
                     graph[p][t[a:b].lower()] = graph[p].get(t[a:b].lower(), False) or kind != "token"
+                failed |= {t[a:b].lower()} if kind == "token" and (shape(t[a:b]) == "9.9.9.9" or shape(t[a:b]) == "9" and 16 <= b - a <= 19) else set()
                 if kind == "token":
                     slots.append((i, a, b))
     seeds = {x for own in graph.values() for x, seed in own.items() if seed}
@@ -109,7 +129,7 @@ def bootstrap(texts):
         votes = defaultdict(list)
         for p, d in doubt.items():
             for x in graph[p]:
-                if x not in known:
+                if x not in known and x not in failed:
                     votes[x].append(math.log(d))
         new = {x for x, v in votes.items() if len(v) >= pii.MIN_PATTERNS and 1 - math.exp(sum(v)) >= pii.MIN_CHANCE}
         if not new:
@@ -117,7 +137,7 @@ def bootstrap(texts):
         known |= new
     out = defaultdict(list)
     for i, a, b in slots:
-        if texts[i][a:b].lower() in known - seeds:
+        if texts[i][a:b].lower() in known:
             out[i].append(f"identifier:{a}:{b}")
     return out
 
@@ -134,6 +154,33 @@ def test_bootstrap_equals_plain_python(spark):
     assert sum(map(len, want.values())) >= 12
 
 
+def test_values_of_labelled_fields_and_what_their_contexts_find(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(12)]
+    rows = [(i, f'der Text token = "{h}" und mehr') for i, h in enumerate(hexes)] + [(20 + i, f"export AUTH_SIG {h} now") for i, h in enumerate(hexes)]
+    rows += [(50, "export AUTH_SIG ключ-77-õö12 now"), (51, "the token: something else"), (52, "API-KEY:'Zz9.q+1/w=='"), (53, "password = a@b.cc12"), (54, "tokens=abc12"), (55, "see export 20240101 now"), (56, 'secret = "' + "(" * 20_000 + "x1"), (None, None)]
+    rows += [(60 + i, f"pay by {4111111111111111 + 10**9 * 9 * i} please") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["n_spans"]) for r in pii.digest(pii.find(df)).collect()}
+    assert all(got[i] == ("secret:18:58", 1) and got[20 + i] == ("identifier:16:56", 1) for i in range(12))
+    assert got[50] == ("identifier:16:28", 1) and got[52] == ("secret:9:20", 1) and got[53] == ("email:11:19", 1)
+    assert all(got[i] == ("", 0) for i in (51, 54, 55, 56, None))
+    cards = [i for i in range(60, 100) if brute(dict(rows)[i])]
+    assert 3 < len(cards) < 40 and all(got[i] == (("card:7:23", 1) if i in cards else ("", 0)) for i in range(60, 100))
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert red[0] == 'der Text token = "<SECRET>" und mehr' and red[20] == "export AUTH_SIG <IDENTIFIER> now" and red[51] == "the token: something else"
+
+
+def test_hidden_seeds_are_found_by_context(spark):
+    """A third of the seeds is hidden; contexts that seeds share bring them back, contexts of their own can't."""
+    rows = [(f"please write to agent {'u%d@mail.example.com' % i if i % 2 else '10.0.%d.%d' % (i // 200, i % 200)} at once",) for i in range(300)]
+    rows += [(f"word{i}x u{i}x@mail.example.com word{i}y",) for i in range(100)] + [("please sell agent-007 at once",)]
+    got = pii.recovery(spark.createDataFrame(rows, "text string")).first()
+    alone = pii.recovery(spark.createDataFrame(rows[300:400], "text string")).first()
+    assert got["n_seeds"] == 400 and 80 < got["n_hidden"] < 160 and got["n_others"] == 0
+    assert 60 < got["n_recovered"] < got["n_hidden"] and alone["n_hidden"] > 15 and alone["n_recovered"] == 0
+    assert tuple(pii.recovery(spark.createDataFrame([], "text string")).first()) == (0, 0, 0, 0)
+
+
 def test_discovery_goes_on_until_a_round_adds_nothing(spark):
     """A chain: each kind of context is vouched for by the identifiers that the one before it discovered."""
     rows = [f"aa bb a{i:07d}@x.yy cc" for i in range(400)]
