@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from trackloom.llm import ann
 
@@ -40,6 +41,22 @@ def test_recall_of_the_query_over_several_blocks(spark):
     assert sum(len(set(g["vec_id"]) & set(want[q])) for q, g in got.groupby("query_id")) >= 0.97 * 300 * 20
 
 
+@pytest.mark.parametrize("kind", ["tight heaps", "tight heaps of many sizes", "far apart norms"])
+def test_recall_where_codes_of_whole_vectors_tell_too_little(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    heaps = rng.normal(size=(14, 64))[np.arange(6000) % 14]
+    if kind == "far apart norms":
+        x = x * np.exp(2.5 * rng.normal(size=(6000, 1)))
+    else:
+        x = heaps + (1e-3 if kind == "tight heaps" else np.exp(-8 * rng.random((6000, 1)))) * x
+    x = x.astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(df, df.where("vec_id % 20 = 0"), block=3000).toPandas()
+    want = brute([(i, v) for i, v in enumerate(x)], set(range(0, 6000, 20)), 20)
+    assert sum(len(set(g["vec_id"]) & set(want[q])) for q, g in got.groupby("query_id")) >= 0.99 * 300 * 20
+
+
 def test_only_codes_and_numbers_are_dealt_for_the_scan(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     plan = ann.search(df, df.where("vec_id % 20 = 0"))._jdf.queryExecution().executedPlan().toString()
