@@ -56,3 +56,12 @@ def test_a_hundred_thousand_points_in_one_cube(spark):
         far = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
         far[i] = np.inf
         assert found == set(np.lexsort((np.arange(len(x)), far))[:32].tolist())
+
+
+@pytest.mark.parametrize("name", ["radius_edges", "radius_edges_capped", "node_degree"])
+def test_cubes_and_their_neighbours_are_never_broadcast(spark, sf, name):
+    """The exploded side is 14 times what Spark takes it for."""
+    from trackloom import catalog
+
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
