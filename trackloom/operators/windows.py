@@ -50,9 +50,9 @@ def advance(frames, points, tracker, window: int = DEFAULTS.window, overlap: int
         if len(frames) <= window:
             return [*out, got], frames.iloc[:0], None
         turn = frames["frame_idx"].iloc[step]
-        shared = got["frame_idx"] == turn
-        points = got[shared] if shared.any() else None
-        out.append(got[got["frame_idx"] < turn])
+        at = got["frame_idx"].to_numpy()
+        points = got[at == turn] if (at == turn).any() else None
+        out.append(got[at < turn])
         frames = frames.iloc[step:]
     return out, frames, points
 
@@ -60,15 +60,47 @@ def advance(frames, points, tracker, window: int = DEFAULTS.window, overlap: int
 def stitch_clip(frames: DataFrame, tracker, schema: str, window: int = DEFAULTS.window, overlap: int = DEFAULTS.overlap) -> DataFrame:
     """Windows of a clip in turn, each started at the points where the one before left its first shared frame.
 
-    A window needs the tracker's output on the one before, so a clip is one group and clips run in parallel. ``tracker`` is
+    A window needs the tracker's output on the one before, so a clip is in one partition, in order, and clips run in parallel.
+    Many clips come in one batch of rows, and a clip may go on over several: only the frames of its next window wait. ``tracker`` is
     called with a window's frames and the start points (None for the first), and returns rows with frame_idx. Streams: ``streaming.stitching``.
     """
     _check(window, overlap)
 
-    def run(clip):
+    def run(batches):
+        import numpy as np
         import pandas as pd
 
-        kept, _, _ = advance(clip.sort_values("frame_idx"), None, tracker, window, overlap)
-        return pd.concat(kept) if kept else tracker(clip.iloc[:0], None)
-
-    return frames.groupBy("clip_id").applyInPandas(run, schema)
+        clip, left, points = None, None, None
+        for batch in batches:
+            out, keys = [], batch.column("clip_id")
+            plain = keys.fill_null(0).to_numpy(zero_copy_only=False)
+            turns = (plain[1:] != plain[:-1]) | (np.diff(keys.is_null().to_numpy(zero_copy_only=False).astype(np.int8)) != 0)
+            ends = [0, *(np.flatnonzero(turns) + 1).tolist(), batch.num_rows]
+            whole = None if any(c.null_count for c in batch.columns) else batch.to_pandas()  # a null changes a column's kind, for its own clip only
+            for a, b in zip(ends, ends[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a).to_pandas() if whole is None else whole.iloc[a:b]
+                key = keys[a].as_py()
+                if left is not None and key != clip:
+                    out += advance(left, points, tracker, window, overlap)[0]
+                    left, points = None, None
+                clip = key
+                got, left, points = advance(part if left is None else pd.concat([left, part]), points, tracker, window, overlap, False)
+                out += got
+            if out:
+                yield from _arrow(pd.concat(out))
+        if left is not None and (out := advance(left, points, tracker, window, overlap)[0]):
+            yield from _arrow(pd.concat(out))
+
+    def _arrow(rows):
+        import pyarrow as pa
+
+        return pa.Table.from_pandas(rows, wanted, preserve_index=False).to_batches()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    wanted = to_arrow_schema(_parse_datatype_string(schema))
+    ordered = frames.repartition("clip_id").sortWithinPartitions("clip_id", "frame_idx")
+    return ordered.mapInArrow(run, schema)
