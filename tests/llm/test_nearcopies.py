@@ -60,3 +60,17 @@ def test_groups_of_edited_copies(spark, monkeypatch):
 def test_edge_rows(spark):
     got = nearcopies.keep_one(spark.createDataFrame(ROWS, "doc_id long, text string, key string"))
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "a b c d e", "x"), (3, "", "e"), (4, "kk ll mm", "r"), (4, "zz yy xx", "r"), (None, "q r s t", "z")]
+
+
+def test_groups_compared_at_once_need_no_plan_for_large_ones(spark):
+    """Two tables are written, the sets and the groups; only a large group asks for a third."""
+    from trackloom.llm.common import Scratch
+
+    words = [f"w{i}" for i in range(100)]
+    rows = [(d, " ".join([*words[:-1], f"e{d}"])) for d in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = docs.selectExpr("doc_id", "xxhash64(doc_id, text) as key", "doc_id as node", "0L as root", "96L as size")
+    for group_hashes, tables in ((nearcopies.GROUP_HASHES, 2), (200, 3)):
+        scratch = Scratch(spark)
+        links = nearcopies.links(docs, members, scratch, group_hashes).collect()
+        assert {x for r in links for x in (r["u"], r["v"])} == set(range(8)) and scratch.n == tables

@@ -107,3 +107,19 @@ def test_keep_one(spark, sf):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted({g[2] for g in groups})
     kept = simhash.keep_one(spark.createDataFrame(ROWS, "doc_id long, text string, key string"))
     assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d e", "x"), (3, "", "e"), (4, "kk ll mm", "r"), (4, "zz yy xx", "r"), (None, "q r s t", "z")]
+
+
+def test_components_end_with_the_first_stars(spark):
+    """Edges that are stars are their own components: one table is written. A chain takes rounds; no edges, none."""
+    from trackloom.llm.common import Scratch, star_components
+
+    def roots(edges):
+        scratch = Scratch(spark)
+        got = star_components(spark.createDataFrame(edges, "u long, v long"), scratch)
+        return {r["u"]: r["root"] for r in got.collect()}, scratch.n
+
+    assert roots([(5, 1), (1, 7), (7, 1), (9, 8), (3, 3)]) == ({5: 1, 7: 1, 9: 8}, 1)
+    assert roots([]) == ({}, 1)
+    assert roots([(2, 1), (3, 1), (3, 2)])[0] == {2: 1, 3: 1}
+    chain, n = roots([(i, i + 1) for i in range(40)] + [(60, 50), (60, 55)])
+    assert chain == {**{i: 0 for i in range(1, 41)}, 55: 50, 60: 50} and n > 1

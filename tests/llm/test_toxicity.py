@@ -151,3 +151,10 @@ def test_the_fit_is_the_least_of_its_loss():
             assert loss(m.bias, m.weights | {f: max(0.0, x + step)}) > least - 1e-6
     for step in (-0.01, 0.01):
         assert loss(m.bias + step, m.weights) > least - 1e-6
+
+
+def test_the_driver_keeps_no_features_after_a_fit(spark):
+    docs = spark.createDataFrame([(i, f"word{i} of text") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    assert toxicity.features.cache_info().currsize == 0

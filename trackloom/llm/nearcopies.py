@@ -197,8 +197,12 @@ def links(docs: DataFrame, members: DataFrame, scratch: Scratch, group_hashes: i
     sets = scratch.cut(found.join(m, found["doc_id"].eqNullSafe(m["d"]) & (found["key"] == m["k"])).select("root", "node", "hashes"))
     n_chunks = F.ceil(F.sum("size") / group_hashes).cast("long")
     groups = scratch.cut(members.groupBy("root").agg(n_chunks.alias("n"), F.min("node").alias("first")))
+    order = ["root", "a", "b"]
+    compared = lambda rows: rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared, "u long, v long")
+    at_once = lambda rows: rows.select("root", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "node", F.lit(True).alias("asks"), "hashes")
+    if groups.where("n > 1").isEmpty():
+        return compared(at_once(sets))
     rows = sets.join(groups.select("root", "n"), "root")
-    small = rows.where("n <= 1").select("root", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "node", F.lit(True).alias("asks"), "hashes")
     large = rows.where("n > 1")
     # of the large groups only: a row for each
     first = groups.where("n > 1").select("root", F.col("first").alias("node")).join(sets.withColumnRenamed("hashes", "first"), ["root", "node"]).dropDuplicates(["root"]).drop("node")
@@ -210,8 +214,7 @@ def links(docs: DataFrame, members: DataFrame, scratch: Scratch, group_hashes: i
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asking = both.join(rest.select("root", "node"), ["root", "node"], "left_semi").select("root", salt(1, "parts").alias("a"), each("n").alias("b"), "node", F.lit(True).alias("asks"), "hashes")
     asked = both.select("root", each("parts").alias("a"), salt(2, "n").alias("b"), "node", F.lit(False).alias("asks"), "hashes")
-    order = ["root", "a", "b"]
-    pairs = small.unionByName(asking).unionByName(asked).repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared, "u long, v long")
+    pairs = compared(at_once(rows.where("n <= 1")).unionByName(asking).unionByName(asked))
     hub = joined.where("joined").join(groups.select("root", "first"), "root").select(F.col("node").alias("u"), F.col("first").alias("v"))
     return pairs.unionByName(hub)
 

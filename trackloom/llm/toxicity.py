@@ -237,7 +237,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **opti
     chosen = both.select(F.col("doc_id").alias("__tl_id"), "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__tl_id")).groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "toxic").collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return fit([r[1] for r in rows], [r[2] for r in rows], **options)
+    try:
+        return fit([r[1] for r in rows], [r[2] for r in rows], **options)
+    finally:
+        features.cache_clear()  # the driver has no more use for it
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
