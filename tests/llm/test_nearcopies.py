@@ -74,3 +74,27 @@ def test_groups_compared_at_once_need_no_plan_for_large_ones(spark):
         scratch = Scratch(spark)
         links = nearcopies.links(docs, members, scratch, group_hashes).collect()
         assert {x for r in links for x in (r["u"], r["v"])} == set(range(8)) and scratch.n == tables
+
+
+def test_whole_texts_reach_python_in_small_batches(spark, monkeypatch):
+    from trackloom.llm.common import TEXTS_TOGETHER
+
+    def held(f):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    assert b.num_rows <= TEXTS_TOGETHER, b.num_rows
+                    yield b
+
+            yield from f(seen())
+
+        return run
+
+    for name in ("_signed", "_sets", "_compared"):
+        monkeypatch.setattr(nearcopies, name, held(getattr(nearcopies, name)))
+    n = 2 * TEXTS_TOGETHER + 500
+    docs = spark.range(0, n, 1, 1).selectExpr("id as doc_id", "concat('a b c d e f ', id) as text").unionByName(spark.range(2).selectExpr("id - 9 as doc_id", "concat('q r s t u v w x y z aa bb cc dd ', id) as text")).coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    assert {r["doc_id"] for r in nearcopies.keep_one(docs).collect()} == set(range(n)) | {-9}
+    assert spark.conf.get(key) == before

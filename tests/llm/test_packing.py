@@ -148,3 +148,20 @@ def test_pairs_and_triples_fill_gaps(table):
     full = {k: sum(n for need, n in plan if sum(need.values()) == k and sum(p * m for p, m in need.items()) == packing.SIZE) for k in (2, 3, 4)}
     assert full[2] > 0 and full[3] > 0 and full[4] >= (table == "sf0.001")
     assert sum(n for _, n in plan) <= 1.01 * -(-sum(lengths) // packing.SIZE)
+
+
+def test_packing_hands_texts_over_in_small_batches_and_plans_no_rows_of_lists(spark, monkeypatch):
+    from trackloom.llm.common import TEXTS_TOGETHER
+
+    real, n = packing.pieces, 2 * TEXTS_TOGETHER + 500
+
+    def held(batches):
+        for b in batches:
+            assert b.num_rows <= TEXTS_TOGETHER, b.num_rows
+            yield b
+
+    monkeypatch.setattr(packing, "pieces", lambda docs, *a: real(docs.mapInArrow(held, docs.schema), *a))
+    got = packing.pack(spark.range(0, n, 1, 1).selectExpr("id as doc_id", "'some words' as text"), ranks_path(), with_ids=True)
+    assert "ExistingRDD" not in got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) == n and len({(r["sequence_id"], r["offset"]) for r in rows}) == n

@@ -158,3 +158,11 @@ def test_the_driver_keeps_no_features_after_a_fit(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     toxicity.train(docs, labels)
     assert toxicity.features.cache_info().currsize == 0
+
+
+def test_a_score_keeps_no_features_beside_its_own():
+    """Workers outlive their tasks, so what a score remembers must go with its model."""
+    toxicity.features.cache_clear()
+    model = toxicity.Model(-1.0, {"bad": 2.0, "bad#2": 1.0, "stup*": 0.5})
+    assert model.score("Bad, bad stupid thing") == 1 / (1 + math.exp(-2.5)) and model.score(None) == 1 / (1 + math.exp(1.0))
+    assert toxicity.features.cache_info().currsize == 0 and len(model.known) == 4

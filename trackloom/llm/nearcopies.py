@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, in_sieve, sieve, star_components
+from .common import Scratch, in_sieve, sieve, small_batches, star_components
 from .simhash import SEED, keep_least
 
 WORDS = 5
@@ -223,12 +223,14 @@ def grouped(docs: DataFrame, scratch: Scratch, group_hashes: int = GROUP_HASHES)
     """(doc_id, key, root) for every row of ``docs``; rows of one root are connected by near copies."""
     read = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t()) for n, t in (("key", T.LongType), ("same", T.BinaryType), ("size", T.LongType), ("sig", T.BinaryType))]])
-    signed = scratch.cut(read.mapInArrow(_signed, schema))
+    with small_batches(docs.sparkSession):
+        signed = scratch.cut(read.mapInArrow(_signed, schema))
     nodes = scratch.cut(signed.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("row"), F.min("size").alias("size"), F.min("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()))
     maybe = star_components(candidates(nodes.where("size > 0").select("node", "sig"), scratch), scratch)
     both = scratch.cut(maybe.select(F.col("u").alias("node"), "root").unionByName(maybe.select(F.col("root").alias("node"), "root").distinct()))
     members = scratch.cut(nodes.join(both, "node").select("row.doc_id", "row.key", "node", "root", "size"))
-    roots = star_components(links(docs, members, scratch, group_hashes), scratch).withColumnRenamed("u", "node")
+    with small_batches(docs.sparkSession):  # the sets are made and compared
+        roots = star_components(links(docs, members, scratch, group_hashes), scratch).withColumnRenamed("u", "node")
     label = nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     return signed.select("doc_id", "key", "same").join(label, "same").select("doc_id", "key", "root")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, small_batches
 
 SIZE = 1024
 EOS = 2
@@ -260,13 +260,15 @@ def pack(docs: DataFrame, ranks_path: str, size: int = SIZE, with_ids: bool = Fa
     spark = docs.sparkSession
     scratch = Scratch(spark)
     # written with a number for each row, which tells equal rows apart
-    p = scratch.cut(pieces(docs, ranks_path, size, with_ids).withColumn("__tl_row", F.monotonically_increasing_id()))
+    with small_batches(spark):
+        p = scratch.cut(pieces(docs, ranks_path, size, with_ids).withColumn("__tl_row", F.monotonically_increasing_id()))
     histogram = p.groupBy("length").agg(F.count("*").alias("n")).where(F.col("length").between(1, size))
     counts = np.zeros(size + 1, np.int64)
     for length, n in histogram.collect():  # at most `size` rows
         counts[length] = n
     # rank among the pieces of a length: within salted groups of a bounded size, then the groups' running total
-    salts = spark.createDataFrame([(i, -(-int(n) // RANKED_TOGETHER) or 1) for i, n in enumerate(counts)], "length long, salts long")
+    # Arrow tables are local relations; lists of rows would be RDDs, for which each executor keeps Python workers of another kind
+    salts = spark.createDataFrame(pa.table({"length": np.arange(size + 1), "salts": np.maximum(-(-counts // RANKED_TOGETHER), 1)}))
     salted = p.join(F.broadcast(salts), "length").withColumn("salt", F.expr("pmod(xxhash64(__tl_row), salts)")).drop("salts")
     group = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = group.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
@@ -276,7 +278,9 @@ def pack(docs: DataFrame, ranks_path: str, size: int = SIZE, with_ids: bool = Fa
     of_length: dict[int, list[tuple[int, ...]]] = {}
     for length, *where in ranges(solve(counts, size)):
         of_length.setdefault(length, []).append(tuple(where))
-    places = spark.createDataFrame(list(of_length.items()), "length long, places array<struct<at:long,end:long,times:long,sequence:long,base:long>>")
+    place = pa.struct([(name, pa.int64()) for name in ("at", "end", "times", "sequence", "base")])
+    of = [[dict(zip(place.names, x, strict=True)) for x in where] for where in of_length.values()]
+    places = spark.createDataFrame(pa.table({"length": pa.array(list(of_length), pa.int64()), "places": pa.array(of, pa.list_(place))}))
     at = ranked.join(F.broadcast(places), "length").withColumn("place", F.expr("element_at(filter(places, x -> x.end > rank), 1)"))
     nth = F.col("rank") - F.col("place.at")
     return at.select(*[c for c in p.columns if c != "__tl_row"], (F.col("place.sequence") + F.expr("(rank - place.at) div place.times")).alias("sequence_id"), (F.col("place.base") + nth % F.col("place.times") * F.col("length")).alias("offset"))

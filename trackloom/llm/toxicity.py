@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +95,7 @@ class Model:
         for chunk, n in Counter((text or "").lower().split()).items():
             got = known.get(chunk)
             if got is None:
-                got = tuple(f for f in features(chunk) if f in self.used)
+                got = tuple(f for f in features.__wrapped__(chunk) if f in self.used)  # remembered below, and only there
                 if len(known) < MAX_REMEMBERED and len(chunk) <= 40:
                     known[chunk] = got
             for f in got:
@@ -106,9 +106,9 @@ class Model:
     def column(self, text: Column | str) -> Column:
         model = Model(self.bias, self.weights)
 
-        @F.pandas_udf("double")
-        def score(s: pd.Series) -> pd.Series:
-            return pd.Series([model.score(x) for x in s], dtype="float64")
+        @F.arrow_udf("double")
+        def score(s: pa.Array) -> pa.Array:
+            return pa.array((model.score(x.as_py()) for x in s), pa.float64())
 
         return score(text)
 
